@@ -1 +1,4 @@
-"""Part of medlattice: plans."""
+"""Queries over the test tables that run the package's operators, with their SQL."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}

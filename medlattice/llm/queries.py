@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import collect_control, table
 from .near_duplicates import NearDuplicates, link_counts, linked_pairs, near_duplicates
+from .pii_crf import personal_data, redact_fields
 from .packing import bin_report, pack_instructions, pack_texts
 from .mixing import Mix, mix_sources
 from .quota_sample import QuotaSample, quota_sample
@@ -66,6 +67,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _union({f: piece_rows(s) for f, s in _splits(spark, d).items()})
 
 
+def _redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact_fields(table(spark, d, "records"), "record_id", ["content", "description"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data(_redacted(spark, d)).where("item_key is not null").withColumnRenamed("item_key", "record_id")
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _redacted(spark, d).select(F.col("item_key").alias("record_id"), "field_name", "redacted", F.size("found").alias("replaced"))
+
+
 def _near(spark: SparkSession, d: str) -> NearDuplicates:
     return near_duplicates(table(spark, d, "records"), "record_id", "content", words=3, threshold=0.5)
 
@@ -123,6 +136,6 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    p1_found, p1_report, p1_sample, p2_found, p2_pieces, p4_found, p4_record_links, p4_article_links,
+    p1_found, p1_report, p1_sample, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_record_links, p4_article_links,
     p6_found, p6_containers, p6_fill, p6_instruction_containers, p7_found, p7_shares, p7_mix,
 )}

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-T, ROWS, BANDS = 128, 3, 30
-#: Coordinates that must agree in their bit for a candidate; a pair at the threshold misses it with probability below 0.003.
-#: (128 bits, each equal with probability (1 + similarity) / 2.)
+T, ROWS, BANDS = 192, 3, 30
+#: Standard deviations below the expected number of agreeing bits down to which a meeting is a candidate; a pair at the
+#: threshold misses it with probability below 0.003. (T bits, each equal with probability (1 + similarity) / 2.)
 BITS_SD = 2.8
+#: Band keys that a task looks at together; bounds memory.
+MEETING = 200_000
 #: Texts with the same band key beyond which the key's texts go to the prefix-filter join instead, which is exact.
 HOT_BUCKET = 400
 #: Classes that may be broadcast (8 bytes each); beyond it, the same join is made by a shuffle.
@@ -115,7 +117,7 @@ def _chunks(batches, column: str):
 
 
 def _band_batches(batches, words: int):
-    """(key, cls, low, high) per text and band; a class already sent by this task is not sent again."""
+    """(key, cls, bits) per text and band; a class already sent by this task is not sent again."""
     seen: set = set()
     salts = (np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)[None, :]
     for b, texts in _chunks(batches, "text"):
@@ -135,11 +137,69 @@ def _band_batches(batches, words: int):
         key = np.zeros((len(filled), BANDS), dtype=np.uint64)
         for r in range(ROWS):
             key = _mix(key * _U(3) + s[:, r : BANDS * ROWS : ROWS] + salts)
-        bits = (_mix(s) & _U(1)).astype(np.uint64)
-        half = _U(1) << np.arange(64, dtype=np.uint64)
-        low, high = (bits[:, :64] * half).sum(axis=1, dtype=np.uint64), (bits[:, 64:] * half).sum(axis=1, dtype=np.uint64)
+        bits = (_mix(s) & _U(1)).reshape(len(filled), T // 64, 64)
+        packed = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
         column = lambda x: pa.array(np.repeat(x, BANDS).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), column(own_cls), column(low), column(high)], names=["key", "cls", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), column(own_cls), *(column(packed[:, i].copy()) for i in range(T // 64))], names=_KEYED)
+
+
+_KEYED = ["key", "cls", *(f"bits{i}" for i in range(T // 64))]
+
+
+def _meetings(batches, least: int):
+    """Pairs of classes with the same band key and at least `least` agreeing bits; (cls, null) for classes of crowded keys.
+
+    Rows come sorted by key and class. Only the rows of one key are held beyond MEETING, and those of a crowded key not at all.
+    """
+    held: list[np.ndarray] = []
+    count = 0
+    crowded = None
+
+    def settle(last: bool):
+        nonlocal held, count, crowded
+        rows = np.concatenate(held, axis=1)
+        new = np.ones(rows.shape[1], dtype=bool)
+        new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+        rows = rows[:, new]
+        key = rows[0]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(begins, len(key)))
+        hot = sizes > HOT_BUCKET
+        if crowded is not None and key[0] == crowded:
+            hot[0] = True
+        crowded = key[-1] if hot[-1] else None
+        size = np.repeat(sizes, sizes)
+        is_hot = np.repeat(hot, sizes)
+        held, count = [], 0
+        if not last and not hot[-1]:  # the last key may go on
+            is_open = np.arange(len(key)) >= begins[-1]
+            held = [rows[:, begins[-1] :]]
+            count = len(key) - begins[-1]
+        else:
+            is_open = np.zeros(len(key), dtype=bool)
+        left, right = [rows[1][is_hot]], [np.zeros(int(is_hot.sum()), np.int64)]
+        calm = rows[:, ~is_hot & ~is_open & (size > 1)]
+        for step in range(1, HOT_BUCKET):
+            same = calm[0, step:] == calm[0, :-step] if step < calm.shape[1] else np.zeros(0, bool)
+            if not same.any():
+                break
+            i = np.flatnonzero(same)
+            agree = T - sum(np.bitwise_count((calm[k, i] ^ calm[k, i + step]).view(np.uint64)).astype(np.int64) for k in range(2, len(calm)))
+            i = i[agree >= least]
+            left.append(calm[1, i])
+            right.append(calm[1, i + step])
+        a, b = np.concatenate(left), np.concatenate(right)
+        null = np.zeros(len(a), dtype=bool)
+        null[: len(left[0])] = True
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=null)], names=["cls_a", "cls_b"])
+
+    for x in batches:
+        held.append(np.stack([x.column(c).to_numpy() for c in _KEYED]))
+        count += x.num_rows
+        if count >= MEETING:
+            yield settle(False)
+    if held and count:
+        yield settle(True)
 
 
 def _set_batches(batches, words: int):
@@ -175,18 +235,13 @@ def near_duplicates(items: DataFrame, id_col: str, text_col: str, words: int = 5
     run = "[a-z0-9]+" + "[^a-z0-9]+[a-z0-9]+" * (words - 1)
     members = materialise(base.where(F.col("text").rlike(run)).select("item_id", "cls").distinct(), "dup-members")
 
-    keyed = base.select("cls", "text").mapInArrow(lambda bs: _band_batches(bs, words), "key long, cls long, low long, high long")
-    keyed = keyed.repartition("key").dropDuplicates(["key", "cls"])
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.lit(True)).alias("x")).where(F.col("m") > HOT_BUCKET).select("key")
-    calm = keyed.join(crowded, "key", "left_anti")
-    a, b = calm.alias("a"), calm.alias("b")
-    same = 128 - F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) - F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
     p = (1 + threshold) / 2
-    least = int(128 * p - BITS_SD * (128 * p * (1 - p)) ** 0.5)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (same >= least))
-    candidates = met.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    candidates = materialise(candidates, "dup-candidates")
-    hot = materialise(keyed.join(crowded, "key", "left_semi").select("cls").distinct(), "dup-hot")
+    least = int(T * p - BITS_SD * (T * p * (1 - p)) ** 0.5)
+    keyed = base.select("cls", "text").mapInArrow(lambda bs: _band_batches(bs, words), ", ".join(f"{c} long" for c in _KEYED))
+    met = keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lambda bs: _meetings(bs, least), "cls_a long, cls_b long")
+    met = materialise(met.distinct(), "dup-met")
+    candidates = met.where("cls_b is not null")
+    hot = met.where("cls_b is null").select(F.col("cls_a").alias("cls"))
 
     wanted = materialise(candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).unionByName(hot).distinct(), "dup-wanted")
     wanted_rows = wanted.count()

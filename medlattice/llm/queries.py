@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import collect_control, table
+from .broken_pairs import broken_pairs
 from .near_duplicates import NearDuplicates, link_counts, linked_pairs, near_duplicates
 from .pii_crf import personal_data, redact_fields
 from .packing import bin_report, pack_instructions, pack_texts
 from .mixing import Mix, mix_sources
 from .quota_sample import QuotaSample, quota_sample
+from .reading_level import reading_levels
 from .splitting import piece_rows, split_oversized
 
 #: Of each sampled field: its table, id and label.
@@ -95,6 +97,14 @@ def p4_article_links(spark: SparkSession, d: str) -> DataFrame:
     return link_counts(near_duplicates(table(spark, d, "articles"), "pubmed_id", "abstract")).withColumnRenamed("item_id", "pubmed_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_pairs(table(spark, d, "responses"), "response_id", "query_text", "answer").withColumnRenamed("item_id", "response_id")
+
+
+def p5_defects(spark: SparkSession, d: str) -> DataFrame:
+    return p5_found(spark, d).groupBy("defect").agg(F.count("*").alias("pairs"))
+
+
 def _container(spark: SparkSession, d: str) -> int:
     return collect_control(table(spark, d, "size_limits").where("field_name = 'documents.text'"))[0].max_size
 
@@ -135,7 +145,20 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).picks
 
 
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "graded_texts"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_levels(spark, d).select("doc_id", "band")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return p8_levels(spark, d).groupBy("band").agg(F.count("*").alias("documents"), F.sum("n_words").alias("words"), F.round(F.avg("level"), 4).alias("mean_level"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    p1_found, p1_report, p1_sample, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_record_links, p4_article_links,
+    p1_found, p1_report, p1_sample, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_record_links, p4_article_links, p5_found, p5_defects,
     p6_found, p6_containers, p6_fill, p6_instruction_containers, p7_found, p7_shares, p7_mix,
+    p8_found, p8_levels, p8_profile,
 )}

@@ -1,4 +1,5 @@
-"""Queries over the test tables that run the package's operators, with their SQL."""
+"""Queries over the test tables that run the package's operators, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .reference import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

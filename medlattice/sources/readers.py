@@ -27,7 +27,7 @@ def text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (file name without .txt) and whole text of every .txt file of a folder; empty if the folder is missing."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "doc_id string, text string")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", False).text(path)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return files.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("doc_id"), F.col("value").alias("text"))
 
 
@@ -44,7 +44,7 @@ def json_documents(spark: SparkSession, path: str, schema: str | None = None) ->
 
 def json_by_key(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """Files of one object keyed by id, as rows (id, item)."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     return texts.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("id", "item"))
 
 

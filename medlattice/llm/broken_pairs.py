@@ -15,6 +15,8 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise, spread
+
 #: Share of uses of the last words that end a sentence below which an unpunctuated answer counts as cut off.
 END_SHARE = 0.15
 #: An answer of one part with at most so many words may be a phrase ("twice a day") instead of a sentence: it is cut off
@@ -231,6 +233,7 @@ _CLOSE = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“", "）": "（",
 def left_open(answer: str) -> bool:
     """A pushdown parser over fences, inline code, brackets, quotations and tags: whether something is never closed."""
     stack: list[str] = []
+    lost = False  # a bracket whose outer one was closed first
     i, n = 0, len(answer)
     while i < n:
         c = answer[i]
@@ -248,8 +251,8 @@ def left_open(answer: str) -> bool:
             stack.append(c)
         elif c in _CLOSE:
             if _CLOSE[c] in stack:
-                while stack.pop() != _CLOSE[c]:
-                    pass
+                while (top := stack.pop()) != _CLOSE[c]:
+                    lost |= top in _CLOSE.values()
         elif c == '"':
             if '"' in stack:
                 while stack.pop() != '"':
@@ -275,7 +278,7 @@ def left_open(answer: str) -> bool:
         i += 1
     if answer.count("**") % 2:
         stack.append("**")
-    return bool(stack)
+    return lost or bool(stack)
 
 
 #: Endings of a text that has stopped in mid-sentence, and of one that has not (fixed values).
@@ -327,7 +330,7 @@ def judge(query: str | None, answer: str | None) -> tuple[str, str, str, str, st
     if cut is not None:
         return "truncated" if cut else "", "", "", "", ""
     w = _last_words(part)
-    if not w:
+    if not w or len(_last_words(answer)) == 1:  # one word is an answer, not the beginning of one
         return "", "", "", "", ""
     phrase = f"^{' '.join(w)}" if len(w) <= PHRASE and len(w) == len(_last_words(answer)) else ""
     return "?", " ".join(w[-3:]) if len(w) > 2 else "", " ".join(w[-2:]) if len(w) > 1 else "", w[-1], phrase
@@ -364,7 +367,7 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
     """
     import pyarrow as pa
 
-    base = pairs.select(F.col(id_col).alias("item_id"), F.col(query_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("a")).where("item_id is not null")
+    base = spread(pairs.select(F.col(id_col).alias("item_id"), F.col(query_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("a"))).where("item_id is not null")
 
     def look(batches):
         for b in batches:
@@ -395,8 +398,6 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
         if uses:
             yield flush()
 
-    from ..session import materialise
-
     kind = base.schema["item_id"].dataType.simpleString()
     judged = materialise(base.mapInArrow(look, f"item_id {kind}, defect string, w3 string, w2 string, w1 string, w0 string"), "pairs-judged")
     asked = judged.where("defect = '?'").select(F.explode(F.array("w0", "w1", "w2", "w3")).alias("run")).where("run <> ''").distinct()

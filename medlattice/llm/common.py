@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Folder with the vocabularies of public tokenizers; every operator that needs one takes it as a parameter.
 TOKENIZER_DIR = "/opt/tokenizers"
 #: The public split pattern that belongs to the rank files (fixed value).
@@ -42,7 +44,7 @@ def with_token_count(df: DataFrame, text: str, out: str, keep: list[str], tokeni
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    picked = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("t"))
+    picked = spread(df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("t")))
     schema = T.StructType([*[T.StructField(f"k{i}", picked.schema[f"k{i}"].dataType) for i in range(len(keep))], T.StructField("n", T.LongType())])
 
     def count(batches):

@@ -91,7 +91,7 @@ def sketch(doc: np.ndarray, h: np.ndarray, n: int, t: int = T) -> np.ndarray:
     for i in range(2 * t):
         if not len(live_h):
             break
-        x = _mix(live_h + _U(i + 1) * _ODD)
+        x = _mix(live_h + np.array([i + 1], dtype=np.uint64) * _ODD)
         bins = (x % _U(t)).astype(np.int64) if i < t else np.full(len(x), i - t, dtype=np.int64)
         np.minimum.at(out, live_doc * t + bins, (_U(i) << _U(52)) | (x >> _U(12)))
         if i % 4 == 3:  # texts whose bins are all filled are done: later rounds can't undercut earlier ones

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from .common import TOKENIZER_DIR
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -331,7 +332,7 @@ def redact_fields(df: DataFrame, key: str, fields: list[str], tokenizer_dir: str
         return pd.DataFrame({"found": [None if f is None else [(b, e, k, t[b:e]) for b, e, k in f] for f, t in zip(found, texts)], "redacted": [None if f is None else redact(t, f) for f, t in zip(found, texts)]})
 
     run = run.asNondeterministic()  # else a filter on the result would run it a second time
-    each = df.select(F.col(key).cast("string").alias("item_key"), *(run(F.col(f).cast("string")).alias(f"r{i}") for i, f in enumerate(fields)))
+    each = spread(df.select(key, *fields)).select(F.col(key).cast("string").alias("item_key"), *(run(F.col(f).cast("string")).alias(f"r{i}") for i, f in enumerate(fields)))
     rows = each.select("item_key", F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"r{i}.found").alias("found"), F.col(f"r{i}.redacted").alias("redacted")) for i, f in enumerate(fields)))).alias("r"))
     return rows.select("item_key", "r.field_name", "r.found", "r.redacted")
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import collect_control, materialise
+from ..session import collect_control, materialise, spread
 from .broken_pairs import FUNCTION_WORDS
 
 BANDS = ("easy", "plain", "skilled", "expert")
@@ -151,7 +151,7 @@ def reading_levels(docs: DataFrame, id_col: str, text_col: str, graded: DataFram
     rows = [(BANDS.index(r.band), prose_words(r.text) or [w.lower() for w in _WORD.findall(r.text or "")], r.text) for r in collect_control(graded.select("band", "text")) if r.band in BANDS]
     rows = [(y, marks(html.unescape(t), w)) for y, w, t in rows if w]
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    base = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).where("doc_id is not null and text is not null")
 
     def read(batches):
         for b in batches:

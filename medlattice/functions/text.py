@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """Non-empty runs of non-blank characters, in order, as str.split() gives them; null for null."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_matches, any_contains, replace_chain, replace_each, trimmed
+from ..functions.text import all_matches, any_contains, let, replace_chain, replace_each, trimmed
 
 # Types in redaction order, their patterns, and the level from which they are looked for.
 PII_PATTERNS = (
@@ -61,12 +61,17 @@ def match_count(text: Column, types: tuple[str, ...]) -> Column:
 
 def redact(text: Column, level: str) -> Column:
     """Types are found in the original text and replaced one type after the other, every occurrence of each match."""
-    out, hits = text, F.lit(0)
-    for t, p in patterns(level):
-        found = all_matches(text, p)
-        out = replace_each(out, found, f"[REDACTED {t.upper()}]")
-        hits = hits + F.size(found)
-    return F.when((hits > 0) & out.contains("[REDACTED"), F.concat(out, F.lit(REDACTION_NOTE))).otherwise(out)
+    kinds = patterns(level)
+    found = F.struct(text.alias("text"), *(all_matches(text, p).alias(t) for t, p in kinds))
+
+    def replaced(x: Column) -> Column:
+        out = x["text"]
+        for t, _ in kinds:
+            out = replace_each(out, x[t], f"[REDACTED {t.upper()}]")
+        any_hit = sum((F.size(x[t]) for t, _ in kinds), F.lit(0)) > 0
+        return let(out, lambda o: F.when(any_hit & o.contains("[REDACTED"), F.concat(o, F.lit(REDACTION_NOTE))).otherwise(o))
+
+    return let(found, replaced)
 
 
 def is_sensitive(text: Column) -> Column:

@@ -13,7 +13,7 @@ from ..operators import evaluate as E
 from ..operators import privacy as P
 from ..operators import retrieval as R
 from ..operators import shaping as D
-from ..session import table
+from ..session import spread, table
 from ..sources import readers as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +91,7 @@ def pv2b_counts_by_type(spark, d):
 
 def _redact_query(level: str):
     def run(spark, d):
-        return clinic(spark, d).select("k", P.redact(F.col("text"), level).alias("redacted"))
+        return spread(clinic(spark, d)).select("k", P.redact(F.col("text"), level).alias("redacted"))
 
     run.__name__ = f"pv3_redact_{level}"
     query(f"SELECT k, {_redact_sql('text', level)} AS redacted FROM {_CLINIC}")(run)
@@ -103,7 +103,7 @@ for _level in ("minimal", "standard", "strict"):
 
 @query(f"SELECT record_id, {_redact_sql('content', 'standard')} AS redacted FROM records")
 def pv3_redact_records(spark, d):
-    return table(spark, d, "records").select("record_id", P.redact(F.col("content"), "standard").alias("redacted"))
+    return spread(table(spark, d, "records").select("record_id", "content")).select("record_id", P.redact(F.col("content"), "standard").alias("redacted"))
 
 
 @query(f"SELECT k, list_filter(['PHONE_NUMBER', 'EMAIL_ADDRESS'], lambda x: CASE WHEN x = 'PHONE_NUMBER' THEN regexp_matches(text, {_sql_text(P.PII_PATTERNS[1][1])}) ELSE regexp_matches(text, {_sql_text(P.PII_PATTERNS[0][1])}) END) AS types FROM {_CLINIC}")
@@ -141,7 +141,7 @@ def pv8_attribute_values(spark, d):
 
 def _refined(spark, d):
     rules = P.RuleBackend()
-    return P.refine_documents(clinic(spark, d), "k", "text", rules, rules, rules)
+    return P.refine_documents(spread(clinic(spark, d)), "k", "text", rules, rules, rules)
 
 
 @query()

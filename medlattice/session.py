@@ -90,6 +90,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: an input of fewer is small, and cheap to deal out evenly."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def collect_control(df: DataFrame, most: int = CONTROL_ROWS) -> list:
     """Rows of a control table (targets, limits); more than `most` rows are an error, never a silent cut."""
     rows = df.limit(most + 1).collect()

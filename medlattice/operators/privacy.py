@@ -69,7 +69,8 @@ def redact(text: Column, level: str) -> Column:
         for t, _ in kinds:
             out = replace_each(out, x[t], f"[REDACTED {t.upper()}]")
         any_hit = sum((F.size(x[t]) for t, _ in kinds), F.lit(0)) > 0
-        return let(out, lambda o: F.when(any_hit & o.contains("[REDACTED"), F.concat(o, F.lit(REDACTION_NOTE))).otherwise(o))
+        # the inner body must not use x: a Python function over such an expression would not be extracted
+        return let(F.struct(out.alias("out"), any_hit.alias("hit")), lambda y: F.when(y["hit"] & y["out"].contains("[REDACTED"), F.concat(y["out"], F.lit(REDACTION_NOTE))).otherwise(y["out"]))
 
     return let(found, replaced)
 

@@ -131,7 +131,9 @@ def fuzzy_extractions(answers: DataFrame, answer_key: str, answer: str, original
 
 def attack_rate(exact: DataFrame, fuzzy: DataFrame, attacks: int) -> DataFrame:
     """Exact and partial matches and the success rate in percent of the attacks asked for."""
-    return exact.agg(F.count("*").alias("exact_matches")).crossJoin(fuzzy.agg(F.count("*").alias("partial_matches"))).withColumn("success_rate", F.round(F.when(F.lit(attacks) > 0, F.col("exact_matches") / F.lit(attacks) * 100).otherwise(0.0), 6))
+    hits = exact.select(F.lit(1).alias("e"), F.lit(0).alias("p")).unionByName(fuzzy.select(F.lit(0).alias("e"), F.lit(1).alias("p")))
+    counts = hits.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("exact_matches"), F.coalesce(F.sum("p"), F.lit(0)).alias("partial_matches"))
+    return counts.withColumn("success_rate", F.round(F.when(F.lit(attacks) > 0, F.col("exact_matches") / F.lit(attacks) * 100).otherwise(0.0), 6))
 
 
 def combined_rate(targeted: Column, untargeted: Column) -> Column:

@@ -92,12 +92,11 @@ def _ranked(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
 def combine_balanced(df: DataFrame, dataset: str, key: str, cap: int | None = None, balance: bool = True, seed: int = 42) -> DataFrame:
     """Rows of every dataset cut to `cap` and to the size of the smallest, with split_name train, dev or test (70, 15, 15 %) if more than ten are left."""
     sizes = df.groupBy(dataset).agg(F.count("*").alias("n"))
-    least = sizes.agg(F.min(F.least(F.col("n"), F.lit(cap)) if cap is not None else "n").alias("_least"))
     out = _ranked(df, dataset, key, seed)
     if cap is not None:
         out = out.where(F.col("_r") <= cap)
     if balance:
-        out = out.crossJoin(F.broadcast(least)).where(F.col("_r") <= F.col("_least")).drop("_least")  # one row
+        out = out.where(F.col("_r") <= (sizes.agg(F.min("n")).first()[0] or 0))
     out = out.drop("_r").withColumn("_h", seeded_order(seed + 1, F.concat_ws("|", F.col(dataset).cast("string"), F.col(key).cast("string"))))
     out = split_ranks(out, "_h")
     n, r = F.col("_total"), F.col("_rank")

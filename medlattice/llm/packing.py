@@ -73,17 +73,18 @@ def _pack_frames(frames, limits: tuple[int, int, int], block: int, final: bool,
         pdf = pd.concat(held, ignore_index=True)
         sizes = np.stack([(pdf["token_end"] - pdf["token_begin"]).to_numpy("float64"), np.ones(len(pdf)), pdf["loss_tokens"].to_numpy("float64")], axis=1)
         names = np.empty(len(pdf), dtype=object)
-        for own in pack(sizes, cap):
-            if final and last or (sizes[own].sum(axis=0) / cap).max() >= FULL:
-                names[own] = f"{seed}-{pdf['doc_id'][own[0]]}-{pdf['segment_no'][own[0]]}"
-                number += 1
+        bins = pack(sizes, cap)
+        full = [own for own in bins if (sizes[own].sum(axis=0) / cap).max() >= FULL]
+        # few items are carried over to the next block; in the final round there is no later chance for the others
+        carried = not last and len(pdf) - sum(map(len, full)) < block // 2
+        for own in bins if final and not carried else full:
+            names[own] = f"{seed}-{pdf['doc_id'][own[0]]}-{pdf['segment_no'][own[0]]}"
+            number += 1
         pdf["bin"] = names
         held = []
         count = 0
-        if last:
-            return pdf
-        rest = pdf[pdf["bin"].isna()]
-        if len(rest) < block // 2:  # else hardly anything fills a container here; leave it to the second round
+        if carried:  # else hardly anything fills a container here; the first round leaves it to the second
+            rest = pdf[pdf["bin"].isna()]
             held, count = [rest.drop(columns="bin")], len(rest)
             pdf = pdf[pdf["bin"].notna()]
         return pdf

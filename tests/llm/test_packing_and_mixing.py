@@ -38,6 +38,13 @@ def test_pack_items(spark):
         pack_items(items, (10, 0, 10))
 
 
+def test_pack_items_that_fill_no_container(spark):
+    items = spark.createDataFrame([(str(i), 600, 600) for i in range(256)], "doc_id string, tokens long, loss_tokens long").repartition(2)
+    got = pack_items(items, (1000, 50, 1000), block=64)
+    assert got.where("bin is null").count() == 0 and got.count() == 256
+    assert bin_report(got, 1000).first()[:3] == (256, 256 * 600, 256)
+
+
 def test_pack_texts_and_pairs(spark):
     docs = spark.createDataFrame([(1, "a b c " * 3000, 0), (2, "short", 0), (3, None, 0), (4, "", 0)], "id long, t string, tokens int")
     got = pack_texts(docs, "id", "t", 4096).toPandas()

@@ -79,8 +79,11 @@ def is_empty(answer: str | None) -> bool:
     return not re.search(r"[^\W_]", x)
 
 
-def tile(a: list[str], b: list[str], least: int = TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: the longest common runs of unmarked words, longest first, as (place in a, place in b, length)."""
+def tile(a: list[str], b: list[str], least: int = TILE, again: bool = False) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: the longest common runs of unmarked words, longest first, as (place in a, place in b, length).
+
+    again: a may say b any number of times, so words of b are not marked.
+    """
     mark_a, mark_b, tiles = [False] * len(a), [False] * len(b), []
     where: dict[str, list[int]] = {}
     for j, w in enumerate(b):
@@ -104,7 +107,9 @@ def tile(a: list[str], b: list[str], least: int = TILE) -> list[tuple[int, int,
             return tiles
         for i, j in found:
             if not any(mark_a[i : i + longest]) and not any(mark_b[j : j + longest]):
-                mark_a[i : i + longest] = mark_b[j : j + longest] = [True] * longest
+                mark_a[i : i + longest] = [True] * longest
+                if not again:
+                    mark_b[j : j + longest] = [True] * longest
                 tiles.append((i, j, longest))
 
 
@@ -115,26 +120,20 @@ def _words(x: str) -> list[str]:
 def copies(query: str, answer: str) -> bool:
     """Whether the answer has nothing but the query, reworded or framed: tiles of the query cover both, nothing else is told."""
     q, a = _words(query), _words(answer)
-    if len(q) < 3 or len(a) < 0.6 * len(q) or len(a) > 3 * len(q) + 8:
+    if len(q) < 3 or len(a) < 0.6 * len(q):
         return False
     led = _LEAD.sub("", _ANSWER_LEAD.sub("", answer))
     a = _words(led)
-    rest = a
-    covered = 0
-    reached: set = set()
-    for _ in range(4):  # the query may be said several times
-        tiles = tile(rest, q)
-        if not tiles:
-            break
-        taken = {i + k for i, _, n in tiles for k in range(n)}
-        reached |= {j + k for _, j, n in tiles for k in range(n)}
-        covered += len(taken)
-        rest = [w for i, w in enumerate(rest) if i not in taken]
     known = set(q)
-    new = [w for w in rest if w not in known]
-    loose = len(rest) - len(new)
-    full = len(reached) + len({j for j, w in enumerate(q) if j not in reached and w in set(rest)})
-    return covered + loose >= COVER * len(a) and full >= COVER * len(q) and len(new) <= max(2, 0.25 * len(q))
+    new = sum(w not in known for w in a)  # no tile covers these
+    if new > max(2, 0.25 * len(q)):
+        return False
+    tiles = tile(a, q, again=True)  # the query may be said any number of times
+    taken = {i + k for i, _, n in tiles for k in range(n)}
+    reached = {j + k for _, j, n in tiles for k in range(n)}
+    rest = {w for i, w in enumerate(a) if i not in taken}
+    full = len(reached) + sum(j not in reached and w in rest for j, w in enumerate(q))
+    return len(a) - new >= COVER * len(a) and full >= COVER * len(q)
 
 
 # The grammar of declining sentences: an opening, an inability or unwillingness, a thing withheld (fixed patterns by language).
@@ -156,28 +155,40 @@ _DECLINE = [re.compile(p, re.I) for p in (
     r"\b(?:lo siento|lamento|disculpe)\b.{0,60}\bno (?:puedo|es posible|me es posible|podemos)", r"\bno (?:puedo|podemos|se puede|es posible|estoy autorizad[oa] (?:a|para)) (?:responder|ayudar|contestar|dar|comentar|opinar|hablar)", r"\bno se (?:da|ofrece|dan|atienden|responden?)\b.{0,25}(?:respuesta|consultas|preguntas|aquí)?",
     r"\bnon (?:posso|possiamo|è possibile|sono in grado di) (?:rispondere|aiutare|dare|fornire|commentare)", r"\bnão (?:posso|podemos|é possível|estou autorizad[oa] a) (?:responder|ajudar|dar|fornecer|comentar)", r"\bkan (?:ik )?(?:hier|daar|u|deze vraag)\b.{0,30}\bniet\b", r"(?:не могу|не можем|не могу ответить|отказываюсь|невозможно ответить)", r"(?:无法|不能|不便|抱歉.{0,12}(?:不|无)).{0,10}(?:回答|提供|帮助|回复|评论)?",
 )]
+_IMPERSONAL = [p for p in _DECLINE if "would|will" in p.pattern or "breach of" in p.pattern]
 #: Sentences that go with a refusal but tell nothing (fixed patterns).
 _COURTESY = [re.compile(p, re.I) for p in (
     r"^(?:i(?:'| a|’)?m |we(?:'| a|’)?re |am )?(?:very |so |really |truly )?(?:sorry|afraid)\b.{0,25}$", r"^(?:apologies|unfortunately|regrettably|sorry|pardon|thank you(?: for (?:asking|your question|writing|your message))?|thanks)\b.{0,12}$",
     r"^(?:please |kindly |do |instead,? |you (?:should|could|may want to|might) )?(?:please )?(?:ask|speak|talk|see|consult|contact|turn|check|get in touch|reach out|refer|discuss|call|visit)\b.{0,80}(?:doctor|clinician|pharmacist|care team|professional|physician|provider|nurse|specialist|expert|practice|gp)\b.{0,30}$",
     r"^an? (?:pharmacist|doctor|nurse|clinician|professional|specialist|physician)\b.{0,15}\b(?:will|can|may|could|should|would)\b.{0,40}(?:glad|happy|help|advise|answer|tell)\b.{0,30}$", r"^is there (?:anything|something) else\b.{0,60}$", r"^(?:can|may|could|shall|how can|how may) (?:i|we) help\b.{0,60}$", r"^(?:feel free|let me know|happy|glad)\b.{0,60}$",
-    r"^(?:bitte )?(?:wenden sie sich|fragen sie|sprechen sie|bitte)\b.{0,80}$", r"^(?:veuillez |merci de )?(?:voyez|consultez|demandez|parlez|adressez|voir)\b.{0,80}(?:médecin|pharmacien|soignant|professionnel)?.{0,20}$", r"^(?:por favor,? )?(?:consulte|pregunte|hable|diríjase|acuda|ese tema|vea)\b.{0,80}$", r"^(?:si prega|per favore|consulti|chieda)\b.{0,80}$", r"^(?:por favor,? )?(?:fale|procure|pergunte)\b.{0,80}$", r"^(?:désolée?|lo siento|es tut mir leid|mi dispiace|lamento|desculpe)\W*$",
+    r"^(?:bitte )?(?:wenden sie sich|fragen sie|sprechen sie|bitte)\b.{0,80}$", r"^(?:veuillez |merci de )?(?:voyez|consultez|demandez|parlez|adressez|voir)\b.{0,80}(?:médecin|pharmacien|soignant|professionnel)?.{0,20}$", r"^(?:por favor,? )?(?:consulte|pregunte|hable|diríjase|acuda|ese tema|vea)\b.{0,80}$", r"^(?:si prega|per favore|consulti|chieda)\b.{0,80}$", r"^(?:por favor,? )?(?:fale|procure|pergunte)\b.{0,80}$", r"^(?:(?:je suis )?désolée?|(?:i|we)(?:'d| would) (?:like|love|wish|be glad|be happy) to (?:help|assist|answer)\b.{0,40}|lo siento|es tut mir leid|mi dispiace|lamento|desculpe)\W*$",
 )]
 _SPLIT = re.compile(r"(?<=[.!?;。！？])\s+|(?<=[。！？])|\n+")
 
 
+#: Where a sentence turns to something else, and an opening whose main clause says what matters.
+_TURN = re.compile(r",?\s+but\b,?\s+|,\s+however\b,?\s+|,\s+(?:aber|pero|mais|ma|maar|mas|но)\s+|\s*;\s*", re.I)
+_CONCESSION = re.compile(r"^(?:while|whilst|although|though|even though)\b[^,]*,\s*", re.I)
+#: Who or what an impersonal sentence ("it would not be right ...") must name to be about answering, not about a treatment.
+_ANSWERING = re.compile(r"\b(?:i|me|my|us|our|answer\w*|repl(?:y|ies|ying)|respon[ds]\w*|comment\w*|advis\w*|advice|say\w*|discuss\w*|guidance)\b", re.I)
+
+
+def _declines(clause: str) -> bool:
+    if re.match(r"(?:people|patients|those|adults|children|women|men|anyone|persons) who\b", clause, re.I):
+        return False
+    return any(p.search(clause) and (p not in _IMPERSONAL or _ANSWERING.search(clause) is not None) for p in _DECLINE)
+
+
 def is_refusal(answer: str) -> bool:
-    """Whether a sentence declines and no sentence tells anything else."""
+    """Whether a sentence declines and no sentence, nor a part of one after "but" or a semicolon, tells anything else."""
     x = _ANSWER_LEAD.sub("", answer.replace("’", "'")).strip()
-    if len(x) > 600:
-        return False
     declines = False
     for s in filter(None, (s.strip(" \t\r\n\"*_-") for s in _SPLIT.split(x))):
-        bare = s.rstrip(".!?;… ")
-        if any(p.search(bare) for p in _DECLINE) and len(bare) < 220 and not re.search(r"\d", bare) and not re.match(r"(?:people|patients|those|adults|children|women|men|anyone|persons) who\b", bare, re.I):
-            declines = True
-        elif not any(p.search(bare) for p in _COURTESY):
-            return False
+        for clause in filter(None, (c.strip(" ,;") for c in _TURN.split(_CONCESSION.sub("", s.rstrip(".!?;… "))))):
+            if _declines(clause):
+                declines = True
+            elif not any(p.search(clause) for p in _COURTESY):
+                return False
     return declines
 
 

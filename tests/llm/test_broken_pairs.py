@@ -35,6 +35,19 @@ def test_no_refusals(x):
     assert not is_refusal(x)
 
 
+def test_length_decides_nothing():
+    assert all(copies(Q, " ".join([Q] * n)) for n in (3, 4, 9, 3000)) and copies(Q, "Asked: " + "Which tests confirm asthma before the drug? " * 12)
+    assert not copies(Q, " ".join([Q] * 9) + " Spirometry with a bronchodilator shows a clear rise in flow.")
+    assert is_refusal("I can't advise on 20 mg of aspirin.") and is_refusal("I can't help with that. " * 60)
+    assert is_refusal("I can't give advice on that, " + "whatever the reason for asking may be and however the question is put, " * 5 + "and I am sorry for it.")
+    assert is_refusal("Although I would like to help, I can't answer that.") and is_refusal("I'd like to help, but I can't advise on 20 mg of it.")
+
+
+@pytest.mark.parametrize("x", ["I can't give personal advice, but the usual dose is 20 mg twice a day.", "While I can't advise you personally, the usual dose is 20 mg.", "Doses of 20 mg are outside the guidelines.", "I can't advise on that. " * 40 + "Take 20 mg."])
+def test_what_tells_something_is_no_refusal(x):
+    assert not is_refusal(x)
+
+
 def test_other_language():
     assert other_language(Q, "Die Behandlung lindert den Schmerz und verbessert die Funktion der Niere.")
     assert other_language(Q, "Answer: 该药可以减轻疼痛并改善肾功能。") and other_language("¿Qué efectos tiene el fármaco?", "The most common effects are nausea and fatigue.")

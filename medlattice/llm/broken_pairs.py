@@ -22,8 +22,6 @@ END_SHARE = 0.15
 #: An answer of one part with at most so many words may be a phrase ("twice a day") instead of a sentence: it is cut off
 #: only if sentences of other answers begin with it and go on, or if its last word can't end anything.
 PHRASE = 6
-#: Answers of the same words from which on a phrase counts as complete, though its last word occurs nowhere else.
-RECURS = 3
 #: Tiles of the greedy string tiling must be this long, and cover this share of both texts, for a copy.
 TILE, COVER = 2, 0.75
 
@@ -370,7 +368,8 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
     """item_id, defect of each defective pair: empty, truncated, refusal, copies_question or other_language; once per id.
 
     Texts are read whole in one Arrow pass. Only the unpunctuated answers whose last words must decide are joined with
-    the counts of those words over all answers; the counts are summed per task before they are shuffled.
+    the counts of those words over all answers; the counts are summed per task before they are shuffled. Copies of a
+    pair count once, and a phrase counts by the distinct queries that it answers, so neither makes a cut answer sound.
 
     Defined cases. Null or blank answer: empty, whatever the query. Null query: taken as blank, its language as English.
     Null id: not used. Repeated ids: judged once per distinct pair, the first defect by name. Empty table: empty result.
@@ -382,9 +381,11 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
 
     def look(batches):
         for b in batches:
-            rows = [judge(q, a) for q, a in zip(b.column("q").to_pylist(), b.column("a").to_pylist())]
+            asked = b.column("q").to_pylist()
+            rows = [judge(q, a) for q, a in zip(asked, b.column("a").to_pylist())]
+            rows = [(*r, r[4] and r[4].rpartition(" ")[0], " ".join(_words(q or "")) if r[4] else "") for q, r in zip(asked, rows)]
             keep = [i for i, r in enumerate(rows) if r[0]]
-            yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(keep, pa.int64())), *(pa.array([rows[i][k] for i in keep], pa.string()) for k in range(5))], names=["item_id", "defect", "w3", "w2", "w1", "w0"])
+            yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(keep, pa.int64())), *(pa.array([rows[i][k] for i in keep], pa.string()) for k in range(7))], names=["item_id", "defect", "w3", "w2", "w1", "w0", "ws", "asked"])
 
     def count(batches):
         from collections import Counter
@@ -410,21 +411,24 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
             yield flush()
 
     kind = base.schema["item_id"].dataType.simpleString()
-    judged = materialise(base.mapInArrow(look, f"item_id {kind}, defect string, w3 string, w2 string, w1 string, w0 string"), "pairs-judged")
-    asked = judged.where("defect = '?'").select(F.explode(F.array("w0", "w1", "w2", "w3")).alias("run")).where("run <> ''").distinct()
-    runs = base.select("a").where("a is not null").mapInArrow(count, "run string, ends long, uses long").join(asked, "run", "left_semi").groupBy("run").agg(F.sum("ends").alias("ends"), F.sum("uses").alias("uses"))
+    judged = materialise(base.mapInArrow(look, f"item_id {kind}, defect string, w3 string, w2 string, w1 string, w0 string, ws string, asked string"), "pairs-judged")
+    asked = judged.where("defect = '?'").select(F.explode(F.array("ws", "w0", "w1", "w2", "w3")).alias("run")).where("run <> ''").distinct()
+    told = spread(base.select("q", "a").where("a is not null").distinct())  # else hot copies would decide what is usual
+    runs = told.mapInArrow(count, "run string, ends long, uses long").join(asked, "run", "left_semi").groupBy("run").agg(F.sum("ends").alias("ends"), F.sum("uses").alias("uses"))
     runs = materialise(runs, "pairs-runs")
     open_ = judged.where("defect = '?'")
-    recurs = open_.where("w0 <> ''").groupBy("w0").agg(F.countDistinct("item_id").alias("same"))
+    recurs = open_.where("w0 <> ''").groupBy("w0").agg(F.countDistinct("asked").alias("queries"))
     open_ = open_.join(recurs, "w0", "left")
-    for k in (3, 2, 1, 0):
+    for k in ("3", "2", "1", "0", "s"):
         open_ = open_.join(runs.select(F.col("run").alias(f"w{k}"), F.col("ends").alias(f"e{k}"), F.col("uses").alias(f"u{k}")), f"w{k}", "left")
     # the longest run that is used often enough decides; a last word never seen elsewhere is a fragment
     share = lambda k: F.col(f"e{k}") / F.col(f"u{k}")
     enough = lambda k, n: F.coalesce(F.col(f"u{k}"), F.lit(0)) >= n
     ends_nothing = F.col("w1").isin(*sorted(set(_OF_WORD) - {"no"})) & (F.col("w0") != F.concat(F.lit("^"), F.col("w1")))
-    known = (F.coalesce("u1", F.lit(0)) > 0) & ~ends_nothing
-    phrase = (F.col("w0") != "") & (known | (F.coalesce("same", F.lit(0)) >= RECURS)) & ((F.coalesce("u0", F.lit(0)) == 0) | (F.col("w0") == F.concat(F.lit("^"), F.col("w1"))) | (F.col("same") / (F.col("same") + F.col("u0")) >= END_SHARE))
+    # of the queries answered by the phrase or by a sentence that begins with it (without its last word) and goes on, enough have the phrase
+    holds = lambda k: F.col("queries") / (F.col("queries") + F.coalesce(f"u{k}", F.lit(0))) >= END_SHARE
+    known = (F.coalesce("u1", F.lit(0)) > 0) | (F.col("queries") > 1) & holds("s")
+    phrase = (F.col("w0") != "") & ~ends_nothing & known & ((F.coalesce("u0", F.lit(0)) == 0) | holds("0"))
     cut = F.when(phrase, F.lit(False)).when(enough(3, 4), share(3) < END_SHARE).when(enough(2, 4), share(2) < END_SHARE).when(enough(1, 1), share(1) < END_SHARE).otherwise(F.lit(True))
     cut_off = open_.where(cut).select("item_id", F.lit("truncated").alias("defect"))
     return judged.where("defect <> '?'").select("item_id", "defect").unionByName(cut_off).groupBy("item_id").agg(F.min("defect").alias("defect"))

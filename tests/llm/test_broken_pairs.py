@@ -72,3 +72,11 @@ def test_table(spark):
     got = {r.item_id: r.defect for r in broken_pairs(df, "id", "q", "a").collect()}
     assert got == {i: d for i, (_, d) in odd.items() if d}
     assert broken_pairs(df.limit(0), "id", "q", "a").count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 3, 60])
+def test_copies_of_a_cut_answer_make_it_no_phrase(spark, n):
+    rows = [(i, f"{Q} {i}", "The usual starting dose is") for i in range(n)] + [(1000 + i, f"{Q} {i}", "The usual starting dose is 5 mg.") for i in range(4)]
+    rows += [(2000 + i, Q, "Use it with cau") for i in range(n)] + [(3000 + i, f"How often is drug {chr(97 + i % 26)} taken?", "Twice dayly") for i in range(n)]
+    got = {r.item_id: r.defect for r in broken_pairs(spark.createDataFrame(rows, "id long, q string, a string"), "id", "q", "a").collect()}
+    assert got == {i: "truncated" for i in [*range(n), *range(2000, 2000 + n)]}

@@ -724,3 +724,102 @@ def e18_report(spark, d):
 def e19_benchmark_run(spark, d):
     q = table(spark, d, "questions").select(F.col("question_id").alias("id"), "question", F.col("ideal_answer").alias("reference_answer")).where("question is not null").dropDuplicates(["id"])
     return E.benchmark_run(q, lambda asked: G.answer_questions(asked, S.mock_articles(asked, 3)))
+
+
+# --- the operators of clinical free text over real notes -----------------------------------------------------------
+# clinic() only makes sure that every pattern has hits; these read the notes themselves, whole.
+
+_NOTES = "(SELECT record_id AS k, specialty AS grp, content AS text, description AS reference FROM records)"
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """k, grp, text, reference of the records; every row, also where text or reference is null."""
+    return spread(table(spark, d, "records").select(F.col("record_id").alias("k"), F.col("specialty").alias("grp"), F.col("content").alias("text"), F.col("description").alias("reference")))
+
+
+@query(ORACLE["pv2b_counts_by_type"].replace(_CLINIC, _NOTES))
+def pv2b_record_counts_by_type(spark, d):
+    each = F.array(*(F.struct(F.lit(t).alias("pii_type"), F.size(P.all_matches(F.col("text"), p)).alias("n")) for t, p in P.patterns("strict")))
+    rows = notes(spark, d).select(F.explode(each).alias("e")).select("e.*")
+    found = rows.groupBy("pii_type").agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).cast("long").alias("matches"), F.count_if(F.col("n") > 0).alias("texts"))
+    every = spark.createDataFrame([(t,) for t, _ in P.patterns("strict")], "pii_type string")
+    return every.join(found, "pii_type", "left").select("pii_type", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("texts", F.lit(0)).alias("texts"))
+
+
+def _redact_notes_query(level: str):
+    def run(spark, d):
+        return notes(spark, d).select("k", P.redact(F.col("text"), level).alias("redacted"))
+
+    run.__name__ = f"pv3_record_redact_{level}"
+    query(f"SELECT k, {_redact_sql('text', level)} AS redacted FROM {_NOTES}")(run)
+
+
+for _level in ("minimal", "strict"):
+    _redact_notes_query(_level)
+
+
+@query(ORACLE["pv4_assessment_types"].replace(_CLINIC, _NOTES))
+def pv4_record_assessment_types(spark, d):
+    return notes(spark, d).select("k", P.assessment_types(F.col("text")).alias("types"))
+
+
+@query()
+def pv5_record_similarity(spark, d):
+    return notes(spark, d).select("k", F.round(sequence_ratio("text", P.redact(F.col("text"), "standard")), 6).alias("ratio"))
+
+
+def _refined_notes(spark, d):
+    rules = P.RuleBackend()
+    return P.refine_documents(notes(spark, d), "k", "text", rules, rules, rules)
+
+
+@query()
+def pv12_record_refine(spark, d):
+    return _refined_notes(spark, d)
+
+
+@query()
+def pv13_record_summary(spark, d):
+    return P.refinement_summary(_refined_notes(spark, d))
+
+
+def _note_pairs(spark, d):
+    return notes(spark, d).withColumn("synthetic", P.rule_synthetic(F.col("text")))
+
+
+@query()
+def pv14_record_protection(spark, d):
+    return P.protection_rates(_note_pairs(spark, d), "k", "text", "synthetic")
+
+
+@query()
+def pv15_record_comparison(spark, d):
+    return P.comparison_rows(_note_pairs(spark, d), "k", "text", "synthetic")
+
+
+@query(f"SELECT k, {_ENTITIES.format('coalesce(text, ' + chr(39) * 2 + ')')} AS entities FROM {_NOTES}")
+def e1_record_entities(spark, d):
+    return notes(spark, d).select("k", E.entities(F.col("text")).alias("entities"))
+
+
+_NOTE_SETS = f"(SELECT k, grp, text, list_distinct({_ENTITIES.format('text')}) AS g, list_distinct({_ENTITIES.format('reference')}) AS r FROM (SELECT k, grp, coalesce(text, '') AS text, coalesce(reference, '') AS reference FROM {_NOTES}))"
+
+
+@query(f"SELECT {_SCORES} FROM {_NOTE_SETS}")
+def e6_record_metrics(spark, d):
+    return E.entity_scores(notes(spark, d), "text", "reference")
+
+
+@query(f"SELECT grp, {_SCORES} FROM {_NOTE_SETS} GROUP BY grp")
+def e2_e5_record_scores_by_specialty(spark, d):
+    return E.entity_scores(notes(spark, d), "text", "reference", ["grp"])
+
+
+@query(ORACLE["e13_terms"].replace(_CLINIC, _NOTES))
+def e13_record_terms(spark, d):
+    return E.medical_terms(notes(spark, d), "text")
+
+
+@query(ORACLE["e11_targeted_prompts"].replace(_CLINIC, _NOTES))
+def e11_record_prompts(spark, d):
+    return E.targeted_prompts(E.medical_terms(notes(spark, d), "text"))

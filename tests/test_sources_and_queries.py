@@ -122,3 +122,12 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
+def test_clinical_operators_read_whole_records(spark):
+    records = spark.read.parquet(f"{SMALL}/records.parquet")
+    for name in ("pv3_record_redact_minimal", "pv3_record_redact_strict", "pv4_record_assessment_types", "pv5_record_similarity", "e1_record_entities"):
+        assert QUERIES[name](spark, SMALL).count() == records.count()
+    assert QUERIES["pv12_record_refine"](spark, SMALL).count() == records.where("content is not null").count() == QUERIES["pv13_record_summary"](spark, SMALL).first().total_documents
+    assert QUERIES["pv14_record_protection"](spark, SMALL).where("original_count > 0").count() > 0 and QUERIES["pv15_record_comparison"](spark, SMALL).count() == 2 * records.count()

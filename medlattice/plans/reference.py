@@ -320,6 +320,22 @@ def s7_parse_articles(spark, d):
     return S.parse_articles(xml, "x").select("pubmed_id", "title", "abstract", "journal", "year", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("first_author")).distinct()
 
 
+def _escaped(c):
+    """A text as XML content. A bare carriage return would be read as a line end; other control characters have no form in XML and are left out."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "")
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+        c = F.replace(c, F.lit(x), F.lit(y))
+    return c
+
+
+@query("SELECT DISTINCT coalesce(pubmed_id, '') AS pubmed_id, coalesce(title, '') AS title, coalesce(abstract, '') AS abstract, coalesce(journal, '') AS journal, coalesce(pub_year, '') AS year, coalesce(authors[1], '') AS first_author FROM articles")
+def s7_parse_every_article(spark, d):
+    tag = lambda t, c: F.concat(F.lit(f"<{t}>"), _escaped(F.col(c)), F.lit(f"</{t}>"))
+    authors = F.array_join(F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda x: F.concat(F.lit("<Author><LastName>"), _escaped(x), F.lit("</LastName></Author>"))), "")
+    xml = table(spark, d, "articles").select(F.concat(F.lit("<PubmedArticle>"), tag("PMID", "pubmed_id"), tag("ArticleTitle", "title"), tag("AbstractText", "abstract"), F.lit("<AbstractText>second</AbstractText><Journal>"), tag("Title", "journal"), F.lit("</Journal><PubDate>"), tag("Year", "pub_year"), F.lit("</PubDate><AuthorList>"), authors, F.lit("</AuthorList></PubmedArticle>")).alias("x"))
+    return S.parse_articles(xml, "x").select("pubmed_id", "title", "abstract", "journal", "year", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("first_author")).distinct()
+
+
 _CITED = "(SELECT DISTINCT regexp_extract(x, '([0-9]+)$', 1) AS pubmed_id FROM (SELECT unnest(documents) AS x FROM questions))"
 
 

@@ -131,3 +131,10 @@ def test_clinical_operators_read_whole_records(spark):
         assert QUERIES[name](spark, SMALL).count() == records.count()
     assert QUERIES["pv12_record_refine"](spark, SMALL).count() == records.where("content is not null").count() == QUERIES["pv13_record_summary"](spark, SMALL).first().total_documents
     assert QUERIES["pv14_record_protection"](spark, SMALL).where("original_count > 0").count() > 0 and QUERIES["pv15_record_comparison"](spark, SMALL).count() == 2 * records.count()
+
+
+def test_every_article_survives_xml(spark, tmp_path):
+    rows = [("1", "a < b & c > d", "one\r\ntwo\rthree &amp; <b>", "J & K", "2020", ["O'Neil & <Son>"]), ("2", "plain", None, None, None, None), ("3", None, "x\ty", "J", "2021", [])]
+    spark.createDataFrame(rows, "pubmed_id string, title string, abstract string, journal string, pub_year string, authors array<string>").write.parquet(str(tmp_path / "articles.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["s7_parse_every_article"](spark, str(tmp_path)).collect())
+    assert got == [(i, t or "", a or "", j or "", y or "", n[0] if n else "") for i, t, a, j, y, n in rows]

@@ -726,7 +726,7 @@ def e15_fuzzy_extraction(spark, d):
 @query()
 def e16_attack_rate(spark, d):
     answers, exact = _answers(spark, d), _exact(spark, d)
-    return E.attack_rate(exact, E.fuzzy_extractions(answers, "answer_id", "answer", table(spark, d, "articles"), "pubmed_id", "abstract", exact), 10_000)
+    return E.attack_rate(exact, E.fuzzy_extractions(answers, "answer_id", "answer", table(spark, d, "articles"), "pubmed_id", "abstract", exact), answers.count())
 
 
 @query("SELECT c_custkey AS k, (c_custkey % 50 + c_custkey % 30) / 2 AS rate, CASE WHEN (c_custkey % 50 + c_custkey % 30) / 2 < 10 THEN 'High' WHEN (c_custkey % 50 + c_custkey % 30) / 2 < 30 THEN 'Medium' ELSE 'Low' END AS privacy, CASE WHEN c_custkey % 11 / 10 > 0.7 THEN 'High' WHEN c_custkey % 11 / 10 > 0.5 THEN 'Medium' ELSE 'Low' END AS utility FROM customer")

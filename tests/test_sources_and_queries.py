@@ -10,7 +10,7 @@ import pytest
 from medlattice import cli
 from medlattice.config import load_config
 from medlattice.functions.registry import register
-from medlattice.plans import ORACLE, QUERIES
+from medlattice.plans import ORACLE, QUERIES, reference
 from medlattice.sources import readers as S
 from medlattice.sources import sinks as K
 from medlattice.streaming.streams import leakage_by_window, redact_stream
@@ -138,3 +138,10 @@ def test_every_article_survives_xml(spark, tmp_path):
     spark.createDataFrame(rows, "pubmed_id string, title string, abstract string, journal string, pub_year string, authors array<string>").write.parquet(str(tmp_path / "articles.parquet"))
     got = sorted(tuple(r) for r in QUERIES["s7_parse_every_article"](spark, str(tmp_path)).collect())
     assert got == [(i, t or "", a or "", j or "", y or "", n[0] if n else "") for i, t, a, j, y, n in rows]
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
+def test_attack_rate_is_of_the_answers_attacked(spark):
+    row = QUERIES["e16_attack_rate"](spark, SMALL).first()
+    answers = reference._answers(spark, SMALL).count()
+    assert 0 < row.exact_matches <= answers and row.success_rate == round(row.exact_matches / answers * 100, 6)

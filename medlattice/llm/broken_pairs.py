@@ -2,8 +2,9 @@
 
 Each answer is read whole, in this order: nothing in it (empty), only the prompt again (copies_question, by greedy string
 tiling), declining (refusal, by a grammar of sentences), another language (script and function words), and stopping
-before its end (truncated, by a pushdown parser of fences, brackets, quotations, lists and mark-up, and by how its last
-words are used in all answers: words that hardly ever end a sentence don't end an answer).
+before its end (truncated, by a pushdown parser of fences, brackets, quotations and mark-up, and by how its last words are
+used in all answers: words that hardly ever end a sentence don't end an answer). Lists are judged by their last line only:
+one that stops after a whole item counts as sound, also where more items were announced.
 """
 
 from __future__ import annotations

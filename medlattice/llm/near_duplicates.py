@@ -27,8 +27,9 @@ T, ROWS, BANDS = 192, 3, 30
 BITS_SD = 2.8
 #: Band keys that a task looks at together; bounds memory.
 MEETING = 200_000
-#: Texts with the same band key beyond which the key's texts go to the prefix-filter join instead, which is exact.
-HOT_BUCKET = 400
+#: Classes of one band key that one task compares. A key of more is cut into blocks, and every pair of its blocks is
+#: compared in a task of its own, by the same test: the work of a crowded key is spread, and none of its pairs is left out.
+BLOCK = 10_000
 #: Classes that may be broadcast (8 bytes each); beyond it, the same join is made by a shuffle.
 BROADCAST_CLASSES = 500_000
 #: Characters of text handled at once by NumPy; bounds memory, not texts.
@@ -144,19 +145,42 @@ def _band_batches(batches, words: int):
 
 
 _KEYED = ["key", "cls", *(f"bits{i}" for i in range(T // 64))]
+#: A pair (cls_a, cls_b), or a member of a crowded key (cls_a, null, key, bits, number of its block).
+_MET = ["cls_a", "cls_b", "key", *_KEYED[2:], "no"]
 
 
-def _meetings(batches, least: int):
-    """Pairs of classes with the same band key and at least `least` agreeing bits; (cls, null) for classes of crowded keys.
+def _agreeing(rows: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
+    """Which of the pairs of rows (columns i and j of `rows`, as in _KEYED) agree in at least `least` bits."""
+    apart = sum(np.bitwise_count((rows[k, i] ^ rows[k, j]).view(np.uint64)).astype(np.int64) for k in range(2, len(rows)))
+    return T - apart >= least
 
-    Rows come sorted by key and class. Only the rows of one key are held beyond MEETING, and those of a crowded key not at all.
+
+def _met_batch(pairs: list, crowd: list) -> pa.RecordBatch:
+    """Rows of _MET: pairs as (cls_a, cls_b), and members of crowded keys as (rows as in _KEYED, number of their block)."""
+    a = np.concatenate([np.empty(0, np.int64), *(x for x, _ in pairs), *(rows[1] for rows, _ in crowd)])
+    b = np.concatenate([np.empty(0, np.int64), *(y for _, y in pairs)])
+    n, extra = len(a), len(a) - len(b)
+    no_pair = np.arange(n) >= len(b)
+    out = [pa.array(a), pa.array(np.append(b, np.zeros(extra, np.int64)), mask=no_pair)]
+    for k in (0, *range(2, len(_KEYED))):
+        own = np.concatenate([np.zeros(len(b), np.int64), *(rows[k] for rows, _ in crowd)])
+        out.append(pa.array(own, mask=~no_pair))
+    number = np.concatenate([np.zeros(len(b), np.int64), *(no for _, no in crowd)])
+    return pa.RecordBatch.from_arrays([*out, pa.array(number, mask=~no_pair)], names=_MET)
+
+
+def _meetings(batches, least: int, block: int):
+    """Pairs of classes with the same band key and at least `least` agreeing bits.
+
+    Rows come sorted by key and class. A key of more than `block` classes is not compared here: its members come out with
+    their bits and the number of their block, to be compared block by block in tasks of their own (_block_meetings).
     """
     held: list[np.ndarray] = []
     count = 0
-    crowded = None
+    crowded, past = None, 0  # the crowded key that is going on, and how many of its members have gone out
 
     def settle(last: bool):
-        nonlocal held, count, crowded
+        nonlocal held, count, crowded, past
         rows = np.concatenate(held, axis=1)
         new = np.ones(rows.shape[1], dtype=bool)
         new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
@@ -164,44 +188,94 @@ def _meetings(batches, least: int):
         key = rows[0]
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(begins, len(key)))
-        hot = sizes > HOT_BUCKET
-        if crowded is not None and key[0] == crowded:
-            hot[0] = True
-        crowded = key[-1] if hot[-1] else None
-        size = np.repeat(sizes, sizes)
-        is_hot = np.repeat(hot, sizes)
+        hot = sizes > block
+        goes_on = crowded is not None and key[0] == crowded
+        hot[0] |= goes_on
         held, count = [], 0
+        ready = len(sizes)
         if not last and not hot[-1]:  # the last key may go on
-            is_open = np.arange(len(key)) >= begins[-1]
-            held = [rows[:, begins[-1] :]]
-            count = len(key) - begins[-1]
+            ready -= 1
+            held, count = [rows[:, begins[-1] :]], int(sizes[-1])
+        crowd = []
+        for g in np.flatnonzero(hot[:ready]):
+            at = np.arange(sizes[g]) + (past if g == 0 and goes_on else 0)
+            crowd.append((rows[:, begins[g] : begins[g] + sizes[g]], at // block))
+        if hot[-1] and not last:
+            past = int(sizes[-1]) + (past if len(sizes) == 1 and goes_on else 0)
+            crowded = key[-1]
+            held, count = [rows[:, -1:]], 1  # a class sent twice is told by it
+            crowd[-1] = (crowd[-1][0][:, :-1], crowd[-1][1][:-1])
+            past -= 1
         else:
-            is_open = np.zeros(len(key), dtype=bool)
-        left, right = [rows[1][is_hot]], [np.zeros(int(is_hot.sum()), np.int64)]
-        calm = rows[:, ~is_hot & ~is_open & (size > 1)]
-        for step in range(1, HOT_BUCKET):
-            same = calm[0, step:] == calm[0, :-step] if step < calm.shape[1] else np.zeros(0, bool)
-            if not same.any():
+            crowded, past = None, 0
+        size = np.repeat(sizes, sizes)
+        left = np.repeat(begins + sizes, sizes) - np.arange(len(key)) - 1  # later members of the same key
+        i = np.flatnonzero((size > 1) & np.repeat(~hot & (np.arange(len(sizes)) < ready), sizes))
+        pairs, step = [], 0
+        while True:
+            step += 1
+            i = i[left[i] >= step]
+            if not len(i):
                 break
-            i = np.flatnonzero(same)
-            agree = T - sum(np.bitwise_count((calm[k, i] ^ calm[k, i + step]).view(np.uint64)).astype(np.int64) for k in range(2, len(calm)))
-            i = i[agree >= least]
-            left.append(calm[1, i])
-            right.append(calm[1, i + step])
-        a, b = np.concatenate(left), np.concatenate(right)
-        null = np.zeros(len(a), dtype=bool)
-        null[: len(left[0])] = True
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=null)], names=["cls_a", "cls_b"])
+            close = i[_agreeing(rows, i, i + step, least)]
+            pairs.append((rows[1, close], rows[1, close + step]))
+        return _met_batch(pairs, crowd)
 
     for x in batches:
         held.append(np.stack([x.column(c).to_numpy() for c in _KEYED]))
         count += x.num_rows
-        if count >= MEETING:
+        if count >= max(MEETING, 2 * block):
             yield settle(False)
     if held and count:
         yield settle(True)
 
 
+def _block_meetings(batches, least: int):
+    """The pairs of two blocks of a crowded key, or of one block with itself. Rows come sorted by key, lo, hi and at."""
+    held: list[np.ndarray] = []
+    names = [*_KEYED, "lo", "hi", "at"]
+
+    def settle(rows: np.ndarray):
+        lo, hi, at = rows[-3:]
+        two = len(rows) - 3
+        second = np.flatnonzero(at == hi)
+        pairs = []
+        for n, i in enumerate(np.flatnonzero(at == lo)):
+            j = second[n + 1 :] if lo[0] == hi[0] else second
+            close = j[_agreeing(rows[:two], np.full(len(j), i), j, least)]
+            a, b = np.full(len(close), rows[1, i]), rows[1, close]
+            pairs.append((np.minimum(a, b), np.maximum(a, b)))
+        return _met_batch(pairs, [])
+
+    for x in batches:
+        rows = np.stack([x.column(c).to_numpy() for c in names])
+        mark = rows[[0, -3, -2]]
+        cuts = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1), rows.shape[1]]
+        for b, e in zip(cuts, cuts[1:]):
+            part = rows[:, b:e]
+            if held and (held[-1][[0, -3, -2], -1] != part[[0, -3, -2], 0]).any():
+                yield settle(np.concatenate(held, axis=1))
+                held = []
+            held.append(part)
+    if held:
+        yield settle(np.concatenate(held, axis=1))
+
+
+def _pairs_met(keyed: DataFrame, least: int, block: int) -> DataFrame:
+    """cls_a < cls_b of the classes that share a band key and agree in at least `least` bits, once."""
+    bits = _KEYED[2:]
+    types = ", ".join(f"{c} long" for c in _MET)
+    sorted_keys = keyed.repartition("key").sortWithinPartitions("key", "cls")
+    met = materialise(sorted_keys.mapInArrow(lambda bs: _meetings(bs, least, block), types), "dup-met")
+    members = met.where("cls_b is null").select("key", F.col("cls_a").alias("cls"), *bits, F.col("no").alias("at"))
+    blocks = members.groupBy("key").agg(F.max("at").alias("most"))  # one row per crowded key
+    lo_hi = F.transform(F.sequence(F.lit(0).cast("long"), F.col("most")), lambda j: F.struct(F.least("at", j).alias("lo"), F.greatest("at", j).alias("hi")))
+    each = members.join(blocks, "key").select("key", "cls", *bits, F.explode(lo_hi).alias("p"), "at")
+    spread_out = each.select("key", "cls", *bits, "p.lo", "p.hi", "at").repartition("key", "lo", "hi")
+    within = spread_out.sortWithinPartitions("key", "lo", "hi", "at", "cls").mapInArrow(lambda bs: _block_meetings(bs, least), types)
+    return met.where("cls_b is not null").select("cls_a", "cls_b").unionByName(within.select("cls_a", "cls_b")).distinct()
+
+
 def _set_batches(batches, words: int):
     """(cls, n, hashes) per text that has any run of words."""
     for b, texts in _chunks(batches, "text"):
@@ -220,12 +294,12 @@ class NearDuplicates:
     links: DataFrame
 
 
-def near_duplicates(items: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8) -> NearDuplicates:
+def near_duplicates(items: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, block: int = BLOCK) -> NearDuplicates:
     """Classes of equal texts and the links between classes whose sets of word runs have at least the given similarity.
 
     Texts are compared in lower case and whole. Copies meet once, as a class, so that a text repeated by a third of all
-    rows costs no more than any other. A band key shared by more than HOT_BUCKET classes is left to a prefix-filter join
-    of its classes, which finds every link between them. Classes are told by a 64-bit hash of the text.
+    rows costs no more than any other. The classes of a band key are compared in blocks of `block`, whose size changes
+    the tasks and never the result. Classes are told by a 64-bit hash of the text.
 
     Defined cases. Null, blank or shorter texts than `words` words: in no class. Null id: not used. Repeated ids: once per
     distinct text. Empty table: empty results. Other columns are not read.
@@ -238,18 +312,11 @@ def near_duplicates(items: DataFrame, id_col: str, text_col: str, words: int = 5
     p = (1 + threshold) / 2
     least = int(T * p - BITS_SD * (T * p * (1 - p)) ** 0.5)
     keyed = base.select("cls", "text").mapInArrow(lambda bs: _band_batches(bs, words), ", ".join(f"{c} long" for c in _KEYED))
-    met = keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lambda bs: _meetings(bs, least), "cls_a long, cls_b long")
-    met = materialise(met.distinct(), "dup-met")
-    candidates = met.where("cls_b is not null")
-    hot = met.where("cls_b is null").select(F.col("cls_a").alias("cls"))
-
-    wanted = materialise(candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).unionByName(hot).distinct(), "dup-wanted")
-    wanted_rows = wanted.count()
-    hint = F.broadcast(wanted) if wanted_rows <= BROADCAST_CLASSES else wanted
+    candidates = materialise(_pairs_met(keyed, least, block), "dup-pairs")
+
+    wanted = materialise(candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct(), "dup-wanted")
+    hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
     sets = base.select("cls", "text").join(hint, "cls", "left_semi").mapInArrow(lambda bs: _set_batches(bs, words), "cls long, n int, hashes array<long>").dropDuplicates(["cls"])
-    if not hot.isEmpty():
-        sets = materialise(sets, "dup-sets")
-        candidates = candidates.unionByName(_prefix_pairs(sets.join(hot, "cls", "left_semi"), threshold)).distinct()
     one = sets.select(F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
     two = sets.select(F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("hashes").alias("h_b"))
     joined = candidates.join(one, "cls_a").join(two, "cls_b")
@@ -267,35 +334,45 @@ def near_duplicates(items: DataFrame, id_col: str, text_col: str, words: int = 5
     return NearDuplicates(members, materialise(links, "dup-links"))
 
 
-def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of sets that may reach the threshold: they share one of their rarest elements. Exact: misses none.
+#: Items of a class that are joined as one list; larger classes are several lists.
+TOGETHER = 1_000
 
-    Sets of similarity s have at least s * n elements in common, so two such sets share an element among the first
-    n - ceil(s * n) + 1 of each, when all are ordered in the same way; rare elements come first to keep meetings few.
-    """
-    each = sets.select("cls", "n", F.explode("hashes").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = each.join(often, "h", "left").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "h"))).alias("o"))  # one text's elements
-    head = ranked.select("cls", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("e")).where("e.f > 1").select("cls", "n", F.col("e.h").alias("h"))
-    a, b = head.alias("a"), head.alias("b")
-    close = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & close).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+
+def _blocks_of(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, blocks, block and items (an array of about TOGETHER item ids) for the members of `classes`."""
+    size = members.groupBy("cls").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks")).where("blocks > 1")
+    told = members.join(classes, "cls", "left_semi").join(size, "cls", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int").alias("block")
+    return told.groupBy("cls", "blocks", block).agg(F.collect_list("item_id").alias("items"))
 
 
 def linked_pairs(found: NearDuplicates) -> DataFrame:
-    """Every pair of distinct item ids in the same class or in linked classes, id_a < id_b, once."""
+    """Every pair of distinct item ids in the same class or in linked classes, id_a < id_b, once.
+
+    Members meet as lists of bounded length, each pair of lists in a row of its own, so no task holds a whole class and
+    its pairs; the result itself has n (n - 1) / 2 rows for n copies. `members` and `links` say the same in one row per item and link.
+    """
     m, links = found.members, found.links.select("cls_a", "cls_b")
-    one = m.select(F.col("item_id").alias("x"), F.col("cls").alias("cls_a"))
-    two = m.select(F.col("item_id").alias("y"), F.col("cls").alias("cls_b"))
-    across = links.join(one, "cls_a").join(two, "cls_b").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     several = m.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-    copies = m.join(several, "cls", "left_semi")
-    within = copies.alias("a").join(copies.alias("b"), (F.col("a.cls") == F.col("b.cls")) & (F.col("a.item_id") < F.col("b.item_id"))).select(F.col("a.item_id").alias("id_a"), F.col("b.item_id").alias("id_b"))
-    return across.unionByName(within).distinct()
+    either = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls"))
+    lists = materialise(_blocks_of(m, several.unionByName(either).distinct()), "dup-lists")
+    side = lambda c, i: lists.select(F.col("cls").alias(f"cls_{c}"), F.col("block").alias(f"block_{c}"), F.col("items").alias(i))
+    count = lists.select("cls", "blocks").distinct()
+    numbers = lambda c, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(f"block_{c}")
+    across = links.join(count.toDF("cls_a", "n_a"), "cls_a").join(count.toDF("cls_b", "n_b"), "cls_b").select("cls_a", "cls_b", numbers("a", "n_a"), "n_b").select("cls_a", "block_a", "cls_b", numbers("b", "n_b"))
+    own = lists.join(several, "cls", "left_semi").select(F.col("cls").alias("cls_a"), F.col("block").alias("block_a"), F.col("cls").alias("cls_b"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block_b"))
+    met = across.unionByName(own).join(side("a", "x"), ["cls_a", "block_a"]).join(side("b", "y"), ["cls_b", "block_b"])
+    one_list = ((F.col("cls_a") == F.col("cls_b")) & (F.col("block_a") == F.col("block_b"))).alias("one_list")
+    each = met.select(one_list, F.explode("x").alias("x"), "y").select("one_list", "x", F.explode("y").alias("y"))
+    return each.where("x <> y and (x < y or not one_list)").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def link_counts(found: NearDuplicates) -> DataFrame:
-    """One row per item: its class and the numbers of copies in the class and of links of the class."""
+    """One row per item: its class and the numbers of copies in the class and of links of the class.
+
+    Members meet at most one row per class, so a class of a third of all items is split by adaptive execution.
+    """
     both = found.links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    size = found.members.groupBy("cls").agg(F.count("*").alias("copies"))
-    return found.members.join(size, "cls").join(both, "cls", "left").select("item_id", F.col("cls").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    size = found.members.groupBy("cls").agg(F.count("*").alias("copies")).where("copies > 1")
+    told = found.members.join(size.join(both, "cls", "full"), "cls", "left")
+    return told.select("item_id", F.col("cls").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -61,21 +61,66 @@ def test_sketch_agreement_follows_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
-@pytest.mark.parametrize("hot", [400, 3])
-def test_links_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(N, "HOT_BUCKET", hot)
+@pytest.mark.parametrize("block, together", [(N.BLOCK, N.TOGETHER), (3, 2), (1, 1)])
+def test_links_equal_brute_force(spark, monkeypatch, block, together):
+    monkeypatch.setattr(N, "TOGETHER", together)
+    monkeypatch.setattr(N, "MEETING", 500 if block == 3 else N.MEETING)
     rows = corpus()
     rows += [("r000", rows[0][1]), ("copy1", rows[3][1]), ("copy2", rows[3][1].upper()), ("n", None), ("e", ""), ("p", " .,;"), ("two", "a b"), (None, rows[4][1])]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "id string, t string, cls string").repartition(4)
     want = brute(rows, 3, 0.5)
-    got = {tuple(r) for r in N.linked_pairs(N.near_duplicates(df, "id", "t", words=3, threshold=0.5)).collect()}
+    got = {tuple(r) for r in N.linked_pairs(N.near_duplicates(df, "id", "t", words=3, threshold=0.5, block=block)).collect()}
     assert got <= want and len(want - got) <= 0.01 * len(want) and len(want) > 40
 
 
-def test_many_copies_and_empty_tables(spark):
+def test_blocks_of_crowded_keys_change_nothing():
+    rng = np.random.default_rng(4)
+    n = 4000
+    key = np.sort(rng.choice(np.arange(40), n, p=np.append(np.full(39, 0.5 / 39), 0.5)))  # one key has half of all rows
+    cls = rng.integers(0, 3000, n)
+    order = np.lexsort((cls, key))
+    bits = {c: rng.integers(0, 2**62, 3) & (rng.integers(0, 2**62, 3) if c % 2 else -1) for c in range(3000)}
+    rows = np.column_stack([key[order], cls[order], np.stack([bits[c] for c in cls[order]])]).astype(np.int64)
+
+    def batches(x, names):
+        for i in range(0, len(x), 300):
+            yield N.pa.RecordBatch.from_arrays([N.pa.array(x[i : i + 300, k]) for k in range(x.shape[1])], names=names)
+
+    def met(block):
+        pairs, crowd = set(), []
+        for b in N._meetings(batches(rows, N._KEYED), 110, block):
+            for r in b.to_pylist():
+                if r["cls_b"] is None:
+                    crowd.append([r["key"], r["cls_a"], r["bits0"], r["bits1"], r["bits2"], r["no"]])
+                else:
+                    pairs.add((r["cls_a"], r["cls_b"]))
+        most = {}
+        for c in crowd:
+            most[c[0]] = max(most.get(c[0], 0), c[5])
+        each = sorted([*c[:5], min(c[5], j), max(c[5], j), c[5]] for c in crowd for j in range(most[c[0]] + 1))
+        each.sort(key=lambda c: (c[0], c[5], c[6], c[7], c[1]))
+        if each:
+            for b in N._block_meetings(batches(np.array(each, dtype=np.int64), [*N._KEYED, "lo", "hi", "at"]), 110):
+                pairs |= {(r["cls_a"], r["cls_b"]) for r in b.to_pylist()}
+        return pairs
+
+    want = set()
+    distinct = np.unique(rows, axis=0)
+    for k in np.unique(distinct[:, 0]):
+        own = distinct[distinct[:, 0] == k]
+        for i in range(len(own)):
+            apart = np.bitwise_count((own[i + 1 :, 2:] ^ own[i, 2:]).view(np.uint64)).sum(axis=1)
+            want |= {(int(own[i, 1]), int(c)) for c in own[i + 1 :][192 - apart.astype(int) >= 110, 1]}
+    assert len(want) > 1000
+    assert met(10_000) == met(500) == met(37) == want
+
+
+def test_many_copies_and_empty_tables(spark, monkeypatch):
     rows = [(f"c{i}", "the same text again and again for all") for i in range(300)] + [("x", "another text that is not alike at all")]
     df = spark.createDataFrame(rows, "id string, t string")
     found = N.near_duplicates(df, "id", "t")
     assert found.links.count() == 0 and N.linked_pairs(found).count() == 300 * 299 // 2
     assert {r.copies for r in N.link_counts(found).collect()} == {300, 1}
+    monkeypatch.setattr(N, "TOGETHER", 7)  # many lists of one class
+    assert N.linked_pairs(found).count() == 300 * 299 // 2
     assert N.linked_pairs(N.near_duplicates(df.limit(0), "id", "t")).count() == 0

@@ -39,18 +39,21 @@ def count_tokens(texts: list[str | None], tokenizer_dir: str) -> list[int]:
     return [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
 
 
-def with_token_count(df: DataFrame, text: str, out: str, keep: list[str], tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """The columns `keep` of df and the length of `text` in tokens as `out`; whole texts, one Arrow pass, no shuffle."""
+def with_token_counts(df: DataFrame, texts: dict[str, str], keep: list[str], tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """The columns `keep` of df and, for each name of `texts`, the length of that column in tokens; whole texts, one Arrow pass."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    picked = spread(df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("t")))
-    schema = T.StructType([*[T.StructField(f"k{i}", picked.schema[f"k{i}"].dataType) for i in range(len(keep))], T.StructField("n", T.LongType())])
+    kept, read = [f"k{i}" for i in range(len(keep))], [f"t{i}" for i in range(len(texts))]
+    columns = [F.col(c).alias(k) for c, k in zip(keep, kept)] + [F.col(c).cast("string").alias(t) for c, t in zip(texts.values(), read)]
+    picked = spread(df.select(*columns))
+    counts = [f"n{i}" for i in range(len(texts))]
+    schema = T.StructType([*(T.StructField(k, picked.schema[k].dataType) for k in kept), *(T.StructField(n, T.LongType()) for n in counts)])
 
     def count(batches):
         for b in batches:
-            n = count_tokens(b.column("t").to_pylist(), tokenizer_dir)
-            yield pa.RecordBatch.from_arrays([*[b.column(f"k{i}") for i in range(len(keep))], pa.array(n, pa.int64())], names=[*[f"k{i}" for i in range(len(keep))], "n"])
+            sizes = [pa.array(count_tokens(b.column(t).to_pylist(), tokenizer_dir), pa.int64()) for t in read]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *sizes], names=[*kept, *counts])
 
     counted = picked.mapInArrow(count, schema)
-    return counted.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("n").alias(out))
+    return counted.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], *[F.col(n).alias(c) for n, c in zip(counts, texts)])

@@ -2,9 +2,10 @@
 
 Every document of a source is to be taken c times on average, c being what the source must give divided by what it has.
 The whole part of c is certain; the fractions are rounded by pivotal rounding: two fractional documents meet, one takes
-the mass of both until it is 0 or 1, and the other goes on. Within a partition the documents meet in order of size, so
-that mass moves between documents of like size and the total size stays close to its target. Each partition leaves at
-most one fractional document per source; these residuals meet in a reduction tree of fixed fan-in.
+the mass of both until it is 0 or 1, and the other goes on. Documents are dealt into cells by a hash of what they are, so
+that the picks don't depend on how rows are spread. Within a cell they meet in order of size, so that mass moves between
+documents of like size and the total size stays close to its target. Each cell leaves at most one fractional document per
+source; these residuals meet in a reduction tree of fixed fan-in.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import collect_control, materialise
-from .common import TOKENIZER_DIR, label_key, with_token_count
+from .common import TOKENIZER_DIR, label_key, with_token_counts
 
 #: Residuals that meet in one task of the reduction tree.
 FAN_IN = 512
-#: Documents that meet in one go within a partition; bounds memory, not the result.
-RUN = 50_000
+#: Documents that a cell holds on average; bounds the memory of a task.
+CELL = 50_000
 _NEAR = 1e-9
 
 
@@ -108,10 +109,11 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     keys = sorted(found)
     listed = F.broadcast(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, src int"))  # CONTROL_ROWS at most
     renamed = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    sized = with_token_count(renamed, "text", "size", ["doc_id", "label"], tokenizer_dir)
+    sized = with_token_counts(renamed, {"size": "text"}, ["doc_id", "label"], tokenizer_dir)
     sized = materialise(sized.withColumn("k", label_key(F.col("label"))).join(listed, "k", "left").select("doc_id", F.coalesce("src", F.lit(-1)).alias("src"), "size"), "mix-sized")
 
-    sizes = {r.src: r.s for r in sized.groupBy("src").agg(F.sum("size").alias("s")).collect()}  # CONTROL_ROWS + 1 at most
+    counted = sized.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()  # CONTROL_ROWS + 1 at most
+    sizes = {r.src: r.s for r in counted}
     total = sum(sizes.values())
     aim = [found[k][1] * fraction * total for k in keys]
     have = [sizes.get(i, 0) for i in range(len(keys))]
@@ -120,39 +122,30 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     ready = sized.where("src >= 0 and doc_id is not null").join(rate, "src").select("src", "doc_id", "size", "whole", "p")
     shape = "src int, doc_id string, size long, whole int, p double, extra double"
 
-    def meet(frames):
-        import pandas as pd
-
-        held, n = [], 0
-        for pdf in frames:
-            held.append(pdf)
-            n += len(pdf)
-            if n >= RUN:
-                done = _settle(pd.concat(held), seed, False)
-                yield done[done["extra"].notna()]
-                held = [done[done["extra"].isna()].drop(columns="extra")]
-                n = len(held[0])
-        if held:
-            yield _settle(pd.concat(held), seed, False)
-
-    tagged = ready.withColumn("doc_id", F.concat_ws("#", "doc_id", F.monotonically_increasing_id().cast("string")))  # repeated ids stay apart
-    level = materialise(tagged.mapInPandas(meet, shape).withColumn("slot", F.monotonically_increasing_id()), "mix-level0")
+    # equal rows are told apart by a running number, so a repeated id keeps its draws wherever its rows lie
+    alike = ready.groupBy("src", "doc_id", "size", "whole", "p").agg(F.count("*").cast("int").alias("n"))
+    each = alike.select("src", "doc_id", "size", "whole", "p", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    tagged = each.withColumn("doc_id", F.concat_ws("#", "doc_id", F.col("size").cast("string"), F.col("k").cast("string"))).drop("k")
+    cells = max(1, -(-sum(r.n for r in counted) // CELL))
+    dealt = tagged.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(cells)))
+    meet = lambda pdf: _settle(pdf.drop(columns="cell"), seed, False)
+    level = materialise(dealt.groupBy("cell").applyInPandas(meet, shape), "mix-level0")
     settle = lambda last: lambda pdf: _settle(pdf.drop(columns="node"), seed, last)
     parts, round_no = [], 0
     while True:
-        parts.append(level.where("extra is not null").drop("slot"))
+        parts.append(level.where("extra is not null"))
         left = level.where("extra is null").drop("extra")
         per_source = left.groupBy("src").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
         if not per_source:
             break
         last, round_no = per_source <= FAN_IN, round_no + 1
         ranked = left.withColumn("node", F.lit(0) if last else F.pmod(F.xxhash64(F.lit(round_no), "doc_id"), F.lit(-(-per_source // FAN_IN) * 2)))
-        level = materialise(ranked.drop("slot").groupBy("src", "node").applyInPandas(settle(last), shape).withColumn("slot", F.lit(0)), f"mix-level{round_no}")
+        level = materialise(ranked.groupBy("src", "node").applyInPandas(settle(last), shape), f"mix-level{round_no}")
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
     names = F.broadcast(spark.createDataFrame([(i, found[k][0]) for i, k in enumerate(keys)], "src int, source_name string"))
-    picks = chosen.withColumn("copies", F.col("whole") + F.col("extra").cast("int")).where("copies > 0").join(names, "src").select(F.regexp_replace("doc_id", "#[0-9]+$", "").alias("doc_id"), "source_name", "size", "copies")
+    picks = chosen.withColumn("copies", F.col("whole") + F.col("extra").cast("int")).where("copies > 0").join(names, "src").select(F.regexp_replace("doc_id", "#[0-9]+#[0-9]+$", "").alias("doc_id"), "source_name", "size", "copies")
 
     head = spark.createDataFrame([(found[k][0], found[k][1], found[k][2], have[i], total, aim[i], have[i] * found[k][2] < aim[i]) for i, k in enumerate(keys)], "source_name string, target_weight double, max_repeats int, source_size long, total_size long, target_size double, falls_short boolean")
     reached = picks.groupBy("source_name").agg(F.sum(F.col("size") * F.col("copies")).alias("r"), F.sum("copies").alias("c"), F.max("copies").alias("m"))

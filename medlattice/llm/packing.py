@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import TOKENIZER_DIR, with_token_count
+from .common import TOKENIZER_DIR, with_token_counts
 
 #: Items packed together; bounds the memory and time of a task and has hardly any influence on the space lost.
 BLOCK = 8_000
 #: A container less full than this (by its fullest limit) is emptied and its items are packed again in the second round.
 FULL = 0.985
-PLACED = "doc_id string, segment_no int, segments int, token_begin long, token_end long, loss_tokens long, bin string"
+PLACED = "item long, doc_id string, segment_no int, segments int, token_begin long, token_end long, loss_tokens long, bin string"
 
 
 def pack(sizes: np.ndarray, capacity: np.ndarray) -> list[list[int]]:
@@ -66,10 +66,10 @@ def _pack_frames(frames, limits: tuple[int, int, int], block: int, final: bool,
 
     cap = np.array(limits, dtype="float64")
     held: list = []
-    count = number = 0
+    count = 0
 
     def settle(last: bool):
-        nonlocal held, count, number
+        nonlocal held, count
         pdf = pd.concat(held, ignore_index=True)
         sizes = np.stack([(pdf["token_end"] - pdf["token_begin"]).to_numpy("float64"), np.ones(len(pdf)), pdf["loss_tokens"].to_numpy("float64")], axis=1)
         names = np.empty(len(pdf), dtype=object)
@@ -78,8 +78,7 @@ def _pack_frames(frames, limits: tuple[int, int, int], block: int, final: bool,
         # few items are carried over to the next block; in the final round there is no later chance for the others
         carried = not last and len(pdf) - sum(map(len, full)) < block // 2
         for own in bins if final and not carried else full:
-            names[own] = f"{seed}-{pdf['doc_id'][own[0]]}-{pdf['segment_no'][own[0]]}"
-            number += 1
+            names[own] = f"{seed}-{pdf['item'][own[0]]}-{pdf['segment_no'][own[0]]}"  # ids may repeat or be null, items don't
         pdf["bin"] = names
         held = []
         count = 0
@@ -109,36 +108,44 @@ def pack_items(items: DataFrame, limits: tuple[int, int, int], block: int = BLOC
     """
     if min(limits) < 1:
         raise ValueError("limits must be positive")
-    size, count, loss = limits
+    size, _, loss = limits
+    numbered = materialise(items.withColumn("item", F.monotonically_increasing_id()), "pack-sized")
     parts = F.greatest(F.ceil(F.col("tokens") / size), F.ceil(F.col("loss_tokens") / loss), F.lit(1)).cast("int")
     cut = lambda x, i: F.floor(F.col(x) * i / F.col("segments")).cast("long")
     full = lambda i: F.least(i * F.lit(size).cast("long"), F.col("tokens"))
-    whole = items.withColumn("segments", parts).withColumn("by_tokens", F.ceil(F.col("tokens") / size) >= F.col("segments"))
+    place = lambda i: F.when(F.col("by_tokens"), full(i)).otherwise(cut("tokens", i))
+    whole = numbered.withColumn("segments", parts).withColumn("by_tokens", F.ceil(F.col("tokens") / size) >= F.col("segments"))
     segs = whole.select("*", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment_no"))
     i = F.col("segment_no")
-    segs = segs.select("doc_id", "segment_no", "segments", F.when(F.col("by_tokens"), full(i)).otherwise(cut("tokens", i)).alias("token_begin"), F.when(F.col("by_tokens"), full(i + 1)).otherwise(cut("tokens", i + 1)).alias("token_end"), (cut("loss_tokens", i + 1) - cut("loss_tokens", i)).alias("loss_tokens"))
+    bears = (cut("loss_tokens", i + 1) - cut("loss_tokens", i)).alias("loss_tokens")
+    segs = segs.select("item", "doc_id", "segment_no", "segments", place(i).alias("token_begin"), place(i + 1).alias("token_end"), bears)
     none = segs.where("token_end = token_begin").withColumn("bin", F.lit(None).cast("string"))
     some = segs.where("token_end > token_begin")
     first = materialise(some.mapInPandas(lambda fs: _pack_frames(fs, limits, block, False, "a"), PLACED), "pack-first")
     left = first.where("bin is null").drop("bin")
     n = left.count()
     second = left.repartition(max(1, -(-n // (4 * block)))).mapInPandas(lambda fs: _pack_frames(fs, limits, 2 * block, True, "b"), PLACED)
-    return first.where("bin is not null").unionByName(second).unionByName(none)
+    return first.where("bin is not null").unionByName(second).unionByName(none).drop("item")
 
 
-def pack_texts(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, max_segments: int = 256, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """pack_items() of whole texts measured in tokens; every token bears loss."""
+def pack_texts(
+    docs: DataFrame, id_col: str, text_col: str, max_tokens: int, max_segments: int | None = None, tokenizer_dir: str = TOKENIZER_DIR
+) -> DataFrame:
+    """pack_items() of whole texts measured in tokens; every token bears loss. Without max_segments only tokens are limited."""
     named = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    sized = with_token_count(named, "text", "tokens", ["doc_id"], tokenizer_dir)
-    return pack_items(materialise(sized.withColumn("loss_tokens", F.col("tokens")), "pack-sized"), (max_tokens, max_segments, max_tokens))
+    sized = with_token_counts(named, {"tokens": "text"}, ["doc_id"], tokenizer_dir)
+    return pack_items(sized.withColumn("loss_tokens", F.col("tokens")), (max_tokens, max_segments or max_tokens, max_tokens))
 
 
-def pack_instructions(pairs: DataFrame, id_col: str, prompt_col: str, answer_col: str, max_tokens: int, max_segments: int, max_loss_tokens: int, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+def pack_instructions(
+    pairs: DataFrame, id_col: str, prompt_col: str, answer_col: str, max_tokens: int, max_segments: int, max_loss_tokens: int,
+    tokenizer_dir: str = TOKENIZER_DIR,
+) -> DataFrame:
     """pack_items() of prompt and answer pairs; only the tokens of the answer bear loss."""
     named = pairs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(prompt_col).alias("p"), F.col(answer_col).alias("a"))
-    answers = with_token_count(named, "a", "loss_tokens", ["doc_id", "p"], tokenizer_dir)
-    both = with_token_count(answers, "p", "prompt_tokens", ["doc_id", "loss_tokens"], tokenizer_dir)
-    return pack_items(materialise(both.select("doc_id", (F.col("prompt_tokens") + F.col("loss_tokens")).alias("tokens"), "loss_tokens"), "pack-sized"), (max_tokens, max_segments, max_loss_tokens))
+    sized = with_token_counts(named, {"prompt_tokens": "p", "loss_tokens": "a"}, ["doc_id"], tokenizer_dir)
+    both = sized.select("doc_id", (F.col("prompt_tokens") + F.col("loss_tokens")).alias("tokens"), "loss_tokens")
+    return pack_items(both, (max_tokens, max_segments, max_loss_tokens))
 
 
 def bin_report(packed: DataFrame, max_tokens: int) -> DataFrame:

@@ -70,7 +70,9 @@ def quota_sample(items: DataFrame, id_col: str, label_col: str, targets: DataFra
     """Draw a sample of the distinct ids of `items` that follows `targets` (category, target_share, sample_fraction, min_rows).
 
     Usable are distinct, non-null ids whose label names a target category (same letters a-z). The sample has
-    sample_fraction of them, each category its share, at least min_rows where it has them, at most what it has.
+    sample_fraction of them, each category its share, at least min_rows where it has them, at most what it has. The report
+    tells targets that could not be met by a row or more, and why (short_by): 'availability' where a category has fewer items
+    than its target (falls_short), 'floors of others' where the min_rows of other categories took the room.
 
     Defined cases. Null id or label, blank or unlisted label: not usable. Repeated ids: once; with labels of several
     listed categories, the first by key. Ties of random keys: by id. Empty items: an empty sample, all quotas 0, no
@@ -112,5 +114,7 @@ def quota_sample(items: DataFrame, id_col: str, label_col: str, targets: DataFra
     head = spark.createDataFrame([(found[k][0], shares[i], floors[i], rows, caps[i], goals[i], quotas[i], caps[i] < goals[i]) for i, k in enumerate(keys)], "category string, target_share double, min_rows int, usable_rows long, available long, target_rows double, quota long, falls_short boolean")
     report = head.join(sample.groupBy("category").agg(F.count("*").alias("n")), "category", "left").withColumn("sampled", F.coalesce("n", F.lit(0))).drop("n")
     total = F.sum("sampled").over(Window.partitionBy())
+    cause = F.when(F.col("falls_short"), F.lit("availability")).when(F.col("sampled") + 1 <= F.col("target_rows"), F.lit("floors of others"))
+    report = report.withColumn("short_by", cause)
     report = report.withColumn("reached_share", F.when(total > 0, F.col("sampled") / total).otherwise(F.lit(0.0))).withColumn("missing", F.greatest(F.lit(0.0), F.col("target_rows") - F.col("sampled")))
     return QuotaSample(sample, report)

@@ -28,10 +28,11 @@ PIECES = T.ArrayType(T.StructType([
 ]))
 
 
-def split_text(text: str, max_size: int, overlap: int) -> list[tuple[int, int, str]]:
+def split_text(text: str, max_size: int, overlap: int, snap: bool = False) -> list[tuple[int, int, str]]:
     """(begin, end, level of the cut at the end) of each piece; text[begin:end] is the piece, begin <= the end before.
 
     Neighbours share exactly `overlap` characters, or fewer where an unbroken run of characters would not fit otherwise.
+    snap: the shared part begins after a blank where it has one, so that it holds whole words and may be shorter.
     """
     n = len(text)
     if n <= max_size:
@@ -73,14 +74,17 @@ def split_text(text: str, max_size: int, overlap: int) -> list[tuple[int, int, s
         if end - begin > max_size:
             pieces.append((begin, last, LEVELS[kind]))
             begin = max(last - overlap, end - max_size, begin + 1)
+            if snap and (blank := _CUTS[3].search(text, max(begin - 1, 0), last)) and blank.end() < last:
+                begin = blank.end()
         last, kind = end, level
     pieces.append((begin, n, "end"))
     return pieces
 
 
-def split_oversized(df: DataFrame, key: str, text: str, max_size: int, overlap: int) -> DataFrame:
+def split_oversized(df: DataFrame, key: str, text: str, max_size: int, overlap: int, snap: bool = False) -> DataFrame:
     """Each text of more than max_size characters (code points) once per key: key, n_chars, pieces.
 
+    Neighbours share `overlap` characters, which may begin within a word; with snap they share the whole words of these.
     The length filter runs in the JVM, so only oversized texts are shuffled (to find repeated keys) and reach Python.
 
     Defined cases. Null, empty or short enough texts: no row. Null key: no row. Repeated keys: the longest text, ties by
@@ -96,7 +100,7 @@ def split_oversized(df: DataFrame, key: str, text: str, max_size: int, overlap:
     def pieces(texts):
         import pandas as pd
 
-        return pd.Series([[(i, b, e, c, t[b:e]) for i, (b, e, c) in enumerate(split_text(t, max_size, overlap))] for t in texts])
+        return pd.Series([[(i, b, e, c, t[b:e]) for i, (b, e, c) in enumerate(split_text(t, max_size, overlap, snap))] for t in texts])
 
     return once.select("item_key", "n_chars", pieces("text").alias("pieces"))
 

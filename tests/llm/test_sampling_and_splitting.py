@@ -46,6 +46,13 @@ def test_sample(spark, monkeypatch):
     assert ids == sorted(r.item_id for r in Q.quota_sample(items.repartition(2), "id", "label", targets(spark)).sample.collect())
 
 
+def test_report_tells_why_a_target_is_missed(spark):
+    rows = [(f"b{i}", "big") for i in range(95)] + [(f"s{i}", "small") for i in range(50)]
+    wanted = spark.createDataFrame([("f", "big", 0.9, 0.69, 0), ("f", "small", 0.1, 0.69, 50)], TARGETS)
+    report = {r.category: r for r in Q.quota_sample(spark.createDataFrame(rows, "id string, label string"), "id", "label", wanted).report.collect()}
+    assert report["big"].short_by == "floors of others" and not report["big"].falls_short and report["small"].short_by is None
+
+
 def test_sample_of_empty_tables(spark):
     empty = spark.createDataFrame([], "id string, label string")
     got = Q.quota_sample(empty, "id", "label", targets(spark))
@@ -69,6 +76,14 @@ def test_pieces_of_random_texts():
             assert any(c == "character" for *_, c in pieces) == any(len(run) > size for run in re.findall(r"[^ \t\r\n]+", text))
 
 
+def test_snapped_overlaps_begin_with_a_word():
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(400))
+    pieces = split_text(text, 60, 15, True)
+    assert all(text[b - 1] == " " for b, _, _ in pieces[1:]) and pieces[-1][1] == len(text)
+    assert all(c <= b and b - c <= 15 and e - c <= 60 for (_, b, _), (c, e, _) in zip(pieces, pieces[1:]))
+
+
 def test_cuts_prefer_larger_units():
     text = "One two. Three four.\n\nFive six. Seven."
     assert [text[b:e] for b, e, _ in split_text(text, 24, 0)] == ["One two. Three four.\n\n", "Five six. Seven."]

@@ -3,20 +3,22 @@
 Each answer is read whole, in this order: nothing in it (empty), only the prompt again (copies_question, by greedy string
 tiling), declining (refusal, by a grammar of sentences), another language (script and function words), and stopping
 before its end (truncated, by a pushdown parser of fences, brackets, quotations and mark-up, and by how its last words are
-used in all answers: words that hardly ever end a sentence don't end an answer). Lists are judged by their last line only:
-one that stops after a whole item counts as sound, also where more items were announced.
+used in all answers: words that hardly ever end a sentence don't end an answer). A list of fewer items than were announced
+is cut off; where no number was announced, a list is judged by its last line.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import unicodedata
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, spread
+from .languages import FUNCTION_WORDS, letters, scores, script
+from .refusals import is_refusal
 
 #: Share of uses of the last words that end a sentence below which an unpunctuated answer counts as cut off.
 END_SHARE = 0.15
@@ -26,24 +28,6 @@ PHRASE = 6
 #: Tiles of the greedy string tiling must be this long, and cover this share of both texts, for a copy.
 TILE, COVER = 2, 0.75
 
-# Function words by language.
-FUNCTION_WORDS = {
-    "en": "the of and to in is are was be been for with that this it on as by at from or not can may should have has were which who how what why when does do after before if but their there these your you he she they than then about".split(),
-    "de": "der die das und ist in den von zu mit sich auf für nicht ein eine einer eines dem des im wird werden bei nach über oder auch als aus kann sollte wenn dass durch es sind war hat haben wie was warum pro vor ohne ihre ihren sie man darf nur".split(),
-    "fr": "le la les de des du et est en un une dans pour que qui ne pas par sur avec au aux ce cette sont il elle ou plus se sa son ses leur peut être quand chez pendant sans avant après quels quelle quel comment pourquoi doit il faut l d qu n s".split(),
-    "es": "el la los las de del y es en un una que por con para no se su sus al lo como más o son está puede ser si cuando durante sin antes después debe cuál qué cómo desde hasta muy también este esta".split(),
-    "it": "il lo la i gli le di del della dei delle e è in un una che per con non si su al alla come più o sono può essere se quando durante senza prima dopo deve quale cosa dal dalla nel nella anche questo questa".split(),
-    "pt": "o a os as de do da dos das e é em um uma que por com para não se seu sua ao à no na como mais ou são pode ser quando durante sem antes depois deve qual quais pelo pela também este esta".split(),
-    "nl": "de het een en van is in op te dat die voor met niet aan er om bij als zijn door naar ook uit of wordt kan moet na over deze worden heeft geen wat hoe waarom per zonder".split(),
-}
-_OF_WORD: dict[str, list[str]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
-    for _w in _words:
-        _OF_WORD.setdefault(_w, []).append(_lang)
-        _bare = "".join(c for c in unicodedata.normalize("NFD", _w) if not unicodedata.combining(c))
-        if _bare != _w and len(_bare) > 2:
-            _OF_WORD.setdefault(_bare, []).append(_lang)
-
 _MARKUP = re.compile(r"<[^<>]*>")
 _INVISIBLE = re.compile(r"[​-‏ -‮⁠-⁤﻿­᠎]")
 _LABEL = r"(?:answer|antwort|respuesta|réponse|reponse|risposta|resposta|antwoord|ответ|a|r|response|reply|result|output|q|question|final answer|in short|summary)"
@@ -55,16 +39,24 @@ _LEAD = re.compile(
     r"^\W*(?:(?:you asked|your question|the question (?:is|was)|the question|question|query|asked|prompt|q|you wanted to know|you want to know|frage|pregunta|question posée|sie fragten|vous demandez|usted pregunta)\s*[:\-–—]?\s+)", re.I)
 _ANSWER_LEAD = re.compile(rf"^\W*{_LABEL}\s*[:\-–—]\s*", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_SCRIPTS = (("latin", re.compile(r"[A-Za-zÀ-ɏ]")), ("cyrillic", re.compile(r"[Ѐ-ӿ]")), ("greek", re.compile(r"[Ͱ-Ͽ]")), ("arabic", re.compile(r"[؀-ۿ]")), ("hebrew", re.compile(r"[֐-׿]")), ("devanagari", re.compile(r"[ऀ-ॿ]")), ("thai", re.compile(r"[฀-๿]")), ("kana", re.compile(r"[぀-ヿ]")), ("hangul", re.compile(r"[가-힯]")), ("han", re.compile(r"[㐀-鿿]")))
+_QUOTED = re.compile(r"[\"“«„][^\"”»“]*[\"”»“]")
+_RULES = re.compile(r"```\w*|\*+|#+|_{2,}|~~")
+
+
+#: Characters beyond which no filler goes; each of its words has four on average at least.
+_FILLS = 80
 
 
 def is_empty(answer: str | None) -> bool:
     """Null, or nothing but blanks, invisible characters, punctuation, bare mark-up, filler and labels."""
     if answer is None:
         return True
-    x = _INVISIBLE.sub("", html.unescape(_MARKUP.sub(" ", answer)))
-    x = re.sub(r"```\w*|\*+|#+|_{2,}|~~", " ", x).strip()
+    x = answer
+    if "<" in x or "&" in x:
+        x = html.unescape(_MARKUP.sub(" ", x))
+    x = _RULES.sub(" ", _INVISIBLE.sub("", x)).strip()
+    if len(x) > _FILLS and len(_WORD.findall(x)) > _FILLS // 4:
+        return False
     for _ in range(3):
         if not re.search(r"[^\W_]", x):
             return True
@@ -135,160 +127,96 @@ def copies(query: str, answer: str) -> bool:
     return len(a) - new >= COVER * len(a) and full >= COVER * len(q)
 
 
-# The grammar of declining sentences: an opening, an inability or unwillingness, a thing withheld (fixed patterns by language).
-_SPEAKER = r"(?:i|we|this (?:assistant|service|system|tool|model|chat|bot)|the (?:assistant|service|system)|my (?:guidelines|rules|instructions|policy|training)|as an? [\w ]{0,30}(?:ai|assistant|model|tool|bot)[^.]{0,20}?,? i)"
-_UNABLE = (
-    r"(?:can(?:not|'t|’t)|can not|could(?:n't| not)|won(?:'|’)t|will not|would not|wouldn(?:'|’)t|must not|may not|do(?:es)? not|don(?:'|’)t|doesn(?:'|’)t|am (?:not (?:able|allowed|permitted|in a position|qualified)|unable)|(?:is|are) (?:not (?:able|allowed|permitted)|unable)"
-    r"|(?:'|’)m (?:not (?:able|allowed|permitted|in a position|qualified)|unable)|(?:'|’)d rather not|would rather not|prefer not|must decline|have to decline|decline|refuse|have to refuse|keep me from|prevent me|forbid)"
-)
-_WITHHELD = r"(?:help|assist|answer|reply|respond|comment|advise|advice|discuss|provide|give|share|say|offer|support|engage|go into|speak|talk|tell|handle|deal|address|recommend|do that|do this|that|this|to)"
-_DECLINE = [re.compile(p, re.I) for p in (
-    rf"\b{_SPEAKER} ?{_UNABLE}\b.{{0,30}}?\b{_WITHHELD}\b", rf"\b{_SPEAKER} ?{_UNABLE}\s*$", r"\bas an? (?:ai|language|digital|virtual)[^.]{0,30}(?:can't|cannot|can’t|unable|won't|not able|must decline)",
-    r"\bno (?:reply|answer|response|advice|comment) (?:can|will|may|shall) be (?:given|provided|offered|made)", r"\b(?:questions?|requests?|topics?|such (?:things|questions|topics)|that|this)(?: of this (?:kind|sort|type))? (?:is|are|can|cannot|can't|will|must)(?: ?not| never|n't)? (?:be )?(?:handled|answered|covered|supported|dealt with|discussed|allowed|within|beyond|outside)\b.{0,40}(?:here|service|assistant|scope|remit|me|tool|limits?|permitted)?",
-    r"\b(?:would|will) (?:not be right|be wrong|be inappropriate|not be appropriate|go against|not be proper)\b.{0,50}", r"\b(?:against|breach of|outside|beyond) (?:the |my |our )?(?:rules|guidelines|policy|policies|scope|remit|terms)\b",
-    r"\bis (?:something|a matter|a question|one) (?:only |best |that only |for |which only )?.{0,40}(?:clinician|doctor|physician|professional|pharmacist|care team|specialist)s?\b", r"\b(?:best|better|safer|wiser) (?:to )?(?:left?|leave|ask|asked?)\b.{0,40}(?:professional|doctor|clinician|expert|pharmacist|specialist)",
-    r"\bthat is (?:a matter )?for your (?:own )?(?:care team|doctor|clinician)", r"\bnothing more from me\b", r"\blet(?:'|’)s (?:talk|speak|chat) about (?:another|something else|a different)", r"\b(?:change|pick|choose) (?:the subject|another (?:topic|subject|question))",
-    r"^(?:please |kindly )?(?:take (?:this|that|it) up with|raise (?:this|that|it) with|put (?:this|that) to)\b.{0,60}$",
-    r"\btut mir leid\b.{0,60}(?:nicht|nichts|kein)", r"\bkann (?:ich )?(?:dazu |ihnen |darauf |das |hier )*.{0,25}(?:nichts sagen|nicht (?:beantworten|helfen|antworten|sagen|weiterhelfen)|keine)", r"\b(?:werden|wird) hier nicht (?:beantwortet|behandelt|besprochen)", r"\bfragen\b.{0,30}\bnicht beantwort", r"\bdarf ich (?:nicht|keine)\b", r"\bmöchte ich (?:nicht|mich nicht|nichts)\b",
-    r"\bje ne (?:peux|puis|suis|saurais|veux|souhaite)\b.{0,50}(?:pas|répondre)", r"\bne (?:traite|répond|peut|donne|fournit)\b.{0,15}\bpas\b.{0,50}(?:demande|question|conseil|répondre|sujet)", r"\b(?:désolée?|regrette)\b.{0,60}\bne\b.{0,40}\bpas\b", r"\bpas (?:en mesure|autorisée?|possible) de (?:vous )?(?:répondre|aider)",
-    r"\b(?:lo siento|lamento|disculpe)\b.{0,60}\bno (?:puedo|es posible|me es posible|podemos)", r"\bno (?:puedo|podemos|se puede|es posible|estoy autorizad[oa] (?:a|para)) (?:responder|ayudar|contestar|dar|comentar|opinar|hablar)", r"\bno se (?:da|ofrece|dan|atienden|responden?)\b.{0,25}(?:respuesta|consultas|preguntas|aquí)?",
-    r"\bnon (?:posso|possiamo|è possibile|sono in grado di) (?:rispondere|aiutare|dare|fornire|commentare)", r"\bnão (?:posso|podemos|é possível|estou autorizad[oa] a) (?:responder|ajudar|dar|fornecer|comentar)", r"\bkan (?:ik )?(?:hier|daar|u|deze vraag)\b.{0,30}\bniet\b", r"(?:не могу|не можем|не могу ответить|отказываюсь|невозможно ответить)", r"(?:无法|不能|不便|抱歉.{0,12}(?:不|无)).{0,10}(?:回答|提供|帮助|回复|评论)?",
-)]
-_IMPERSONAL = [p for p in _DECLINE if "would|will" in p.pattern or "breach of" in p.pattern]
-#: Sentences that go with a refusal but tell nothing (fixed patterns).
-_COURTESY = [re.compile(p, re.I) for p in (
-    r"^(?:i(?:'| a|’)?m |we(?:'| a|’)?re |am )?(?:very |so |really |truly )?(?:sorry|afraid)\b.{0,25}$", r"^(?:apologies|unfortunately|regrettably|sorry|pardon|thank you(?: for (?:asking|your question|writing|your message))?|thanks)\b.{0,12}$",
-    r"^(?:please |kindly |do |instead,? |you (?:should|could|may want to|might) )?(?:please )?(?:ask|speak|talk|see|consult|contact|turn|check|get in touch|reach out|refer|discuss|call|visit)\b.{0,80}(?:doctor|clinician|pharmacist|care team|professional|physician|provider|nurse|specialist|expert|practice|gp)\b.{0,30}$",
-    r"^an? (?:pharmacist|doctor|nurse|clinician|professional|specialist|physician)\b.{0,15}\b(?:will|can|may|could|should|would)\b.{0,40}(?:glad|happy|help|advise|answer|tell)\b.{0,30}$", r"^is there (?:anything|something) else\b.{0,60}$", r"^(?:can|may|could|shall|how can|how may) (?:i|we) help\b.{0,60}$", r"^(?:feel free|let me know|happy|glad)\b.{0,60}$",
-    r"^(?:bitte )?(?:wenden sie sich|fragen sie|sprechen sie|bitte)\b.{0,80}$", r"^(?:veuillez |merci de )?(?:voyez|consultez|demandez|parlez|adressez|voir)\b.{0,80}(?:médecin|pharmacien|soignant|professionnel)?.{0,20}$", r"^(?:por favor,? )?(?:consulte|pregunte|hable|diríjase|acuda|ese tema|vea)\b.{0,80}$", r"^(?:si prega|per favore|consulti|chieda)\b.{0,80}$", r"^(?:por favor,? )?(?:fale|procure|pergunte)\b.{0,80}$", r"^(?:(?:je suis )?désolée?|(?:i|we)(?:'d| would) (?:like|love|wish|be glad|be happy) to (?:help|assist|answer)\b.{0,40}|lo siento|es tut mir leid|mi dispiace|lamento|desculpe)\W*$",
-)]
-_SPLIT = re.compile(r"(?<=[.!?;。！？])\s+|(?<=[。！？])|\n+")
-
-
-#: Where a sentence turns to something else, and an opening whose main clause says what matters.
-_TURN = re.compile(r",?\s+but\b,?\s+|,\s+however\b,?\s+|,\s+(?:aber|pero|mais|ma|maar|mas|но)\s+|\s*;\s*", re.I)
-_CONCESSION = re.compile(r"^(?:while|whilst|although|though|even though)\b[^,]*,\s*", re.I)
-#: Who or what an impersonal sentence ("it would not be right ...") must name to be about answering, not about a treatment.
-_ANSWERING = re.compile(r"\b(?:i|me|my|us|our|answer\w*|repl(?:y|ies|ying)|respon[ds]\w*|comment\w*|advis\w*|advice|say\w*|discuss\w*|guidance)\b", re.I)
-
-
-def _declines(clause: str) -> bool:
-    if re.match(r"(?:people|patients|those|adults|children|women|men|anyone|persons) who\b", clause, re.I):
-        return False
-    return any(p.search(clause) and (p not in _IMPERSONAL or _ANSWERING.search(clause) is not None) for p in _DECLINE)
-
-
-def is_refusal(answer: str) -> bool:
-    """Whether a sentence declines and no sentence, nor a part of one after "but" or a semicolon, tells anything else."""
-    x = _ANSWER_LEAD.sub("", answer.replace("’", "'")).strip()
-    declines = False
-    for s in filter(None, (s.strip(" \t\r\n\"*_-") for s in _SPLIT.split(x))):
-        for clause in filter(None, (c.strip(" ,;") for c in _TURN.split(_CONCESSION.sub("", s.rstrip(".!?;… "))))):
-            if _declines(clause):
-                declines = True
-            elif not any(p.search(clause) for p in _COURTESY):
-                return False
-    return declines
-
-
-def language(x: str) -> tuple[str, float]:
-    """(language or script, margin): by script where it isn't Latin, else by function words; ('', 0) where there are too few."""
-    counts = {name: len(rx.findall(x)) for name, rx in _SCRIPTS}
-    counts["han"] *= 2
-    total = sum(counts.values())
-    if not total:
-        return "", 0.0
-    main = max(counts, key=lambda n: counts[n])
-    if main != "latin" and counts[main] >= 0.35 * total:
-        return main, 1.0
-    score: dict[str, float] = {}
-    hits = 0
-    words = [w for w in re.findall(r"[^\W\d_]+", x.lower())]
-    for w in words:
-        langs = _OF_WORD.get(w)
-        if langs:
-            hits += 1
-            for name in set(langs):
-                score[name] = score.get(name, 0.0) + 1.0 / len(set(langs))
-    if not score:
-        return "", 0.0
-    ranked = sorted(score.values(), reverse=True)
-    best = max(score, key=lambda n: score[n])
-    return best, (ranked[0] - (ranked[1] if len(ranked) > 1 else 0.0)) / max(hits, 1)
-
-
 def other_language(query: str, answer: str) -> bool:
-    """Whether the answer, without lead-ins and quoted words, is in another language than the query."""
-    body = _ANSWER_LEAD.sub("", re.sub(r"[\"“«„][^\"”»“]{0,120}[\"”»“]", " ", answer))
-    if len(re.findall(r"[^\W\d_]", body)) < 8:
+    """Whether the answer, without lead-ins and quoted words, is in another language than the query.
+
+    Of languages that share their words (Danish and Norwegian, say), the one that fits best need not be the right one, so
+    the best language of the answer must stand clear of every language that the query may be in.
+    """
+    body = _ANSWER_LEAD.sub("", _QUOTED.sub(" ", answer))
+    words = letters(body)
+    if sum(map(len, words)) < 8:
         return False
-    own, sure = language(query)
-    is_in, how = language(body)
-    if not is_in:
+    asked, told = script(query), script(body)
+    if told != "latin" or asked not in ("latin", ""):
+        return told != asked and bool(told)
+    own, _ = scores(letters(query))
+    found, hits = scores(words)
+    if not found:
         return False
-    latin = set(FUNCTION_WORDS)
-    if is_in not in latin:
-        return own != is_in and (own in latin or own == "" or own not in latin)
-    if not own:
-        own, sure = "en", 0.5
-    if own not in latin:
-        return True
-    found = sum(w in _OF_WORD for w in re.findall(r"[^\W\d_]+", body.lower()))
-    return own != is_in and how > 0.15 and sure > 0.1 and (found >= 3 or found >= 2 and len(_words(body)) <= 8)
+    own = own or {"en": 1.0}
+    most = max(own.values())
+    best = max(found, key=lambda n: found[n])
+    may_be = {n for n, v in own.items() if v >= most - 0.1}
+    clear = found[best] - max(found.get(n, 0.0) for n in may_be)
+    return best not in may_be and clear > 0.15 and (hits >= 3 or hits >= 2 and len(_words(body)) <= 8)
 
 
 _CLOSE = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“", "）": "（", "」": "「"}
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>")
+_ENDLESS = frozenset("br hr img input meta li p td tr th".split())
+_NUMBERS = {w: n for n, w in enumerate("two three four five six seven eight nine ten eleven twelve".split(), 2)}
+#: A line that announces so many items, which follow it.
+_ANNOUNCED = re.compile(r"\b(\d{1,2}|" + "|".join(_NUMBERS) + r")\b[^.:!?\n]{0,60}:\s*$", re.I)
+#: What the parser stops at.
+_MARK = re.compile(r"```|[()\[\]{}«»“”（）「」\"`]|<(?=/?[a-zA-Z])")
+
+
+def list_short(text: str) -> bool:
+    """Whether the text ends within a list of which fewer items have come than a line before it announced.
+
+    The parser's stack holds, for each list that is open, its indent, the items announced and the items seen.
+    """
+    stack: list[list[int]] = []
+    announced = 0
+    for line in filter(str.strip, text.split("\n")):
+        item = _ITEM.match(line)
+        indent = len(line) - len(line.lstrip())
+        if item:
+            while stack and stack[-1][0] > indent:
+                stack.pop()
+            if not stack or stack[-1][0] < indent or announced:
+                stack.append([indent, announced, 0])
+            stack[-1][2] += 1
+        elif not (stack and indent > stack[-1][0]):  # lines indented further go on with an item
+            stack.clear()
+        m = _ANNOUNCED.search(line)
+        announced = (int(m[1]) if m[1].isdigit() else _NUMBERS[m[1].lower()]) if m else 0
+    return any(seen < told for _, told, seen in stack)
 
 
 def left_open(answer: str) -> bool:
     """A pushdown parser over fences, inline code, brackets, quotations and tags: whether something is never closed."""
     stack: list[str] = []
     lost = False  # a bracket whose outer one was closed first
-    i, n = 0, len(answer)
-    while i < n:
-        c = answer[i]
-        if answer.startswith("```", i):
-            if stack and stack[-1] == "```":
-                stack.pop()
-            elif "```" not in stack:
-                stack.append("```")
-            i += 3
+    at = 0
+    while m := _MARK.search(answer, at):
+        c, at = m.group(), m.end()
+        if stack and stack[-1] == "```" and c != "```":
             continue
-        if stack and stack[-1] == "```":
-            i += 1
-            continue
-        if c in "([{«“（「":
-            stack.append(c)
+        if c in ("```", '"', "`"):
+            if c in stack:
+                while stack.pop() != c:
+                    pass
+            else:
+                stack.append(c)
+        elif c == "<":
+            if not (tag := _TAG.match(answer, at - 1)):
+                continue
+            name, at = tag[2].lower(), tag.end()
+            if tag[1]:
+                if "<" + name in stack:
+                    while stack.pop() != "<" + name:
+                        pass
+            elif not tag[3].endswith("/") and name not in _ENDLESS:
+                stack.append("<" + name)
         elif c in _CLOSE:
             if _CLOSE[c] in stack:
                 while (top := stack.pop()) != _CLOSE[c]:
                     lost |= top in _CLOSE.values()
-        elif c == '"':
-            if '"' in stack:
-                while stack.pop() != '"':
-                    pass
-            else:
-                stack.append('"')
-        elif c == "`":
-            if "`" in stack:
-                while stack.pop() != "`":
-                    pass
-            else:
-                stack.append("`")
-        elif c == "<" and (m := re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>").match(answer, i)):
-            tag = "<" + m[2].lower()
-            if m[1]:
-                if tag in stack:
-                    while stack.pop() != tag:
-                        pass
-            elif not m[3].endswith("/") and m[2].lower() not in ("br", "hr", "img", "input", "meta", "li", "p", "td", "tr", "th"):
-                stack.append(tag)
-            i = m.end()
-            continue
-        i += 1
-    if answer.count("**") % 2:
-        stack.append("**")
-    return lost or bool(stack)
+        else:
+            stack.append(c)
+    return lost or bool(stack) or answer.count("**") % 2 == 1
 
 
 #: Endings of a text that has stopped in mid-sentence, and of one that has not (fixed values).
@@ -301,7 +229,7 @@ def cut_state(answer: str) -> tuple[bool | None, str]:
     """(truncated, last part): None where it depends on how the last words are used, which are then given."""
     x = _INVISIBLE.sub("", answer).rstrip()
     x = re.sub(r"(?:</\w+>\s*)+$", "", x).rstrip()
-    if left_open(x):
+    if left_open(x) or list_short(x):
         return True, ""
     body = re.sub(r"(?:\s*(?:\[\d+(?:[,–-] ?\d+)*\]|\([^()]{1,60}\)))+$", "", x).rstrip()  # references after the end
     if not body:
@@ -320,8 +248,21 @@ def cut_state(answer: str) -> tuple[bool | None, str]:
     return None, part
 
 
+_NUMERAL = re.compile(r"\d+(?:[.,]\d+)*")
+_RUN_WORD = re.compile(r"[^\W_]+(?:[.'’/-][^\W_]+)*%?")
+_LINES = re.compile(r"\n+|(?<=[.!?。！？])[\"'”’»)\]]*\s+|(?<=[。！？])")
+
+
 def _last_words(part: str) -> list[str]:
-    return [re.sub(r"\d+(?:[.,]\d+)*", "0", w.lower()) for w in re.findall(r"[^\W_]+(?:[.'’/-][^\W_]+)*%?", part)]
+    """Words in lower case, numbers as 0."""
+    return _RUN_WORD.findall(_NUMERAL.sub("0", part.lower()))
+
+
+def _ends_nothing(word: str, query: str, answer: str) -> bool:
+    """Whether a function word of a language that the pair may be in; "no" may end an answer."""
+    found, _ = scores(letters(f"{query} {answer}"))
+    most = max(found.values(), default=0.0)
+    return word != "no" and any(word in FUNCTION_WORDS[n] for n, v in found.items() if v >= most - 0.1)
 
 
 def judge(query: str | None, answer: str | None) -> tuple[str, str, str, str, str]:
@@ -332,7 +273,7 @@ def judge(query: str | None, answer: str | None) -> tuple[str, str, str, str, st
     if copies(query, answer):
         return "copies_question", "", "", "", ""
     other = other_language(query, answer)
-    if is_refusal(answer) and not other:
+    if not other and is_refusal(answer, query):
         return "refusal", "", "", "", ""
     if other:
         return "other_language", "", "", "", ""
@@ -342,27 +283,27 @@ def judge(query: str | None, answer: str | None) -> tuple[str, str, str, str, st
     w = _last_words(part)
     if not w or len(_last_words(answer)) == 1:  # one word is an answer, not the beginning of one
         return "", "", "", "", ""
-    phrase = f"^{' '.join(w)}" if len(w) <= PHRASE and len(w) == len(_last_words(answer)) else ""
+    whole = len(w) == len(_last_words(answer))
+    phrase = f"^{' '.join(w)}" if len(w) <= PHRASE and whole and not (len(w) > 1 and _ends_nothing(w[-1], query, answer)) else ""
     return "?", " ".join(w[-3:]) if len(w) > 2 else "", " ".join(w[-2:]) if len(w) > 1 else "", w[-1], phrase
 
 
-def _runs(text: str) -> list[tuple[str, bool]]:
-    """(run, whether a sentence or item ends after it) for the runs of one to three words and, marked ^, the beginnings of sentences that go on."""
-    out = []
-    for line in re.split(r"\n+|(?<=[.!?。！？])[\"'”’»)\]]*\s+|(?<=[。！？])", text):
+def _count_runs(text: str, uses: Counter, ends: Counter) -> None:
+    """Count the runs of one to three words, those that a sentence or item ends with, and, marked ^, beginnings of sentences that go on."""
+    for line in _LINES.split(text):
         item = _ITEM.match(line)
         part = (item[1] if item else line).strip()
-        closed = item is not None or _WHOLE_END.search(part) is not None
         w = _last_words(part)
-        for i in range(len(w)):
-            ends = closed and i == len(w) - 1
-            if i == len(w) - 1 and not closed:
-                continue  # whether this is an end is the question
-            for k in (1, 2, 3):
-                if i + 1 >= k:
-                    out.append((" ".join(w[i + 1 - k : i + 1]), ends))
-        out += [(f"^{' '.join(w[:k])}", False) for k in range(1, min(PHRASE + 1, len(w)))]
-    return out
+        if not w:
+            continue
+        closed = item is not None or _WHOLE_END.search(part) is not None
+        told = w if closed else w[:-1]  # whether an open last word is an end is the question
+        uses.update(told)
+        uses.update(map(" ".join, zip(told, told[1:])))
+        uses.update(map(" ".join, zip(told, told[1:], told[2:])))
+        if closed:
+            ends.update(" ".join(w[-k:]) for k in range(1, min(3, len(w)) + 1))
+        uses.update(f"^{' '.join(w[:k])}" for k in range(1, min(PHRASE + 1, len(w))))
 
 
 def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str) -> DataFrame:
@@ -389,8 +330,6 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
             yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(keep, pa.int64())), *(pa.array([rows[i][k] for i in keep], pa.string()) for k in range(7))], names=["item_id", "defect", "w3", "w2", "w1", "w0", "ws", "asked"])
 
     def count(batches):
-        from collections import Counter
-
         ends: Counter = Counter()
         uses: Counter = Counter()
 
@@ -403,9 +342,7 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
 
         for b in batches:
             for a in b.column("a").to_pylist():
-                for run, end in _runs(a or ""):
-                    uses[run] += 1
-                    ends[run] += end
+                _count_runs(a or "", uses, ends)
             if len(uses) > 300_000:
                 yield flush()
         if uses:
@@ -425,11 +362,10 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
     # the longest run that is used often enough decides; a last word never seen elsewhere is a fragment
     share = lambda k: F.col(f"e{k}") / F.col(f"u{k}")
     enough = lambda k, n: F.coalesce(F.col(f"u{k}"), F.lit(0)) >= n
-    ends_nothing = F.col("w1").isin(*sorted(set(_OF_WORD) - {"no"})) & (F.col("w0") != F.concat(F.lit("^"), F.col("w1")))
     # of the queries answered by the phrase or by a sentence that begins with it (without its last word) and goes on, enough have the phrase
     holds = lambda k: F.col("queries") / (F.col("queries") + F.coalesce(f"u{k}", F.lit(0))) >= END_SHARE
     known = (F.coalesce("u1", F.lit(0)) > 0) | (F.col("queries") > 1) & holds("s")
-    phrase = (F.col("w0") != "") & ~ends_nothing & known & ((F.coalesce("u0", F.lit(0)) == 0) | holds("0"))
+    phrase = (F.col("w0") != "") & known & ((F.coalesce("u0", F.lit(0)) == 0) | holds("0"))
     cut = F.when(phrase, F.lit(False)).when(enough(3, 4), share(3) < END_SHARE).when(enough(2, 4), share(2) < END_SHARE).when(enough(1, 1), share(1) < END_SHARE).otherwise(F.lit(True))
     cut_off = open_.where(cut).select("item_id", F.lit("truncated").alias("defect"))
     return judged.where("defect <> '?'").select("item_id", "defect").unionByName(cut_off).groupBy("item_id").agg(F.min("defect").alias("defect"))

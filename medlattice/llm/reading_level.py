@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import collect_control, materialise, spread
-from .broken_pairs import FUNCTION_WORDS
+from .languages import FUNCTION_WORDS
 
 BANDS = ("easy", "plain", "skilled", "expert")
 ROUNDS, TIE, EASE = 4, 2.0, 0.05

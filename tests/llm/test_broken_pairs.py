@@ -1,5 +1,6 @@
 import pytest
-from medlattice.llm.broken_pairs import broken_pairs, copies, is_empty, is_refusal, left_open, other_language, tile
+from medlattice.llm.broken_pairs import broken_pairs, copies, is_empty, left_open, list_short, other_language, tile
+from medlattice.llm.refusals import is_refusal
 
 Q = "Which tests confirm asthma before the drug is given?"
 
@@ -48,6 +49,25 @@ def test_what_tells_something_is_no_refusal(x):
     assert not is_refusal(x)
 
 
+def test_refusals_of_other_wording():
+    """32 of 40 were found, and none of the sound ones, when these were first tried; the rules were widened after that."""
+    from wordings import REFUSALS, SOUND
+
+    assert sum(is_refusal(x, "What is the right dose?") for x in REFUSALS) >= 38
+    assert sum(is_refusal(x, "What is the right dose?") for x in SOUND) == 0
+
+
+def test_languages_beyond_the_common_ones():
+    assert other_language(Q, "Läkemedlet ska inte tas före operationen om man har feber.") and other_language(Q, "Lek nie powinien być stosowany przed posiłkiem, jeśli jest gorączka.")
+    assert other_language(Q, "İlaç günde bir kez alınır ve tedavi sonra daha kısa olabilir.") and other_language("Hur tas läkemedlet och när?", "The drug is taken with a meal in the morning.")
+    assert not other_language("Hur ska det tas och när?", "Det tas med mat för att det inte ska göra ont.")
+
+
+def test_lists():
+    assert list_short("Do these four things:\n1. Rest.\n2. Drink.") and list_short("Three signs:\n- pain\n  - at night\n- fever")
+    assert not list_short("Two signs:\n- pain\n- fever") and not list_short("1. Rest.\n2. Drink.") and not list_short("Four drugs:\n- a\n- b\nThese are known.")
+
+
 def test_other_language():
     assert other_language(Q, "Die Behandlung lindert den Schmerz und verbessert die Funktion der Niere.")
     assert other_language(Q, "Answer: 该药可以减轻疼痛并改善肾功能。") and other_language("¿Qué efectos tiene el fármaco?", "The most common effects are nausea and fatigue.")

@@ -32,23 +32,31 @@ _CAP = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-ɏ]+(?:[A-ZÀ-ÖØ-Þ][a-zß-ɏ]+)?(?:['’-][
 _PARTICLE = r"(?:van|von|de|der|den|del|la|le|di|da|dos|bin|al|el|ter|zu)"
 #: Particles of family names and generational endings that may stand within or after a name (fixed values).
 _NAME_RUN = re.compile(rf"(?<![\w@.#+/-]){_CAP}(?:(?:,? |-){_CAP}|(?: {_PARTICLE}){{1,2}} {_CAP})*(?![\w@])")
-_EMAIL = re.compile(r"(?<![\w.+%-])(?=([\w.+%-]+(?: ?@ ?| ?[\[({] ?at ?[\])}] ?| at )[\w-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[\w-]+)+))", re.I)
-_NUMBER = re.compile(r"(?<![\w/-])(?<!\d[.,])[(+]?\d[\d().\-/ +]{3,22}\d(?![\w])|(?<=[A-Za-z][.-])\d[\d().\-/ +]{3,22}\d(?![\w])|(?<=[A-Z])\d{5,12}(?![\w])")
+#: An e-mail address grows from its sign: to the left over the characters of a user, to the right over a host.
+_SIGN = re.compile(r"@|[\[({] ?[aA][tT] ?[\])}]| [aA][tT] ")
+_HOST = re.compile(r"[\w-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[\w-]+)+", re.I)
+_USER = frozenset(".+%-_")
+_NUMBER = re.compile(r"(?<![\w/-])(?<!\d[.,])[(+]?\d[\d().\-/ +]{3,}\d(?![\w])|(?<=[A-Za-z][.-])\d[\d().\-/ +]{3,}\d(?![\w])|(?<=[A-Z])\d{5,}(?![\w])")
+#: Longest segments of the lattice. What is longer comes out as several adjoining segments, so that none of it is left.
+NAME_PARTS, ADDRESS_WORDS, NUMBER_DIGITS = 6, 4, 16
 _STREET = (
     "street st road rd lane ln avenue ave drive dr close court ct crescent cres terrace ter boulevard blvd way place pl square sq "
     "row walk grove hill gardens gdns park parkway pkwy mews circle cir highway hwy alley quay green rise view"
 ).split()  # kinds of streets (fixed values)
-_ADDRESS = re.compile(r"(?<![\w.,/#-])\d{1,5}[A-Za-z]? (?:[\w'’.-]+ ){1,4}?(?:" + "|".join(_STREET) + r")\b", re.I)
+_ADDRESS = re.compile(r"(?<![\w.,/#-])\d{1,5}[A-Za-z]? (?:(?:[\w'’-]+|[A-Za-z]{1,3}\.) ){1,%d}?(?:" % ADDRESS_WORDS + "|".join(_STREET) + r")\b", re.I)
 _STREET_MORE = re.compile(r" (?:" + "|".join(_STREET) + r")\b", re.I)
 _DIGITS = re.compile(r"\d+")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _BEFORE = re.compile(rf"(?<!\w)(?:{_PARTICLE} ){{1,2}}$")
-_AT = re.compile(r"@|\bat\b", re.I)
+_PARTICLES = frozenset("van von de der den del la le di da dos bin al el ter zu".split())
+_MORE_DIGITS = re.compile(r"[().\-/ +]{1,3}\d")
+_PLACE = re.compile(r"[A-Za-z]? ")
 _LEAD = re.compile(r"(?<![\w.,/-])(?:[A-Z]{1,3}[-. ]?|[(+])$")
 _GAP = re.compile(r"(?:\. ?|  | )(?=[(+]?\d)")
-_ID = re.compile(r"(?:[A-Z]{1,3}-?\d{5,12}|\d{5,12}[A-Z]?|[A-Z]{2}(?:[ -]?\d{2}){3}[ -]?[A-D]|[A-Z]{1,3}(?:-\d{3,6}){1,3})(?!\w)")
+_ID = re.compile(r"(?:[A-Z]{1,3}(?:-\d{3,}){1,4}(?:-[A-Z]{1,3})?|[A-Z]{1,3}\d{5,}[A-Z]?|\d{5,}[A-Z]?|[A-Z]{2}(?:[ -]?\d{2}){3}[ -]?[A-D])(?!\w)")
 _NAME_PART = re.compile(rf"{_CAP}|{_PARTICLE}(?= )")
-_TITLED = re.compile(r"(?:^|\W)(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Nurse|Sister|Doctor|Professor|Sir|Dame|Rev)\.? $")
+_TITLES = "Mr Mrs Ms Miss Mx Dr Prof Nurse Sister Doctor Professor Sir Dame Rev".split()  # fixed values
+_TITLED = re.compile(rf"(?:^|\W)(?:{'|'.join(_TITLES)})\.? $")
 _TRIGGER = re.compile(r"[@\d]|(?: at )|[A-Z]")
 #: Characters after a span that its features may see.
 AHEAD = 28
@@ -70,26 +78,38 @@ def _outline(x: str) -> str:
     return re.sub(r"(.)\1{3,}", r"\1\1\1+", x)
 
 
+def _long_run(text: str, begin: int, end: int, out: set) -> None:
+    """Spans of a run of more digits than a number has: every stretch between blanks with as many digits as a number."""
+    parts = [(begin + m.start(), begin + m.end(), sum(map(str.isdigit, m.group()))) for m in re.finditer(r"[^ ]+", text[begin:end])]
+    for i in range(len(parts)):
+        digits = 0
+        for j in range(i, len(parts)):
+            digits += parts[j][2]
+            if j > i and digits > NUMBER_DIGITS:
+                break
+            if digits >= 7:
+                out.add((parts[i][0], parts[j][1], "phone"))
+            if digits >= 5:
+                out.add((parts[i][0], parts[j][1], "id_number"))
+
+
 def _numbers(text: str, out: set) -> None:
     """Spans around runs of digits: phones, identity numbers and addresses."""
     past = -1  # end of the last number looked at
     for m in _DIGITS.finditer(text):
-        b = m.start()
-        if a := _ADDRESS.match(text, b):
-            e = a.end()
-            out.add((b, e, "address"))
-            while n := _STREET_MORE.match(text, e):
-                e = n.end()
-                out.add((b, e, "address"))
-        if b < past:
+        b, e = m.span()
+        if e - b < 6 and _PLACE.match(text, e) and (a := _ADDRESS.match(text, b)):
+            end = a.end()
+            out.add((b, end, "address"))
+            while n := _STREET_MORE.match(text, end):
+                end = n.end()
+                out.add((b, end, "address"))
+        if b < past or e - b < 5 and not _MORE_DIGITS.match(text, e):
             continue
         lead = _LEAD.search(text, max(0, b - 6), b)
         begin = lead.start() if lead else b
-        if lead:
-            if i := _ID.match(text, begin):
-                out.add((begin, i.end(), "id_number"))
-        elif i := _ID.match(text, b):
-            out.add((b, i.end(), "id_number"))
+        if i := _ID.match(text, begin):
+            out.add((begin, i.end(), "id_number"))
         number = _NUMBER.match(text, b - (text[b - 1 : b] in ("(", "+")))
         if not number:
             continue
@@ -100,6 +120,9 @@ def _numbers(text: str, out: set) -> None:
             past = -1 if " " in x else past
             continue
         front = lead.start() if lead and text[lead.start()].isalpha() and " " not in lead.group() else begin
+        if digits > NUMBER_DIGITS:
+            _long_run(text, begin, past, out)
+            continue
         if digits < 7:
             out.add((front, past, "id_number"))
             continue
@@ -116,27 +139,38 @@ def _numbers(text: str, out: set) -> None:
                 out.add((front, begin + gap.start(), "id_number"))
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, type) of every span with the outline of a type, sorted by end."""
-    out: set = set()
-    for t in _AT.finditer(text):
-        for m in _EMAIL.finditer(text, max(0, t.start() - 70), t.end() + 120):
-            if m.start(1) <= t.start() < m.end(1):
-                out.add((m.start(1), m.end(1), "email"))
-    _numbers(text, out)
+def _emails(text: str, out: set) -> None:
+    for m in _SIGN.finditer(text):
+        end = m.start()
+        spelt = m.group()[0] == " "
+        end -= not spelt and text[end - 1 : end] == " "
+        b = end
+        while b and (text[b - 1].isalnum() or text[b - 1] in _USER):
+            b -= 1
+        after = m.end() + (not spelt and text[m.end() : m.end() + 1] == " ")
+        if b < end and (host := _HOST.match(text, after)):
+            out.add((b, host.end(), "email"))
+
+
+def _names(text: str, out: set) -> None:
     past = -1
     for c in _CAPITAL.finditer(text):
-        if c.start() < past or not (m := _NAME_RUN.match(text, c.start())):
+        at = c.start()
+        if at < past or not (m := _NAME_RUN.match(text, at)):
             continue
         past = m.end()
-        parts = [p.span() for p in _NAME_PART.finditer(text, c.start(), past)]
-        if particle := _BEFORE.search(text[max(0, c.start() - 8) : c.start()]):
-            b = c.start() - len(particle.group())
+        whole = m.group()
+        if whole.isalpha():
+            parts = [(at, past)]
+        else:
+            parts = [p.span() for p in _NAME_PART.finditer(text, at, past)]
+        if at > 2 and text[at - 1] == " " and text[text.rfind(" ", 0, at - 1) + 1 : at - 1] in _PARTICLES and (particle := _BEFORE.search(text[max(0, at - 8) : at])):
+            b = at - len(particle.group())
             out.update((b, e, "name") for _, e in parts[:3] if not text[e - 1].islower() or text[e - 2 : e].isalpha())
         for i in range(len(parts)):
-            if text[parts[i][0]].islower():
+            if text[parts[i][0] : parts[i][1]].rstrip(".") in _TITLES:
                 continue
-            for j in range(i, min(i + 5, len(parts))):
+            for j in range(i, min(i + NAME_PARTS, len(parts))):
                 last = text[parts[j][0] : parts[j][1]]
                 if last[0].islower() or (i == j and len(last) <= 2):
                     continue
@@ -146,6 +180,14 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 if last[-1] == "." and j + 1 == len(parts):  # a full stop after a last initial may end the sentence
                     out.add((parts[i][0], end - 1, "name"))
                 out.add((parts[i][0], end, "name"))
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(begin, end, type) of every span with the outline of a type, sorted by end. Texts are read whole, without windows."""
+    out: set = set()
+    _emails(text, out)
+    _numbers(text, out)
+    _names(text, out)
     return sorted(out, key=lambda c: (c[1], c[0], c[2]))
 
 
@@ -156,7 +198,7 @@ def starts_sentence(text: str, at: int) -> bool:
 
 
 def features(text: str, b: int, e: int, kind: str, words: frozenset) -> list[str]:
-    """Features of the whole span text[b:e] as a segment of a type."""
+    """Features of the whole span text[b:e] as a segment of a type; each type has weights of its own for them."""
     x = text[b:e]
     initial = starts_sentence(text, b)
     before = ["^"] if initial and kind == "name" else _WORDS.findall(text[max(0, b - 48) : b])[-4:]
@@ -191,19 +233,23 @@ def features(text: str, b: int, e: int, kind: str, words: frozenset) -> list[str
     else:
         ending = re.split(r"\W+", x)[-1]
         out += ["at" if "@" in x else "spelt", f"dots={min(3, x.count('.'))}", f"ends={'digit' if ending.isdigit() else 'short' if len(ending) < 2 else 'word'}|{'@' in x}", f"bracket={bool(re.search(r'[(\[{]', x))}", f"dot={' dot' in x.lower() or '(dot' in x.lower()}"]
-    return [f"{kind}|{f}" for f in out]
+    return out
 
 
 class Model:
-    """Weights of features, by name."""
+    """Weights of features, by `type|feature`."""
 
     def __init__(self, weights: dict[str, float], tokenizer_dir: str = TOKENIZER_DIR):
-        self.weights, self.words = weights, common_words(tokenizer_dir)
+        self.words = common_words(tokenizer_dir)
+        self.weights: dict[str, dict[str, float]] = {k: {} for k in TYPES}
+        for name, w in weights.items():
+            kind, feature = name.split("|", 1)
+            self.weights[kind][feature] = w
         self.known: dict = {}
 
     def score(self, text: str, b: int, e: int, kind: str) -> float:
         """Weights of the features. What a sentence begins with is often the same, and its features see no words before it: remembered."""
-        get = self.weights.get
+        get = self.weights[kind].get
         if kind == "name" and starts_sentence(text, b):
             ahead = text[e : e + AHEAD]
             key = (text[b:e], ahead[:1], *ahead.split(None, 2)[:2])
@@ -211,9 +257,9 @@ class Model:
             if s is None:
                 if len(self.known) > 200_000:
                     self.known.clear()
-                s = self.known[key] = sum(get(f, 0.0) for f in features(text, b, e, kind, self.words))
+                s = self.known[key] = sum([get(f, 0.0) for f in features(text, b, e, kind, self.words)])
             return s
-        return sum(get(f, 0.0) for f in features(text, b, e, kind, self.words))
+        return sum([get(f, 0.0) for f in features(text, b, e, kind, self.words)])
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """Segments of the best segmentation, in order."""
@@ -253,7 +299,7 @@ def fit(labelled: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 12
     for text, gold in labelled:
         spans = candidates(text)
         ends, begins = [c[1] for c in spans], sorted(range(len(spans)), key=lambda i: spans[i][0])
-        lattices.append((spans, [features(text, *c, words) for c in spans], set(gold), ends, begins))
+        lattices.append((spans, [[f"{c[2]}|{f}" for f in features(text, *c, words)] for c in spans], set(gold), ends, begins))
     for epoch in range(epochs):
         for at in range(len(lattices)):
             spans, feats, gold, ends, begins = lattices[(at * 7919 + epoch) % len(lattices)]

@@ -18,7 +18,7 @@ from .pii_crf import fit
 SENTENCES, SEED = 7000, 5
 
 _FIRST = "Élodie Åsa Øyvind Ángel Anna Maria James John Peter Susan Linda Omar Fatima Wei Chen Elena Ivan Tomas Helga Priya Ravi Aisha Noah Emma Lucas Mia Hugo Ines Karl Greta Sven Olga Piotr Yuki".split()
-_LAST = "Smith Jones Taylor Brown Walker Hill Park Bell Young Long Day Rose Ward King Miller Baker Garcia Lopez Kowalski Novak Rossi Meyer Schmidt Nguyen Tanaka Singh Khan Hughes Morgan Okafor".split()
+_LAST = "Smith Jones Taylor Brown Walker Hill Park Bell Young Long Day Rose King Miller Baker Garcia Lopez Kowalski Novak Rossi Meyer Schmidt Nguyen Tanaka Singh Khan Hughes Morgan Okafor".split()
 _SYL_A = "ba bel bran cal dor el fen gar hal jor kel lan mar nor ol pel quin ral sel tor ul var wen yor zel tav mos cor dra hol rus sten vor nes jas gre lor".split()
 _SYL_B = "a an ar e el en er i il in o on or u ra la na mo ve".split()
 _SYL_C = "bert dan den dil don fold gard hart ick ida ine ira lind lock man mar mond nor ora rick rin sa sen son strom ton va vin wick win wyn ley ney by".split()
@@ -64,6 +64,10 @@ The {N} sign was absent.|The {N} sign was mild at the knee.|{N} sign was positiv
 Moved to the {N} Ward.|Transferred to {N} Court ward, bay {d1}.|The pump on {N} Court ward was serviced.|The Day Unit was full.|Handed over to the Night Team.|Seen on the {N} Unit.|The {N} Clinic is closed.|Bed {d1} on North Wing ward is free.|Sent to {N} Hospital.|The Heart Centre called.|Left Bundle Branch Block is known.|Right Anterior Cerebral Artery was patent.|Left Anterior Fascicular Block since 2015.|Chronic Kidney Disease stage 3.|Deep Vein Thrombosis was excluded.
 {Drug} was started for pain.|{Drug} {d2} mg twice daily was given.|{Drug} was changed to {drug} {d2} mg.|We stopped {drug} after a week.|Allergy to {drug} is noted.|{Drug} and {drug} were held.|{Drug} helps.|Dose of {Drug} was cut.
 FINDINGS: The liver is normal.|HISTORY|PLAN:|Impression|ASSESSMENT AND PLAN|Subjective|Objective: stable.|LABORATORY  Sodium was {d2}.|THE PATIENT WAS SEEN AND HAS NO COMPLAINTS.|WEIGHT WAS {d2} KG AND PULSE WAS {d2}.|Past History: none.|Family History: unknown.
+Sister {place} took the overflow.|The sister {place} is shut.|Sister {place} will lend two beds.|Sister {Place} staff were told.|Our sister {place} keeps the list.|Sister {Place} took the night calls.|Sister {Place} sent two beds over.|Nurse Station {d1} was moved.|Doctor Room {d1} is free.|Doctors on {Place} {d1} agreed.
+This {work} walks to work.|This {work} is {d2} years old.|That {work} sleeps badly.|The {work} stands all day.|A {work} of {d2} years.|Both {work}s were seen.|Each {noun} was noted.|No {noun} was seen.|These {noun}s were new.|Some {noun} remains.|All {noun} had gone.|Heavy {noun} was noted.|Light meals are taken.|Late meals bring {noun}.|An old {noun} was seen.|Any {noun} should be told.|Every {noun} was checked.|Her {noun} has eased.|His {noun} is worse.|Their {noun} was shared.|One {noun} was lost.|Several {noun}s were kept.
+{Drug} {d2} mg three times a day.|{Drug} twice a day with meals.|Given four times a day for a week.|A band of {noun} runs along the edge.|A line of {noun} crosses it.|The {noun} lies {d1} cm from the {noun}.|A {noun} of {d1} mm was marked. Dr. {sur*} was told.|Lesions of {d1} mm were counted. Dr {sur*} will look.|Saturation was {d2} percent. Dr. ____ to sign.|Removal of the {noun} was planned.|The sigmoid colon was clear.|After a {noun} removal in {d2y}.
+NHS number {nhs*}.|NHS no {nhs*} was checked.|NHS {nhs*} on the label.|Health card {nhs*}.|Health service number: {nhs*}
 Blood pressure was {d2}/{d2}.|Pulse {d2}, temperature 37.{d1}.|Seen on 0{d1}/1{d1}/2018 for a check.|Seen on Monday and in March.|Imaging from 20{d2y} was compared.|Range of motion was {d2} degrees.|The scar is {d1} cm long.|Sutures come out in two weeks.|Urine was clear.|No mass is seen.|Sleep is broken.|Weight was {d2} kg.|She has asthma since 2004.|The man was told to rest.|There is mild swelling.|Walking now brings on pain after {d2} minutes.|Because of gout, surgery waits.|After surgery the knee healed.|Skin was warm.|Estimated blood loss was {d3} mL.|Review on Friday.|Given in January and June.|Back from Spain in April.|Speaks English and French.|Earlier gout was treated abroad in 2012.|Earlier scans are lost.|Diet is as before.|Contrast passed well.|Hearing was fine.|Neither drug helped.|Half of the tablets were left.|Examination of the neck was normal.|Mild pain was present.|Temperature rose to 38.{d1} on day {d1}.|Under local anaesthetic, a cyst was cut out.|Bronchoscopy in 2011 was normal.|Migraine comes monthly.|Family history is positive for stroke.|At the bedside the bladder was scanned.
 """
 
@@ -123,10 +127,17 @@ class _Maker:
         if kind in ("ssn", "ssnlike"):
             s = r.choice(["-", "-", " ", ".", ""]) if kind == "ssn" else "-"
             return f"{digits(3)}{s}{digits(2)}{s}{digits(4)}"
+        if kind == "nhs":
+            return f"{digits(3)} {digits(3)} {digits(4)}" if r.random() < 0.8 else digits(10)
+        if kind.lower() == "place":
+            x = r.choice("ward unit hospital clinic wing site home centre practice".split())
+            return x.capitalize() if kind == "Place" else x
+        if kind == "work":
+            return r.choice("farm worker,office worker,retired teacher,young adult,man,woman,boy,girl,cook,driver,nurse,patient,resident,student,gentleman,lady".split(","))
         if kind == "nino":
             return r.choice(["AB {} {} {} C", "QQ{}{}{}B", "JK {} {} {} D"]).format(digits(2), digits(2), digits(2))
         if kind == "pol":
-            return r.choice([f"{r.choice('ABHKOPU')}{r.choice('LMNPRX')}-{digits(4)}-{digits(4)}", f"{r.choice('ABCDEF')}{digits(8)}", f"{digits(9)}", f"{r.choice('ABC')}{r.choice('XYZ')}{digits(7)}"])
+            return r.choice([f"{r.choice('ABHKOPU')}{r.choice('LMNPRX')}-{digits(4)}-{digits(4)}", f"{r.choice('ABCDEF')}{digits(8)}", f"{digits(9)}", f"{r.choice('ABC')}{r.choice('XYZ')}{digits(7)}", f"{r.choice('PQRS')}{r.choice('TVXZ')}-{digits(5)}-{r.choice(['AA', 'B', 'CD'])}"])
         if kind == "short7":
             return f"{digits(3)}-{digits(4)}"
         if kind == "nct":
@@ -190,6 +201,9 @@ def make(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
                 text += value
                 at = m.end()
             text += frame[at:]
+            if "*" not in frame and maker.r.random() < 0.05:  # a text that stops within its last sentence
+                text = text[: len(text) - len(frame) + maker.r.randint(1, 12)] if len(frame) > 14 and "{" not in frame else text
+                break
             if "*" not in frame and maker.r.random() < 0.06:
                 begin = text.rfind(frame[:1], 0, len(text)) if not k else max(text.rfind("\n"), text.rfind(". "), 0)
                 if all(g[1] <= begin for g in gold):  # a shouted line

@@ -1,3 +1,5 @@
+import re
+
 from medlattice.llm.pii_crf import candidates, personal_data, redact, redact_fields, trained
 from medlattice.llm.pii_train import make
 
@@ -15,6 +17,33 @@ def test_held_out_accuracy():
     assert hit / made > 0.98 and hit / gold > 0.97
 
 
+def test_notes_of_other_wording():
+    """Hand-written notes, which no frame was taken from: 24 items, all of them found and nothing else when first tried."""
+    from other_notes import NOTES
+
+    hit = made = gold = 0
+    for note in NOTES:
+        want, text, at = set(), "", 0
+        for m in re.finditer(r"<(\w+):([^>]*)>", note):
+            text += note[at : m.start()]
+            want.add((len(text), len(text) + len(m[2]), m[1]))
+            text, at = text + m[2], m.end()
+        got = set(trained().find(text + note[at:]))
+        hit, made, gold = hit + len(got & want), made + len(got), gold + len(want)
+    assert hit >= 0.95 * made and hit >= 0.95 * gold
+
+
+def test_no_window_cuts_an_item():
+    user, host = "a" * 200, ".".join(["mail"] * 60)
+    assert found(f"Write to {user}@{host}.example today.") == [("email", f"{user}@{host}.example")]
+    assert found("Write to ann (at) mail (dot) example today.") == [("email", "ann (at) mail (dot) example")]
+    numbers = " ".join(f"212-555-01{i:02d}" for i in range(30))  # far more digits than a number has
+    left = redact(f"Call {numbers} today.", trained().find(f"Call {numbers} today."))
+    assert not re.search(r"\d", left) and left.startswith("Call [")
+    long = " ".join(["Marla", "Anna", "Helga", "Priya", "Elena", "Olga", "Greta", "Ines", "Testington"])
+    assert "Marla" not in redact(f"Seen by Dr {long} on rounds.", trained().find(f"Seen by Dr {long} on rounds."))
+
+
 def test_examples():
     assert found("Call (212) 555-0100 ext 4 or write to ann.bell@mail.example today.") == [("phone", "(212) 555-0100"), ("email", "ann.bell@mail.example")]
     assert found("Lot 802.669.3515 of the dye was opened.") == []

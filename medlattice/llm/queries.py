@@ -14,7 +14,7 @@ from .pii_crf import personal_data, redact_fields
 from .packing import bin_report, pack_instructions, pack_texts
 from .mixing import Mix, mix_sources
 from .quota_sample import QuotaSample, quota_sample
-from .reading_level import reading_levels
+from .reading_level import TOLERANCE, ReadingLevels, reading_levels
 from .splitting import piece_rows, split_oversized
 
 #: Of each sampled field: its table, id and label.
@@ -145,10 +145,14 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).picks
 
 
-def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+def _graded(spark: SparkSession, d: str) -> ReadingLevels:
     return reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "graded_texts"))
 
 
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _graded(spark, d).levels
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).select("doc_id", "band")
 
@@ -157,8 +161,13 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).groupBy("band").agg(F.count("*").alias("documents"), F.sum("n_words").alias("words"), F.round(F.avg("level"), 4).alias("mean_level"))
 
 
+def p8_convergence(spark: SparkSession, d: str) -> DataFrame:
+    found = _graded(spark, d)
+    return spark.createDataFrame([(found.rounds, round(found.change, 6), found.change <= TOLERANCE)], "rounds int, last_change double, settled boolean")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     p1_found, p1_report, p1_sample, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_record_links, p4_article_links, p5_found, p5_defects,
     p6_found, p6_containers, p6_fill, p6_instruction_containers, p7_found, p7_shares, p7_mix,
-    p8_found, p8_levels, p8_profile,
+    p8_found, p8_levels, p8_profile, p8_convergence,
 )}

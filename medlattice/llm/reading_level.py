@@ -1,74 +1,91 @@
 """Problem 8: how demanding each text is to read, by harmonic propagation on a document-word graph.
 
 Documents and the words they hold (with a few surface marks: mean word and sentence length) are the two sides of a graph.
-Graded texts are clamped to their level. In each round a document takes the mean of its words and a word the mean of its
-documents; a word that graded texts hold stays tied to their mean (a "dongle" node whose pull is n / (n + TIE) for n
-graded texts), and words whose documents agree weigh more. After ROUNDS rounds a document has a continuous level; the
-borders between bands lie midway between the mean levels that the graded texts of neighbouring bands get in the same way.
+Graded texts are clamped to their level. In each round a document takes the weighted mean of its words and a word the mean
+of its documents; a word that graded texts hold stays tied to their mean (a "dongle" node whose pull is n / (n + TIE) for n
+graded texts). Words whose documents agree weigh more; the weights are set in the first rounds and then kept, so that what
+follows is a linear iteration with one fixed point. It goes on until no word's level moves by more than a tolerance; the
+rounds taken and the last change are part of the result. The borders between bands lie midway between the mean levels that
+the graded texts of neighbouring bands get, each scored without its own grade.
+
+The graph has the words that at least SHARE of the documents hold, and those of graded texts. If a document holds m words on
+average, there are at most m / SHARE such words, however many documents there are: their levels are sent to every task,
+documents stay where they are, and only sums per task and word are shuffled. The same plan runs at every size.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import collect_control, materialise, spread
-from .languages import FUNCTION_WORDS
+from .languages import FUNCTION_WORDS, LANGUAGES_OF
 
 BANDS = ("easy", "plain", "skilled", "expert")
-ROUNDS, TIE, EASE = 4, 2.0, 0.05
-#: Words up to which the words' levels are sent to every task (24 bytes each); beyond it the rounds run as shuffled joins.
-VOCABULARY = 500_000
+TIE, EASE = 2.0, 0.05
+#: Share of the documents that must hold a word, rounds that set the words' weights, and when to stop.
+SHARE, SETTING, TOLERANCE, MOST_ROUNDS = 0.0005, 2, 0.001, 40
 #: Words that a text must have, and the share of words of another language's function words from which it isn't English.
 LEAST_WORDS, FOREIGN = 40, 0.06
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TABLE_LINE = re.compile(r"^.*(?:\|.*\||\t.*\t).*$|^\s*[-+=|\s]{3,}$", re.M)
 _CELL_LINE = re.compile(r"^[^\n.!?]{0,60}?[:;,|\t ]\s*[<>]?-?\d+(?:[.,]\d+)?\s*[^\s.!?]{0,8}[ \t]*$", re.M)
+_SENTENCE = re.compile(r"[.!?](?:\s|$)|\n+")
 _ENGLISH = frozenset(FUNCTION_WORDS["en"])
-_FOREIGN_WORDS: dict[str, frozenset] = {k: frozenset(w for w in v if len(w) > 1 and w not in _ENGLISH and w not in ("is", "me", "non", "per", "no", "es", "die", "do")) for k, v in FUNCTION_WORDS.items() if k != "en"}
+#: Languages of the words that speak against English.
+_AGAINST = {w: langs for w, langs in LANGUAGES_OF.items() if len(w) > 1 and w not in _ENGLISH and w not in ("is", "me", "non", "per", "no", "es", "die", "do", "man", "dan", "den", "har", "bed", "data", "plus", "via", "car")}
 
 
 def prose_words(text: str | None) -> list[str]:
     """Words of an English prose text without table lines, in lower case; empty if it is no such text."""
     if not text:
         return []
-    x = _CELL_LINE.sub("", _TABLE_LINE.sub("", html.unescape(text)))
-    words = [w.lower() for w in _WORD.findall(x)]
-    if not words or sum(any(map(str.isalnum, t)) for t in x.split()) < LEAST_WORDS:
+    x = html.unescape(text) if "&" in text else text
+    if "\n" in x or "\r" in x or len(x) < 200:  # else the whole text is one line, too long for a cell
+        x = _CELL_LINE.sub("", _TABLE_LINE.sub("", x))
+    elif "|" in x or "\t" in x:
+        x = _TABLE_LINE.sub("", x)
+    told = 0
+    for t in x.split():
+        told += any(map(str.isalnum, t))
+        if told >= LEAST_WORDS:
+            break
+    else:
+        return []
+    words = _WORD.findall(x.lower())
+    if not words:
         return []
-    letters = sum(map(len, words))
-    if sum(c.isascii() for w in words for c in w) < 0.9 * letters:
+    letters = "".join(words)
+    if len(letters.encode("ascii", "ignore")) < 0.9 * len(letters):
         return []
-    own = sum(w in _ENGLISH for w in words)
-    foreign = max(sum(w in f for w in words) for f in _FOREIGN_WORDS.values())
-    return words if own >= 2 * foreign or foreign < FOREIGN * len(words) else []
+    own = 0
+    foreign: Counter = Counter()
+    for w, n in Counter(words).items():
+        if w in _ENGLISH:
+            own += n
+        for lang in _AGAINST.get(w, ()):
+            foreign[lang] += n
+    most = max(foreign.values(), default=0)
+    return words if own >= 2 * most or most < FOREIGN * len(words) else []
 
 
 def marks(text: str, words: list[str]) -> list[int]:
     """Hashes of the distinct words and surface marks of a text."""
-    sentences = max(1, len(re.findall(r"[.!?](?:\s|$)|\n+", text.strip())))
+    sentences = max(1, len(_SENTENCE.findall(text.strip())))
     own = set(words)
     own.add(f"~word length {round(2 * sum(map(len, words)) / len(words))}")
     own.add(f"~sentence length {min(12, len(words) // sentences // 4)}")
-    return sorted(xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in own)
-
-
-def _levels(flat: np.ndarray, sizes: np.ndarray, word: np.ndarray, level: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(level of each document or NaN, place in `word` of each of its words, whether it is there)."""
-    at = np.minimum(np.searchsorted(word, flat), len(word) - 1)
-    there = word[at] == flat
-    w = np.where(there, weight[at], 0.0)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    total = np.bincount(doc, w, len(sizes))
-    value = np.bincount(doc, w * level[at], len(sizes))
-    return np.where(total > 0, value / np.where(total > 0, total, 1.0), np.nan), at, there
+    digest = xxhash.xxh3_64_intdigest
+    return sorted([digest(w) - (1 << 63) for w in own])
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -78,69 +95,61 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def _next(spark: SparkSession, sums: DataFrame, tied: DataFrame) -> DataFrame:
-    """Levels and weights of the words from sums over documents (word, n, s, q) and graded texts (word, g, m, v)."""
-    both = sums.join(tied, "word", "full")
-    g, n = F.coalesce("g", F.lit(0.0)), F.coalesce("n", F.lit(0.0))
-    pull = F.when(n == 0, F.lit(1.0)).otherwise(g / (g + TIE))
-    mean = F.when(n > 0, F.col("s") / n)
-    spread = F.when(n > 0, F.greatest(F.lit(0.0), F.col("q") / n - mean * mean))
-    mix = lambda a, b: F.when(g > 0, pull * F.coalesce(a, F.lit(0.0)) + (1 - pull) * F.coalesce(b, F.lit(0.0))).otherwise(b)
-    return both.where((g > 0) | (n > 1)).select("word", mix(F.col("m"), mean).alias("level"), (1.0 / (mix(F.col("v"), spread) + EASE)).alias("weight"))
-
-
-def _round_sent(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """Sums over documents with the words' levels sent to the tasks; each task sends one row per word."""
-    got = words.toPandas().sort_values("word")  # VOCABULARY rows at most, see reading_levels()
-    sent = docs.sparkSession.sparkContext.broadcast((got["word"].to_numpy(), got["level"].to_numpy(), got["weight"].to_numpy()))
-
-    def run(batches):
-        known: dict[int, np.ndarray] = {}
-        word, level, weight = sent.value
-        sums = np.zeros((3, len(word)))
-        for b in batches:
-            flat, sizes = _lists(b.column("marks"))
-            s, at, there = _levels(flat, sizes, word, level, weight)
-            each = np.repeat(s, sizes)
-            use = ~np.isnan(each)
-            inside = use & there
-            sums += [np.bincount(at[inside], v, len(word)) for v in (np.ones(inside.sum()), each[inside], each[inside] ** 2)]
-            new = use & ~there
-            if new.any():
-                w, place = np.unique(flat[new], return_inverse=True)
-                part = np.stack([np.bincount(place), np.bincount(place, each[new]), np.bincount(place, each[new] ** 2)], axis=1)
-                for x, p in zip(w.tolist(), part):
-                    known[x] = known[x] + p if x in known else p
-                if len(known) > 200_000:
-                    yield _rows(np.fromiter(known, np.int64, len(known)), np.stack([*known.values()]).T)
-                    known = {}
-        hit = sums[0] > 0
-        yield _rows(word[hit], sums[:, hit])
-        if known:
-            yield _rows(np.fromiter(known, np.int64, len(known)), np.stack([*known.values()]).T)
-
-    return docs.select("marks").mapInArrow(run, "word long, n double, s double, q double").groupBy("word").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-
-
-def _rows(word: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(word), *(pa.array(x) for x in sums)], names=["word", "n", "s", "q"])
-
+def _levels(place: np.ndarray, sizes: np.ndarray, level: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Level of each document, given as the places of its words, or NaN for one without words that have a level."""
+    w = weight[place]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.bincount(doc, w, len(sizes))
+    value = np.bincount(doc, w * level[place], len(sizes))
+    return np.where(total > 0, value / np.where(total > 0, total, 1.0), np.nan)
 
-def _scores_joined(docs: DataFrame, words: DataFrame) -> DataFrame:
-    edges = docs.select("doc", F.explode("marks").alias("word")).join(words, "word")
-    return edges.groupBy("doc").agg((F.sum(F.col("weight") * F.col("level")) / F.sum("weight")).alias("level"))
 
+def _vocabulary(docs: DataFrame, graded: np.ndarray, share: float) -> np.ndarray:
+    """Sorted hashes of the words that at least `share` of the documents hold (two at least), and those of graded texts."""
 
-def _round_joined(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """The same sums by shuffled joins, for any number of words."""
-    levels = _scores_joined(docs, words)
-    return docs.join(levels, "doc").select(F.explode("marks").alias("word"), "level").groupBy("word").agg(F.count("*").cast("double").alias("n"), F.sum("level").alias("s"), F.sum(F.col("level") * F.col("level")).alias("q"))
+    def count(batches):
+        """Words and documents that hold them, summed per task; (null, documents)."""
+        seen: list[np.ndarray] = []
+        rows = held = 0
 
+        def flush():
+            word, n = np.unique(np.concatenate(seen), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
 
-def reading_levels(docs: DataFrame, id_col: str, text_col: str, graded: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+        for b in batches:
+            flat, _ = _lists(b.column("marks"))
+            seen.append(flat)
+            rows, held = rows + b.num_rows, held + len(flat)
+            if held > 5_000_000:
+                yield flush()
+                seen, held = [], 0
+        if seen:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows])], names=["word", "n"])
+
+    counts = materialise(docs.select("marks").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "reading-counts")
+    total = counts.where("word is null").first()
+    least = max(2.0, share * (total.n if total else 0))
+    kept = counts.where(F.col("word").isNotNull() & (F.col("n") >= least)).select("word").toPandas()["word"].to_numpy(np.int64)  # mean words / SHARE at most
+    return np.union1d(kept, graded)
+
+
+@dataclass(frozen=True)
+class ReadingLevels:
+    """levels: doc_id, n_words, level, band. rounds taken, and the largest change of a word's level in the last one."""
+
+    levels: DataFrame
+    rounds: int
+    change: float
+
+
+def reading_levels(
+    docs: DataFrame, id_col: str, text_col: str, graded: DataFrame, share: float = SHARE, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS
+) -> ReadingLevels:
     """doc_id, n_words, level (0 easy .. 3 expert, continuous) and band of every document of English prose.
 
     graded: item_id, band, text; a control table. Texts are read whole; English and prose are told by the text itself.
+    share: see the module's text. Rounds end when no level moves by more than `tolerance`, or after most_rounds.
 
     Defined cases. Null, blank, foreign or tabular texts and texts under LEAST_WORDS words: no row. Null id: no row.
     Repeated ids: each row has its result. No graded text of any band: empty result. Bands other than BANDS and graded
@@ -148,10 +157,13 @@ def reading_levels(docs: DataFrame, id_col: str, text_col: str, graded: DataFram
     levels. Empty documents: empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = [(BANDS.index(r.band), prose_words(r.text) or [w.lower() for w in _WORD.findall(r.text or "")], r.text) for r in collect_control(graded.select("band", "text")) if r.band in BANDS]
-    rows = [(y, marks(html.unescape(t), w)) for y, w, t in rows if w]
+    told = [(r.band, r.text or "") for r in collect_control(graded.select("band", "text")) if r.band in BANDS]
+    read_graded = [(BANDS.index(b), html.unescape(t), prose_words(t) or [w.lower() for w in _WORD.findall(t)]) for b, t in told]
+    rows = [(y, np.array(marks(t, w), np.int64)) for y, t, w in read_graded if w]
     kind = docs.schema[id_col].dataType.simpleString()
     base = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).where("doc_id is not null and text is not null")
+    if not rows:
+        return ReadingLevels(spark.createDataFrame([], f"doc_id {kind}, n_words int, level double, band string"), 0, 0.0)
 
     def read(batches):
         for b in batches:
@@ -161,46 +173,97 @@ def reading_levels(docs: DataFrame, id_col: str, text_col: str, graded: DataFram
                 if w:
                     keep.append(i)
                     n.append(len(w))
-                    found.append(marks(html.unescape(t), w))
+                    found.append(marks(html.unescape(t) if "&" in t else t, w))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_words", "marks"])
 
-    if not rows:
-        return spark.createDataFrame([], f"doc_id {kind}, n_words int, level double, band string")
-    read_docs = materialise(base.mapInArrow(read, f"doc_id {kind}, n_words int, marks array<long>").withColumn("doc", F.monotonically_increasing_id()), "reading-docs")
-
-    graded_words: dict[int, list[float]] = {}
-    for y, m in rows:
-        for w in m:
-            graded_words.setdefault(w, []).append(float(y))
-    tied = spark.createDataFrame([(w, float(len(v)), float(np.mean(v)), float(np.var(v))) for w, v in graded_words.items()], "word long, g double, m double, v double")
-    words = materialise(_next(spark, spark.createDataFrame([], "word long, n double, s double, q double"), tied), "reading-words0")
-    sent = True
-    for k in range(1, ROUNDS + 1):
-        sent = words.count() <= vocabulary
-        sums = _round_sent(read_docs, words) if sent else _round_joined(read_docs, words)
-        words = materialise(_next(spark, sums, tied), f"reading-words{k}")
-
-    # the same step for the graded texts, to find the borders: their words are few, so only those are fetched
-    own = spark.createDataFrame([(w,) for w in graded_words], "word long")
-    got = words.join(F.broadcast(own), "word", "left_semi").toPandas().sort_values("word")
-    flat, sizes = np.concatenate([np.array(m, dtype=np.int64) for _, m in rows]), np.array([len(m) for _, m in rows])
-    s, _, _ = _levels(flat, sizes, got["word"].to_numpy(), got["level"].to_numpy(), got["weight"].to_numpy())
-    means = {y: float(np.nanmean([v for v, (z, _) in zip(s, rows) if z == y])) for y in sorted({y for y, _ in rows})}
+    marked = materialise(base.mapInArrow(read, f"doc_id {kind}, n_words int, marks array<long>"), "reading-marks")
+    word = _vocabulary(marked, np.unique(np.concatenate([m for _, m in rows])), share)
+    size = len(word)
+    sent_words = spark.sparkContext.broadcast(word)
+
+    def place(batches):
+        """The places of each document's words in the vocabulary."""
+        for b in batches:
+            flat, sizes = _lists(b.column("marks"))
+            at = np.minimum(np.searchsorted(sent_words.value, flat), size - 1)
+            there = sent_words.value[at] == flat
+            ends = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(sizes)])]
+            column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[there].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), column], names=["doc_id", "n_words", "places"])
+
+    placed = materialise(marked.mapInArrow(place, f"doc_id {kind}, n_words int, places array<int>"), "reading-places")
+
+    # what graded texts say of each word: how many (g), their mean (m) and variance (v)
+    at = np.concatenate([np.searchsorted(word, m) for _, m in rows])
+    grade = np.concatenate([np.full(len(m), float(y)) for y, m in rows])
+    g = np.bincount(at, minlength=size).astype(float)
+    one = np.maximum(g, 1.0)
+    m = np.bincount(at, grade, size) / one
+    v = np.maximum(np.bincount(at, grade**2, size) / one - m * m, 0.0)
+    level, weight = m.copy(), np.where(g > 0, 1.0 / (v + EASE), 0.0)
+    mean = np.zeros(size)
+    n = np.zeros(size)
+
+    def sums(level: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of each word: documents with a level that hold it, the sum of their levels and of the squares."""
+        sent = spark.sparkContext.broadcast((level, weight))
+
+        def run(batches):
+            total = np.zeros((3, size))
+            for b in batches:
+                flat, sizes = _lists(b.column("places"))
+                s = np.repeat(_levels(flat, sizes, *sent.value), sizes)
+                use = ~np.isnan(s)
+                flat, s = flat[use], s[use]
+                total += [np.bincount(flat, x, size) for x in (np.ones(len(s)), s, s * s)]
+            hit = np.flatnonzero(total[0])
+            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), *(pa.array(x[hit]) for x in total)], names=["place", "n", "s", "q"])
+
+        added = placed.select("places").mapInArrow(run, "place int, n double, s double, q double").groupBy("place").agg(*(F.sum(c).alias(c) for c in "nsq")).toPandas()
+        out = np.zeros((3, size))
+        out[:, added["place"].to_numpy(np.int64)] = added[["n", "s", "q"]].to_numpy(float).T
+        sent.destroy()
+        return out
+
+    pull = g / (g + TIE)
+    rounds, change = 0, np.inf
+    while rounds < most_rounds and change > tolerance:
+        n, total, squares = sums(level, weight)
+        has = n > 0
+        mean = np.where(has, total / np.maximum(n, 1.0), m)
+        moved = np.where(g > 0, np.where(has, pull * m + (1 - pull) * mean, m), mean)
+        if rounds < SETTING:
+            apart = np.maximum(squares / np.maximum(n, 1.0) - mean * mean, 0.0)
+            vary = np.where(g > 0, np.where(has, pull * v + (1 - pull) * apart, v), apart)
+            weight = np.where((g > 0) | (n > 1), 1.0 / (vary + EASE), 0.0)
+        rounds += 1
+        change = float(np.abs(np.where(weight > 0, moved - level, 0.0)).max()) if rounds > 1 else np.inf
+        level = moved
+
+    # borders: each graded text is scored by its words without its own grade
+    own_level = {}
+    for y, ms in rows:
+        p = np.searchsorted(word, ms)
+        others = g[p] - 1
+        rest = (g[p] * m[p] - y) / np.maximum(others, 1.0)
+        tied = np.where(n[p] > 0, (others * rest + TIE * mean[p]) / (others + TIE), rest)
+        w = np.where((others > 0) | (n[p] > 1), weight[p], 0.0)
+        if w.sum() > 0:
+            own_level.setdefault(y, []).append(float((w * tied).sum() / w.sum()))
+    means = {y: float(np.mean(x)) for y, x in sorted(own_level.items())}
+    if not means:  # the words of each graded text are its own
+        means = {y: float(y) for y, _ in rows}
     there = sorted(means)
     middle = float(np.mean([y for y, _ in rows]))
-    if words.count() <= vocabulary:
-        all_words = words.toPandas().sort_values("word")
-        known = spark.sparkContext.broadcast((all_words["word"].to_numpy(), all_words["level"].to_numpy(), all_words["weight"].to_numpy()))
+    known = spark.sparkContext.broadcast((level, weight))
 
-        def finish(batches):
-            for b in batches:
-                flat, sizes = _lists(b.column("marks"))
-                s, _, _ = _levels(flat, sizes, *known.value)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(np.where(np.isnan(s), middle, s))], names=["doc_id", "n_words", "level"])
+    def finish(batches):
+        for b in batches:
+            flat, sizes = _lists(b.column("places"))
+            s = _levels(flat, sizes, *known.value)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(np.where(np.isnan(s), middle, s))], names=["doc_id", "n_words", "level"])
 
-        scored = read_docs.select("doc_id", "n_words", "marks").mapInArrow(finish, f"doc_id {kind}, n_words int, level double")
-    else:
-        scored = read_docs.join(_scores_joined(read_docs, words), "doc", "left").select("doc_id", "n_words", F.coalesce("level", F.lit(middle)).alias("level"))
+    scored = placed.mapInArrow(finish, f"doc_id {kind}, n_words int, level double")
     # piecewise linear from the graded texts' means to the levels 0 .. 3
     x = F.col("level")
     band, scale = F.lit(BANDS[there[0]]), F.lit(float(there[0]))
@@ -208,4 +271,4 @@ def reading_levels(docs: DataFrame, id_col: str, text_col: str, graded: DataFram
         band = F.when(x >= (means[a] + means[b]) / 2, F.lit(BANDS[b])).otherwise(band)
         width = max(means[b] - means[a], 1e-9)
         scale = F.when(x >= means[a], F.least(a + (x - means[a]) / width * (b - a), F.lit(float(b)))).otherwise(scale)
-    return scored.select("doc_id", "n_words", F.round(scale, 4).alias("level"), band.alias("band"))
+    return ReadingLevels(scored.select("doc_id", "n_words", F.round(scale, 4).alias("level"), band.alias("band")), rounds, change)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Largest number of rows that any helper collects or broadcasts as a control table.
 CONTROL_ROWS = 10_000
+#: Bytes beyond which no input is dealt out anew, however many cores there are.
+SMALL_BYTES = 256 << 20
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -42,13 +44,18 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(root.rglob("*")):
                 if p.suffix in (".py", ".json") and "__pycache__" not in p.parts:
                     z.write(p, p.relative_to(root.parent))
-        place = Path(tempfile.mkdtemp(prefix="medlattice-py-")) / "medlattice.zip"  # the driver serves it to the executors
+        folder = tempfile.TemporaryDirectory(prefix="medlattice-py-")  # the driver serves it to the executors; deleted when Python ends
+        place = Path(folder.name) / "medlattice.zip"
         place.write_bytes(packed.getvalue())
+        _PACKED.append(folder)
         context.addPyFile(str(place))
         context._medlattice_shipped = True
     return spark
 
 
+_PACKED: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
@@ -70,19 +77,31 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL_DIR: tempfile.TemporaryDirectory | None = None
 
 
+def _own_folder(spark: SparkSession):
+    """(path, file system) of this application's tables in the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/medlattice/{spark.sparkContext.applicationId}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: its lineage is cut, and a lost executor costs nothing."""
+    """df written as a Parquet table in the shared folder and read again: its lineage is cut, and a lost executor costs nothing.
+
+    The tables of an application lie in a folder of its own, which is deleted when its driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/medlattice/{name}-{uuid.uuid4().hex}"
+    folder, files = _own_folder(spark)
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    path = f"{folder.toString()}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialised(spark: SparkSession) -> None:
-    """Delete what materialise() wrote; call it when no result that reads those tables is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/medlattice")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what materialise() wrote in this application; call it when no result that reads those tables is needed any more."""
+    folder, files = _own_folder(spark)
+    files.delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,9 +110,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores: an input of fewer is small, and cheap to deal out evenly."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """df dealt out to all cores if its files are too small for a scan to give each core a split, else df as it is.
+
+    A scan makes splits of spark.sql.files.openCostInBytes at least, so fewer bytes than that times the cores (and than
+    SMALL_BYTES) leave cores idle. Only the plan's file sizes are looked at: no job runs, and no large input is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if size < min(cores * least, SMALL_BYTES) else df
 
 
 def collect_control(df: DataFrame, most: int = CONTROL_ROWS) -> list:

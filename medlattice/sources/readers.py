@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import glob
-import os
+import time
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -62,12 +61,14 @@ def parse_articles(xml: DataFrame, column: str) -> DataFrame:
     author = lambda a: F.trim(F.concat_ws(" ", F.when(a["fore"] != "", a["fore"]), a["last"]))
     names = F.from_xml(F.concat(F.lit("<l>"), F.array_join(F.regexp_extract_all(x, F.lit(r"(?s)<Author\b[^>]*>.*?</Author>"), 0), ""), F.lit("</l>")), "Author array<struct<LastName string, ForeName string>>")
     authors = F.transform(F.filter(F.coalesce(names["Author"], F.array().cast("array<struct<LastName string, ForeName string>>")), lambda a: a["LastName"].isNotNull()), lambda a: author(F.struct(F.coalesce(a["ForeName"], F.lit("")).alias("fore"), a["LastName"].alias("last"))))
-    path = lambda p: F.xpath_string(x, F.lit(p))
-    return xml.select(path("//PMID[1]").alias("pubmed_id"), path("//ArticleTitle[1]").alias("title"), path("(//AbstractText)[1]").alias("abstract"), path("//Journal/Title").alias("journal"), path("//PubDate/Year").alias("year"), authors.alias("authors"))
+    # one parse gives all text fields, parted by a character that XML can't hold
+    places = {"pubmed_id": "(//PMID)[1]", "title": "(//ArticleTitle)[1]", "abstract": "(//AbstractText)[1]", "journal": "(//Journal/Title)[1]", "year": "(//PubDate/Year)[1]"}
+    told = F.split(F.xpath_string(x, F.lit("concat(" + ", '\x01', ".join(places.values()) + ")")), "\x01")
+    return xml.select(told.alias("told"), authors.alias("authors")).select(*(F.get("told", F.lit(i)).alias(n) for i, n in enumerate(places)), "authors")
 
 
 _TRIAL = (
-    "FullStudiesResponse struct<FullStudies array<struct<Study struct<status string, ProtocolSection struct<IdentificationModule struct<NCTId string, BriefTitle string>, "
+    "FullStudiesResponse struct<FullStudies array<struct<Study struct<StatusModule struct<OverallStatus string>, ProtocolSection struct<IdentificationModule struct<NCTId string, BriefTitle string>, "
     "DesignModule struct<PhaseList struct<Phase array<string>>>, ConditionsModule struct<ConditionList struct<Condition array<string>>>, "
     "ArmsInterventionsModule struct<InterventionList struct<Intervention array<struct<InterventionType string, InterventionName string>>>>, "
     "DescriptionModule struct<BriefSummary string, DetailedDescription string>, EligibilityModule struct<EligibilityCriteria string>>>>>>"
@@ -81,7 +82,7 @@ def parse_trials(replies: DataFrame, column: str) -> DataFrame:
     listed = lambda p: F.coalesce(F.col(f"s.ProtocolSection.{p}"), F.array().cast("array<string>"))
     kinds = "array<struct<intervention_type string, intervention_name string>>"
     return study.select(
-        text("ProtocolSection.IdentificationModule.NCTId").alias("nct_id"), text("ProtocolSection.IdentificationModule.BriefTitle").alias("title"), text("status").alias("status"),
+        text("ProtocolSection.IdentificationModule.NCTId").alias("nct_id"), text("ProtocolSection.IdentificationModule.BriefTitle").alias("title"), text("StatusModule.OverallStatus").alias("status"),
         listed("DesignModule.PhaseList.Phase").alias("phase"), listed("ConditionsModule.ConditionList.Condition").alias("conditions"),
         F.coalesce(F.col("s.ProtocolSection.ArmsInterventionsModule.InterventionList.Intervention").cast(kinds), F.array().cast(kinds)).alias("interventions"),
         text("ProtocolSection.DescriptionModule.BriefSummary").alias("brief_summary"), text("ProtocolSection.DescriptionModule.DetailedDescription").alias("detailed_description"), text("ProtocolSection.EligibilityModule.EligibilityCriteria").alias("eligibility_criteria"))
@@ -103,6 +104,9 @@ def cache_key(query: Column, max_results: Column | None = None, by_id: bool = Fa
     return key if max_results is None else F.concat(key, F.lit("_"), max_results.cast("string"))
 
 
+# The texts of the two simulated sources.
+
+
 def mock_articles(questions: DataFrame, k: int) -> DataFrame:
     """K simulated articles per question (question_id, question), rank from 0."""
     q = F.coalesce(F.get(words(F.col("question")), F.lit(0)), F.lit(""))
@@ -132,29 +136,50 @@ class _File(InputPartition):
         self.path = path
 
 
+def _files(path: str) -> tuple:
+    """(file system, place) of a path with or without a scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class _SnapshotReader(DataSourceReader):
-    def __init__(self, path: str, query: list[str], most: int):
-        self.path, self.query, self.most = path, query, most
+    def __init__(self, path: str, query: list[str], most: int, gap: float):
+        self.path, self.query, self.most, self.gap = path, query, most, gap
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in sorted(glob.glob(os.path.join(self.path, "*.parquet"))) or [self.path]]
+        from pyarrow import fs
+
+        store, place = _files(self.path)
+        if store.get_file_info(place).type == fs.FileType.File:
+            return [_File(self.path)]
+        found = [f.path for f in store.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet")]
+        head = self.path[: self.path.index("://") + 3] if "://" in self.path else ""
+        return [_File(head + f) for f in sorted(found)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """The best `most` of a file: most words of the query first, ties by id."""
+        import heapq
+
+        import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
-        for batch in pq.ParquetFile(partition.path).iter_batches(columns=["pubmed_id", "title", "abstract"]):
-            for r in batch.to_pylist():
-                text = f"{r['title'] or ''} {r['abstract'] or ''}".lower()
-                hits = sum(w in text for w in self.query)
-                if hits:
-                    yield r["pubmed_id"], hits
+        Spacer(self.gap).wait()
+        store, place = _files(partition.path)
+        best: list[tuple[int, str]] = []
+        for batch in pq.ParquetFile(store.open_input_file(place)).iter_batches(columns=["pubmed_id", "title", "abstract"]):
+            text = pc.utf8_lower(pc.binary_join_element_wise(*(pc.fill_null(batch.column(c), "") for c in ("title", "abstract")), " "))
+            hits = [pc.match_substring(text, w).to_numpy(zero_copy_only=False) for w in self.query]
+            told = sum((h.astype(int) for h in hits), 0 * hits[0].astype(int)) if hits else []
+            best = heapq.nsmallest(self.most, best + [(-int(n), i) for n, i in zip(told, batch.column("pubmed_id").to_pylist()) if n and i is not None])
+        yield from ((i, -n) for n, i in best)
 
 
 class ArticleSearch(DataSource):
-    """A search over an offline snapshot of articles: option path (Parquet file or folder), query; columns pubmed_id, hits.
+    """A search over an offline snapshot of articles; columns pubmed_id, hits (words of the query that an article holds).
 
-    Register with spark.dataSource.register(ArticleSearch) and read with format("article_search"); the caller keeps the
-    best with orderBy(hits).limit(k). A live service would be asked here, with its own spacing of requests (S12).
+    Options: path (Parquet file or folder, of any file system that Arrow knows), query, most (rows of each file at most), gap
+    (seconds between requests, S12). search_articles() registers it and keeps the best of all files.
     """
 
     @classmethod
@@ -165,19 +190,44 @@ class ArticleSearch(DataSource):
         return "pubmed_id string, hits int"
 
     def reader(self, schema) -> DataSourceReader:
-        return _SnapshotReader(self.options["path"], self.options.get("query", "").lower().split(), int(self.options.get("most", SEARCH_DEFAULT)))
+        o = self.options
+        return _SnapshotReader(o["path"], o.get("query", "").lower().split(), int(o.get("most", SEARCH_DEFAULT)), float(o.get("gap", 0)))
+
+
+def search_articles(spark: SparkSession, path: str, query: str, most: int = SEARCH_DEFAULT, gap: float = 0.0) -> DataFrame:
+    """pubmed_id and hits of the `most` articles of a snapshot that hold most words of the query, ties by id."""
+    spark.dataSource.register(ArticleSearch)
+    options = {"path": path, "query": query, "most": str(most), "gap": str(gap)}
+    return spark.read.format("article_search").options(**options).load().orderBy(F.desc("hits"), "pubmed_id").limit(most)
+
+
+def bulk_download(terms: list[str], snapshot: DataFrame, most: int = 100) -> DataFrame:
+    """Pmid, title, abstract and query of the articles that hold most words of each term, `most` per term, ties by id.
+
+    Terms are a control list. Articles meet them by the words of the terms only, in one pass over the snapshot.
+    """
+    spark = snapshot.sparkSession
+    asked = [(t, w) for t in dict.fromkeys(terms) for w in dict.fromkeys(t.lower().split())]
+    wanted = F.broadcast(spark.createDataFrame(asked, "query string, word string"))  # the words of the terms
+    once = snapshot.where("pubmed_id is not null").groupBy("pubmed_id").agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"))).alias("a"))
+    text = F.lower(F.concat_ws(" ", "a.title", "a.abstract"))
+    held = once.select("pubmed_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), 0))).alias("word")).join(wanted, "word")
+    hits = held.groupBy("query", "pubmed_id").agg(F.count("*").alias("hits"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hits"), "pubmed_id"))
+    top = hits.withColumn("at", best).where(F.col("at") <= most)
+    return top.join(once, "pubmed_id").select(F.col("pubmed_id").alias("pmid"), "a.title", "a.abstract", "query")
 
 
 class Spacer:
-    """Waits so that calls in one reader are at least `gap` seconds apart."""
+    """Waits so that the requests of one Python process are at least `gap` seconds apart."""
+
+    _last = 0.0
 
     def __init__(self, gap: float):
-        self.gap, self.last = gap, 0.0
+        self.gap = gap
 
     def wait(self) -> None:
-        import time
-
-        rest = self.last + self.gap - time.monotonic()
-        if rest > 0:
+        rest = Spacer._last + self.gap - time.monotonic()
+        if Spacer._last and rest > 0:
             time.sleep(rest)
-        self.last = time.monotonic()
+        Spacer._last = time.monotonic()

@@ -19,6 +19,13 @@ def write_texts(df: DataFrame, text: str, path: str) -> None:
     df.where(F.col(text).isNotNull()).select(F.regexp_replace(text, "\n", r"\\n").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_pairs(refined: DataFrame, path: str) -> None:
+    """Of each refined document its text, in a folder `texts/document_id=...`, and what else is known of it, in JSON under `metadata`."""
+    texts = refined.where("final_synthetic_data is not null").select("document_id", F.col("final_synthetic_data").alias("value"))
+    texts.write.mode("overwrite").partitionBy("document_id").text(f"{path}/texts")
+    refined.drop("final_synthetic_data").write.mode("overwrite").json(f"{path}/metadata")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """S18."""
     df.write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True)

@@ -1,5 +1,6 @@
 import json
 import math
+import time
 from decimal import Decimal
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from medlattice import cli
 from medlattice.config import load_config
 from medlattice.functions.registry import register
 from medlattice.plans import ORACLE, QUERIES, reference
+from medlattice.session import drop_materialised, materialise, shared_dir, spread
 from medlattice.sources import readers as S
 from medlattice.sources import sinks as K
 from medlattice.streaming.streams import leakage_by_window, redact_stream
@@ -49,6 +51,46 @@ def test_search_source(spark, tmp_path):
     spark.dataSource.register(S.ArticleSearch)
     got = spark.read.format("article_search").option("path", str(tmp_path)).option("query", "gout cure").load()
     assert {r.pubmed_id: r.hits for r in got.collect()} == {"1": 1, "2": 2}
+    pq.write_table(pa.table({"pubmed_id": [f"9{i}" for i in range(20)], "title": ["gout"] * 20, "abstract": ["cure"] * 20}), tmp_path / "b.parquet")
+    assert [r.pubmed_id for r in S.search_articles(spark, f"file://{tmp_path}", "gout cure", 3).collect()] == ["2", "90", "91"]
+    assert S.search_articles(spark, str(tmp_path / "a.parquet"), "gout", 5).count() == 2 and S.search_articles(spark, str(tmp_path), "", 5).count() == 0
+
+
+def test_spacing_of_requests():
+    began = time.monotonic()
+    for _ in range(3):
+        S.Spacer(0.05).wait()
+    assert time.monotonic() - began >= 0.1
+
+
+def test_bulk_download(spark):
+    rows = [("1", "Gout in adults", "cure of gout"), ("2", None, "gout"), ("3", "cure", None), (None, "gout cure", "x"), ("1", "Gout in adults", "cure of gout")]
+    got = S.bulk_download(["gout cure", "none at all"], spark.createDataFrame(rows, "pubmed_id string, title string, abstract string"), 2)
+    assert sorted((r.pmid, r.query) for r in got.collect()) == [("1", "gout cure"), ("2", "gout cure")]
+
+
+def test_trial_status_comes_from_the_status_module(spark):
+    reply = {"FullStudiesResponse": {"FullStudies": [{"Study": {"StatusModule": {"OverallStatus": "Recruiting"}, "ProtocolSection": {"IdentificationModule": {"NCTId": "NCT1"}}}}, {"Study": {}}]}}
+    got = S.parse_trials(spark.createDataFrame([(json.dumps(reply),), ("no json",), (None,)], "reply string"), "reply").collect()
+    assert sorted((r.nct_id, r.status, r.phase) for r in got) == [("", "", []), ("NCT1", "Recruiting", [])]
+    assert S.trial_by_id(spark.createDataFrame([("a", 1), ("b", 2)], "nct_id string, x int"), "b").first().x == 2
+
+
+def test_tables_of_an_application_lie_in_its_own_folder(spark):
+    kept = materialise(spark.range(3), "kept")
+    assert spark.sparkContext.applicationId in kept.inputFiles()[0] and kept.count() == 3
+    other = Path(shared_dir(spark).removeprefix("file://")) / "medlattice/another-application/t"
+    other.mkdir(parents=True)
+    drop_materialised(spark)
+    assert other.exists() and not Path(kept.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_small_inputs_are_dealt_out_without_a_job(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "small"))
+    small = spark.read.parquet(str(tmp_path / "small"))
+    assert "RoundRobin" in spread(small)._jdf.queryExecution().toString()
+    rows = spark.createDataFrame([(1,)], "a int")
+    assert "RoundRobin" not in spread(rows)._jdf.queryExecution().toString()  # of unknown size: left alone
 
 
 def test_sinks(spark, tmp_path):
@@ -96,7 +138,14 @@ def test_config_and_cli(spark, tmp_path, capsys):
     cli.main(["redact", str(tmp_path / "in"), str(tmp_path / "out")])
     assert "REDACTED EMAIL" in spark.read.json(str(tmp_path / "out")).first().text
     cli.main(["refine", str(tmp_path / "in"), str(tmp_path / "out2")])
-    assert spark.read.json(str(tmp_path / "out2")).first().is_safe
+    assert spark.read.json(str(tmp_path / "out2/metadata")).first().is_safe and spark.read.text(str(tmp_path / "out2/texts")).first().value == "mail [email]"
+    cli.main(["build", str(tmp_path / "in"), str(tmp_path / "index")])
+    (tmp_path / "q.json").write_text('[{"question_id": "1", "question": "Which mail is it?", "exact_answer": "yes", "ideal_answer": "a mail", "type": "yesno", "source": "s"}]')
+    cli.main(["qa", str(tmp_path / "index"), str(tmp_path / "q.json"), str(tmp_path / "qa")])
+    assert "According to" in spark.read.json(str(tmp_path / "qa")).first().answer
+    cli.main(["pipeline", str(tmp_path / "in"), str(tmp_path / "q.json"), str(tmp_path / "run")])
+    assert spark.read.json(str(tmp_path / "run/report")).first().privacy_protection in ("High", "Medium", "Low")
+    assert spark.read.json(str(tmp_path / "run/accuracy")).where("level = 'overall'").first().questions == 1
 
 
 def plain(v):
@@ -136,7 +185,7 @@ def test_clinical_operators_read_whole_records(spark):
 def test_every_article_survives_xml(spark, tmp_path):
     rows = [("1", "a < b & c > d", "one\r\ntwo\rthree &amp; <b>", "J & K", "2020", ["O'Neil & <Son>"]), ("2", "plain", None, None, None, None), ("3", None, "x\ty", "J", "2021", [])]
     spark.createDataFrame(rows, "pubmed_id string, title string, abstract string, journal string, pub_year string, authors array<string>").write.parquet(str(tmp_path / "articles.parquet"))
-    got = sorted(tuple(r) for r in QUERIES["s7_parse_every_article"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in QUERIES["s7_parse_articles"](spark, str(tmp_path)).collect())
     assert got == [(i, t or "", a or "", j or "", y or "", n[0] if n else "") for i, t, a, j, y, n in rows]
 
 

@@ -36,12 +36,13 @@ def structured_answers(questions: DataFrame, info: DataFrame) -> DataFrame:
     """question_id, answer from the key sentences of each question's first documents; info as given by relevant()."""
     year, authors, title = (F.coalesce(c, F.lit(d)) for c, d in (("year", "Unknown"), ("authors", "Unknown"), ("title", "")))
     order = Window.partitionBy("question_id").orderBy("rank")
-    numbered = info.select("question_id", "rank", F.coalesce("contains_synthetic_data", F.lit(False)).alias("synthetic"), "key_sentences", year.alias("y"), authors.alias("a"), title.alias("t")).withColumn("n", F.row_number().over(order))
-    flags = numbered.groupBy("question_id").agg(F.max("synthetic").alias("any_synthetic"))
-    first = numbered.where(F.col("n") <= ANSWER_DOCUMENTS)
+    told = info.select("question_id", "rank", F.coalesce("contains_synthetic_data", F.lit(False)).alias("synthetic"), "key_sentences", year.alias("y"), authors.alias("a"), title.alias("t"))
+    some = F.max("synthetic").over(Window.partitionBy("question_id"))  # of all documents, not only of those shown
+    first = told.withColumn("n", F.row_number().over(order)).withColumn("any_synthetic", some).where(F.col("n") <= ANSWER_DOCUMENTS)
     said = F.concat(F.lit("According to "), F.col("a"), F.lit(" ("), F.col("y"), F.lit("):\n"), F.array_join(F.transform("key_sentences", lambda s: F.concat(F.lit("- "), s, F.lit(".\n"))), ""), F.lit("\n"))
     cited = F.concat(F.lit("["), F.col("n"), F.lit("] "), F.col("a"), F.lit(" ("), F.col("y"), F.lit("). "), F.col("t"), F.lit(".\n"))
-    parts = first.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("n", said.alias("s"), cited.alias("c")))).alias("p")).join(flags, "question_id")  # ANSWER_DOCUMENTS per question
+    shown = F.sort_array(F.collect_list(F.struct("n", said.alias("s"), cited.alias("c")))).alias("p")  # ANSWER_DOCUMENTS per question
+    parts = first.groupBy("question_id").agg(shown, F.max("any_synthetic").alias("any_synthetic"))
     join = lambda f: F.array_join(F.transform("p", lambda x: x[f]), "")
     text = F.concat(F.lit(INTRO[0]), F.col("question"), F.lit(INTRO[1]), join("s"), F.when(F.col("any_synthetic"), F.lit(SYNTHETIC_NOTE)).otherwise(F.lit("")), F.lit("\nReferences:\n"), join("c"))
     return questions.select("question_id", "question").join(parts, "question_id", "left").select("question_id", "question", F.when(F.col("p").isNull(), F.concat(F.lit(NOT_FOUND), F.col("question"))).otherwise(text).alias("answer"))

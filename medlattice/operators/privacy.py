@@ -59,6 +59,18 @@ def match_count(text: Column, types: tuple[str, ...]) -> Column:
     return sum((F.regexp_count(text, F.lit(p)) for t, p, _ in PII_PATTERNS if t in types), F.lit(0))
 
 
+def counts_by_type(df: DataFrame, text: str, level: str = "strict") -> DataFrame:
+    """pii_type, matches and texts with a match, for every type of the level."""
+    kinds = patterns(level)
+    each = F.array(*(F.struct(F.lit(t).alias("pii_type"), F.size(all_matches(F.col(text), p)).alias("n")) for t, p in kinds))
+    rows = df.select(F.explode(each).alias("e")).select("e.*")
+    found = rows.groupBy("pii_type").agg(
+        F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).cast("long").alias("matches"), F.count_if(F.col("n") > 0).alias("texts"))
+    every = df.sparkSession.createDataFrame([(t,) for t, _ in kinds], "pii_type string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return every.join(found, "pii_type", "left").select("pii_type", zero("matches"), zero("texts"))
+
+
 def redact(text: Column, level: str) -> Column:
     """Types are found in the original text and replaced one type after the other, every occurrence of each match."""
     kinds = patterns(level)
@@ -137,33 +149,37 @@ def attribute_lines(values: Column) -> Column:
     return F.array_join(F.transform(F.map_entries(values), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"])), "\n")
 
 
-class Assessor(Protocol):
-    def assess(self, synthetic: str, original: str) -> tuple[bool, list[str], str, list[str]]: ...
+class Generator(Protocol):
+    def generate(self, originals: list[str]) -> list[str]: ...
 
 
-class Rewriter(Protocol):
-    def refine(self, synthetic: str, feedback: list[str]) -> str: ...
+class Assessor(Protocol):
+    """(is_safe, feedback, risk_level, pii_detected) of each text."""
 
+    def assess(self, synthetics: list[str], originals: list[str]) -> list[tuple[bool, list[str], str, list[str]]]: ...
 
-class Generator(Protocol):
-    def generate(self, original: str) -> str: ...
+
+class Rewriter(Protocol):
+    def refine(self, synthetics: list[str], feedback: list[list[str]]) -> list[str]: ...
 
 
 class RuleBackend:
     """Deterministic generator, assessor and rewriter: the text is safe when no standard pattern is left; a rewrite removes one type."""
 
-    def generate(self, original: str) -> str:
-        return original
+    def generate(self, originals: list[str]) -> list[str]:
+        return list(originals)
 
-    def assess(self, synthetic: str, original: str) -> tuple[bool, list[str], str, list[str]]:
-        found = [t for t, p in patterns("standard") if re.search(p, synthetic)]
-        return not found, [f"remove {t}" for t in found], "low" if not found else "high" if len(found) > 2 else "medium", found
+    def assess(self, synthetics: list[str], originals: list[str]) -> list[tuple[bool, list[str], str, list[str]]]:
+        out = []
+        for text in synthetics:
+            found = [t for t, p in patterns("standard") if re.search(p, text)]
+            risk = "low" if not found else "high" if len(found) > 2 else "medium"
+            out.append((not found, [f"remove {t}" for t in found], risk, found))
+        return out
 
-    def refine(self, synthetic: str, feedback: list[str]) -> str:
-        if not feedback:
-            return synthetic
-        kind = feedback[0].removeprefix("remove ")
-        return re.sub(dict(patterns("standard"))[kind], f"[{kind}]", synthetic)
+    def refine(self, synthetics: list[str], feedback: list[list[str]]) -> list[str]:
+        kinds, by_kind = [f[0].removeprefix("remove ") if f else None for f in feedback], dict(patterns("standard"))
+        return [s if k is None else re.sub(by_kind[k], f"[{k}]", s) for s, k in zip(synthetics, kinds)]
 
 
 REFINED = (
@@ -175,25 +191,30 @@ REFINED = (
 def refine_documents(df: DataFrame, key: str, text: str, generator: Generator, assessor: Assessor, rewriter: Rewriter, max_iterations: int = 3) -> DataFrame:
     """Per document, assess and rewrite until safe or max_iterations rewrites; the last rewrite is not assessed again.
 
-    The loop runs within one Arrow pass, so that a model that isn't deterministic is asked once per step.
+    The loop runs within one Arrow pass, so that a model that isn't deterministic is asked once per step, and in batches.
     """
 
     def run(frames: Iterator):
         import pandas as pd
 
         for pdf in frames:
-            out = []
-            for k, original in zip(pdf["k"], pdf["t"]):
-                current, steps, safe, n = generator.generate(original), [], False, 0
-                while not safe and n < max_iterations:
-                    safe, feedback, risk, found = assessor.assess(current, original)
-                    steps.append({"iteration": n, "is_safe": safe, "feedback": feedback, "risk_level": risk, "pii_detected": found})
-                    if safe:
-                        break
-                    current = rewriter.refine(current, feedback)
-                    n += 1
-                out.append((k, len(original), len(current), safe, n, steps, current))
-            yield pd.DataFrame(out, columns=["document_id", "original_length", "synthetic_length", "is_safe", "iterations_required", "assessments", "final_synthetic_data"])
+            originals = pdf["t"].tolist()
+            current, n = generator.generate(originals), len(originals)
+            safe, steps, rewrites = [False] * n, [[] for _ in range(n)], [0] * n
+            active = list(range(n))
+            for at in range(max_iterations):  # the texts that are not safe yet go on together
+                told = assessor.assess([current[i] for i in active], [originals[i] for i in active]) if active else []
+                for i, (ok, feedback, risk, found) in zip(active, told):
+                    safe[i] = ok
+                    steps[i].append({"iteration": at, "is_safe": ok, "feedback": feedback, "risk_level": risk, "pii_detected": found})
+                active = [i for i in active if not safe[i]]
+                again = rewriter.refine([current[i] for i in active], [steps[i][-1]["feedback"] for i in active]) if active else []
+                for i, text in zip(active, again):
+                    current[i], rewrites[i] = text, rewrites[i] + 1
+            yield pd.DataFrame({
+                "document_id": pdf["k"], "original_length": [len(t) for t in originals], "synthetic_length": [len(t) for t in current], "is_safe": safe,
+                "iterations_required": rewrites, "assessments": steps, "final_synthetic_data": current,
+            })
 
     return df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(run, REFINED)
 

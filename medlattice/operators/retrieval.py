@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import replace_chain, trimmed
 
-#: Queries sent to every task at once (8 bytes x dimension each); more queries are searched in further passes.
-QUERY_BLOCK = 20_000
+#: Bytes of query vectors sent to every task at once, and of the distances that a task holds; more is searched in further passes.
+QUERY_BYTES, DISTANCE_BYTES = 32 << 20, 64 << 20
 EXTERNAL_SCORES = {"pubmed": 0.85, "clinical_trials": 0.80}
 SOURCE_ORDER = ("local", "pubmed", "clinical_trials")
 # Labels, abbreviations, query terms and section headings.
@@ -31,14 +31,16 @@ SECTIONS = [
 ]
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, block: int | None = None) -> DataFrame:
     """For each query (query_id long, embedding) the k nearest of the corpus (item_id long, embedding) by squared L2.
 
     Neighbours beyond `threshold` are dropped after the k are taken; ties go to the smaller id. Every task keeps the k
-    best of its partition per query, so that at most k rows per query and task are shuffled. Queries are sent in blocks.
+    best of its partition per query, so that at most k rows per query and task are shuffled. Queries are sent in blocks of
+    QUERY_BYTES (or of `block` queries), whatever their dimension.
     """
-    n = queries.count()
-    parts = max(1, -(-n // block))
+    held = queries.where("embedding is not null").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dimension")).first()
+    size = block or max(1, QUERY_BYTES // (8 * max(held.dimension or 1, k)))
+    parts = max(1, -(-held.n // size))
     tagged = queries.where("embedding is not null").select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"))
     found = None
     for p in range(parts):
@@ -50,6 +52,17 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | No
     return top if threshold is None else top.where(F.col("distance") <= threshold)
 
 
+def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest of each row of d, ties by id (one row of ids per row of d): a partition, and a sort only where ties cross it."""
+    if d.shape[1] <= k:
+        return np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    at = np.argpartition(d, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(d, at, 1).max(axis=1)
+    for row in np.flatnonzero((d <= edge[:, None]).sum(axis=1) > k):
+        at[row] = np.lexsort((ids[row], d[row]))[:k]
+    return at
+
+
 def _nearest_block(corpus: DataFrame, ids: np.ndarray, vectors: list[np.ndarray], k: int) -> DataFrame:
     queries = np.stack(vectors) if vectors else np.zeros((0, 1))
     sent = corpus.sparkSession.sparkContext.broadcast((ids, queries))
@@ -61,15 +74,18 @@ def _nearest_block(corpus: DataFrame, ids: np.ndarray, vectors: list[np.ndarray]
         if not len(ids):
             return
         best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), dtype="int64")
+        square = (q * q).sum(1)[:, None]
+        step = max(1, DISTANCE_BYTES // (8 * len(ids)))
         for pdf in frames:
             pdf = pdf[pdf["embedding"].notna()]
-            if pdf.empty:
-                continue
-            x, own = np.stack([np.asarray(v, dtype="float64") for v in pdf["embedding"]]), pdf["item_id"].to_numpy("int64")
-            d = np.maximum(0.0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * q @ x.T)
-            d, i = np.concatenate([best_d, np.round(d, 9)], axis=1), np.concatenate([best_i, np.broadcast_to(own, d.shape)], axis=1)
-            order = np.lexsort((i, d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                x, own = np.stack([np.asarray(v, dtype="float64") for v in part["embedding"]]), part["item_id"].to_numpy("int64")
+                d = np.round(np.maximum(0.0, square + (x * x).sum(1)[None, :] - 2.0 * q @ x.T), 9)
+                near = _smallest(d, np.broadcast_to(own, d.shape), k)
+                d, i = np.concatenate([best_d, np.take_along_axis(d, near, 1)], axis=1), np.concatenate([best_i, own[near]], axis=1)
+                near = _smallest(d, i, k)
+                best_d, best_i = np.take_along_axis(d, near, 1), np.take_along_axis(i, near, 1)
         m = best_d.shape[1]
         if m:
             yield pd.DataFrame({"query_id": np.repeat(ids, m), "item_id": best_i.ravel(), "distance": best_d.ravel()})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..session import collect_control
 
 # Lead-ins of instruction rows and the ranges of generated measurements.
 INSTRUCTIONS = {"pubmedqa": "Answer the following biomedical question based on research findings:", "medqa": "Answer the following medical question with a concise and accurate response:"}
@@ -37,16 +38,38 @@ def seeded_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def split_by_share(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """D3: split_name 'train' for the first int(n x share) rows in seeded order, 'test' for the rest.
+#: Rows that a bucket of equal leading hash digits should hold at most on average, when ranks are counted out.
+BUCKET_ROWS = 20_000
+
+
+def split_ranks(df: DataFrame, order: str, ties: str | None = None, group: str | None = None) -> DataFrame:
+    """Adds _rank (from 1) and _total by a hexadecimal column, in all or per group, without ordering all rows in one task.
 
-    Ranks come from counts per leading hash digits, so no task orders all rows.
+    Rows are counted per leading digits, of which there are as many as the size asks for; only buckets are ordered.
     """
-    keyed = df.withColumn("_h", seeded_order(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
-    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))  # 4096 rows at most
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
-    ranked = keyed.join(F.broadcast(before), "_b").withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
-    return ranked.withColumn("split_name", F.when(F.col("_r") <= F.floor(F.col("_total") * share), "train").otherwise("test")).drop("_h", "_b", "_n", "_before", "_total", "_r")
+    rows = df.count()
+    digits = 3
+    while digits < 8 and rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    keys = ["_b"] if group is None else [group, "_b"]
+    same = Window.partitionBy(*keys[:-1])
+    keyed = df.withColumn("_b", F.substring(order, 1, digits))
+    before = F.coalesce(F.sum("_n").over(same.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, before, F.sum("_n").over(same).alias("_total"))
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *([ties] if ties else [])))
+    if group is None:
+        met = keyed.join(counts, "_b")
+    else:  # a missing group is a group of its own
+        told = counts.withColumnRenamed(group, "_g").withColumnRenamed("_b", "_c")
+        met = keyed.join(told, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c"))).drop("_g", "_c")
+    return met.withColumn("_rank", F.col("_before") + within).drop("_b", "_before")
+
+
+def split_by_share(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """D3: split_name 'train' for the first int(n x share) rows in seeded order, 'test' for the rest."""
+    ranked = split_ranks(df.withColumn("_h", seeded_order(seed, F.col(key))), "_h", key)
+    name = F.when(F.col("_rank") <= F.floor(F.col("_total") * share), "train").otherwise("test")
+    return ranked.withColumn("split_name", name).drop("_h", "_total", "_rank")
 
 
 def split_stats(split: DataFrame, kind: str) -> DataFrame:
@@ -85,33 +108,22 @@ def instruction_rows(pairs: DataFrame, dataset: str) -> DataFrame:
     return pairs.select("id", F.lit(INSTRUCTIONS[dataset]).alias("instruction"), F.col("question").alias("input"), F.col("answer").alias("output"))
 
 
-def _ranked(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(seeded_order(seed, F.col(key)), key)))
-
-
 def combine_balanced(df: DataFrame, dataset: str, key: str, cap: int | None = None, balance: bool = True, seed: int = 42) -> DataFrame:
     """Rows of every dataset cut to `cap` and to the size of the smallest, with split_name train, dev or test (70, 15, 15 %) if more than ten are left."""
-    sizes = df.groupBy(dataset).agg(F.count("*").alias("n"))
-    out = _ranked(df, dataset, key, seed)
-    if cap is not None:
-        out = out.where(F.col("_r") <= cap)
-    if balance:
-        out = out.where(F.col("_r") <= (sizes.agg(F.min("n")).first()[0] or 0))
-    out = out.drop("_r").withColumn("_h", seeded_order(seed + 1, F.concat_ws("|", F.col(dataset).cast("string"), F.col(key).cast("string"))))
-    out = split_ranks(out, "_h")
+    out = df
+    if cap is not None or balance:
+        most = [] if cap is None else [cap]
+        if balance:
+            most.append(min((r.n for r in collect_control(df.groupBy(dataset).agg(F.count("*").alias("n")))), default=0))  # one row per dataset
+        ranked = split_ranks(df.withColumn("_h", seeded_order(seed, F.col(key))), "_h", key, dataset)
+        out = ranked.where(F.col("_rank") <= min(most)).drop("_h", "_rank", "_total")
+    named = F.concat_ws("|", F.col(dataset).cast("string"), F.col(key).cast("string"))
+    out = split_ranks(out.withColumn("_h", seeded_order(seed + 1, named)), "_h", key)
     n, r = F.col("_total"), F.col("_rank")
     a, b = F.floor(n * 0.7), F.floor(n * 0.7) + F.floor(n * 0.15)
     return out.withColumn("split_name", F.when(n > 10, F.when(r <= a, "train").when(r <= b, "dev").otherwise("test"))).drop("_h", "_total", "_rank")
 
 
-def split_ranks(df: DataFrame, order: str) -> DataFrame:
-    """Adds _rank (from 1) and _total by a hexadecimal column, without ordering all rows in one task."""
-    keyed = df.withColumn("_b", F.substring(order, 1, 3))
-    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    return keyed.join(F.broadcast(before), "_b").withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(order))).drop("_b", "_before")
-
-
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The n rows with the smallest seeded hash of their key."""
     return df.orderBy(seeded_order(seed, F.col(key)), key).limit(n)
@@ -139,8 +151,9 @@ def source_list(hits: DataFrame) -> DataFrame:
 
 
 def synthetic_cases(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """N generated intensive-care cases; every value is a hash of seed, case and variable."""
-    unit = lambda name: (F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(name)), F.lit(1_000_003)) / 1_000_003)
+    """N generated intensive-care cases; every value is a hash of seed, case and variable, the same in any engine."""
+    digest = lambda name: F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"), F.lit(f"|{name}")))
+    unit = lambda name: F.conv(F.substring(digest(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
     item = lambda name, value: F.struct(F.lit(name).alias("variable"), value.cast("string").alias("value"))
     ranged = lambda name, lo, hi: F.round(lo + unit(name) * (hi - lo), 1)
     demographics = F.array(item("Age", F.floor(AGE_RANGE[0] + unit("Age") * (AGE_RANGE[1] - AGE_RANGE[0] + 1))), item("Gender", F.when(unit("Gender") < 0.5, "M").otherwise("F")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.similarity import sequence_ratio
 from ..operators import answer as G
 from ..operators import evaluate as E
+from ..operators import models as M
 from ..operators import privacy as P
 from ..operators import retrieval as R
 from ..operators import shaping as D
+from ..pipeline import run_pipeline
 from ..session import spread, table
 from ..sources import readers as S
 
@@ -83,10 +86,7 @@ def pv2_detect_records(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS pii_type, CAST(coalesce(sum(len({_all('text', p)})), 0) AS BIGINT) AS matches, count(*) FILTER (len({_all('text', p)}) > 0) AS texts FROM {_CLINIC}" for t, p in P.patterns("strict")))
 def pv2b_counts_by_type(spark, d):
-    rows = P.detected_rows(clinic(spark, d), "k", "text", "strict")
-    found = rows.groupBy("pii_type").agg(F.count("*").alias("matches"), F.countDistinct("k").alias("texts"))
-    every = spark.createDataFrame([(t,) for t, _ in P.patterns("strict")], "pii_type string")
-    return every.join(found, "pii_type", "left").select("pii_type", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("texts", F.lit(0)).alias("texts"))
+    return P.counts_by_type(clinic(spark, d), "text")
 
 
 def _redact_query(level: str):
@@ -144,12 +144,38 @@ def _refined(spark, d):
     return P.refine_documents(spread(clinic(spark, d)), "k", "text", rules, rules, rules)
 
 
-@query()
+_STANDARD = P.patterns("standard")
+
+
+def _step_sql(x: str) -> str:
+    """One rewrite of the rule backend: the first type that is found loses its matches."""
+    cases = " ".join(f"WHEN regexp_matches({x}, {_sql_text(p)}) THEN regexp_replace({x}, {_sql_text(p)}, '[{t}]', 'g')" for t, p in _STANDARD)
+    return f"CASE {cases} ELSE {x} END"
+
+
+def _unsafe_sql(x: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, {_sql_text(p)})" for _, p in _STANDARD) + ")"
+
+
+def _refined_sql(rows: str) -> str:
+    """k, text, the text after up to three rewrites (s3), whether an assessment found it safe, and the rewrites."""
+    first = f"SELECT k, text, text AS s0, {_step_sql('text')} AS s1 FROM {rows} WHERE text IS NOT NULL"
+    third = f"SELECT *, {_step_sql('s2')} AS s3 FROM (SELECT *, {_step_sql('s1')} AS s2 FROM ({first}))"
+    open_ = [_unsafe_sql(f"s{i}") for i in range(3)]
+    return f"(SELECT *, NOT ({' AND '.join(open_)}) AS safe, " + " + ".join(f"({' AND '.join(open_[: i + 1])})::INT" for i in range(3)) + f" AS rewrites FROM ({third}))"
+
+
+def _summary_sql(rows: str) -> str:
+    mean = lambda x, n: f"round(coalesce(avg({x}), 0), 6)::DOUBLE AS {n}"
+    return f"SELECT count(*) AS total_documents, count(*) FILTER (safe) AS safe_documents, {mean('rewrites', 'avg_iterations')}, {mean('length(text)', 'avg_original_length')}, {mean('length(s3)', 'avg_synthetic_length')} FROM {_refined_sql(rows)}"
+
+
+@query(f"SELECT CAST(k AS VARCHAR) AS document_id, safe AS is_safe, rewrites AS iterations_required, s3 AS final_synthetic_data FROM {_refined_sql(_CLINIC)}")
 def pv12_refine(spark, d):
-    return _refined(spark, d)
+    return _refined(spark, d).select("document_id", "is_safe", "iterations_required", "final_synthetic_data")
 
 
-@query(f"SELECT count(*) AS total_documents, 0::BIGINT AS safe_documents, 3.0::DOUBLE AS avg_iterations, round(avg(length(text)), 6) AS avg_original_length, round(avg(length(regexp_replace(regexp_replace(regexp_replace(text, {_sql_text(P.PII_PATTERNS[0][1])}, '[email]', 'g'), {_sql_text(P.PII_PATTERNS[1][1])}, '[phone]', 'g'), {_sql_text(P.PII_PATTERNS[2][1])}, '[ssn]', 'g'))), 6) AS avg_synthetic_length FROM {_CLINIC}")
+@query(_summary_sql(_CLINIC))
 def pv13_summary(spark, d):
     return P.refinement_summary(_refined(spark, d))
 
@@ -166,7 +192,17 @@ def pv14_protection(spark, d):
     return P.protection_rates(clinic(spark, d).withColumn("s", F.when(F.col("k") % 2 == 0, F.col("text")).otherwise("nothing")), "k", "text", "s")
 
 
-@query()
+def _general_sql(x: str) -> str:
+    for pattern, general in P.GENERAL_RULES:
+        x = f"regexp_replace({x}, {_sql_text(pattern)}, '{general}', 'g')"
+    return x
+
+
+def _comparison_sql(rows: str) -> str:
+    return f"SELECT k, 'original' AS version, length(text) AS text_length FROM {rows} UNION ALL SELECT k, 'synthetic', length({_general_sql('text')}) FROM {rows}"
+
+
+@query(_comparison_sql(_CLINIC))
 def pv15_comparison(spark, d):
     return P.comparison_rows(_pairs(spark, d), "k", "text", "synthetic")
 
@@ -292,9 +328,20 @@ def d14_defaults(spark, d):
     return D.with_defaults(table(spark, d, "articles").select("pubmed_id", "journal", "pub_year"), {"journal": "Unknown", "pub_year": "n.d."})
 
 
-@query()
+def _unit_sql(name: str) -> str:
+    return f"(('0x' || substr(md5('1|' || i || '|{name}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+_CASE_VALUES = " || ', ' || ".join(
+    [f"'Age=' || floor({D.AGE_RANGE[0]} + {_unit_sql('Age')} * {D.AGE_RANGE[1] - D.AGE_RANGE[0] + 1})::BIGINT", f"'Gender=' || CASE WHEN {_unit_sql('Gender')} < 0.5 THEN 'M' ELSE 'F' END"]
+    + [f"'{m}=' || round({lo} + {_unit_sql(m)} * {hi - lo}, 1)::VARCHAR" for m, lo, hi in D.MEASURES])
+
+
+@query(f"""SELECT 'patient_' || lpad(i::VARCHAR, 5, '0') AS patient_id, CASE WHEN {_unit_sql('outcome')} < 0.8 THEN 'survived' ELSE 'deceased' END AS outcome,
+    floor(1 + {_unit_sql('stay')} * 30)::INT AS length_of_stay, {_CASE_VALUES} AS measurements FROM range(1000) t(i)""")
 def d16_synthetic_cases(spark, d):
-    return D.synthetic_cases(spark, 1000)
+    told = F.array_join(F.transform("all_measurements", lambda x: F.concat(x["variable"], F.lit("="), x["value"])), ", ")
+    return D.synthetic_cases(spark, 1000).select("patient_id", "outcome", "length_of_stay", told.alias("measurements"))
 
 
 @query("""SELECT c_custkey, concat('Patient admitted to ICU. ', CASE c_custkey % 4 WHEN 0 THEN 'The patient is a ' || (c_custkey % 70 + 20) || '-year-old male. ' WHEN 1 THEN 'The patient is ' || (c_custkey % 70 + 20) || ' years old. ' WHEN 2 THEN 'The patient is female. ' ELSE '' END,
@@ -310,16 +357,6 @@ def d17_narrative(spark, d):
 # --- sources -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT pubmed_id, title, coalesce(abstract, '') AS abstract, coalesce(journal, '') AS journal, coalesce(pub_year, '') AS year, coalesce(authors[1], '') AS first_author FROM articles WHERE pubmed_id IS NOT NULL AND title IS NOT NULL AND NOT regexp_matches(concat(title, abstract, journal, array_to_string(authors, ' ')), '[&<>\\x00-\\x08\\x0b-\\x1f]') AND NOT regexp_matches(concat(title, abstract, journal), '[\\r]')")
-def s7_parse_articles(spark, d):
-    a = table(spark, d, "articles")
-    clean = ~F.concat(F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")), F.coalesce("journal", F.lit("")), F.coalesce(F.array_join("authors", " "), F.lit(""))).rlike(r"[&<>\x00-\x08\x0b-\x1f\r]")
-    tag = lambda t, c: F.concat(F.lit(f"<{t}>"), F.coalesce(c, F.lit("")), F.lit(f"</{t}>"))
-    authors = F.array_join(F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda x: F.concat(F.lit("<Author><LastName>"), x, F.lit("</LastName></Author>"))), "")
-    xml = a.where(F.col("pubmed_id").isNotNull() & F.col("title").isNotNull() & clean).select(F.concat(F.lit("<PubmedArticle>"), tag("PMID", F.col("pubmed_id")), tag("ArticleTitle", F.col("title")), tag("AbstractText", F.col("abstract")), F.lit("<AbstractText>second</AbstractText><Journal>"), tag("Title", F.col("journal")), F.lit("</Journal><PubDate>"), tag("Year", F.col("pub_year")), F.lit("</PubDate><AuthorList>"), authors, F.lit("</AuthorList></PubmedArticle>")).alias("x"))
-    return S.parse_articles(xml, "x").select("pubmed_id", "title", "abstract", "journal", "year", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("first_author")).distinct()
-
-
 def _escaped(c):
     """A text as XML content. A bare carriage return would be read as a line end; other control characters have no form in XML and are left out."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "")
@@ -329,7 +366,7 @@ def _escaped(c):
 
 
 @query("SELECT DISTINCT coalesce(pubmed_id, '') AS pubmed_id, coalesce(title, '') AS title, coalesce(abstract, '') AS abstract, coalesce(journal, '') AS journal, coalesce(pub_year, '') AS year, coalesce(authors[1], '') AS first_author FROM articles")
-def s7_parse_every_article(spark, d):
+def s7_parse_articles(spark, d):
     tag = lambda t, c: F.concat(F.lit(f"<{t}>"), _escaped(F.col(c)), F.lit(f"</{t}>"))
     authors = F.array_join(F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda x: F.concat(F.lit("<Author><LastName>"), _escaped(x), F.lit("</LastName></Author>"))), "")
     xml = table(spark, d, "articles").select(F.concat(F.lit("<PubmedArticle>"), tag("PMID", "pubmed_id"), tag("ArticleTitle", "title"), tag("AbstractText", "abstract"), F.lit("<AbstractText>second</AbstractText><Journal>"), tag("Title", "journal"), F.lit("</Journal><PubDate>"), tag("Year", "pub_year"), F.lit("</PubDate><AuthorList>"), authors, F.lit("</AuthorList></PubmedArticle>")).alias("x"))
@@ -348,11 +385,29 @@ def s8_fetch_articles(spark, d):
 @query("SELECT nct_id, coalesce(title, '') AS title, coalesce(status, '') AS status, coalesce(len(phase), 0) AS phases, coalesce(len(interventions), 0) AS interventions, coalesce(brief_summary, '') AS brief_summary FROM trials WHERE nct_id IS NOT NULL")
 def s9_parse_trials(spark, d):
     t = table(spark, d, "trials").where("nct_id is not null")
-    study = F.struct(F.col("status"), F.struct(F.struct(F.col("nct_id").alias("NCTId"), F.col("title").alias("BriefTitle")).alias("IdentificationModule"), F.struct(F.struct(F.col("phase").alias("Phase")).alias("PhaseList")).alias("DesignModule"), F.struct(F.struct(F.transform("interventions", lambda x: F.struct(x["intervention_type"].alias("InterventionType"), x["intervention_name"].alias("InterventionName"))).alias("Intervention")).alias("InterventionList")).alias("ArmsInterventionsModule"), F.struct(F.col("brief_summary").alias("BriefSummary")).alias("DescriptionModule")).alias("ProtocolSection"))
+    study = F.struct(F.struct(F.col("status").alias("OverallStatus")).alias("StatusModule"), F.struct(F.struct(F.col("nct_id").alias("NCTId"), F.col("title").alias("BriefTitle")).alias("IdentificationModule"), F.struct(F.struct(F.col("phase").alias("Phase")).alias("PhaseList")).alias("DesignModule"), F.struct(F.struct(F.transform("interventions", lambda x: F.struct(x["intervention_type"].alias("InterventionType"), x["intervention_name"].alias("InterventionName"))).alias("Intervention")).alias("InterventionList")).alias("ArmsInterventionsModule"), F.struct(F.col("brief_summary").alias("BriefSummary")).alias("DescriptionModule")).alias("ProtocolSection"))
     reply = F.to_json(F.struct(F.struct(F.array(F.struct(study.alias("Study"))).alias("FullStudies")).alias("FullStudiesResponse")))
     return S.parse_trials(t.select(reply.alias("reply")), "reply").select("nct_id", "title", "status", F.size("phase").alias("phases"), F.size("interventions").alias("interventions"), "brief_summary")
 
 
+@query("SELECT nct_id, title FROM trials WHERE nct_id = (SELECT max(nct_id) FROM trials) LIMIT 1")
+def s10_trial_by_id(spark, d):
+    t = table(spark, d, "trials")
+    return S.trial_by_id(t, t.agg(F.max("nct_id")).first()[0] or "").select("nct_id", "title")
+
+
+_SEARCHED = ("diabetes treatment", "heart failure in older adults", "asthma", "a word that nothing holds qzx")
+_SEARCHED_WORDS = " UNION ALL ".join(f"SELECT '{t}' AS query, '{w}' AS word" for t in _SEARCHED for w in dict.fromkeys(t.lower().split()))
+
+
+@query(f"""SELECT pmid, title, abstract, query FROM (SELECT pmid, title, abstract, query, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, pmid) AS place
+    FROM (SELECT pubmed_id AS pmid, a.title AS title, a.abstract AS abstract, unnest(list_distinct(regexp_extract_all(lower(a.title || ' ' || a.abstract), '[a-z0-9]+'))) AS word FROM
+        (SELECT pubmed_id, min({{'title': coalesce(title, ''), 'abstract': coalesce(abstract, '')}}) AS a FROM articles WHERE pubmed_id IS NOT NULL GROUP BY pubmed_id)) JOIN ({_SEARCHED_WORDS}) USING (word)
+    GROUP BY pmid, title, abstract, query) WHERE place <= 100""")
+def s13_bulk_download(spark, d):
+    return S.bulk_download(list(_SEARCHED), table(spark, d, "articles"))
+
+
 @query("SELECT response_id, 'query_' || regexp_replace(query_text, '[^\\p{L}\\p{N}]', '_', 'g') || '_5' AS cache_key FROM responses")
 def s11_cache_key(spark, d):
     return table(spark, d, "responses").select("response_id", S.cache_key(F.col("query_text"), F.lit(5)).alias("cache_key"))
@@ -546,9 +601,7 @@ def g2_answer(spark, d):
     return G.structured_answers(q, G.relevant(_cited_articles(spark, d)).withColumn("contains_synthetic_data", F.lit(False)))
 
 
-_GENERAL = "abstract"
-for _p, _r in P.GENERAL_RULES:
-    _GENERAL = f"regexp_replace({_GENERAL}, {_sql_text(_p)}, '{_r}', 'g')"
+_GENERAL = _general_sql("abstract")
 _FLAG = _SENSITIVE.format("abstract")
 _PRIVATE = f"""(SELECT question_id, question, rank, title, CASE WHEN {_FLAG} THEN {_GENERAL} ELSE abstract END AS abstract, year, authors, {_FLAG} AS syn FROM ({_CITING[1:-1]} UNION ALL
     SELECT question_id, question, i, 'Research on ' || upper(left(question, 1)) || lower(question[2:]) || ' - Study ' || (i + 1), 'This is a mock abstract for testing purposes. It discusses ' || question || ' and related medical concepts. Some studies show promising results for patients with this condition. Treatment options vary depending on patient characteristics.',
@@ -580,7 +633,9 @@ def g6_echo(spark, d):
     return table(spark, d, "responses").select("response_id", G.echo_reply(F.col("query_text")).alias("reply"))
 
 
-@query()
+@query(f"""SELECT question_id, 'Question: ' || question || chr(10) || chr(10) || 'Research:' || chr(10) || chr(10) || string_agg('Document ' || n || ':' || chr(10) || 'Title: ' || title || chr(10) || 'Year: ' || year || chr(10) || 'Abstract: ' || abstract || chr(10) || chr(10), '' ORDER BY n)
+    || 'Answer briefly from the research and cite it as [Doc 1], [Doc 2].' || chr(10) AS prompt
+    FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, title, year, abstract) AS n FROM {_CITING} WHERE rank < 3) WHERE n <= 3 GROUP BY question_id, question""")
 def g7_document_prompt(spark, d):
     docs = _cited_articles(spark, d).where("rank < 3").groupBy("question_id", "question").agg(F.sort_array(F.collect_list(F.struct("rank", "title", "year", "abstract"))).alias("docs"))
     return docs.select("question_id", G.document_prompt(F.col("question"), F.col("docs")).alias("prompt"))
@@ -607,7 +662,13 @@ def g9_hallucinations(spark, d):
     return G.claim_checks(rows, "text", "context").select("k", F.col("potential_hallucinations").alias("claims"))
 
 
-@query()
+_CITATION_WARNINGS = re.search(r"CASE WHEN len\(c\) = 0.*? END", ORACLE["g8_citations"], re.S)[0]
+_OPEN_CLAIMS = re.search(r"list_filter\(s, .*?\) = 0\)(?= AS claims)", ORACLE["g9_hallucinations"], re.S)[0].replace("c, lambda y", "known, lambda y")
+
+
+@query(f"""SELECT response_id, len(w) = 0 AS is_valid, w AS warnings FROM (SELECT response_id, {_CITATION_WARNINGS} || list_transform({_OPEN_CLAIMS}, lambda x: 'Potential hallucination: ' || chr(39) || x || chr(39)) AS w
+    FROM (SELECT response_id, {_all("coalesce(answer, '')", r'\[([^\]]+)\]', 1)} AS c, {_LABELS} AS l, regexp_split_to_array(coalesce(context, ''), '[.!?]+') AS known,
+        list_filter(list_transform(regexp_split_to_array(coalesce(answer, ''), '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM responses))""")
 def g10_validate(spark, d):
     return G.validate(table(spark, d, "responses"), "answer", "context", "sources").select("response_id", "is_valid", "warnings")
 
@@ -652,13 +713,15 @@ def e7_text_scores(spark, d):
 
 
 _GRADED = """(SELECT *, CASE t WHEN 'yesno' THEN (lower(coalesce(exact_answer, '')) = 'yes') = contains(lower(a), 'yes') WHEN 'factoid' THEN contains(lower(a), lower(coalesce(exact_answer, '')))
-    WHEN 'list' THEN len(list_filter(list_transform(string_split(lower(coalesce(exact_answer, '')), ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: contains(lower(a), x))) / greatest(1, len(string_split(lower(coalesce(exact_answer, '')), ','))) >= 0.5 END AS ok
-    FROM (SELECT question_id, exact_answer, coalesce(split_name, 'none') AS split_name, regexp_replace(lower(question_type), '[^a-z]', '', 'g') AS t, coalesce(ideal_answer, '') AS a FROM questions) WHERE t IN ('yesno', 'factoid', 'list'))"""
+    WHEN 'list' THEN len(list_filter(list_transform(string_split(lower(coalesce(exact_answer, '')), ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: contains(lower(a), x))) / greatest(1, len(string_split(lower(coalesce(exact_answer, '')), ','))) >= 0.5 WHEN 'summary' THEN regexp_matches(a, '\\S') ELSE false END AS ok
+    FROM (SELECT question_id, exact_answer, coalesce(split_name, 'none') AS split_name, coalesce(regexp_replace(lower(question_type), '[^a-z]', '', 'g'), '') AS t, coalesce(ideal_answer, '') AS a FROM questions))"""
 
 
 def _graded(spark, d):
-    q = table(spark, d, "questions").select("question_id", "exact_answer", F.coalesce("split_name", F.lit("none")).alias("split_name"), F.regexp_replace(F.lower("question_type"), "[^a-z]", "").alias("t"), F.coalesce("ideal_answer", F.lit("")).alias("a")).where("t in ('yesno', 'factoid', 'list')")
-    return q.withColumn("ok", E.is_correct(F.col("t"), F.col("exact_answer"), F.col("a")))
+    """Every question, answered by its ideal answer: a summary's ROUGE-L is 1 unless it is blank, which SQL can follow."""
+    kind = F.coalesce(F.regexp_replace(F.lower("question_type"), "[^a-z]", ""), F.lit("")).alias("t")
+    q = table(spark, d, "questions").select("question_id", "exact_answer", F.coalesce("split_name", F.lit("none")).alias("split_name"), kind, F.coalesce("ideal_answer", F.lit("")).alias("a"))
+    return q.withColumn("ok", E.is_correct(F.col("t"), F.col("exact_answer"), F.col("a"), F.col("a")))
 
 
 @query(f"SELECT question_id, t AS type, ok FROM {_GRADED}")
@@ -672,6 +735,16 @@ def e10_grouping_sets(spark, d):
     return E.accuracy_sets(_graded(spark, d), "ok", "split_name", "t")
 
 
+@query(f"SELECT round(avg(a), 6) AS overall_accuracy, list(split_name ORDER BY split_name) AS datasets_evaluated FROM (SELECT split_name, sum(ok::INT) / count(*) AS a FROM {_GRADED} GROUP BY split_name)")
+def e9_benchmark_union(spark, d):
+    return E.benchmark_union(_graded(spark, d), "split_name", "ok")
+
+
+@query(" UNION ALL ".join(f"SELECT '{i}' AS id, {_sql_text(q)} AS question, {_sql_text(a)} AS reference_answer" for i, q, a in E.FALLBACK_QUESTIONS))
+def e20_fallback_questions(spark, d):
+    return E.fallback_questions(spark)
+
+
 _FOUND_TERMS = f"(SELECT DISTINCT unnest({' || '.join(_all('text', p, g) for p, g in E.TERM_PATTERNS)}) AS term FROM {_CLINIC})"
 
 
@@ -685,7 +758,7 @@ def e11_targeted_prompts(spark, d):
     return E.targeted_prompts(E.medical_terms(clinic(spark, d), "text"))
 
 
-@query()
+@query(f"SELECT i AS prompt_no, {_in(E.UNTARGETED)}[CAST(('0x' || substr(md5('3|' || i), 1, 8))::BIGINT % {len(E.UNTARGETED)} + 1 AS INT)] AS prompt FROM range(100) t(i)")
 def e12_untargeted_prompts(spark, d):
     return E.untargeted_prompts(100, spark)
 
@@ -723,7 +796,10 @@ def e15_fuzzy_extraction(spark, d):
     return E.fuzzy_extractions(_answers(spark, d), "answer_id", "answer", table(spark, d, "articles"), "pubmed_id", "abstract", _exact(spark, d))
 
 
-@query()
+_E = f"(SELECT count(*) FROM ({ORACLE['e14_exact_extraction']}))"
+
+
+@query(f"SELECT {_E} AS exact_matches, (SELECT count(*) FROM ({ORACLE['e15_fuzzy_extraction']})) AS partial_matches, round(CASE WHEN count(*) > 0 THEN {_E} / count(*) * 100 ELSE 0 END, 6) AS success_rate FROM {_SNIPPETS}")
 def e16_attack_rate(spark, d):
     answers, exact = _answers(spark, d), _exact(spark, d)
     return E.attack_rate(exact, E.fuzzy_extractions(answers, "answer_id", "answer", table(spark, d, "articles"), "pubmed_id", "abstract", exact), answers.count())
@@ -736,10 +812,82 @@ def e18_report(spark, d):
     return table(spark, d, "customer").select(k.alias("k"), rate.alias("rate"), E.privacy_grade(rate).alias("privacy"), E.utility_grade((k % 11) / 10).alias("utility"))
 
 
-@query()
+_MOCKED = f"""(SELECT question_id, question, rank, title, CASE WHEN {_FLAG} THEN {_GENERAL} ELSE abstract END AS abstract, year, authors, {_FLAG} AS syn FROM (SELECT question_id, question, i AS rank,
+    'Recent advances in ' || coalesce(list_filter(regexp_split_to_array(question, '\\s+'), lambda w: w <> '')[1], '') || ' research' AS title,
+    'This is a simulated abstract about ' || question || '. It contains information about treatments, diagnoses, and patient outcomes. The research was conducted at Major Medical Center with 50 participants. Results show promising outcomes for patients with various conditions.' AS abstract,
+    CAST(2020 + i % 5 AS VARCHAR) AS year, 'Smith J, Johnson A, Williams B' AS authors FROM {_QUESTIONS}, range(3) t(i)))"""
+_IDEAL = "(SELECT question_id, min({'question': question, 'reference': ideal_answer}) AS m FROM questions WHERE question IS NOT NULL GROUP BY question_id)"
+
+
+def _benchmark(spark, d):
+    q = table(spark, d, "questions").where("question is not null").groupBy("question_id").agg(F.min(F.struct("question", F.col("ideal_answer").alias("reference"))).alias("m"))
+    rows = q.select(F.col("question_id").alias("id"), F.col("m.question").alias("question"), F.col("m.reference").alias("reference_answer"))
+    return E.benchmark_run(rows, lambda asked: G.answer_questions(asked, S.mock_articles(asked, 3)))
+
+
+@query(f"SELECT q.question_id AS id, q.m.question AS question, q.m.reference AS reference_answer, {_redact_sql('a', 'standard')} AS generated_answer FROM {_IDEAL} q JOIN (SELECT question_id, answer AS a FROM ({_answer_sql(_relevant_sql(_MOCKED), _QUESTIONS, 'syn')})) USING (question_id)")
 def e19_benchmark_run(spark, d):
-    q = table(spark, d, "questions").select(F.col("question_id").alias("id"), "question", F.col("ideal_answer").alias("reference_answer")).where("question is not null").dropDuplicates(["id"])
-    return E.benchmark_run(q, lambda asked: G.answer_questions(asked, S.mock_articles(asked, 3)))
+    return _benchmark(spark, d)
+
+
+@query()
+def e21_full_evaluation(spark, d):
+    answers, exact = _answers(spark, d), _exact(spark, d)
+    fuzzy = E.fuzzy_extractions(answers, "answer_id", "answer", table(spark, d, "articles"), "pubmed_id", "abstract", exact)
+    graded = _graded(spark, d).select(F.col("split_name").alias("source"), F.col("t").alias("type"), "ok")
+    return E.full_evaluation(_benchmark(spark, d), graded, exact, fuzzy, answers.count())
+
+
+@query()
+def e22_test_questions(spark, d):
+    return M.test_questions(spark, 100, M.ExtractiveModel)
+
+
+# --- models and the pipeline ---------------------------------------------------------------------------------------
+
+_VECTORS = f"""(SELECT id, dim, sum(sign) / any_value(n) AS v FROM (SELECT id, n, ('0x' || substr(md5(w), 1, 6))::INT % 32 AS dim, CASE WHEN substr(md5(w), 7, 1) < '8' THEN 1.0 ELSE -1.0 END AS sign
+    FROM (SELECT id, len(ws) AS n, unnest(ws) AS w FROM (SELECT DISTINCT {{0}} AS id, regexp_extract_all(lower({{1}}), '[a-z0-9]+') AS ws FROM {{2}} WHERE {{1}} IS NOT NULL))) GROUP BY id, dim)"""
+
+
+def _long(vectors, key: str):
+    return vectors.select(key, F.posexplode("embedding").alias("dim", "v")).where("v <> 0").select(key, "dim", F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
+@query(f"SELECT id AS pubmed_id, dim, round(v::FLOAT::DOUBLE, 5) AS v FROM {_VECTORS.format('pubmed_id', 'abstract', 'articles')} WHERE v <> 0")
+def r1_embed(spark, d):
+    return _long(M.embed(table(spark, d, "articles").where("abstract is not null").select("pubmed_id", "abstract").distinct(), "abstract", M.HashingEncoder), "pubmed_id")
+
+
+@query(f"SELECT count(*) AS items, count(DISTINCT item_id) AS ids, sum(length(text))::BIGINT AS characters, 32 AS dimension FROM (SELECT nct_id AS item_id, brief_summary AS text FROM trials WHERE brief_summary IS NOT NULL)")
+def r2_index(spark, d):
+    index = M.build_index(table(spark, d, "trials"), "nct_id", "brief_summary", M.HashingEncoder)
+    return index.agg(F.count("*").alias("items"), F.countDistinct("item_id").alias("ids"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"), F.max(F.size("embedding")).alias("dimension"))
+
+
+_FIRST = "trim(string_split(coalesce(context, ''), '. ')[1])"
+
+
+@query(f"SELECT response_id, CASE WHEN regexp_matches({_FIRST}, '\\S') THEN regexp_replace({_FIRST}, '^\\s+|\\s+$', '', 'g') ELSE {_sql_text(G.NO_REPLY)} END AS answer FROM responses WHERE query_text IS NOT NULL")
+def g5_generate(spark, d):
+    r = table(spark, d, "responses").where("query_text is not null").select("response_id", "query_text", "context")
+    return M.generate_answers(r, "query_text", "context", M.ExtractiveModel).select("response_id", "answer")
+
+
+@query("SELECT k, list_sort(['Symptoms', 'Diagnosis', 'Treatment']) AS names, 'Write a clinical note that holds these facts and identifies nobody.' AS note FROM " + _CLINIC)
+def pv9_synthetic_note(spark, d):
+    docs = clinic(spark, d)
+    names = M.identify_attributes(docs, "text", M.ExtractiveModel, 3)
+    return M.synthetic_notes(docs, "k", "text", names, M.ExtractiveModel).select("k", F.array_sort(F.map_keys("attributes")).alias("names"), "note")
+
+
+@query()
+def a7_pipeline(spark, d):
+    documents = notes(spark, d).where("k is not null").groupBy(F.col("k").alias("doc_id")).agg(F.min("text").alias("text"))
+    kind = F.coalesce(F.regexp_replace(F.lower("question_type"), "[^a-z]", ""), F.lit("")).alias("type")
+    q = table(spark, d, "questions").where("question is not null").select("question_id", "question", "exact_answer", "ideal_answer", kind, F.coalesce("split_name", F.lit("none")).alias("source"))
+    rules = P.RuleBackend()
+    once = q.groupBy("question_id").agg(F.min(F.struct(*q.columns[1:])).alias("m")).select("question_id", "m.*")
+    return run_pipeline(documents, once, M.HashingEncoder, rules, rules, rules).report
 
 
 # --- the operators of clinical free text over real notes -----------------------------------------------------------
@@ -755,11 +903,7 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ORACLE["pv2b_counts_by_type"].replace(_CLINIC, _NOTES))
 def pv2b_record_counts_by_type(spark, d):
-    each = F.array(*(F.struct(F.lit(t).alias("pii_type"), F.size(P.all_matches(F.col("text"), p)).alias("n")) for t, p in P.patterns("strict")))
-    rows = notes(spark, d).select(F.explode(each).alias("e")).select("e.*")
-    found = rows.groupBy("pii_type").agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).cast("long").alias("matches"), F.count_if(F.col("n") > 0).alias("texts"))
-    every = spark.createDataFrame([(t,) for t, _ in P.patterns("strict")], "pii_type string")
-    return every.join(found, "pii_type", "left").select("pii_type", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("texts", F.lit(0)).alias("texts"))
+    return P.counts_by_type(notes(spark, d), "text")
 
 
 def _redact_notes_query(level: str):
@@ -789,12 +933,12 @@ def _refined_notes(spark, d):
     return P.refine_documents(notes(spark, d), "k", "text", rules, rules, rules)
 
 
-@query()
+@query(f"SELECT k AS document_id, safe AS is_safe, rewrites AS iterations_required, s3 AS final_synthetic_data FROM {_refined_sql(_NOTES)}")
 def pv12_record_refine(spark, d):
-    return _refined_notes(spark, d)
+    return _refined_notes(spark, d).select("document_id", "is_safe", "iterations_required", "final_synthetic_data")
 
 
-@query()
+@query(_summary_sql(_NOTES))
 def pv13_record_summary(spark, d):
     return P.refinement_summary(_refined_notes(spark, d))
 
@@ -803,12 +947,12 @@ def _note_pairs(spark, d):
     return notes(spark, d).withColumn("synthetic", P.rule_synthetic(F.col("text")))
 
 
-@query()
+@query()  # no SQL: its word boundaries are ASCII, so names with other letters differ
 def pv14_record_protection(spark, d):
     return P.protection_rates(_note_pairs(spark, d), "k", "text", "synthetic")
 
 
-@query()
+@query(_comparison_sql(_NOTES))
 def pv15_record_comparison(spark, d):
     return P.comparison_rows(_note_pairs(spark, d), "k", "text", "synthetic")
 

@@ -29,4 +29,51 @@ def _p2() -> str:
     return " UNION ALL ".join(parts)
 
 
-ORACLE: dict[str, str] = {"p1_found": _p1(), "p2_found": _p2()}
+def _p1_rules() -> str:
+    """Counts and the size of the sample; a rule that holds is broken 0 times."""
+    parts = []
+    for field, name, key, label in (("specialty", "records", "record_id", "specialty"), ("question_type", "questions", "question_id", "question_type")):
+        parts.append(f"""
+        SELECT '{field}' AS field_name, usable, CAST(floor(f * usable + 0.5) AS BIGINT) AS drawn, 0 AS below_floor, 0 AS above_available, 0 AS off_quota, 0 AS passed_over
+        FROM (SELECT count(DISTINCT i.{key}) AS usable, any_value(s.sample_fraction) AS f FROM {name} i JOIN sample_targets s ON s.field_name = '{field}'
+            AND {_KEY.format('i.' + label)} = {_KEY.format('s.category')})""")
+    return " UNION ALL ".join(parts)
+
+
+def _p2_rebuilt() -> str:
+    parts = []
+    for field, name, key, text in (("records.content", "records", "record_id", "content"), ("articles.abstract", "articles", "pubmed_id", "abstract"), ("trials.detailed_description", "trials", "nct_id", "detailed_description")):
+        parts.append(f"""
+        SELECT '{field}' AS field_name, {key} AS item_key, md5(max_by({text}, {{'n': length({text}), 't': {text}}})) AS text_hash, true AS fits
+        FROM {name} WHERE {key} IS NOT NULL AND length({text}) > (SELECT max_size FROM size_limits WHERE field_name = '{field}') GROUP BY {key}""")
+    return " UNION ALL ".join(parts)
+
+
+_P3_RESTORED = " UNION ALL ".join(f"SELECT record_id, '{c}' AS field_name, md5({c}) AS text_hash FROM records WHERE {c} IS NOT NULL" for c in ("content", "description"))
+
+#: Every pair of records by brute force over the sets of three consecutive words.
+_P4 = """
+    WITH w AS (SELECT DISTINCT record_id AS id, regexp_extract_all(lower(content), '[a-z0-9]+') AS ws FROM records WHERE record_id IS NOT NULL AND content IS NOT NULL),
+    s AS (SELECT DISTINCT id, unnest([concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) FOR i IN range(1, len(ws) - 1)]) AS sh FROM w WHERE len(ws) >= 3),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY id)
+    SELECT record_id_a, record_id_b FROM (SELECT a.id AS record_id_a, b.id AS record_id_b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY a.id, b.id) p
+    JOIN n x ON x.id = record_id_a JOIN n y ON y.id = record_id_b WHERE k >= 0.5 * (x.n + y.n - k)"""
+
+_P6_RULES = """SELECT count(*) AS items, count(*) FILTER ({0}) AS empty_items, 0 AS late_begins, 0 AS long_segments, 0 AS overfull, true AS few_containers, 0 AS torn_items FROM {1}"""
+
+#: Sizes in characters: the margins of the cases are wide enough for any measure of length.
+_P7_SIZES = f"""(SELECT t.source_name, coalesce(sum(length(d.text)), 0) AS have, any_value(t.max_repeats) AS m, any_value(t.target_weight * t.mix_fraction) * (SELECT sum(length(text)) FROM documents) AS aim
+    FROM mix_targets t LEFT JOIN documents d ON {_KEY.format('d.source')} = {_KEY.format('t.source_name')} GROUP BY t.source_name)"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": _p1(),
+    "p1_rules": _p1_rules(),
+    "p2_found": _p2(),
+    "p2_rebuilt": _p2_rebuilt(),
+    "p3_restored": _P3_RESTORED,
+    "p4_found": _P4,
+    "p6_rules": _P6_RULES.format("text IS NULL OR text = ''", "documents"),
+    "p6_instruction_rules": _P6_RULES.format("coalesce(query_text, '') = '' AND coalesce(answer, '') = ''", "responses"),
+    "p7_found": f"SELECT source_name FROM {_P7_SIZES} WHERE have * m < aim",
+    "p7_rules": f"SELECT source_name, have * m < aim AS falls_short, false AS too_often, true AS on_target FROM {_P7_SIZES}",
+}

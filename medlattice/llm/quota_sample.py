@@ -19,6 +19,8 @@ from .common import label_key
 
 #: Rows that a border bucket should hold on average; the number of buckets follows from it and the size of the input.
 BUCKET_ROWS = 20_000
+#: Seed of the random keys.
+SEED = 7
 
 
 @dataclass(frozen=True)
@@ -66,7 +68,7 @@ def allot(total: int, shares: list[float], floors: list[int], caps: list[int]) -
     return whole
 
 
-def quota_sample(items: DataFrame, id_col: str, label_col: str, targets: DataFrame, seed: int = 7) -> QuotaSample:
+def quota_sample(items: DataFrame, id_col: str, label_col: str, targets: DataFrame, seed: int = SEED) -> QuotaSample:
     """Draw a sample of the distinct ids of `items` that follows `targets` (category, target_share, sample_fraction, min_rows).
 
     Usable are distinct, non-null ids whose label names a target category (same letters a-z). The sample has
@@ -105,7 +107,8 @@ def quota_sample(items: DataFrame, id_col: str, label_col: str, targets: DataFra
     before = F.sum("n").over(Window.partitionBy("cat").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     need = counts.withColumn("need", F.col("quota") - F.coalesce(before, F.lit(0))).where("need > 0").select("cat", "bucket", "need", (F.col("need") >= F.col("n")).alias("whole"))
     hit = bucketed.join(need, ["cat", "bucket"])
-    border = hit.where("not whole").withColumn("at", F.row_number().over(Window.partitionBy("cat", "bucket").orderBy("key", "item_id"))).where("at <= need")
+    # turning the first bit over orders signed numbers as the buckets do, by their unsigned value
+    border = hit.where("not whole").withColumn("at", F.row_number().over(Window.partitionBy("cat", "bucket").orderBy(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), "item_id"))).where("at <= need")
     names = F.broadcast(spark.createDataFrame([(i, found[k][0]) for i, k in enumerate(keys)], "cat int, category string"))
     drawn = hit.where("whole").select("item_id", "cat").unionByName(border.select("item_id", "cat"))
     sample = materialise(drawn.join(names, "cat").select("item_id", "category"), "quota-sample")

@@ -319,7 +319,9 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
     """
     import pyarrow as pa
 
-    base = spread(pairs.select(F.col(id_col).alias("item_id"), F.col(query_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("a"))).where("item_id is not null")
+    base = spread(
+        pairs.select(F.col(id_col).alias("item_id"), F.col(query_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("a"))
+    ).where("item_id is not null")
 
     def look(batches):
         for b in batches:
@@ -327,7 +329,10 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
             rows = [judge(q, a) for q, a in zip(asked, b.column("a").to_pylist())]
             rows = [(*r, r[4] and r[4].rpartition(" ")[0], " ".join(_words(q or "")) if r[4] else "") for q, r in zip(asked, rows)]
             keep = [i for i, r in enumerate(rows) if r[0]]
-            yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(keep, pa.int64())), *(pa.array([rows[i][k] for i in keep], pa.string()) for k in range(7))], names=["item_id", "defect", "w3", "w2", "w1", "w0", "ws", "asked"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("item_id").take(pa.array(keep, pa.int64())), *(pa.array([rows[i][k] for i in keep], pa.string()) for k in range(7))],
+                names=["item_id", "defect", "w3", "w2", "w1", "w0", "ws", "asked"]
+            )
 
     def count(batches):
         ends: Counter = Counter()
@@ -335,7 +340,10 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
 
         def flush():
             keys = list(uses)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([uses[k] for k in keys], pa.int64())], names=["run", "ends", "uses"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([uses[k] for k in keys], pa.int64())],
+                names=["run", "ends", "uses"]
+            )
             ends.clear()
             uses.clear()
             return out
@@ -349,10 +357,14 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
             yield flush()
 
     kind = base.schema["item_id"].dataType.simpleString()
-    judged = materialise(base.mapInArrow(look, f"item_id {kind}, defect string, w3 string, w2 string, w1 string, w0 string, ws string, asked string"), "pairs-judged")
+    judged = materialise(
+        base.mapInArrow(look, f"item_id {kind}, defect string, w3 string, w2 string, w1 string, w0 string, ws string, asked string"), "pairs-judged"
+    )
     asked = judged.where("defect = '?'").select(F.explode(F.array("ws", "w0", "w1", "w2", "w3")).alias("run")).where("run <> ''").distinct()
     told = spread(base.select("q", "a").where("a is not null").distinct())  # else hot copies would decide what is usual
-    runs = told.mapInArrow(count, "run string, ends long, uses long").join(asked, "run", "left_semi").groupBy("run").agg(F.sum("ends").alias("ends"), F.sum("uses").alias("uses"))
+    runs = told.mapInArrow(count, "run string, ends long, uses long").join(asked, "run", "left_semi").groupBy("run").agg(
+        F.sum("ends").alias("ends"), F.sum("uses").alias("uses")
+    )
     runs = materialise(runs, "pairs-runs")
     open_ = judged.where("defect = '?'")
     recurs = open_.where("w0 <> ''").groupBy("w0").agg(F.countDistinct("asked").alias("queries"))
@@ -366,6 +378,8 @@ def broken_pairs(pairs: DataFrame, id_col: str, query_col: str, answer_col: str)
     holds = lambda k: F.col("queries") / (F.col("queries") + F.coalesce(f"u{k}", F.lit(0))) >= END_SHARE
     known = (F.coalesce("u1", F.lit(0)) > 0) | (F.col("queries") > 1) & holds("s")
     phrase = (F.col("w0") != "") & known & ((F.coalesce("u0", F.lit(0)) == 0) | holds("0"))
-    cut = F.when(phrase, F.lit(False)).when(enough(3, 4), share(3) < END_SHARE).when(enough(2, 4), share(2) < END_SHARE).when(enough(1, 1), share(1) < END_SHARE).otherwise(F.lit(True))
+    cut = F.when(phrase, F.lit(False)).when(
+        enough(3, 4), share(3) < END_SHARE
+    ).when(enough(2, 4), share(2) < END_SHARE).when(enough(1, 1), share(1) < END_SHARE).otherwise(F.lit(True))
     cut_off = open_.where(cut).select("item_id", F.lit("truncated").alias("defect"))
     return judged.where("defect <> '?'").select("item_id", "defect").unionByName(cut_off).groupBy("item_id").agg(F.min("defect").alias("defect"))

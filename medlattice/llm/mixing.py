@@ -102,7 +102,16 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     spark = docs.sparkSession
     found: dict[str, list] = {}
     fraction = 0.0
-    for r in sorted(collect_control(targets.select(F.col("source_name").cast("string").alias("name"), label_key(F.col("source_name").cast("string")).alias("k"), F.coalesce("target_weight", F.lit(0.0)).cast("double").alias("w"), F.coalesce("max_repeats", F.lit(0)).cast("int").alias("m"), F.coalesce("mix_fraction", F.lit(0.0)).cast("double").alias("f"))), key=lambda r: (r.k or "", r.name or "")):
+    for r in sorted(
+        collect_control(
+            targets.select(
+                F.col("source_name").cast("string").alias("name"), label_key(F.col("source_name").cast("string")).alias("k"),
+                F.coalesce("target_weight", F.lit(0.0)).cast("double").alias("w"), F.coalesce("max_repeats", F.lit(0)).cast("int").alias("m"),
+                F.coalesce("mix_fraction", F.lit(0.0)).cast("double").alias("f")
+            )
+        ),
+        key=lambda r: (r.k or "", r.name or "")
+    ):
         if r.k:
             t = found.setdefault(r.k, [r.name, 0.0, 0])
             t[1], t[2], fraction = t[1] + r.w, max(t[2], r.m), max(fraction, r.f)
@@ -110,7 +119,12 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     listed = F.broadcast(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, src int"))  # CONTROL_ROWS at most
     renamed = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).cast("string").alias("label"), F.col(text_col).alias("text"))
     sized = with_token_counts(renamed, {"size": "text"}, ["doc_id", "label"], tokenizer_dir)
-    sized = materialise(sized.withColumn("k", label_key(F.col("label"))).join(listed, "k", "left").select("doc_id", F.coalesce("src", F.lit(-1)).alias("src"), "size"), "mix-sized")
+    sized = materialise(
+        sized.withColumn("k", label_key(F.col("label"))).join(listed, "k", "left").select(
+            "doc_id", F.coalesce("src", F.lit(-1)).alias("src"), "size"
+        ),
+        "mix-sized"
+    )
 
     counted = sized.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()  # CONTROL_ROWS + 1 at most
     sizes = {r.src: r.s for r in counted}
@@ -145,10 +159,18 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
     names = F.broadcast(spark.createDataFrame([(i, found[k][0]) for i, k in enumerate(keys)], "src int, source_name string"))
-    picks = chosen.withColumn("copies", F.col("whole") + F.col("extra").cast("int")).where("copies > 0").join(names, "src").select(F.regexp_replace("doc_id", "#[0-9]+#[0-9]+$", "").alias("doc_id"), "source_name", "size", "copies")
-
-    head = spark.createDataFrame([(found[k][0], found[k][1], found[k][2], have[i], total, aim[i], have[i] * found[k][2] < aim[i]) for i, k in enumerate(keys)], "source_name string, target_weight double, max_repeats int, source_size long, total_size long, target_size double, falls_short boolean")
+    picks = chosen.withColumn("copies", F.col("whole") + F.col("extra").cast("int")).where("copies > 0").join(names, "src").select(
+        F.regexp_replace("doc_id", "#[0-9]+#[0-9]+$", "").alias("doc_id"), "source_name", "size", "copies"
+    )
+
+    head = spark.createDataFrame(
+        [(found[k][0], found[k][1], found[k][2], have[i], total, aim[i], have[i] * found[k][2] < aim[i]) for i, k in enumerate(keys)],
+        "source_name string, target_weight double, max_repeats int, source_size long, total_size long, target_size double, falls_short boolean"
+    )
     reached = picks.groupBy("source_name").agg(F.sum(F.col("size") * F.col("copies")).alias("r"), F.sum("copies").alias("c"), F.max("copies").alias("m"))
-    report = head.join(reached, "source_name", "left").select(*head.columns, F.coalesce("r", F.lit(0)).alias("reached_size"), F.coalesce("c", F.lit(0)).alias("documents"), F.coalesce("m", F.lit(0)).alias("most_copies"))
+    report = head.join(reached, "source_name", "left").select(
+        *head.columns, F.coalesce("r", F.lit(0)).alias("reached_size"), F.coalesce("c", F.lit(0)).alias("documents"),
+        F.coalesce("m", F.lit(0)).alias("most_copies")
+    )
     whole = F.sum("reached_size").over(Window.partitionBy())
     return Mix(picks, report.withColumn("reached_share", F.when(whole > 0, F.col("reached_size") / whole).otherwise(F.lit(0.0))))

@@ -141,7 +141,9 @@ def _band_batches(batches, words: int):
         bits = (_mix(s) & _U(1)).reshape(len(filled), T // 64, 64)
         packed = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
         column = lambda x: pa.array(np.repeat(x, BANDS).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), column(own_cls), *(column(packed[:, i].copy()) for i in range(T // 64))], names=_KEYED)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.ravel().view(np.int64)), column(own_cls), *(column(packed[:, i].copy()) for i in range(T // 64))], names=_KEYED
+        )
 
 
 _KEYED = ["key", "cls", *(f"bits{i}" for i in range(T // 64))]
@@ -283,7 +285,10 @@ def _set_batches(batches, words: int):
         doc, h = shingles(texts, words)
         filled, n = np.unique(doc, return_counts=True)
         offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(cls[filled]), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["cls", "n", "hashes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cls[filled]), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))],
+            names=["cls", "n", "hashes"]
+        )
 
 
 @dataclass(frozen=True)
@@ -305,7 +310,9 @@ def near_duplicates(items: DataFrame, id_col: str, text_col: str, words: int = 5
     distinct text. Empty table: empty results. Other columns are not read.
     """
     text = F.lower(F.col(text_col).cast("string"))
-    base = items.select(F.col(id_col).cast("string").alias("item_id"), text.alias("text")).where("item_id is not null and text is not null").withColumn("cls", F.xxhash64("text"))
+    base = items.select(
+        F.col(id_col).cast("string").alias("item_id"), text.alias("text")
+    ).where("item_id is not null and text is not null").withColumn("cls", F.xxhash64("text"))
     run = "[a-z0-9]+" + "[^a-z0-9]+[a-z0-9]+" * (words - 1)
     members = materialise(base.where(F.col("text").rlike(run)).select("item_id", "cls").distinct(), "dup-members")
 
@@ -316,7 +323,9 @@ def near_duplicates(items: DataFrame, id_col: str, text_col: str, words: int = 5
 
     wanted = materialise(candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct(), "dup-wanted")
     hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
-    sets = base.select("cls", "text").join(hint, "cls", "left_semi").mapInArrow(lambda bs: _set_batches(bs, words), "cls long, n int, hashes array<long>").dropDuplicates(["cls"])
+    sets = base.select("cls", "text").join(hint, "cls", "left_semi").mapInArrow(
+        lambda bs: _set_batches(bs, words), "cls long, n int, hashes array<long>"
+    ).dropDuplicates(["cls"])
     one = sets.select(F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
     two = sets.select(F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("hashes").alias("h_b"))
     joined = candidates.join(one, "cls_a").join(two, "cls_b")
@@ -326,9 +335,14 @@ def near_duplicates(items: DataFrame, id_col: str, text_col: str, words: int = 5
             ha, hb = x.column("h_a"), x.column("h_b")
             oa, ob = ha.offsets.to_numpy(), hb.offsets.to_numpy()
             va, vb = ha.values.to_numpy(), hb.values.to_numpy()
-            common = np.fromiter((len(np.intersect1d(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]], assume_unique=True)) for i in range(x.num_rows)), np.int64, x.num_rows)
+            common = np.fromiter(
+                (len(np.intersect1d(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]], assume_unique=True)) for i in range(x.num_rows)), np.int64,
+                x.num_rows
+            )
             union = x.column("n_a").to_numpy().astype(np.int64) + x.column("n_b").to_numpy() - common
-            yield pa.RecordBatch.from_arrays([x.column("cls_a"), x.column("cls_b"), pa.array(common / np.maximum(union, 1))], names=["cls_a", "cls_b", "similarity"])
+            yield pa.RecordBatch.from_arrays(
+                [x.column("cls_a"), x.column("cls_b"), pa.array(common / np.maximum(union, 1))], names=["cls_a", "cls_b", "similarity"]
+            )
 
     links = joined.mapInArrow(verify, "cls_a long, cls_b long, similarity double").where(F.col("similarity") >= threshold)
     return NearDuplicates(members, materialise(links, "dup-links"))
@@ -359,8 +373,15 @@ def linked_pairs(found: NearDuplicates) -> DataFrame:
     side = lambda c, i: lists.select(F.col("cls").alias(f"cls_{c}"), F.col("block").alias(f"block_{c}"), F.col("items").alias(i))
     count = lists.select("cls", "blocks").distinct()
     numbers = lambda c, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(f"block_{c}")
-    across = links.join(count.toDF("cls_a", "n_a"), "cls_a").join(count.toDF("cls_b", "n_b"), "cls_b").select("cls_a", "cls_b", numbers("a", "n_a"), "n_b").select("cls_a", "block_a", "cls_b", numbers("b", "n_b"))
-    own = lists.join(several, "cls", "left_semi").select(F.col("cls").alias("cls_a"), F.col("block").alias("block_a"), F.col("cls").alias("cls_b"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block_b"))
+    across = links.join(count.toDF("cls_a", "n_a"), "cls_a").join(count.toDF("cls_b", "n_b"), "cls_b").select(
+        "cls_a", "cls_b", numbers("a", "n_a"), "n_b"
+    ).select(
+        "cls_a", "block_a", "cls_b", numbers("b", "n_b")
+    )
+    own = lists.join(several, "cls", "left_semi").select(
+        F.col("cls").alias("cls_a"), F.col("block").alias("block_a"), F.col("cls").alias("cls_b"),
+        F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block_b")
+    )
     met = across.unionByName(own).join(side("a", "x"), ["cls_a", "block_a"]).join(side("b", "y"), ["cls_b", "block_b"])
     one_list = ((F.col("cls_a") == F.col("cls_b")) & (F.col("block_a") == F.col("block_b"))).alias("one_list")
     each = met.select(one_list, F.explode("x").alias("x"), "y").select("one_list", "x", F.explode("y").alias("y"))

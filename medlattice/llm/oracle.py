@@ -20,7 +20,10 @@ def _p1() -> str:
 
 def _p2() -> str:
     parts = []
-    for field, name, key, text in (("records.content", "records", "record_id", "content"), ("articles.abstract", "articles", "pubmed_id", "abstract"), ("trials.detailed_description", "trials", "nct_id", "detailed_description")):
+    for field, name, key, text in (
+        ("records.content", "records", "record_id", "content"), ("articles.abstract", "articles", "pubmed_id", "abstract"),
+        ("trials.detailed_description", "trials", "nct_id", "detailed_description")
+    ):
         parts.append(f"""
         SELECT '{field}' AS field_name, item_key, CASE WHEN longest > max_size THEN 'forced' ELSE 'natural' END AS cut FROM (
             SELECT {key} AS item_key, max(list_max(list_transform(regexp_split_to_array({text}, '[ \\t\\r\\n]+'), lambda x: length(x)))) AS longest, any_value(l.max_size) AS max_size
@@ -42,14 +45,19 @@ def _p1_rules() -> str:
 
 def _p2_rebuilt() -> str:
     parts = []
-    for field, name, key, text in (("records.content", "records", "record_id", "content"), ("articles.abstract", "articles", "pubmed_id", "abstract"), ("trials.detailed_description", "trials", "nct_id", "detailed_description")):
+    for field, name, key, text in (
+        ("records.content", "records", "record_id", "content"), ("articles.abstract", "articles", "pubmed_id", "abstract"),
+        ("trials.detailed_description", "trials", "nct_id", "detailed_description")
+    ):
         parts.append(f"""
         SELECT '{field}' AS field_name, {key} AS item_key, md5(max_by({text}, {{'n': length({text}), 't': {text}}})) AS text_hash, true AS fits
         FROM {name} WHERE {key} IS NOT NULL AND length({text}) > (SELECT max_size FROM size_limits WHERE field_name = '{field}') GROUP BY {key}""")
     return " UNION ALL ".join(parts)
 
 
-_P3_RESTORED = " UNION ALL ".join(f"SELECT record_id, '{c}' AS field_name, md5({c}) AS text_hash FROM records WHERE {c} IS NOT NULL" for c in ("content", "description"))
+_P3_RESTORED = " UNION ALL ".join(
+    f"SELECT record_id, '{c}' AS field_name, md5({c}) AS text_hash FROM records WHERE {c} IS NOT NULL" for c in ("content", "description")
+)
 
 #: Every pair of records by brute force over the sets of three consecutive words.
 _P4 = """

@@ -151,4 +151,7 @@ def pack_instructions(
 def bin_report(packed: DataFrame, max_tokens: int) -> DataFrame:
     """Containers, tokens and mean fill of pack_items()."""
     bins = packed.where("bin is not null").groupBy("bin").agg(F.sum(F.col("token_end") - F.col("token_begin")).alias("t"), F.count("*").alias("s"))
-    return bins.agg(F.count("*").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("s"), F.lit(0)).alias("segments"), F.round(F.coalesce(F.avg(F.col("t") / max_tokens), F.lit(0.0)), 4).alias("mean_fill"))
+    return bins.agg(
+        F.count("*").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("s"), F.lit(0)).alias("segments"),
+        F.round(F.coalesce(F.avg(F.col("t") / max_tokens), F.lit(0.0)), 4).alias("mean_fill")
+    )

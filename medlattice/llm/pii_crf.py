@@ -164,7 +164,9 @@ def _names(text: str, out: set) -> None:
             parts = [(at, past)]
         else:
             parts = [p.span() for p in _NAME_PART.finditer(text, at, past)]
-        if at > 2 and text[at - 1] == " " and text[text.rfind(" ", 0, at - 1) + 1 : at - 1] in _PARTICLES and (particle := _BEFORE.search(text[max(0, at - 8) : at])):
+        if at > 2 and text[at - 1] == " " and text[text.rfind(" ", 0, at - 1) + 1 : at - 1] in _PARTICLES and (
+            particle := _BEFORE.search(text[max(0, at - 8) : at])
+        ):
             b = at - len(particle.group())
             out.update((b, e, "name") for _, e in parts[:3] if not text[e - 1].islower() or text[e - 2 : e].isalpha())
         for i in range(len(parts)):
@@ -216,23 +218,44 @@ def features(text: str, b: int, e: int, kind: str, words: frozenset) -> list[str
     elif kind == "address":
         tokens = re.findall(r"[\w'’.-]+", x)
         low = [t.lower().strip(".") for t in tokens]
-        out += [f"len={len(tokens)}", f"street={low[-1]}", f"caps={sum(t[0].isupper() or t[0].isdigit() for t in tokens) == len(tokens)}", f"ordinary={sum(t in words for t in low[1:-1])}", f"second={low[1] if low[1] in words else '*'}", f"nth={bool(re.match(r'[0-9]+(?:st|nd|rd|th)$', low[1]))}"]
+        out += [
+            f"len={len(tokens)}", f"street={low[-1]}", f"caps={sum(t[0].isupper() or t[0].isdigit() for t in tokens) == len(tokens)}",
+            f"ordinary={sum(t in words for t in low[1:-1])}", f"second={low[1] if low[1] in words else '*'}",
+            f"nth={bool(re.match(r'[0-9]+(?:st|nd|rd|th)$', low[1]))}"
+        ]
         out += ["lower" if x == x.lower() else "upper" if x == x.upper() else "mixed", f"next={'word' if n1 in words else n1 if not n1.isalpha() else 'other'}"]
         more = _STREET_MORE.match(text, e)
         out.append(f"more={bool(more)}")
     elif kind == "name":
         tokens = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", x)
-        shape = "".join("i" if len(t) == 1 else ("W" if t.lower() in words else "U") if t.isupper() else "l" if t.islower() else "w" if t.lower() in words else "N" for t in tokens)
+        shape = "".join(
+            "i" if len(t) == 1 else (
+                "W" if t.lower() in words else "U"
+            ) if t.isupper() else "l" if t.islower() else "w" if t.lower() in words else "N" for t in tokens
+        )
         comma = "," if "," in x else ""
-        adjoining = bool(re.match(r"(?: |-)[A-Z]", text[e : e + 2])), not initial and text[b - 1 : b] in (" ", "-") and bool(before) and before[-1][:1].isupper()
+        adjoining = bool(
+            re.match(r"(?: |-)[A-Z]", text[e : e + 2])
+        ), not initial and text[b - 1 : b] in (" ", "-") and bool(before) and before[-1][:1].isupper()
         title = not initial and _TITLED.search(text[max(0, b - 12) : b]) is not None
-        out += [f"tok={shape}{comma}", f"len={len(tokens)}", f"init={initial}", f"title={title}", f"adj={adjoining[0]}{adjoining[1]}", f"tok={shape}|init={initial}", f"tok={shape}|n1={n1}", f"init={initial}|n1={n1}", f"tok={shape}|p1={p1}", f"tok={shape}|{comma}|title={title}"]
+        out += [
+            f"tok={shape}{comma}", f"len={len(tokens)}", f"init={initial}", f"title={title}", f"adj={adjoining[0]}{adjoining[1]}",
+            f"tok={shape}|init={initial}", f"tok={shape}|n1={n1}", f"init={initial}|n1={n1}", f"tok={shape}|p1={p1}",
+            f"tok={shape}|{comma}|title={title}"
+        ]
         out += [f"nx={'Cap' if after and after[0][:1].isupper() else 'punct' if n1[:1] in '.,;:()' else 'word'}|init={initial}|tok={shape}"]
-        out += [f"first={tokens[0].lower()}" if tokens[0].lower() in words else "first*", f"last={tokens[-1].lower()}" if tokens[-1].lower() in words else "last*"]
+        out += [
+            f"first={tokens[0].lower()}" if tokens[0].lower() in words else "first*",
+            f"last={tokens[-1].lower()}" if tokens[-1].lower() in words else "last*"
+        ]
         out += [f"end={t.lower()[-3:]}" for t in tokens if len(t) > 3] + [f"in={t.lower()}" for t in tokens if t.lower() in words]
     else:
         ending = re.split(r"\W+", x)[-1]
-        out += ["at" if "@" in x else "spelt", f"dots={min(3, x.count('.'))}", f"ends={'digit' if ending.isdigit() else 'short' if len(ending) < 2 else 'word'}|{'@' in x}", f"bracket={bool(re.search(r'[(\[{]', x))}", f"dot={' dot' in x.lower() or '(dot' in x.lower()}"]
+        out += [
+            "at" if "@" in x else "spelt", f"dots={min(3, x.count('.'))}",
+            f"ends={'digit' if ending.isdigit() else 'short' if len(ending) < 2 else 'word'}|{'@' in x}", f"bracket={bool(re.search(r'[(\[{]', x))}",
+            f"dot={' dot' in x.lower() or '(dot' in x.lower()}"
+        ]
     return out
 
 
@@ -289,7 +312,9 @@ class Model:
         return out[::-1]
 
 
-def fit(labelled: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 12, rate: float = 0.3, l2: float = 1e-4, tokenizer_dir: str = TOKENIZER_DIR) -> dict[str, float]:
+def fit(
+    labelled: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 12, rate: float = 0.3, l2: float = 1e-4, tokenizer_dir: str = TOKENIZER_DIR
+) -> dict[str, float]:
     """Weights that maximise the conditional likelihood of the labelled segmentations, by AdaGrad on the lattice's gradient."""
 
     words = common_words(tokenizer_dir)
@@ -345,7 +370,14 @@ def trained(tokenizer_dir: str = TOKENIZER_DIR) -> Model:
     return Model(json.loads(pkgutil.get_data(__package__, "pii_weights.json")), tokenizer_dir)
 
 
-_FOUND = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pii_type", T.StringType()), T.StructField("pii_text", T.StringType())]))
+_FOUND = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pii_type", T.StringType()),
+            T.StructField("pii_text", T.StringType())
+        ]
+    )
+)
 _BOTH = T.StructType([T.StructField("found", _FOUND), T.StructField("redacted", T.StringType())])
 
 
@@ -373,14 +405,32 @@ def redact_fields(df: DataFrame, key: str, fields: list[str], tokenizer_dir: str
 
         model = trained(tokenizer_dir)
         found = [model.find(t) if isinstance(t, str) else None for t in texts]
-        return pd.DataFrame({"found": [None if f is None else [(b, e, k, t[b:e]) for b, e, k in f] for f, t in zip(found, texts)], "redacted": [None if f is None else redact(t, f) for f, t in zip(found, texts)]})
+        return pd.DataFrame(
+            {
+                "found": [None if f is None else [(b, e, k, t[b:e]) for b, e, k in f] for f, t in zip(found, texts)],
+                "redacted": [None if f is None else redact(t, f) for f, t in zip(found, texts)]
+            }
+        )
 
     run = run.asNondeterministic()  # else a filter on the result would run it a second time
-    each = spread(df.select(key, *fields)).select(F.col(key).cast("string").alias("item_key"), *(run(F.col(f).cast("string")).alias(f"r{i}") for i, f in enumerate(fields)))
-    rows = each.select("item_key", F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"r{i}.found").alias("found"), F.col(f"r{i}.redacted").alias("redacted")) for i, f in enumerate(fields)))).alias("r"))
+    each = spread(df.select(key, *fields)).select(
+        F.col(key).cast("string").alias("item_key"), *(run(F.col(f).cast("string")).alias(f"r{i}") for i, f in enumerate(fields))
+    )
+    rows = each.select(
+        "item_key",
+        F.explode(
+            F.array(
+                *(
+                    F.struct(F.lit(f).alias("field_name"), F.col(f"r{i}.found").alias("found"), F.col(f"r{i}.redacted").alias("redacted")) for i, f in enumerate(fields)
+                )
+            )
+        ).alias("r")
+    )
     return rows.select("item_key", "r.field_name", "r.found", "r.redacted")
 
 
 def personal_data(redacted: DataFrame) -> DataFrame:
     """item_key, field_name, pii_type, pii_text of redact_fields(), distinct."""
-    return redacted.where("size(found) > 0").select("item_key", "field_name", F.explode("found").alias("f")).select("item_key", "field_name", "f.pii_type", "f.pii_text").distinct()
+    return redacted.where("size(found) > 0").select(
+        "item_key", "field_name", F.explode("found").alias("f")
+    ).select("item_key", "field_name", "f.pii_type", "f.pii_text").distinct()

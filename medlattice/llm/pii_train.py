@@ -93,14 +93,18 @@ class _Maker:
         return x
 
     def given(self) -> str:
-        return self.r.choice(_FIRST) if self.r.random() < 0.3 else self.word(["a", "en", "ia", "is", "o", "elle", "ith", "win", "mond", "sa", "in", "eth", "ick", "gar", "bel"])
+        return self.r.choice(_FIRST) if self.r.random() < 0.3 else self.word(
+            ["a", "en", "ia", "is", "o", "elle", "ith", "win", "mond", "sa", "in", "eth", "ick", "gar", "bel"]
+        )
 
     def value(self, kind: str) -> str:
         r = self.r
         digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
         sep = lambda: r.choice("- ./")
         if kind == "full":
-            middle = r.choice([" ", " ", " ", f" {r.choice('ABCDEFGHJKLMNOPRSTUW')}. ", f" {r.choice('ABCDEFGHJKLMNOPRSTUW')} ", f" {self.given()} "]) if r.random() < 0.5 else " "
+            middle = r.choice(
+                [" ", " ", " ", f" {r.choice('ABCDEFGHJKLMNOPRSTUW')}. ", f" {r.choice('ABCDEFGHJKLMNOPRSTUW')} ", f" {self.given()} "]
+            ) if r.random() < 0.5 else " "
             first = self.given() if r.random() < 0.88 else r.choice("ABCDEFGHJKLMNOPRSTUW") + "."
             x = f"{first}{middle}{self.surname()}"
             return self.inverted() if r.random() < 0.12 else x.upper() if r.random() < 0.05 else x
@@ -110,7 +114,9 @@ class _Maker:
             return self.surname()
         if kind == "email":
             a, b = self.given().lower(), self.word().lower()
-            user = r.choice([f"{a}.{b}", f"{a}_{b}", f"{a}{b}", f"{a[0]}{b}", f"{b}{digits(2)}", f"{b}+{a}", f"{a}.{b}{digits(2)}", f"{b}{r.randint(1940, 2005)}"])
+            user = r.choice(
+                [f"{a}.{b}", f"{a}_{b}", f"{a}{b}", f"{a[0]}{b}", f"{b}{digits(2)}", f"{b}+{a}", f"{a}.{b}{digits(2)}", f"{b}{r.randint(1940, 2005)}"]
+            )
             host = [self.word().lower() + r.choice(["", "", digits(1)]), r.choice(["example", "test", "invalid", "com", "org", "net", "co.uk", "de"])]
             if r.random() < 0.15:
                 host.insert(0, r.choice(["mail", "mx", "post"]))
@@ -120,7 +126,13 @@ class _Maker:
             return x.upper() if r.random() < 0.12 else x
         if kind == "phone":
             a, b, c = str(r.randint(201, 989)), digits(3), digits(4)
-            return r.choice([f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}){b} {c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"{a}{b}{c}", f"1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"+44 20 {digits(4)} {c}", f"+4420{digits(4)}{c}", f"020 {digits(4)} {c}", f"+49 {a} {digits(7)}", f"0{digits(4)} {digits(6)}", f"+33 1 {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"({a}) {b}.{c}"])
+            return r.choice(
+                [
+                    f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}){b} {c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"{a}{b}{c}", f"1-{a}-{b}-{c}",
+                    f"+1 {a} {b} {c}", f"+44 20 {digits(4)} {c}", f"+4420{digits(4)}{c}", f"020 {digits(4)} {c}", f"+49 {a} {digits(7)}",
+                    f"0{digits(4)} {digits(6)}", f"+33 1 {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"({a}) {b}.{c}"
+                ]
+            )
         if kind == "phonelike":
             s = r.choice(".- ")
             return f"{r.randint(201, 989)}{s}{digits(3)}{s}{digits(4)}"
@@ -133,11 +145,19 @@ class _Maker:
             x = r.choice("ward unit hospital clinic wing site home centre practice".split())
             return x.capitalize() if kind == "Place" else x
         if kind == "work":
-            return r.choice("farm worker,office worker,retired teacher,young adult,man,woman,boy,girl,cook,driver,nurse,patient,resident,student,gentleman,lady".split(","))
+            return r.choice(
+                "farm worker,office worker,retired teacher,young adult,man,woman,boy,girl,cook,driver,nurse,patient,resident,student,gentleman,lady".split(",")
+            )
         if kind == "nino":
             return r.choice(["AB {} {} {} C", "QQ{}{}{}B", "JK {} {} {} D"]).format(digits(2), digits(2), digits(2))
         if kind == "pol":
-            return r.choice([f"{r.choice('ABHKOPU')}{r.choice('LMNPRX')}-{digits(4)}-{digits(4)}", f"{r.choice('ABCDEF')}{digits(8)}", f"{digits(9)}", f"{r.choice('ABC')}{r.choice('XYZ')}{digits(7)}", f"{r.choice('PQRS')}{r.choice('TVXZ')}-{digits(5)}-{r.choice(['AA', 'B', 'CD'])}"])
+            return r.choice(
+                [
+                    f"{r.choice('ABHKOPU')}{r.choice('LMNPRX')}-{digits(4)}-{digits(4)}", f"{r.choice('ABCDEF')}{digits(8)}", f"{digits(9)}",
+                    f"{r.choice('ABC')}{r.choice('XYZ')}{digits(7)}",
+                    f"{r.choice('PQRS')}{r.choice('TVXZ')}-{digits(5)}-{r.choice(['AA', 'B', 'CD'])}"
+                ]
+            )
         if kind == "short7":
             return f"{digits(3)}-{digits(4)}"
         if kind == "nct":
@@ -153,13 +173,24 @@ class _Maker:
         if kind == "t":
             return r.choice([f"{r.randint(0, 23)}:{r.randint(10, 59)}", f"{r.randint(0, 23)}.{r.randint(10, 59)}"])
         if kind == "addr":
-            name = r.choice([f"{r.randint(1, 120)}{r.choice(['th', 'th', 'nd', 'st', 'rd'])}", self.town(), r.choice(_STREET_A), f"{self.town()} {r.choice(['Park', 'Mill', 'Hill', 'Ferry', 'Chapel', 'Green'])}", f"{r.choice(['Old', 'Upper', 'Lower', 'N.', 'W', 'South', 'East', 'New'])} {self.town()}", self.town()])
+            name = r.choice(
+                [
+                    f"{r.randint(1, 120)}{r.choice(['th', 'th', 'nd', 'st', 'rd'])}", self.town(), r.choice(_STREET_A),
+                    f"{self.town()} {r.choice(['Park', 'Mill', 'Hill', 'Ferry', 'Chapel', 'Green'])}",
+                    f"{r.choice(['Old', 'Upper', 'Lower', 'N.', 'W', 'South', 'East', 'New'])} {self.town()}", self.town()
+                ]
+            )
             x = f"{r.randint(1, 9900)}{r.choice(['', '', '', 'A', 'B', 'C'])} {name} {r.choice(_KIND)}"
             return x.upper() if r.random() < 0.1 else x.lower() if r.random() < 0.07 else x
         if kind == "town":
             return self.town()
         if kind in ("noun", "Noun"):
-            x = r.choice(_NOUN) if r.random() < 0.75 else r.choice(_SYL_A) + r.choice(_SYL_B) + r.choice(["itis", "osis", "aemia", "oma", "opathy", "oscopy", "ectomy", "uria", "algia", "in", "ine", "ide", "ism", "ation", "ness", "ment", "ing"])
+            x = r.choice(_NOUN) if r.random() < 0.75 else r.choice(_SYL_A) + r.choice(_SYL_B) + r.choice(
+                [
+                    "itis", "osis", "aemia", "oma", "opathy", "oscopy", "ectomy", "uria", "algia", "in", "ine", "ide", "ism", "ation", "ness", "ment",
+                    "ing"
+                ]
+            )
             return x.capitalize() if kind == "Noun" else x
         if kind == "N":
             return self.word() if r.random() < 0.8 else r.choice(_LAST)

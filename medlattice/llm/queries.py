@@ -21,7 +21,10 @@ from .splitting import piece_rows, split_oversized
 #: Of each sampled field: its table, id and label.
 SAMPLED = {"specialty": ("records", "record_id", "specialty"), "question_type": ("questions", "question_id", "question_type")}
 #: Of each field of size_limits in characters: its table, key and text.
-SPLIT = {"records.content": ("records", "record_id", "content"), "articles.abstract": ("articles", "pubmed_id", "abstract"), "trials.detailed_description": ("trials", "nct_id", "detailed_description")}
+SPLIT = {
+    "records.content": ("records", "record_id", "content"), "articles.abstract": ("articles", "pubmed_id", "abstract"),
+    "trials.detailed_description": ("trials", "nct_id", "detailed_description")
+}
 #: Limits of a container of instruction data besides its tokens.
 MAX_SEGMENTS, MAX_LOSS_TOKENS = 64, 3072
 
@@ -76,7 +79,10 @@ def p1_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def _splits(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     limits = {r.field_name: r for r in collect_control(table(spark, d, "size_limits").where("unit = 'characters'"))}
-    return {f: split_oversized(table(spark, d, name), key, text, limits[f].max_size, limits[f].overlap_size) for f, (name, key, text) in SPLIT.items() if f in limits}
+    return {
+        f: split_oversized(table(spark, d, name), key, text, limits[f].max_size, limits[f].overlap_size) for f,
+        (name, key, text) in SPLIT.items() if f in limits
+    }
 
 
 def _union(parts: dict[str, DataFrame]) -> DataFrame:
@@ -193,7 +199,9 @@ def _rules(packed: DataFrame, tokens: int, segments: int, loss: int) -> DataFram
     full = bins.agg(
         F.count_if((F.col("t") > tokens) | (F.col("s") > segments) | (F.col("l") > loss)).alias("overfull"),
         F.coalesce(F.count("*") <= 1.05 * needed + 2, F.lit(True)).alias("few_containers"))
-    whole = packed.where("bin is not null").groupBy("doc_id").agg(F.sum(length).alias("t"), F.sum(F.when(F.col("segment_no") == F.col("segments") - 1, F.col("token_end"))).alias("e"))
+    whole = packed.where("bin is not null").groupBy("doc_id").agg(
+        F.sum(length).alias("t"), F.sum(F.when(F.col("segment_no") == F.col("segments") - 1, F.col("token_end"))).alias("e")
+    )
     gaps = whole.agg(F.count_if(F.col("t") != F.col("e")).alias("torn_items"))
     one = lambda df: df.withColumn("_one", F.lit(1))
     return one(items).join(one(full), "_one").join(one(gaps), "_one").drop("_one")
@@ -247,7 +255,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
-    return p8_levels(spark, d).groupBy("band").agg(F.count("*").alias("documents"), F.sum("n_words").alias("words"), F.round(F.avg("level"), 4).alias("mean_level"))
+    return p8_levels(spark, d).groupBy("band").agg(
+        F.count("*").alias("documents"), F.sum("n_words").alias("words"), F.round(F.avg("level"), 4).alias("mean_level")
+    )
 
 
 def p8_convergence(spark: SparkSession, d: str) -> DataFrame:

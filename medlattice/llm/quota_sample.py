@@ -83,13 +83,24 @@ def quota_sample(items: DataFrame, id_col: str, label_col: str, targets: DataFra
     """
     spark = items.sparkSession
     found: dict[str, list] = {}
-    for r in sorted(collect_control(targets.select(F.col("category").cast("string"), label_key(F.col("category").cast("string")).alias("k"), F.coalesce("target_share", F.lit(0.0)).cast("double").alias("s"), F.coalesce("sample_fraction", F.lit(0.0)).cast("double").alias("f"), F.coalesce("min_rows", F.lit(0)).cast("int").alias("m"))), key=lambda r: (r.k or "", r.category or "")):
+    for r in sorted(
+        collect_control(
+            targets.select(
+                F.col("category").cast("string"), label_key(F.col("category").cast("string")).alias("k"),
+                F.coalesce("target_share", F.lit(0.0)).cast("double").alias("s"), F.coalesce("sample_fraction", F.lit(0.0)).cast("double").alias("f"),
+                F.coalesce("min_rows", F.lit(0)).cast("int").alias("m")
+            )
+        ),
+        key=lambda r: (r.k or "", r.category or "")
+    ):
         if r.k:
             t = found.setdefault(r.k, [r.category, 0.0, r.f, 0])
             t[1], t[2], t[3] = t[1] + r.s, max(t[2], r.f), max(t[3], r.m)
     keys = sorted(found)
     listed = F.broadcast(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, cat int"))  # CONTROL_ROWS at most
-    named = items.select(F.col(id_col).cast("string").alias("item_id"), label_key(F.col(label_col).cast("string")).alias("k")).where("item_id is not null").join(listed, "k")
+    named = items.select(
+        F.col(id_col).cast("string").alias("item_id"), label_key(F.col(label_col).cast("string")).alias("k")
+    ).where("item_id is not null").join(listed, "k")
     usable = named.groupBy("item_id").agg(F.min("cat").alias("cat")).withColumn("key", F.xxhash64(F.lit(seed), "item_id"))
     usable = materialise(usable, "quota-usable")
 
@@ -105,19 +116,28 @@ def quota_sample(items: DataFrame, id_col: str, label_col: str, targets: DataFra
     bucketed = usable.withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 44) * buckets, 20))  # rises with the key, read as unsigned
     counts = bucketed.groupBy("cat", "bucket").agg(F.count("*").alias("n")).join(plan, "cat")
     before = F.sum("n").over(Window.partitionBy("cat").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    need = counts.withColumn("need", F.col("quota") - F.coalesce(before, F.lit(0))).where("need > 0").select("cat", "bucket", "need", (F.col("need") >= F.col("n")).alias("whole"))
+    need = counts.withColumn("need", F.col("quota") - F.coalesce(before, F.lit(0))).where("need > 0").select(
+        "cat", "bucket", "need", (F.col("need") >= F.col("n")).alias("whole")
+    )
     hit = bucketed.join(need, ["cat", "bucket"])
     # turning the first bit over orders signed numbers as the buckets do, by their unsigned value
-    border = hit.where("not whole").withColumn("at", F.row_number().over(Window.partitionBy("cat", "bucket").orderBy(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), "item_id"))).where("at <= need")
+    border = hit.where("not whole").withColumn(
+        "at", F.row_number().over(Window.partitionBy("cat", "bucket").orderBy(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), "item_id"))
+    ).where("at <= need")
     names = F.broadcast(spark.createDataFrame([(i, found[k][0]) for i, k in enumerate(keys)], "cat int, category string"))
     drawn = hit.where("whole").select("item_id", "cat").unionByName(border.select("item_id", "cat"))
     sample = materialise(drawn.join(names, "cat").select("item_id", "category"), "quota-sample")
 
     goals = [s * found[k][2] * rows for k, s in zip(keys, shares)]
-    head = spark.createDataFrame([(found[k][0], shares[i], floors[i], rows, caps[i], goals[i], quotas[i], caps[i] < goals[i]) for i, k in enumerate(keys)], "category string, target_share double, min_rows int, usable_rows long, available long, target_rows double, quota long, falls_short boolean")
+    head = spark.createDataFrame(
+        [(found[k][0], shares[i], floors[i], rows, caps[i], goals[i], quotas[i], caps[i] < goals[i]) for i, k in enumerate(keys)],
+        "category string, target_share double, min_rows int, usable_rows long, available long, target_rows double, quota long, falls_short boolean"
+    )
     report = head.join(sample.groupBy("category").agg(F.count("*").alias("n")), "category", "left").withColumn("sampled", F.coalesce("n", F.lit(0))).drop("n")
     total = F.sum("sampled").over(Window.partitionBy())
     cause = F.when(F.col("falls_short"), F.lit("availability")).when(F.col("sampled") + 1 <= F.col("target_rows"), F.lit("floors of others"))
     report = report.withColumn("short_by", cause)
-    report = report.withColumn("reached_share", F.when(total > 0, F.col("sampled") / total).otherwise(F.lit(0.0))).withColumn("missing", F.greatest(F.lit(0.0), F.col("target_rows") - F.col("sampled")))
+    report = report.withColumn(
+        "reached_share", F.when(total > 0, F.col("sampled") / total).otherwise(F.lit(0.0))
+    ).withColumn("missing", F.greatest(F.lit(0.0), F.col("target_rows") - F.col("sampled")))
     return QuotaSample(sample, report)

@@ -42,7 +42,11 @@ _CELL_LINE = re.compile(r"^[^\n.!?]{0,60}?[:;,|\t ]\s*[<>]?-?\d+(?:[.,]\d+)?\s*[
 _SENTENCE = re.compile(r"[.!?](?:\s|$)|\n+")
 _ENGLISH = frozenset(FUNCTION_WORDS["en"])
 #: Languages of the words that speak against English.
-_AGAINST = {w: langs for w, langs in LANGUAGES_OF.items() if len(w) > 1 and w not in _ENGLISH and w not in ("is", "me", "non", "per", "no", "es", "die", "do", "man", "dan", "den", "har", "bed", "data", "plus", "via", "car")}
+_AGAINST = {
+    w: langs for w, langs in LANGUAGES_OF.items() if len(w) > 1 and w not in _ENGLISH and w not in (
+        "is", "me", "non", "per", "no", "es", "die", "do", "man", "dan", "den", "har", "bed", "data", "plus", "via", "car"
+    )
+}
 
 
 def prose_words(text: str | None) -> list[str]:
@@ -174,7 +178,10 @@ def reading_levels(
                     keep.append(i)
                     n.append(len(w))
                     found.append(marks(html.unescape(t) if "&" in t else t, w))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_words", "marks"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "n_words", "marks"]
+            )
 
     marked = materialise(base.mapInArrow(read, f"doc_id {kind}, n_words int, marks array<long>"), "reading-marks")
     word = _vocabulary(marked, np.unique(np.concatenate([m for _, m in rows])), share)
@@ -219,7 +226,9 @@ def reading_levels(
             hit = np.flatnonzero(total[0])
             yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), *(pa.array(x[hit]) for x in total)], names=["place", "n", "s", "q"])
 
-        added = placed.select("places").mapInArrow(run, "place int, n double, s double, q double").groupBy("place").agg(*(F.sum(c).alias(c) for c in "nsq")).toPandas()
+        added = placed.select("places").mapInArrow(
+            run, "place int, n double, s double, q double"
+        ).groupBy("place").agg(*(F.sum(c).alias(c) for c in "nsq")).toPandas()
         out = np.zeros((3, size))
         out[:, added["place"].to_numpy(np.int64)] = added[["n", "s", "q"]].to_numpy(float).T
         sent.destroy()
@@ -261,7 +270,9 @@ def reading_levels(
         for b in batches:
             flat, sizes = _lists(b.column("places"))
             s = _levels(flat, sizes, *known.value)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(np.where(np.isnan(s), middle, s))], names=["doc_id", "n_words", "level"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("n_words"), pa.array(np.where(np.isnan(s), middle, s))], names=["doc_id", "n_words", "level"]
+            )
 
     scored = placed.mapInArrow(finish, f"doc_id {kind}, n_words int, level double")
     # piecewise linear from the graded texts' means to the levels 0 .. 3

@@ -71,14 +71,22 @@ for _tag, _list in _TAGS.items():
     for _word in dict.fromkeys(_list.split()):
         _OF[_word] = _OF.get(_word, "") + _tag
 _SELF_NOUN = frozenset(SELF_NOUN.split())
-_BEFORE_NOUN = frozenset("this the a an our ai language digital virtual automated medical health dieser der ein ce cet un este el questo il este o deze de".split())
-_FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words) | frozenset("a an am i'm m s t ve d ll re us let here there some any enough too so up out into reasons safety medical health care own would will could go goes cannot".split())
+_BEFORE_NOUN = frozenset(
+    "this the a an our ai language digital virtual automated medical health dieser der ein ce cet un este el questo il este o deze de".split()
+)
+_FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words) | frozenset(
+    "a an am i'm m s t ve d ll re us let here there some any enough too so up out into reasons safety medical health care own would will could go goes cannot".split()
+)
 _COMPLEMENT = frozenset("whether if how what why when which that".split())
 _PLAIN_AFTER = frozenset("on about you regarding in here for with further and or".split())
 
 def _grammar(pattern: str) -> re.Pattern:
     """A pattern over categories (one letter each, _ for any few words) as one over the written categories of a clause."""
-    return re.compile(re.sub(r"\[([A-Z]+)\]|([A-Z])", lambda m: f"(?:[^ ]*[{m[1] or m[2]}][^ ]* )", pattern).replace("_", "(?:[^ ]+ ){0,6}?").replace("-", "(?:[^ ]+ ){0,3}?"))
+    return re.compile(
+        re.sub(
+            r"\[([A-Z]+)\]|([A-Z])", lambda m: f"(?:[^ ]*[{m[1] or m[2]}][^ ]* )", pattern
+        ).replace("_", "(?:[^ ]+ ){0,6}?").replace("-", "(?:[^ ]+ ){0,3}?")
+    )
 
 
 #: Patterns over categories; _ are up to six words of any kind, - up to three. SELF may stand before or after the negation; the act comes after both, apart from a few words.

@@ -93,8 +93,12 @@ def split_oversized(df: DataFrame, key: str, text: str, max_size: int, overlap:
     """
     if max_size < 1 or not 0 <= overlap < max_size:
         raise ValueError("max_size must be positive and overlap below it")
-    long = df.select(F.col(key).cast("string").alias("item_key"), F.col(text).cast("string").alias("text")).where(F.col("item_key").isNotNull() & (F.length("text") > max_size))
-    once = long.groupBy("item_key").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("m")).select("item_key", F.col("m.n").alias("n_chars"), F.col("m.text").alias("text"))
+    long = df.select(
+        F.col(key).cast("string").alias("item_key"), F.col(text).cast("string").alias("text")
+    ).where(F.col("item_key").isNotNull() & (F.length("text") > max_size))
+    once = long.groupBy("item_key").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("m")).select(
+        "item_key", F.col("m.n").alias("n_chars"), F.col("m.text").alias("text")
+    )
 
     @F.pandas_udf(PIECES)
     def pieces(texts):

@@ -21,9 +21,13 @@ def test_tiles_are_greedy_and_unmarked():
 
 
 def test_copies():
-    assert copies(Q, Q.upper()) and copies(Q, f"You asked: {Q}") and copies(Q, f"{Q} {Q}") and copies(Q, "Which tests really confirm asthma before the drug is given")
+    assert copies(Q, Q.upper()) and copies(Q, f"You asked: {Q}") and copies(Q, f"{Q} {Q}") and copies(
+        Q, "Which tests really confirm asthma before the drug is given"
+    )
     assert copies("Which signs point to gout in older adults?", "In older adults, which signs point to gout?")
-    assert not copies(Q, f"You asked: {Q} In short: spirometry with a bronchodilator shows a clear rise in flow.") and not copies(Q, "Asthma") and not copies("", "x")
+    assert not copies(
+        Q, f"You asked: {Q} In short: spirometry with a bronchodilator shows a clear rise in flow."
+    ) and not copies(Q, "Asthma") and not copies("", "x")
 
 
 @pytest.mark.parametrize("x", ["I'm sorry, but I can't help with that.", "Questions of this kind are not handled by this service.", "Es tut mir leid, dazu kann ich nichts sagen.", "As a language tool, I won't comment on treatment choices. Please ask your doctor.", "Lo siento, no puedo responder a eso.", "Je ne peux pas répondre à cette question."])
@@ -40,7 +44,9 @@ def test_length_decides_nothing():
     assert all(copies(Q, " ".join([Q] * n)) for n in (3, 4, 9, 3000)) and copies(Q, "Asked: " + "Which tests confirm asthma before the drug? " * 12)
     assert not copies(Q, " ".join([Q] * 9) + " Spirometry with a bronchodilator shows a clear rise in flow.")
     assert is_refusal("I can't advise on 20 mg of aspirin.") and is_refusal("I can't help with that. " * 60)
-    assert is_refusal("I can't give advice on that, " + "whatever the reason for asking may be and however the question is put, " * 5 + "and I am sorry for it.")
+    assert is_refusal(
+        "I can't give advice on that, " + "whatever the reason for asking may be and however the question is put, " * 5 + "and I am sorry for it."
+    )
     assert is_refusal("Although I would like to help, I can't answer that.") and is_refusal("I'd like to help, but I can't advise on 20 mg of it.")
 
 
@@ -58,8 +64,12 @@ def test_refusals_of_other_wording():
 
 
 def test_languages_beyond_the_common_ones():
-    assert other_language(Q, "Läkemedlet ska inte tas före operationen om man har feber.") and other_language(Q, "Lek nie powinien być stosowany przed posiłkiem, jeśli jest gorączka.")
-    assert other_language(Q, "İlaç günde bir kez alınır ve tedavi sonra daha kısa olabilir.") and other_language("Hur tas läkemedlet och när?", "The drug is taken with a meal in the morning.")
+    assert other_language(Q, "Läkemedlet ska inte tas före operationen om man har feber.") and other_language(
+        Q, "Lek nie powinien być stosowany przed posiłkiem, jeśli jest gorączka."
+    )
+    assert other_language(Q, "İlaç günde bir kez alınır ve tedavi sonra daha kısa olabilir.") and other_language(
+        "Hur tas läkemedlet och när?", "The drug is taken with a meal in the morning."
+    )
     assert not other_language("Hur ska det tas och när?", "Det tas med mat för att det inte ska göra ont.")
 
 
@@ -71,7 +81,9 @@ def test_lists():
 def test_other_language():
     assert other_language(Q, "Die Behandlung lindert den Schmerz und verbessert die Funktion der Niere.")
     assert other_language(Q, "Answer: 该药可以减轻疼痛并改善肾功能。") and other_language("¿Qué efectos tiene el fármaco?", "The most common effects are nausea and fatigue.")
-    assert not other_language(Q, 'The leaflet says "tomar con comida", which means to take it with food.') and not other_language(Q, "Amoxicillin") and not other_language("Was ist die Dosis?", "Die übliche Dosis ist 5 mg pro Tag.")
+    assert not other_language(
+        Q, 'The leaflet says "tomar con comida", which means to take it with food.'
+    ) and not other_language(Q, "Amoxicillin") and not other_language("Was ist die Dosis?", "Die übliche Dosis ist 5 mg pro Tag.")
 
 
 def test_pushdown_parser():
@@ -80,7 +92,9 @@ def test_pushdown_parser():
 
 
 def test_table(spark):
-    whole = [f"Relapse of gout is linked to missed doses and {w}." for w in ("coughing", "driving", "running")] * 4 + ["Use it with care in adults, since pain may occur."] * 4 + ["1. fever\n2. pain\n3. fever."]
+    whole = [
+        f"Relapse of gout is linked to missed doses and {w}." for w in ("coughing", "driving", "running")
+    ] * 4 + ["Use it with care in adults, since pain may occur."] * 4 + ["1. fever\n2. pain\n3. fever."]
     rows = [(i, Q, a, 0) for i, a in enumerate(whole)]
     odd = {
         100: (None, "empty"), 101: ("", "empty"), 102: (Q, "copies_question"), 103: ("I can't help with that.", "refusal"), 104: ("Les études montrent une amélioration chez les personnes âgées.", "other_language"),

@@ -66,7 +66,10 @@ def test_links_equal_brute_force(spark, monkeypatch, block, together):
     monkeypatch.setattr(N, "TOGETHER", together)
     monkeypatch.setattr(N, "MEETING", 500 if block == 3 else N.MEETING)
     rows = corpus()
-    rows += [("r000", rows[0][1]), ("copy1", rows[3][1]), ("copy2", rows[3][1].upper()), ("n", None), ("e", ""), ("p", " .,;"), ("two", "a b"), (None, rows[4][1])]
+    rows += [
+        ("r000", rows[0][1]), ("copy1", rows[3][1]), ("copy2", rows[3][1].upper()), ("n", None), ("e", ""), ("p", " .,;"), ("two", "a b"),
+        (None, rows[4][1])
+    ]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "id string, t string, cls string").repartition(4)
     want = brute(rows, 3, 0.5)
     got = {tuple(r) for r in N.linked_pairs(N.near_duplicates(df, "id", "t", words=3, threshold=0.5, block=block)).collect()}

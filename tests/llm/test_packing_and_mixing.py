@@ -22,7 +22,9 @@ def test_pack_keeps_limits_and_wastes_little():
 
 def test_pack_items(spark):
     rng = random.Random(3)
-    rows = [(str(i), rng.choice([3, 40, 250, 1000, 1001, 2500, 0]), 0) for i in range(400)] + [("same", 10, 5), ("same", 10, 5), (None, 7, 0), ("loss", 900, 900)]
+    rows = [
+        (str(i), rng.choice([3, 40, 250, 1000, 1001, 2500, 0]), 0) for i in range(400)
+    ] + [("same", 10, 5), ("same", 10, 5), (None, 7, 0), ("loss", 900, 900)]
     items = spark.createDataFrame(rows, "doc_id string, tokens long, loss_tokens long").repartition(3)
     got = pack_items(items, (1000, 50, 400), block=64).toPandas()
     placed = got[got["bin"].notna()]
@@ -46,7 +48,9 @@ def test_pack_items_that_fill_no_container(spark):
 
 
 def test_repeated_and_null_ids_have_containers_of_their_own(spark):
-    items = spark.createDataFrame([("x", 100, 100)] * 4 + [(None, 60, 60)] * 5 + [("y", 250, 250)] * 2, "doc_id string, tokens long, loss_tokens long").repartition(3)
+    items = spark.createDataFrame(
+        [("x", 100, 100)] * 4 + [(None, 60, 60)] * 5 + [("y", 250, 250)] * 2, "doc_id string, tokens long, loss_tokens long"
+    ).repartition(3)
     got = pack_items(items, (100, 50, 100)).toPandas()
     fill = got.assign(t=got["token_end"] - got["token_begin"]).groupby("bin")["t"].sum()
     assert len(got) == 4 + 5 + 6 and got["bin"].notna().all() and fill.max() <= 100
@@ -57,7 +61,9 @@ def test_pack_texts_and_pairs(spark):
     got = pack_texts(docs, "id", "t", 4096).toPandas()
     assert set(got[got["segments"] > 1]["doc_id"]) == {"1"} and set(got[got["bin"].isna()]["doc_id"]) == {"3", "4"}
     assert bin_report(pack_texts(docs, "id", "t", 4096), 4096).first().tokens == sum(count_tokens(["a b c " * 3000, "short"], TOKENIZER_DIR))
-    assert pack_instructions(docs.withColumnRenamed("t", "q").selectExpr("id", "q", "'yes it is' a"), "id", "q", "a", 4096, 8, 100).where("bin is not null").count() >= 4
+    assert pack_instructions(
+        docs.withColumnRenamed("t", "q").selectExpr("id", "q", "'yes it is' a"), "id", "q", "a", 4096, 8, 100
+    ).where("bin is not null").count() >= 4
 
 
 def test_pivotal_rounding_keeps_sum_and_expectation():
@@ -80,7 +86,11 @@ TARGETS = "source_name string, target_weight double, max_repeats int, mix_fracti
 
 def test_mix(spark):
     rng = random.Random(4)
-    rows = [(i, " ".join(["word"] * rng.randint(1, 40)), rng.choice(["Big", "big.", " B I G"]), 0) for i in range(900)] + [(1000 + i, "word " * 20, "small_one", 0) for i in range(30)] + [(2000, "x " * 50, None, 0), (2001, None, "big", 0), (None, "y", "big", 0), (2002, "", "other", 0)]
+    rows = [
+        (i, " ".join(["word"] * rng.randint(1, 40)), rng.choice(["Big", "big.", " B I G"]), 0) for i in range(900)
+    ] + [(1000 + i, "word " * 20, "small_one", 0) for i in range(30)] + [
+        (2000, "x " * 50, None, 0), (2001, None, "big", 0), (None, "y", "big", 0), (2002, "", "other", 0)
+    ]
     docs = spark.createDataFrame(rows, "id long, t string, source string, size int").repartition(5)
     targets = spark.createDataFrame([("big", 0.7, 1, 0.5), ("small one", 0.1, 2, 0.5), ("scarce", 0.2, 4, 0.5)], TARGETS)
     mix = mix_sources(docs, "id", "t", "source", targets)

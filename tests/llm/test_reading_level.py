@@ -12,7 +12,9 @@ _FRAMES = {
 
 def text(band, seed, n=9):
     rng = random.Random(f"{band}{seed}")
-    return ". ".join(f"{rng.choice(_FRAMES[band])} {rng.choice(['and', 'but', 'so'])} the {rng.choice(['one', 'two', 'next', 'same'])} is {rng.choice(['here', 'there', 'known'])}" for _ in range(n)) + "."
+    return ". ".join(
+        f"{rng.choice(_FRAMES[band])} {rng.choice(['and', 'but', 'so'])} the {rng.choice(['one', 'two', 'next', 'same'])} is {rng.choice(['here', 'there', 'known'])}" for _ in range(n)
+    ) + "."
 
 
 def test_prose():
@@ -24,7 +26,9 @@ def test_prose():
 
 def test_levels(spark):
     graded = [(i, b, text(b, i)) for b in BANDS for i in range(8)] + [(99, "odd", "x"), (98, "easy", None)]
-    docs = [(f"{b}{i}", text(b, 1000 + i), "x") for b in BANDS for i in range(25)] + [("null", None, "x"), ("stub", "See chart.", "x"), (None, text("easy", 5), "x"), ("long", text("expert", 7, 4000), "x")]
+    docs = [(f"{b}{i}", text(b, 1000 + i), "x") for b in BANDS for i in range(25)] + [
+        ("null", None, "x"), ("stub", "See chart.", "x"), (None, text("easy", 5), "x"), ("long", text("expert", 7, 4000), "x")
+    ]
     d = spark.createDataFrame(docs, "id string, t string, level string").repartition(3)
     g = spark.createDataFrame(graded, "item_id int, band string, text string")
     found = reading_levels(d, "id", "t", g)

@@ -34,7 +34,9 @@ def targets(spark):
 
 def test_sample(spark, monkeypatch):
     monkeypatch.setattr(Q, "BUCKET_ROWS", 7)
-    rows = [(f"b{i}", ["Big", " BIG.", "b i g"][i % 3], "x") for i in range(60)] + [(f"s{i}", "small_one", "x") for i in range(6)] + [("s0", "SMALL ONE", "x"), (None, "Big", "x"), ("n", None, "x"), ("o", "other", "x"), ("e", "", "x")] * 3
+    rows = [(f"b{i}", ["Big", " BIG.", "b i g"][i % 3], "x") for i in range(60)] + [(f"s{i}", "small_one", "x") for i in range(6)] + [
+        ("s0", "SMALL ONE", "x"), (None, "Big", "x"), ("n", None, "x"), ("o", "other", "x"), ("e", "", "x")
+    ] * 3
     items = spark.createDataFrame(rows, "id string, label string, category string").repartition(3)
     got = Q.quota_sample(items, "id", "label", targets(spark))
     report = {r.category: r for r in got.report.collect()}
@@ -64,7 +66,11 @@ def test_sample_of_empty_tables(spark):
 def test_pieces_of_random_texts():
     rng = random.Random(1)
     for _ in range(1500):
-        text = "".join(rng.choice(["a", "bb ", ". ", "\n", "word ", "x" * rng.choice([1, 30, 70]), "\n\nHEAD: ", "é", "\r\n", "\t", " " * 20]) for _ in range(rng.randint(0, 80)))
+        text = "".join(
+            rng.choice(
+                ["a", "bb ", ". ", "\n", "word ", "x" * rng.choice([1, 30, 70]), "\n\nHEAD: ", "é", "\r\n", "\t", " " * 20]
+            ) for _ in range(rng.randint(0, 80))
+        )
         size = rng.randint(1, 60)
         overlap = rng.randint(0, size - 1)
         pieces = split_text(text, size, overlap)
@@ -93,7 +99,10 @@ def test_cuts_prefer_larger_units():
 
 def test_split_table(spark):
     long = "word " * 50
-    rows = [("a", long, 1), ("a", long, 2), ("b", "short", 1), ("c", None, 1), ("d", "", 1), (None, long, 1), ("e", "y" * 101, 1), ("f", "z" * 100_000, 1), ("g", "é" * 100, 1)]
+    rows = [
+        ("a", long, 1), ("a", long, 2), ("b", "short", 1), ("c", None, 1), ("d", "", 1), (None, long, 1), ("e", "y" * 101, 1),
+        ("f", "z" * 100_000, 1), ("g", "é" * 100, 1)
+    ]
     out = split_oversized(spark.createDataFrame(rows, "k string, t string, text int"), "k", "t", 100, 10)
     got = {r.item_key: r for r in out.collect()}
     assert sorted(got) == ["a", "e", "f"] and got["f"].n_chars == 100_000

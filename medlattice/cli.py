@@ -21,7 +21,10 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="medlattice")
     parser.add_argument("--config")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, given in (("redact", ("input", "output")), ("refine", ("input", "output")), ("build", ("input", "output")), ("ask", ("question",)), ("qa", ("index", "questions", "output")), ("evaluate", ("input", "output")), ("pipeline", ("input", "questions", "output"))):
+    for name, given in (
+        ("redact", ("input", "output")), ("refine", ("input", "output")), ("build", ("input", "output")), ("ask", ("question",)),
+        ("qa", ("index", "questions", "output")), ("evaluate", ("input", "output")), ("pipeline", ("input", "questions", "output"))
+    ):
         p = sub.add_parser(name)
         for x in given:
             p.add_argument(x)

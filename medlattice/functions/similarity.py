@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(original: pd.Series, other: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two texts; the order of the arguments matters. Null if either is null."""
-    return pd.Series([None if a is None or b is None else 1.0 if a == b else SequenceMatcher(None, a, b).ratio() for a, b in zip(original, other)], dtype="float64")
+    return pd.Series(
+        [None if a is None or b is None else 1.0 if a == b else SequenceMatcher(None, a, b).ratio() for a, b in zip(original, other)], dtype="float64"
+    )
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:

@@ -36,16 +36,27 @@ def structured_answers(questions: DataFrame, info: DataFrame) -> DataFrame:
     """question_id, answer from the key sentences of each question's first documents; info as given by relevant()."""
     year, authors, title = (F.coalesce(c, F.lit(d)) for c, d in (("year", "Unknown"), ("authors", "Unknown"), ("title", "")))
     order = Window.partitionBy("question_id").orderBy("rank")
-    told = info.select("question_id", "rank", F.coalesce("contains_synthetic_data", F.lit(False)).alias("synthetic"), "key_sentences", year.alias("y"), authors.alias("a"), title.alias("t"))
+    told = info.select(
+        "question_id", "rank", F.coalesce("contains_synthetic_data", F.lit(False)).alias("synthetic"), "key_sentences", year.alias("y"),
+        authors.alias("a"), title.alias("t")
+    )
     some = F.max("synthetic").over(Window.partitionBy("question_id"))  # of all documents, not only of those shown
     first = told.withColumn("n", F.row_number().over(order)).withColumn("any_synthetic", some).where(F.col("n") <= ANSWER_DOCUMENTS)
-    said = F.concat(F.lit("According to "), F.col("a"), F.lit(" ("), F.col("y"), F.lit("):\n"), F.array_join(F.transform("key_sentences", lambda s: F.concat(F.lit("- "), s, F.lit(".\n"))), ""), F.lit("\n"))
+    said = F.concat(
+        F.lit("According to "), F.col("a"), F.lit(" ("), F.col("y"), F.lit("):\n"),
+        F.array_join(F.transform("key_sentences", lambda s: F.concat(F.lit("- "), s, F.lit(".\n"))), ""), F.lit("\n")
+    )
     cited = F.concat(F.lit("["), F.col("n"), F.lit("] "), F.col("a"), F.lit(" ("), F.col("y"), F.lit("). "), F.col("t"), F.lit(".\n"))
     shown = F.sort_array(F.collect_list(F.struct("n", said.alias("s"), cited.alias("c")))).alias("p")  # ANSWER_DOCUMENTS per question
     parts = first.groupBy("question_id").agg(shown, F.max("any_synthetic").alias("any_synthetic"))
     join = lambda f: F.array_join(F.transform("p", lambda x: x[f]), "")
-    text = F.concat(F.lit(INTRO[0]), F.col("question"), F.lit(INTRO[1]), join("s"), F.when(F.col("any_synthetic"), F.lit(SYNTHETIC_NOTE)).otherwise(F.lit("")), F.lit("\nReferences:\n"), join("c"))
-    return questions.select("question_id", "question").join(parts, "question_id", "left").select("question_id", "question", F.when(F.col("p").isNull(), F.concat(F.lit(NOT_FOUND), F.col("question"))).otherwise(text).alias("answer"))
+    text = F.concat(
+        F.lit(INTRO[0]), F.col("question"), F.lit(INTRO[1]), join("s"), F.when(F.col("any_synthetic"), F.lit(SYNTHETIC_NOTE)).otherwise(F.lit("")),
+        F.lit("\nReferences:\n"), join("c")
+    )
+    return questions.select("question_id", "question").join(parts, "question_id", "left").select(
+        "question_id", "question", F.when(F.col("p").isNull(), F.concat(F.lit(NOT_FOUND), F.col("question"))).otherwise(text).alias("answer")
+    )
 
 
 def answer_questions(questions: DataFrame, documents: DataFrame, level: str | None = "standard", private: bool = True) -> DataFrame:
@@ -60,7 +71,12 @@ def answer_questions(questions: DataFrame, documents: DataFrame, level: str | No
 
 def model_prompt(question: Column, context: Column) -> Column:
     """Prompt of a generating model."""
-    return F.concat(F.lit("Use the context below to answer the biomedical question. Cite the sources of the context; where it holds no answer, say so.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
+    return F.concat(
+        F.lit(
+            "Use the context below to answer the biomedical question. Cite the sources of the context; where it holds no answer, say so.\n\nContext:\n"
+        ),
+        context, F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:")
+    )
 
 
 def model_answer(reply: Column, prompt: Column) -> Column:
@@ -76,8 +92,14 @@ def echo_reply(prompt: Column) -> Column:
 
 def document_prompt(question: Column, documents: Column) -> Column:
     """Prompt with the first three documents (array of structs title, year, abstract), missing fields filled in."""
-    one = lambda d, i: F.concat(F.lit("Document "), i + 1, F.lit(":\nTitle: "), F.coalesce(d["title"], F.lit("Unknown")), F.lit("\nYear: "), F.coalesce(d["year"], F.lit("Unknown")), F.lit("\nAbstract: "), F.coalesce(d["abstract"], F.lit("Not available")), F.lit("\n\n"))
-    return F.concat(F.lit("Question: "), question, F.lit("\n\nResearch:\n\n"), F.array_join(F.transform(F.slice(documents, 1, 3), one), ""), F.lit("Answer briefly from the research and cite it as [Doc 1], [Doc 2].\n"))
+    one = lambda d, i: F.concat(
+        F.lit("Document "), i + 1, F.lit(":\nTitle: "), F.coalesce(d["title"], F.lit("Unknown")), F.lit("\nYear: "),
+        F.coalesce(d["year"], F.lit("Unknown")), F.lit("\nAbstract: "), F.coalesce(d["abstract"], F.lit("Not available")), F.lit("\n\n")
+    )
+    return F.concat(
+        F.lit("Question: "), question, F.lit("\n\nResearch:\n\n"), F.array_join(F.transform(F.slice(documents, 1, 3), one), ""),
+        F.lit("Answer briefly from the research and cite it as [Doc 1], [Doc 2].\n")
+    )
 
 
 def citation_checks(responses: DataFrame, sources: str, answer: str) -> DataFrame:
@@ -87,15 +109,26 @@ def citation_checks(responses: DataFrame, sources: str, answer: str) -> DataFram
     [Source i] with i from 1, contains it.
     """
     docs = F.coalesce(F.col(sources), F.array().cast(responses.schema[sources].dataType))
-    labels = F.transform(docs, lambda d, i: F.struct(F.concat(F.lit("["), capitalised(F.coalesce(d["source_name"], F.lit(""))), F.lit(" "), i + 1, F.lit("]")).alias("label"), d["document_id"].alias("document_id"), d["source_name"].alias("source")))
+    labels = F.transform(
+        docs,
+        lambda d, i: F.struct(
+            F.concat(F.lit("["), capitalised(F.coalesce(d["source_name"], F.lit(""))), F.lit(" "), i + 1, F.lit("]")).alias("label"),
+            d["document_id"].alias("document_id"), d["source_name"].alias("source")
+        )
+    )
     cited = all_matches(F.coalesce(F.col(answer), F.lit("")), r"\[([^]]+)\]", 1)
     with_labels = responses.withColumn("_labels", labels).withColumn("_cited", cited)
     first = lambda c: F.element_at(F.filter(F.col("_labels"), lambda x: x["label"].contains(c)), 1)
     known = lambda c: F.exists(F.col("_labels"), lambda x: x["label"].contains(c))
-    found = F.transform(F.filter("_cited", known), lambda c: F.struct(c.alias("citation"), first(c)["document_id"].alias("document_id"), first(c)["source"].alias("source")))
+    found = F.transform(
+        F.filter("_cited", known),
+        lambda c: F.struct(c.alias("citation"), first(c)["document_id"].alias("document_id"), first(c)["source"].alias("source"))
+    )
     missing = F.filter("_cited", lambda c: ~known(c))
     none = (F.size("_cited") == 0) & (F.size("_labels") > 0)
-    warnings = F.when(none, F.array(F.lit(NO_CITATIONS))).otherwise(F.transform(missing, lambda c: F.concat(F.lit("Citation "), c, F.lit(" does not match any context document."))))
+    warnings = F.when(none, F.array(F.lit(NO_CITATIONS))).otherwise(
+        F.transform(missing, lambda c: F.concat(F.lit("Citation "), c, F.lit(" does not match any context document.")))
+    )
     return with_labels.select(*responses.columns, found.alias("citations_found"), missing.alias("missing_citations"), warnings.alias("citation_warnings"))
 
 

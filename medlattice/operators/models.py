@@ -135,7 +135,9 @@ def names_prompt(samples: Column, n: int) -> Column:
 def values_prompt(text: Column, names: tuple[str, ...]) -> Column:
     """Asks for the value of each attribute in a document."""
     lines = "\n".join(f"- {n}:" for n in names)
-    return F.concat(F.lit("Read the document and fill in each line; leave out names, numbers and places of people.\n\nDocument:\n"), text, F.lit(f"\n\n{lines}"))
+    return F.concat(
+        F.lit("Read the document and fill in each line; leave out names, numbers and places of people.\n\nDocument:\n"), text, F.lit(f"\n\n{lines}")
+    )
 
 
 def note_prompt(values: Column) -> Column:
@@ -198,7 +200,9 @@ class ModelBackend:
         return self._ask([f"Write a clinical note like this one that identifies nobody.\n\n{x}" for x in originals])
 
     def assess(self, synthetics: list[str], originals: list[str]) -> list[tuple[bool, list[str], str, list[str]]]:
-        asked = [f"Is the second text safe to share? Reply: 1. yes or no. 2. Problems: - each. Risk level: low, medium, high.\n\n{o}\n\n{s}" for s, o in zip(synthetics, originals)]
+        asked = [
+            f"Is the second text safe to share? Reply: 1. yes or no. 2. Problems: - each. Risk level: low, medium, high.\n\n{o}\n\n{s}" for s, o in zip(synthetics, originals)
+        ]
         out = []
         for reply in self._ask(asked):
             lines = reply.split("\n")

@@ -82,7 +82,10 @@ def redact(text: Column, level: str) -> Column:
             out = replace_each(out, x[t], f"[REDACTED {t.upper()}]")
         any_hit = sum((F.size(x[t]) for t, _ in kinds), F.lit(0)) > 0
         # the inner body must not use x: a Python function over such an expression would not be extracted
-        return let(F.struct(out.alias("out"), any_hit.alias("hit")), lambda y: F.when(y["hit"] & y["out"].contains("[REDACTED"), F.concat(y["out"], F.lit(REDACTION_NOTE))).otherwise(y["out"]))
+        return let(
+            F.struct(out.alias("out"), any_hit.alias("hit")),
+            lambda y: F.when(y["hit"] & y["out"].contains("[REDACTED"), F.concat(y["out"], F.lit(REDACTION_NOTE))).otherwise(y["out"])
+        )
 
     return let(found, replaced)
 
@@ -140,7 +143,9 @@ def parse_attribute_names(reply: Column, n: int = 6) -> Column:
 
 def parse_attribute_values(reply: Column, names: tuple[str, ...]) -> Column:
     """Value of each "- name:" entry up to the next entry, else 'Not mentioned'."""
-    one = lambda n: F.when(reply.contains(f"- {n}:"), trimmed(F.regexp_extract(reply, rf"(?s)- {re.escape(n)}:(.*?)(?=- \w|\z)", 1))).otherwise("Not mentioned")
+    one = lambda n: F.when(
+        reply.contains(f"- {n}:"), trimmed(F.regexp_extract(reply, rf"(?s)- {re.escape(n)}:(.*?)(?=- \w|\z)", 1))
+    ).otherwise("Not mentioned")
     return F.create_map(*(x for n in names for x in (F.lit(n), one(n))))
 
 
@@ -222,19 +227,32 @@ def refine_documents(df: DataFrame, key: str, text: str, generator: Generator, a
 def refinement_summary(refined: DataFrame) -> DataFrame:
     """Documents, safe ones and mean iterations and lengths; zeros for an empty set."""
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
-    return refined.agg(F.count("*").alias("total_documents"), F.count_if("is_safe").alias("safe_documents"), mean("iterations_required").alias("avg_iterations"), mean("original_length").alias("avg_original_length"), mean("synthetic_length").alias("avg_synthetic_length"))
+    return refined.agg(
+        F.count("*").alias("total_documents"), F.count_if("is_safe").alias("safe_documents"), mean("iterations_required").alias("avg_iterations"),
+        mean("original_length").alias("avg_original_length"), mean("synthetic_length").alias("avg_synthetic_length")
+    )
 
 
 def protection_rates(pairs: DataFrame, key: str, original: str, synthetic: str) -> DataFrame:
     """Per record and category, matches of both texts, those in common, and the share that is protected in percent."""
-    each = F.array(*(F.struct(F.lit(n).alias("category"), all_matches(F.col(original), p).alias("o"), all_matches(F.col(synthetic), p).alias("s")) for n, p in COMPARED_PATTERNS))
+    each = F.array(
+        *(
+            F.struct(F.lit(n).alias("category"), all_matches(F.col(original), p).alias("o"), all_matches(F.col(synthetic), p).alias("s")) for n, p in COMPARED_PATTERNS
+        )
+    )
     rows = pairs.where(F.col(original).isNotNull() & F.col(synthetic).isNotNull()).select(key, F.explode(each).alias("e"))
     common = F.size(F.array_intersect("e.o", "e.s"))
     n = F.size("e.o")
-    return rows.select(key, "e.category", n.alias("original_count"), F.size("e.s").alias("synthetic_count"), common.alias("direct_matches"), F.when(n == 0, 100.0).otherwise((1 - common / n) * 100).alias("protection_rate"))
+    return rows.select(
+        key, "e.category", n.alias("original_count"), F.size("e.s").alias("synthetic_count"), common.alias("direct_matches"),
+        F.when(n == 0, 100.0).otherwise((1 - common / n) * 100).alias("protection_rate")
+    )
 
 
 def comparison_rows(pairs: DataFrame, key: str, original: str, synthetic: str) -> DataFrame:
     """Two rows per record, the original and the synthetic text with their lengths."""
-    each = F.array(F.struct(F.lit("original").alias("version"), F.col(original).alias("text")), F.struct(F.lit("synthetic").alias("version"), F.col(synthetic).alias("text")))
+    each = F.array(
+        F.struct(F.lit("original").alias("version"), F.col(original).alias("text")),
+        F.struct(F.lit("synthetic").alias("version"), F.col(synthetic).alias("text"))
+    )
     return pairs.select(key, F.explode(each).alias("e")).select(key, "e.version", F.length("e.text").alias("text_length"))

@@ -125,7 +125,10 @@ def fuse(local: DataFrame, external: dict[str, DataFrame], max_results: int) ->
 def context_text(hits: DataFrame) -> DataFrame:
     """Per query, the ranked documents under numbered labels."""
     labels = F.create_map(*(x for s, t in CONTEXT_LABELS.items() for x in (F.lit(s), F.lit(t))))
-    part = F.concat(F.lit("["), F.coalesce(F.element_at(labels, F.col("source")), F.lit("Document")), F.lit(" "), F.col("rank"), F.lit("]\n"), F.col("document"), F.lit("\n"))
+    part = F.concat(
+        F.lit("["), F.coalesce(F.element_at(labels, F.col("source")), F.lit("Document")), F.lit(" "), F.col("rank"), F.lit("]\n"), F.col("document"),
+        F.lit("\n")
+    )
     ranked = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"))  # max_results per query
     return ranked.select("query_id", F.array_join(F.transform("parts", lambda p: p["part"]), "\n").alias("context"))
 
@@ -136,14 +139,29 @@ def _or_empty(c: str) -> Column:
 
 def article_text() -> Column:
     """Text of an article row (title, authors, journal, pub_year, pubmed_id, abstract)."""
-    return F.concat(F.lit("Title: "), _or_empty("title"), F.lit("\nAuthors: "), F.coalesce(F.array_join("authors", ", "), F.lit("")), F.lit("\nJournal: "), _or_empty("journal"), F.lit(" ("), _or_empty("pub_year"), F.lit(")\nPubMed ID: "), _or_empty("pubmed_id"), F.lit("\n\nAbstract:\n"), _or_empty("abstract"), F.lit("\n"))
+    return F.concat(
+        F.lit("Title: "), _or_empty("title"), F.lit("\nAuthors: "), F.coalesce(F.array_join("authors", ", "), F.lit("")), F.lit("\nJournal: "),
+        _or_empty("journal"), F.lit(" ("), _or_empty("pub_year"), F.lit(")\nPubMed ID: "), _or_empty("pubmed_id"), F.lit("\n\nAbstract:\n"),
+        _or_empty("abstract"), F.lit("\n")
+    )
 
 
 def trial_text() -> Column:
     """Text of a trial row."""
     joined = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
-    lines = F.array_join(F.transform("interventions", lambda x: F.concat(F.lit("- "), F.coalesce(x["intervention_type"], F.lit("")), F.lit(": "), F.coalesce(x["intervention_name"], F.lit("")))), "\n")
-    parts = [("Title: ", _or_empty("title")), ("\nNCT ID: ", _or_empty("nct_id")), ("\nStatus: ", _or_empty("status")), ("\nPhase: ", joined("phase")), ("\n\nConditions: ", joined("conditions")), ("\n\nInterventions:\n", F.coalesce(lines, F.lit(""))), ("\n\nBrief Summary:\n", _or_empty("brief_summary")), ("\n\nDetailed Description:\n", _or_empty("detailed_description")), ("\n\nEligibility Criteria:\n", _or_empty("eligibility_criteria"))]
+    lines = F.array_join(
+        F.transform(
+            "interventions",
+            lambda x: F.concat(F.lit("- "), F.coalesce(x["intervention_type"], F.lit("")), F.lit(": "), F.coalesce(x["intervention_name"], F.lit("")))
+        ),
+        "\n"
+    )
+    parts = [
+        ("Title: ", _or_empty("title")), ("\nNCT ID: ", _or_empty("nct_id")), ("\nStatus: ", _or_empty("status")), ("\nPhase: ", joined("phase")),
+        ("\n\nConditions: ", joined("conditions")), ("\n\nInterventions:\n", F.coalesce(lines, F.lit(""))),
+        ("\n\nBrief Summary:\n", _or_empty("brief_summary")), ("\n\nDetailed Description:\n", _or_empty("detailed_description")),
+        ("\n\nEligibility Criteria:\n", _or_empty("eligibility_criteria"))
+    ]
     return F.concat(*(x for t, c in parts for x in (F.lit(t), c)), F.lit("\n"))
 
 

@@ -9,8 +9,14 @@ from ..functions.text import trimmed
 from ..session import collect_control
 
 # Lead-ins of instruction rows and the ranges of generated measurements.
-INSTRUCTIONS = {"pubmedqa": "Answer the following biomedical question based on research findings:", "medqa": "Answer the following medical question with a concise and accurate response:"}
-MEASURES = (("Heart Rate", 40, 180), ("Respiratory Rate", 8, 40), ("Systolic BP", 80, 200), ("Diastolic BP", 40, 120), ("Temperature", 35, 41), ("Glucose", 40, 400), ("Weight", 40, 140), ("Height", 150, 200))
+INSTRUCTIONS = {
+    "pubmedqa": "Answer the following biomedical question based on research findings:",
+    "medqa": "Answer the following medical question with a concise and accurate response:"
+}
+MEASURES = (
+    ("Heart Rate", 40, 180), ("Respiratory Rate", 8, 40), ("Systolic BP", 80, 200), ("Diastolic BP", 40, 120), ("Temperature", 35, 41),
+    ("Glucose", 40, 400), ("Weight", 40, 140), ("Height", 150, 200)
+)
 AGE_RANGE = (18, 90)
 
 
@@ -18,19 +24,28 @@ def record_text(row_no: Column, specialty: Column, sample: Column, description:
     """The text of a record under its header lines; null for null or blank content."""
     known = lambda c: F.coalesce(c, F.lit("Unknown"))
     body = F.regexp_replace(content, r"\n\s*\n", "\n\n")
-    text = F.concat(F.lit("ID: "), F.format_string("record_%05d", row_no), F.lit("\nSPECIALTY: "), known(specialty), F.lit("\nSAMPLE TYPE: "), known(sample), F.lit("\nDESCRIPTION: "), known(description), F.lit("\n\nCONTENT:\n"), body, F.lit("\n\nKEYWORDS: "), F.coalesce(keywords, F.lit("")), F.lit("\n"))
+    text = F.concat(
+        F.lit("ID: "), F.format_string("record_%05d", row_no), F.lit("\nSPECIALTY: "), known(specialty), F.lit("\nSAMPLE TYPE: "), known(sample),
+        F.lit("\nDESCRIPTION: "), known(description), F.lit("\n\nCONTENT:\n"), body, F.lit("\n\nKEYWORDS: "), F.coalesce(keywords, F.lit("")),
+        F.lit("\n")
+    )
     return F.when(content.rlike(r"\S"), text)
 
 
 def exact_answer(kind: Column, exact: Column) -> Column:
     """Exact answer of a question (array of arrays of strings) by its type."""
     flat = F.flatten(exact)
-    return F.when(kind == "yesno", F.when(F.size(flat) > 0, "Yes").otherwise("No")).when(kind.isin("factoid", "list"), F.coalesce(F.array_join(flat, ", "), F.lit("")))
+    return F.when(kind == "yesno", F.when(F.size(flat) > 0, "Yes").otherwise("No")).when(
+        kind.isin("factoid", "list"), F.coalesce(F.array_join(flat, ", "), F.lit(""))
+    )
 
 
 def normalise_questions(raw: DataFrame) -> DataFrame:
     """Rows (id, type, body, ideal_answer array, exact_answer array of arrays, documents, snippets, concepts) in question form."""
-    return raw.select("id", "type", F.col("body").alias("question"), F.coalesce(F.get("ideal_answer", F.lit(0)), F.lit("")).alias("ideal_answer"), exact_answer(F.col("type"), F.col("exact_answer")).alias("exact_answer"), "documents", "snippets", "concepts")
+    return raw.select(
+        "id", "type", F.col("body").alias("question"), F.coalesce(F.get("ideal_answer", F.lit(0)), F.lit("")).alias("ideal_answer"),
+        exact_answer(F.col("type"), F.col("exact_answer")).alias("exact_answer"), "documents", "snippets", "concepts"
+    )
 
 
 def seeded_order(seed: int, key: Column) -> Column:
@@ -74,14 +89,20 @@ def split_by_share(df: DataFrame, key: str, share: float, seed: int = 42) -> Dat
 
 def split_stats(split: DataFrame, kind: str) -> DataFrame:
     """Rows in all, of train and test, and of train by type."""
-    return split.groupBy(F.col(kind).alias("type")).agg(F.count("*").alias("total"), F.count_if(F.col("split_name") == "train").alias("train_count"), F.count_if(F.col("split_name") == "test").alias("test_count"))
+    return split.groupBy(F.col(kind).alias("type")).agg(
+        F.count("*").alias("total"), F.count_if(F.col("split_name") == "train").alias("train_count"),
+        F.count_if(F.col("split_name") == "test").alias("test_count")
+    )
 
 
 def flatten_squad(nested: DataFrame) -> DataFrame:
     """data[].paragraphs[].qas[] to id, question, context, answer (the first, or '')."""
     p = nested.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p"))
     q = p.select(F.col("p.context").alias("context"), F.explode("p.qas").alias("q"))
-    return q.select(F.col("q.id").alias("id"), F.col("q.question").alias("question"), "context", F.coalesce(F.get("q.answers", F.lit(0))["text"], F.lit("")).alias("answer"), F.lit("BioASQ").alias("source"))
+    return q.select(
+        F.col("q.id").alias("id"), F.col("q.question").alias("question"), "context",
+        F.coalesce(F.get("q.answers", F.lit(0))["text"], F.lit("")).alias("answer"), F.lit("BioASQ").alias("source")
+    )
 
 
 def pubmedqa_pairs(items: DataFrame, truth: DataFrame | None = None) -> DataFrame:
@@ -92,15 +113,27 @@ def pubmedqa_pairs(items: DataFrame, truth: DataFrame | None = None) -> DataFram
     rows = items if truth is None else items.join(truth.withColumnRenamed("answer", "_truth"), "pmid", "left")
     given = F.lit(None).cast("string") if truth is None else F.col("_truth")
     answer = F.coalesce(given, F.when(F.col("LONG_ANSWER") != "", F.col("LONG_ANSWER")), F.concat(lead, context))
-    meta = F.struct(F.lit("PubMedQA").alias("source"), F.col("pmid"), *(F.coalesce(c, F.lit("")).alias(a) for c, a in (("final_decision", "label"), ("PUBDATE", "pubdate"), ("JOURNAL", "journal"))))
-    return rows.select(F.concat(F.lit("pubmedqa_"), "pmid").alias("id"), F.coalesce("QUESTION", F.lit("")).alias("question"), answer.alias("answer"), meta.alias("metadata"))
+    meta = F.struct(
+        F.lit("PubMedQA").alias("source"), F.col("pmid"),
+        *(F.coalesce(c, F.lit("")).alias(a) for c, a in (("final_decision", "label"), ("PUBDATE", "pubdate"), ("JOURNAL", "journal")))
+    )
+    return rows.select(
+        F.concat(F.lit("pubmedqa_"), "pmid").alias("id"), F.coalesce("QUESTION", F.lit("")).alias("question"), answer.alias("answer"),
+        meta.alias("metadata")
+    )
 
 
 def medqa_pairs(items: DataFrame, position: str) -> DataFrame:
     """Rows (position, question, answer, options map, answer_idx, meta_info); options become values in key order."""
     options = F.transform(F.array_sort(F.map_entries("options")), lambda e: e["value"])
-    meta = F.struct(F.lit("MedQA").alias("source"), F.coalesce(options, F.array().cast("array<string>")).alias("options"), F.coalesce("answer_idx", F.lit("")).alias("answer_idx"), F.coalesce("meta_info", F.lit("")).alias("meta_info"))
-    return items.select(F.concat(F.lit("medqa_"), F.col(position).cast("string")).alias("id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), meta.alias("metadata"))
+    meta = F.struct(
+        F.lit("MedQA").alias("source"), F.coalesce(options, F.array().cast("array<string>")).alias("options"),
+        F.coalesce("answer_idx", F.lit("")).alias("answer_idx"), F.coalesce("meta_info", F.lit("")).alias("meta_info")
+    )
+    return items.select(
+        F.concat(F.lit("medqa_"), F.col(position).cast("string")).alias("id"), F.coalesce("question", F.lit("")).alias("question"),
+        F.coalesce("answer", F.lit("")).alias("answer"), meta.alias("metadata")
+    )
 
 
 def instruction_rows(pairs: DataFrame, dataset: str) -> DataFrame:
@@ -132,7 +165,9 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def comprehensive(bioasq: DataFrame, pubmedqa: DataFrame, medqa: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     """All BioASQ questions, n PubMedQA pairs as yes/no and n MedQA pairs as factoid questions; id, type, question, answer, source."""
     shape = lambda df, kind, source: df.select("id", kind.alias("type"), "question", "answer", F.lit(source).alias("source"))
-    return shape(bioasq, F.col("type"), "bioasq").unionByName(shape(sample_rows(pubmedqa, "id", n, seed), F.lit("yesno"), "pubmedqa")).unionByName(shape(sample_rows(medqa, "id", n, seed), F.lit("factoid"), "medqa"))
+    return shape(bioasq, F.col("type"), "bioasq").unionByName(
+        shape(sample_rows(pubmedqa, "id", n, seed), F.lit("yesno"), "pubmedqa")
+    ).unionByName(shape(sample_rows(medqa, "id", n, seed), F.lit("factoid"), "medqa"))
 
 
 def benchmark_stats(benchmark: DataFrame) -> DataFrame:
@@ -142,12 +177,18 @@ def benchmark_stats(benchmark: DataFrame) -> DataFrame:
 
 def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """Missing values of the named columns filled in; missing columns added."""
-    return df.select(*(c for c in df.columns if c not in defaults), *((F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v)).alias(c) for c, v in defaults.items()))
+    return df.select(
+        *(c for c in df.columns if c not in defaults),
+        *((F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v)).alias(c) for c, v in defaults.items())
+    )
 
 
 def source_list(hits: DataFrame) -> DataFrame:
     """source_type, title (the document's first line), id and score of hits."""
-    return hits.select("query_id", F.col("source").alias("source_type"), F.element_at(F.split("document", "\n"), 1).alias("title"), F.col("doc_id").alias("id"), "score")
+    return hits.select(
+        "query_id", F.col("source").alias("source_type"), F.element_at(F.split("document", "\n"), 1).alias("title"), F.col("doc_id").alias("id"),
+        "score"
+    )
 
 
 def synthetic_cases(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
@@ -156,23 +197,43 @@ def synthetic_cases(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     unit = lambda name: F.conv(F.substring(digest(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
     item = lambda name, value: F.struct(F.lit(name).alias("variable"), value.cast("string").alias("value"))
     ranged = lambda name, lo, hi: F.round(lo + unit(name) * (hi - lo), 1)
-    demographics = F.array(item("Age", F.floor(AGE_RANGE[0] + unit("Age") * (AGE_RANGE[1] - AGE_RANGE[0] + 1))), item("Gender", F.when(unit("Gender") < 0.5, "M").otherwise("F")))
+    demographics = F.array(
+        item("Age", F.floor(AGE_RANGE[0] + unit("Age") * (AGE_RANGE[1] - AGE_RANGE[0] + 1))),
+        item("Gender", F.when(unit("Gender") < 0.5, "M").otherwise("F"))
+    )
     vitals, labs = (F.array(*(item(m, ranged(m, lo, hi)) for m, lo, hi in MEASURES[a:b])) for a, b in ((0, 5), (5, 8)))
-    return spark.range(n).select(F.format_string("patient_%05d", "id").alias("patient_id"), F.when(unit("outcome") < 0.8, "survived").otherwise("deceased").alias("outcome"), F.floor(1 + unit("stay") * 30).cast("int").alias("length_of_stay"), demographics.alias("demographics"), vitals.alias("vitals"), labs.alias("labs"), F.concat(demographics, vitals, labs).alias("all_measurements"))
+    return spark.range(n).select(
+        F.format_string("patient_%05d", "id").alias("patient_id"), F.when(unit("outcome") < 0.8, "survived").otherwise("deceased").alias("outcome"),
+        F.floor(1 + unit("stay") * 30).cast("int").alias("length_of_stay"), demographics.alias("demographics"), vitals.alias("vitals"),
+        labs.alias("labs"), F.concat(demographics, vitals, labs).alias("all_measurements")
+    )
 
 
 def narrative(case: str = "") -> Column:
     """Text of a case row (demographics, vitals, labs, outcome, length_of_stay); empty and zero values are left out."""
     col = lambda n: F.coalesce(F.col(case + n), F.array().cast("array<struct<variable string, value string>>"))
     some = lambda v: v.isNotNull() & ~v.isin("", "0", "0.0")
-    pick = lambda n: F.get(F.transform(F.filter(col("demographics"), lambda x: (x["variable"] == n)), lambda x: x["value"]), F.size(F.filter(col("demographics"), lambda x: x["variable"] == n)) - 1)
-    listed = lambda n: F.array_join(F.transform(F.filter(col(n), lambda x: some(x["variable"]) & some(x["value"])), lambda x: F.concat(x["variable"], F.lit(" is "), x["value"])), ", ")
+    pick = lambda n: F.get(
+        F.transform(F.filter(col("demographics"), lambda x: (x["variable"] == n)), lambda x: x["value"]),
+        F.size(F.filter(col("demographics"), lambda x: x["variable"] == n)) - 1
+    )
+    listed = lambda n: F.array_join(
+        F.transform(F.filter(col(n), lambda x: some(x["variable"]) & some(x["value"])), lambda x: F.concat(x["variable"], F.lit(" is "), x["value"])),
+        ", "
+    )
     age, gender = pick("Age"), pick("Gender")
     sex = F.when(gender == "M", "male").otherwise("female")
     has_age, has_gender = F.coalesce(some(age), F.lit(False)), F.coalesce(some(gender), F.lit(False))
-    who = F.when(has_age & has_gender, F.concat(F.lit("The patient is a "), age, F.lit("-year-old "), sex, F.lit(". "))).when(has_age, F.concat(F.lit("The patient is "), age, F.lit(" years old. "))).when(has_gender, F.concat(F.lit("The patient is "), sex, F.lit(". "))).otherwise("")
+    who = F.when(
+        has_age & has_gender, F.concat(F.lit("The patient is a "), age, F.lit("-year-old "), sex, F.lit(". "))
+    ).when(
+        has_age, F.concat(F.lit("The patient is "), age, F.lit(" years old. "))
+    ).when(has_gender, F.concat(F.lit("The patient is "), sex, F.lit(". "))).otherwise("")
     part = lambda lead, n: F.when(listed(n) != "", F.concat(F.lit(lead), listed(n), F.lit(". "))).otherwise("")
-    end = F.concat(F.lit("Patient outcome: "), F.coalesce(F.col(case + "outcome"), F.lit("unknown")), F.lit(". Length of stay: "), F.coalesce(F.col(case + "length_of_stay").cast("string"), F.lit("unknown")), F.lit(" days."))
+    end = F.concat(
+        F.lit("Patient outcome: "), F.coalesce(F.col(case + "outcome"), F.lit("unknown")), F.lit(". Length of stay: "),
+        F.coalesce(F.col(case + "length_of_stay").cast("string"), F.lit("unknown")), F.lit(" days.")
+    )
     return F.concat(F.lit("Patient admitted to ICU. "), who, part("Vital signs: ", "vitals"), part("Laboratory findings: ", "labs"), end)
 
 
@@ -180,4 +241,8 @@ def parse_records(texts: DataFrame, text: str) -> DataFrame:
     """M2: fields of record texts under header lines."""
     one = lambda name: trimmed(F.regexp_extract(F.col(text), rf"(?m)^{name}: ?(.*)$", 1))
     words = F.filter(F.transform(F.split(one("KEYWORDS"), ","), trimmed), lambda x: x != "")
-    return texts.select(one("ID").alias("record_id"), one("SPECIALTY").alias("specialty"), one("SAMPLE TYPE").alias("sample_type"), one("DESCRIPTION").alias("description"), trimmed(F.regexp_extract(F.col(text), r"(?s)CONTENT:\n(.*?)\n\nKEYWORDS:", 1)).alias("content"), words.alias("keywords"))
+    return texts.select(
+        one("ID").alias("record_id"), one("SPECIALTY").alias("specialty"), one("SAMPLE TYPE").alias("sample_type"),
+        one("DESCRIPTION").alias("description"), trimmed(F.regexp_extract(F.col(text), r"(?s)CONTENT:\n(.*?)\n\nKEYWORDS:", 1)).alias("content"),
+        words.alias("keywords")
+    )

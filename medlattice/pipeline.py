@@ -73,7 +73,9 @@ def run_pipeline(
     rates = materialise(rates, "pipeline-attacks")
 
     told = answers_from_index(index, questions.select("question_id", "question"), encoder, k).select("question_id", F.col("answer").alias("said"))
-    graded = questions.join(told, "question_id", "left").select("source", "type", is_correct(F.col("type"), F.col("exact_answer"), F.col("said"), F.col("ideal_answer")).alias("ok"))
+    graded = questions.join(told, "question_id", "left").select(
+        "source", "type", is_correct(F.col("type"), F.col("exact_answer"), F.col("said"), F.col("ideal_answer")).alias("ok")
+    )
     accuracy = materialise(accuracy_sets(graded, "ok", "source", "type"), "pipeline-accuracy")
 
     by_kind = rates.agg(*(F.max(F.when(F.col("attack") == n, F.col("success_rate"))).alias(n) for n in kinds))

@@ -40,7 +40,10 @@ def _in(values) -> str:
 
 
 # Clinical sentences derived from customers in the same way in Spark and SQL, so that every pattern has hits.
-_VOCABULARY = ("acute pain", "Lung cancer", "Viral infection", "chronic asthma", "Crohn disease", "Zinc deficiency", "HTN and COPD", "T2DM with CHF", "diabetes", "Hepatitis virus")
+_VOCABULARY = (
+    "acute pain", "Lung cancer", "Viral infection", "chronic asthma", "Crohn disease", "Zinc deficiency", "HTN and COPD", "T2DM with CHF", "diabetes",
+    "Hepatitis virus"
+)
 _DRUGS = ("aspirin", "metformin", "insulin", "lisinopril")
 _CLINIC = f"""(SELECT c_custkey AS k, c_mktsegment AS grp, concat(
     'Patient #', c_custkey, ' was seen on ', c_custkey % 12 + 1, '/', c_custkey % 28 + 1, '/2020 by John Smith for ', {_in(_VOCABULARY)}[CAST(c_custkey % 10 + 1 AS INT)],
@@ -55,8 +58,15 @@ def clinic(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     pick = lambda v, n: F.element_at(F.array(*map(F.lit, v)), (k % n + 1).cast("int"))
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    parts = ["Patient #", k, " was seen on ", k % 12 + 1, "/", k % 28 + 1, "/2020 by John Smith for ", pick(_VOCABULARY, 10), ". MRN ", k, " lives at ", k % 900 + 1, " Maple Street. Studies show ", pick(_DRUGS, 4), " therapy is effective for treating hypertension. Call 555-", pad(k % 1000, 3), "-", pad(k % 10000, 4), " or user", k, "@example.com. SSN ", pad(k % 1000, 3), "-12-", pad(k % 10000, 4), ". Age was ", k % 90 + 1, " years."]
-    return table(spark, d, "customer").select(k.alias("k"), F.col("c_mktsegment").alias("grp"), F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)).alias("text"))
+    parts = [
+        "Patient #", k, " was seen on ", k % 12 + 1, "/", k % 28 + 1, "/2020 by John Smith for ", pick(_VOCABULARY, 10), ". MRN ", k, " lives at ",
+        k % 900 + 1, " Maple Street. Studies show ", pick(_DRUGS, 4), " therapy is effective for treating hypertension. Call 555-", pad(k % 1000, 3),
+        "-", pad(k % 10000, 4), " or user", k, "@example.com. SSN ", pad(k % 1000, 3), "-12-", pad(k % 10000, 4), ". Age was ", k % 90 + 1, " years."
+    ]
+    return table(spark, d, "customer").select(
+        k.alias("k"), F.col("c_mktsegment").alias("grp"),
+        F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)).alias("text")
+    )
 
 
 def _sql_text(x: str) -> str:
@@ -122,13 +132,19 @@ _REPLY = "concat(CASE WHEN o_orderkey % 2 = 0 THEN 'Yes, safe' ELSE 'No' END, ch
 @query(f"SELECT o_orderkey, o_orderkey % 2 = 0 AS is_safe, ['dates', 'place ' || o_orderkey, 'drop it'] AS feedback, ['low','medium','high','medium'][CAST(o_orderkey % 4 + 1 AS INT)] AS risk_level FROM orders WHERE {_REPLY} IS NOT NULL")
 def pv6_parse_assessment(spark, d):
     k = F.col("o_orderkey")
-    reply = F.concat(F.when(k % 2 == 0, "Yes, safe").otherwise("No"), F.lit("\n2. Concerns: dates - place "), k.cast("string"), F.lit("\n3. Fix: drop it\n4. Overall RISK LEVEL is "), F.element_at(F.array(*map(F.lit, ("Low", "medium", "HIGH", "none"))), (k % 4 + 1).cast("int")))
+    reply = F.concat(
+        F.when(k % 2 == 0, "Yes, safe").otherwise("No"), F.lit("\n2. Concerns: dates - place "), k.cast("string"),
+        F.lit("\n3. Fix: drop it\n4. Overall RISK LEVEL is "),
+        F.element_at(F.array(*map(F.lit, ("Low", "medium", "HIGH", "none"))), (k % 4 + 1).cast("int"))
+    )
     return table(spark, d, "orders").select("o_orderkey", P.parse_assessment(reply).alias("r")).select("o_orderkey", "r.*")
 
 
 @query("SELECT k, CASE WHEN k % 2 = 0 THEN ['Symptoms', 'Site ' || k, 'Treatment', 'Medical History', 'Lab Results', 'Medications'] ELSE ['Symptoms', 'Diagnosis', 'Treatment', 'Medical History', 'Lab Results', 'Medications'] END AS names FROM (SELECT c_custkey AS k FROM customer)")
 def pv7_attribute_names(spark, d):
-    reply = F.concat(F.lit("1. Symptoms: x"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("\n2. Site "), F.col("k").cast("string"), F.lit(" - y"))).otherwise(""))
+    reply = F.concat(
+        F.lit("1. Symptoms: x"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("\n2. Site "), F.col("k").cast("string"), F.lit(" - y"))).otherwise("")
+    )
     return clinic(spark, d).select("k", P.parse_attribute_names(reply).alias("names"))
 
 
@@ -162,7 +178,9 @@ def _refined_sql(rows: str) -> str:
     first = f"SELECT k, text, text AS s0, {_step_sql('text')} AS s1 FROM {rows} WHERE text IS NOT NULL"
     third = f"SELECT *, {_step_sql('s2')} AS s3 FROM (SELECT *, {_step_sql('s1')} AS s2 FROM ({first}))"
     open_ = [_unsafe_sql(f"s{i}") for i in range(3)]
-    return f"(SELECT *, NOT ({' AND '.join(open_)}) AS safe, " + " + ".join(f"({' AND '.join(open_[: i + 1])})::INT" for i in range(3)) + f" AS rewrites FROM ({third}))"
+    return f"(SELECT *, NOT ({' AND '.join(open_)}) AS safe, " + " + ".join(
+        f"({' AND '.join(open_[: i + 1])})::INT" for i in range(3)
+    ) + f" AS rewrites FROM ({third}))"
 
 
 def _summary_sql(rows: str) -> str:
@@ -219,7 +237,9 @@ def d12_sensitive(spark, d):
 
 @query(f"SELECT count(*) AS articles, count(*) FILTER (abstract IS NOT NULL AND {_SENSITIVE.format('abstract')}) AS replaced FROM articles")
 def d13_privatise(spark, d):
-    return P.privatise(table(spark, d, "articles"), "abstract", lambda c: F.lit("general")).agg(F.count("*").alias("articles"), F.count_if((F.col("abstract") == "general") & F.col("contains_synthetic_data")).alias("replaced"))
+    return P.privatise(table(spark, d, "articles"), "abstract", lambda c: F.lit("general")).agg(
+        F.count("*").alias("articles"), F.count_if((F.col("abstract") == "general") & F.col("contains_synthetic_data")).alias("replaced")
+    )
 
 
 _RECORD_NO = "CAST(regexp_extract(record_id, '([0-9]+)', 1) AS INT)"
@@ -230,7 +250,10 @@ _RECORD_NO = "CAST(regexp_extract(record_id, '([0-9]+)', 1) AS INT)"
 def d1_record_text(spark, d):
     r = table(spark, d, "records")
     no = F.regexp_extract("record_id", "([0-9]+)", 1).cast("int")
-    return r.select("record_id", D.record_text(no, F.col("specialty"), F.col("sample_type"), F.col("description"), F.col("content"), F.col("keywords")).alias("text")).where("text is not null")
+    return r.select(
+        "record_id",
+        D.record_text(no, F.col("specialty"), F.col("sample_type"), F.col("description"), F.col("content"), F.col("keywords")).alias("text")
+    ).where("text is not null")
 
 
 @query("""SELECT question_id, CASE t WHEN 'yesno' THEN CASE WHEN exact_answer IS NULL THEN 'No' ELSE 'Yes' END WHEN 'factoid' THEN coalesce(exact_answer, '') WHEN 'list' THEN coalesce(exact_answer, '') END AS exact_answer, coalesce(ideal_answer, '') AS ideal_answer
@@ -238,7 +261,14 @@ def d1_record_text(spark, d):
 def d2_normalise_questions(spark, d):
     q = table(spark, d, "questions")
     kind = F.regexp_replace(F.lower("question_type"), "[^a-z]", "")
-    raw = q.select(F.col("question_id").alias("id"), kind.alias("type"), F.col("question").alias("body"), F.when(F.col("ideal_answer").isNotNull(), F.array("ideal_answer")).otherwise(F.array().cast("array<string>")).alias("ideal_answer"), F.when(F.col("exact_answer").isNotNull(), F.array(F.split("exact_answer", ", "))).otherwise(F.array().cast("array<array<string>>")).alias("exact_answer"), "documents", "snippets", "concepts")
+    raw = q.select(
+        F.col("question_id").alias("id"), kind.alias("type"), F.col("question").alias("body"),
+        F.when(F.col("ideal_answer").isNotNull(), F.array("ideal_answer")).otherwise(F.array().cast("array<string>")).alias("ideal_answer"),
+        F.when(
+            F.col("exact_answer").isNotNull(), F.array(F.split("exact_answer", ", "))
+        ).otherwise(F.array().cast("array<array<string>>")).alias("exact_answer"),
+        "documents", "snippets", "concepts"
+    )
     return D.normalise_questions(raw).select(F.col("id").alias("question_id"), "exact_answer", "ideal_answer")
 
 
@@ -257,14 +287,29 @@ def d4_split_stats(spark, d):
 
 @query("SELECT 'q' || l_orderkey || '-' || l_linenumber AS id, 'part ' || l_partkey AS question, 'order ' || l_orderkey AS context, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_returnflag END AS answer, 'BioASQ' AS source FROM lineitem")
 def d5_squad(spark, d):
-    qas = F.struct(F.concat(F.lit("q"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), F.concat(F.lit("part "), "l_partkey").alias("question"), F.when(F.col("l_linenumber") % 2 == 0, F.array().cast("array<struct<text string>>")).otherwise(F.array(F.struct(F.col("l_returnflag").alias("text")))).alias("answers"))
-    nested = table(spark, d, "lineitem").select(F.array(F.struct(F.array(F.struct(F.concat(F.lit("order "), "l_orderkey").alias("context"), F.array(qas).alias("qas"))).alias("paragraphs"))).alias("data"))
+    qas = F.struct(
+        F.concat(F.lit("q"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), F.concat(F.lit("part "), "l_partkey").alias("question"),
+        F.when(
+            F.col("l_linenumber") % 2 == 0, F.array().cast("array<struct<text string>>")
+        ).otherwise(F.array(F.struct(F.col("l_returnflag").alias("text")))).alias("answers")
+    )
+    nested = table(spark, d, "lineitem").select(
+        F.array(
+            F.struct(F.array(F.struct(F.concat(F.lit("order "), "l_orderkey").alias("context"), F.array(qas).alias("qas"))).alias("paragraphs"))
+        ).alias("data")
+    )
     return D.flatten_squad(nested)
 
 
 def _pubmedqa(spark, d):
     k = F.col("c_custkey")
-    items = table(spark, d, "customer").select(k.cast("string").alias("pmid"), F.concat(F.lit("Is "), "c_name", F.lit(" well?")).alias("QUESTION"), F.array(F.lit("a"), F.col("c_mktsegment")).alias("CONTEXTS"), F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.col("c_name")).alias("LONG_ANSWER"), F.element_at(F.array(*map(F.lit, ("yes", "no", "maybe", "other"))), (k % 4 + 1).cast("int")).alias("final_decision"), F.lit("2020").alias("PUBDATE"), F.lit(None).cast("string").alias("JOURNAL"))
+    items = table(spark, d, "customer").select(
+        k.cast("string").alias("pmid"), F.concat(F.lit("Is "), "c_name", F.lit(" well?")).alias("QUESTION"),
+        F.array(F.lit("a"), F.col("c_mktsegment")).alias("CONTEXTS"),
+        F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.col("c_name")).alias("LONG_ANSWER"),
+        F.element_at(F.array(*map(F.lit, ("yes", "no", "maybe", "other"))), (k % 4 + 1).cast("int")).alias("final_decision"),
+        F.lit("2020").alias("PUBDATE"), F.lit(None).cast("string").alias("JOURNAL")
+    )
     truth = table(spark, d, "customer").where(k % 5 == 0).select(k.cast("string").alias("pmid"), F.col("c_mktsegment").alias("answer"))
     return D.pubmedqa_pairs(items, truth)
 
@@ -279,7 +324,11 @@ def d6_pubmedqa(spark, d):
 
 
 def _medqa(spark, d):
-    items = table(spark, d, "part").select((F.col("p_partkey") - 1).alias("n"), F.col("p_name").alias("question"), F.col("p_type").alias("answer"), F.create_map(F.lit("B"), F.col("p_brand"), F.lit("A"), F.col("p_type")).alias("options"), F.lit("A").alias("answer_idx"), F.lit(None).cast("string").alias("meta_info"))
+    items = table(spark, d, "part").select(
+        (F.col("p_partkey") - 1).alias("n"), F.col("p_name").alias("question"), F.col("p_type").alias("answer"),
+        F.create_map(F.lit("B"), F.col("p_brand"), F.lit("A"), F.col("p_type")).alias("options"), F.lit("A").alias("answer_idx"),
+        F.lit(None).cast("string").alias("meta_info")
+    )
     return D.medqa_pairs(items, "n")
 
 
@@ -304,7 +353,9 @@ def d9_balance(spark, d):
 
 
 def _comprehensive(spark, d):
-    b = table(spark, d, "questions").select(F.col("question_id").alias("id"), F.col("question_type").alias("type"), "question", F.col("ideal_answer").alias("answer"))
+    b = table(spark, d, "questions").select(
+        F.col("question_id").alias("id"), F.col("question_type").alias("type"), "question", F.col("ideal_answer").alias("answer")
+    )
     return D.comprehensive(b, _pubmedqa(spark, d), _medqa(spark, d))
 
 
@@ -350,7 +401,10 @@ def d17_narrative(spark, d):
     k = F.col("c_custkey")
     item = lambda n, v: F.struct(F.lit(n).alias("variable"), v.cast("string").alias("value"))
     demo = F.array(item("Age", F.when((k % 4).isin(0, 1), k % 70 + 20)), item("Gender", F.when(k % 4 == 0, "M").when(k % 4 == 2, "F")))
-    cases = table(spark, d, "customer").select("c_custkey", demo.alias("demographics"), F.array(item("Heart Rate", k % 50 + 60)).alias("vitals"), F.array(item("Glucose", k % 3)).alias("labs"), F.lit("survived").alias("outcome"), (k % 9).alias("length_of_stay"))
+    cases = table(spark, d, "customer").select(
+        "c_custkey", demo.alias("demographics"), F.array(item("Heart Rate", k % 50 + 60)).alias("vitals"),
+        F.array(item("Glucose", k % 3)).alias("labs"), F.lit("survived").alias("outcome"), (k % 9).alias("length_of_stay")
+    )
     return cases.select("c_custkey", D.narrative().alias("narrative"))
 
 
@@ -368,9 +422,23 @@ def _escaped(c):
 @query("SELECT DISTINCT coalesce(pubmed_id, '') AS pubmed_id, coalesce(title, '') AS title, coalesce(abstract, '') AS abstract, coalesce(journal, '') AS journal, coalesce(pub_year, '') AS year, coalesce(authors[1], '') AS first_author FROM articles")
 def s7_parse_articles(spark, d):
     tag = lambda t, c: F.concat(F.lit(f"<{t}>"), _escaped(F.col(c)), F.lit(f"</{t}>"))
-    authors = F.array_join(F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda x: F.concat(F.lit("<Author><LastName>"), _escaped(x), F.lit("</LastName></Author>"))), "")
-    xml = table(spark, d, "articles").select(F.concat(F.lit("<PubmedArticle>"), tag("PMID", "pubmed_id"), tag("ArticleTitle", "title"), tag("AbstractText", "abstract"), F.lit("<AbstractText>second</AbstractText><Journal>"), tag("Title", "journal"), F.lit("</Journal><PubDate>"), tag("Year", "pub_year"), F.lit("</PubDate><AuthorList>"), authors, F.lit("</AuthorList></PubmedArticle>")).alias("x"))
-    return S.parse_articles(xml, "x").select("pubmed_id", "title", "abstract", "journal", "year", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("first_author")).distinct()
+    authors = F.array_join(
+        F.transform(
+            F.coalesce("authors", F.array().cast("array<string>")),
+            lambda x: F.concat(F.lit("<Author><LastName>"), _escaped(x), F.lit("</LastName></Author>"))
+        ),
+        ""
+    )
+    xml = table(spark, d, "articles").select(
+        F.concat(
+            F.lit("<PubmedArticle>"), tag("PMID", "pubmed_id"), tag("ArticleTitle", "title"), tag("AbstractText", "abstract"),
+            F.lit("<AbstractText>second</AbstractText><Journal>"), tag("Title", "journal"), F.lit("</Journal><PubDate>"), tag("Year", "pub_year"),
+            F.lit("</PubDate><AuthorList>"), authors, F.lit("</AuthorList></PubmedArticle>")
+        ).alias("x")
+    )
+    return S.parse_articles(xml, "x").select(
+        "pubmed_id", "title", "abstract", "journal", "year", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("first_author")
+    ).distinct()
 
 
 _CITED = "(SELECT DISTINCT regexp_extract(x, '([0-9]+)$', 1) AS pubmed_id FROM (SELECT unnest(documents) AS x FROM questions))"
@@ -385,9 +453,26 @@ def s8_fetch_articles(spark, d):
 @query("SELECT nct_id, coalesce(title, '') AS title, coalesce(status, '') AS status, coalesce(len(phase), 0) AS phases, coalesce(len(interventions), 0) AS interventions, coalesce(brief_summary, '') AS brief_summary FROM trials WHERE nct_id IS NOT NULL")
 def s9_parse_trials(spark, d):
     t = table(spark, d, "trials").where("nct_id is not null")
-    study = F.struct(F.struct(F.col("status").alias("OverallStatus")).alias("StatusModule"), F.struct(F.struct(F.col("nct_id").alias("NCTId"), F.col("title").alias("BriefTitle")).alias("IdentificationModule"), F.struct(F.struct(F.col("phase").alias("Phase")).alias("PhaseList")).alias("DesignModule"), F.struct(F.struct(F.transform("interventions", lambda x: F.struct(x["intervention_type"].alias("InterventionType"), x["intervention_name"].alias("InterventionName"))).alias("Intervention")).alias("InterventionList")).alias("ArmsInterventionsModule"), F.struct(F.col("brief_summary").alias("BriefSummary")).alias("DescriptionModule")).alias("ProtocolSection"))
+    study = F.struct(
+        F.struct(F.col("status").alias("OverallStatus")).alias("StatusModule"),
+        F.struct(
+            F.struct(F.col("nct_id").alias("NCTId"), F.col("title").alias("BriefTitle")).alias("IdentificationModule"),
+            F.struct(F.struct(F.col("phase").alias("Phase")).alias("PhaseList")).alias("DesignModule"),
+            F.struct(
+                F.struct(
+                    F.transform(
+                        "interventions",
+                        lambda x: F.struct(x["intervention_type"].alias("InterventionType"), x["intervention_name"].alias("InterventionName"))
+                    ).alias("Intervention")
+                ).alias("InterventionList")
+            ).alias("ArmsInterventionsModule"),
+            F.struct(F.col("brief_summary").alias("BriefSummary")).alias("DescriptionModule")
+        ).alias("ProtocolSection")
+    )
     reply = F.to_json(F.struct(F.struct(F.array(F.struct(study.alias("Study"))).alias("FullStudies")).alias("FullStudiesResponse")))
-    return S.parse_trials(t.select(reply.alias("reply")), "reply").select("nct_id", "title", "status", F.size("phase").alias("phases"), F.size("interventions").alias("interventions"), "brief_summary")
+    return S.parse_trials(t.select(reply.alias("reply")), "reply").select(
+        "nct_id", "title", "status", F.size("phase").alias("phases"), F.size("interventions").alias("interventions"), "brief_summary"
+    )
 
 
 @query("SELECT nct_id, title FROM trials WHERE nct_id = (SELECT max(nct_id) FROM trials) LIMIT 1")
@@ -455,7 +540,9 @@ def r3_knn(spark, d):
 @query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 7 = 0")
 def r4_upsert(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    changes = e.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100).unionByName(e.where("vec_id % 7 = 0").withColumn("vec_id", F.col("vec_id") + 1000000))
+    changes = e.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100).unionByName(
+        e.where("vec_id % 7 = 0").withColumn("vec_id", F.col("vec_id") + 1000000)
+    )
     return R.upsert(e, changes, "vec_id")
 
 
@@ -471,9 +558,15 @@ def r6_score(spark, d):
 
 
 def _fused(spark, d):
-    local = _knn(spark, d, 3).select("query_id", F.concat(F.lit("v"), "item_id").alias("doc_id"), F.concat(F.lit("vector "), "item_id", F.lit("\nrow")).alias("document"), "distance", F.col("rank").alias("source_rank"))
+    local = _knn(spark, d, 3).select(
+        "query_id", F.concat(F.lit("v"), "item_id").alias("doc_id"), F.concat(F.lit("vector "), "item_id", F.lit("\nrow")).alias("document"),
+        "distance", F.col("rank").alias("source_rank")
+    )
     q = local.select("query_id").distinct()
-    other = lambda name, k: q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("source_rank")).select("query_id", F.concat(F.lit(name), "source_rank").alias("doc_id"), F.concat(F.lit(f"{name} "), "query_id", F.lit("\nrow")).alias("document"), "source_rank")
+    other = lambda name, k: q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("source_rank")).select(
+        "query_id", F.concat(F.lit(name), "source_rank").alias("doc_id"), F.concat(F.lit(f"{name} "), "query_id", F.lit("\nrow")).alias("document"),
+        "source_rank"
+    )
     return R.fuse(local, {"pubmed": other("a", 2), "clinical_trials": other("t", 2)}, 5)
 
 
@@ -560,8 +653,19 @@ def r17_process_documents(spark, d):
 
 def _cited_articles(spark, d):
     """Questions with the articles they cite: question_id, question, rank, title, abstract, year, authors."""
-    q = table(spark, d, "questions").where("question is not null").groupBy("question_id").agg(F.min(F.struct("question", "documents")).alias("m")).select("question_id", F.col("m.question").alias("question"), F.posexplode("m.documents").alias("rank", "x"))
-    a = table(spark, d, "articles").groupBy("pubmed_id").agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("pub_year", F.lit("Unknown")).alias("year"), F.coalesce(F.array_join("authors", ", "), F.lit("")).alias("authors"))).alias("a"))
+    q = table(spark, d, "questions").where("question is not null").groupBy("question_id").agg(
+        F.min(F.struct("question", "documents")).alias("m")
+    ).select(
+        "question_id", F.col("m.question").alias("question"), F.posexplode("m.documents").alias("rank", "x")
+    )
+    a = table(spark, d, "articles").groupBy("pubmed_id").agg(
+        F.min(
+            F.struct(
+                F.coalesce("title", F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"),
+                F.coalesce("pub_year", F.lit("Unknown")).alias("year"), F.coalesce(F.array_join("authors", ", "), F.lit("")).alias("authors")
+            )
+        ).alias("a")
+    )
     return q.withColumn("pubmed_id", F.regexp_extract("x", "([0-9]+)$", 1)).join(a, "pubmed_id").select("question_id", "question", "rank", "a.*")
 
 
@@ -611,7 +715,10 @@ _PRIVATE = f"""(SELECT question_id, question, rank, title, CASE WHEN {_FLAG} THE
 @query(f"SELECT question_id, question, {_redact_sql('a', 'standard')} AS answer FROM (SELECT question_id, question, answer AS a FROM ({_answer_sql(_relevant_sql(_PRIVATE), _QUESTIONS, 'syn')}))")
 def g11_answer_question(spark, d):
     q = table(spark, d, "questions").where("question is not null").groupBy("question_id").agg(F.min("question").alias("question"))
-    docs = R.failover(_cited_articles(spark, d).drop("question"), S.fallback_articles(q, 3).select("question_id", "rank", "title", "abstract", "year", "authors"), "question_id")
+    docs = R.failover(
+        _cited_articles(spark, d).drop("question"), S.fallback_articles(q, 3).select("question_id", "rank", "title", "abstract", "year", "authors"),
+        "question_id"
+    )
     return G.answer_questions(q, docs)
 
 
@@ -637,7 +744,9 @@ def g6_echo(spark, d):
     || 'Answer briefly from the research and cite it as [Doc 1], [Doc 2].' || chr(10) AS prompt
     FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, title, year, abstract) AS n FROM {_CITING} WHERE rank < 3) WHERE n <= 3 GROUP BY question_id, question""")
 def g7_document_prompt(spark, d):
-    docs = _cited_articles(spark, d).where("rank < 3").groupBy("question_id", "question").agg(F.sort_array(F.collect_list(F.struct("rank", "title", "year", "abstract"))).alias("docs"))
+    docs = _cited_articles(spark, d).where("rank < 3").groupBy("question_id", "question").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "title", "year", "abstract"))).alias("docs")
+    )
     return docs.select("question_id", G.document_prompt(F.col("question"), F.col("docs")).alias("prompt"))
 
 
@@ -649,7 +758,10 @@ _LABELS = "list_transform(coalesce(sources, []), lambda s, i: {'label': '[' || u
     FROM (SELECT response_id, {_all("coalesce(answer, '')", r'\[([^\]]+)\]', 1)} AS c, {_LABELS} AS l FROM responses)""")
 def g8_citations(spark, d):
     out = G.citation_checks(table(spark, d, "responses"), "sources", "answer")
-    return out.select("response_id", F.size("citations_found").alias("found"), F.col("missing_citations").alias("missing"), F.col("citation_warnings").alias("warnings"))
+    return out.select(
+        "response_id", F.size("citations_found").alias("found"), F.col("missing_citations").alias("missing"),
+        F.col("citation_warnings").alias("warnings")
+    )
 
 
 _CLAIM = "(?i)" + "|".join(f"(?:{c})" for c in G.CLAIMS)
@@ -720,7 +832,10 @@ _GRADED = """(SELECT *, CASE t WHEN 'yesno' THEN (lower(coalesce(exact_answer, '
 def _graded(spark, d):
     """Every question, answered by its ideal answer: a summary's ROUGE-L is 1 unless it is blank, which SQL can follow."""
     kind = F.coalesce(F.regexp_replace(F.lower("question_type"), "[^a-z]", ""), F.lit("")).alias("t")
-    q = table(spark, d, "questions").select("question_id", "exact_answer", F.coalesce("split_name", F.lit("none")).alias("split_name"), kind, F.coalesce("ideal_answer", F.lit("")).alias("a"))
+    q = table(spark, d, "questions").select(
+        "question_id", "exact_answer", F.coalesce("split_name", F.lit("none")).alias("split_name"), kind,
+        F.coalesce("ideal_answer", F.lit("")).alias("a")
+    )
     return q.withColumn("ok", E.is_correct(F.col("t"), F.col("exact_answer"), F.col("a"), F.col("a")))
 
 
@@ -770,7 +885,9 @@ _COUNT = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')
 def _answers(spark, d):
     """Snippets of questions as answers, the abstracts they come from as originals."""
     snippets = table(spark, d, "questions").select("question_id", F.posexplode("snippets").alias("n", "s"))
-    return snippets.select(F.concat_ws("-", "question_id", "n").alias("answer_id"), F.concat(F.lit("We read: "), F.col("s.text"), F.lit(" and more.")).alias("answer")).where("answer is not null").groupBy("answer_id").agg(F.min("answer").alias("answer"))
+    return snippets.select(
+        F.concat_ws("-", "question_id", "n").alias("answer_id"), F.concat(F.lit("We read: "), F.col("s.text"), F.lit(" and more.")).alias("answer")
+    ).where("answer is not null").groupBy("answer_id").agg(F.min("answer").alias("answer"))
 
 
 def _exact(spark, d):
@@ -802,14 +919,18 @@ _E = f"(SELECT count(*) FROM ({ORACLE['e14_exact_extraction']}))"
 @query(f"SELECT {_E} AS exact_matches, (SELECT count(*) FROM ({ORACLE['e15_fuzzy_extraction']})) AS partial_matches, round(CASE WHEN count(*) > 0 THEN {_E} / count(*) * 100 ELSE 0 END, 6) AS success_rate FROM {_SNIPPETS}")
 def e16_attack_rate(spark, d):
     answers, exact = _answers(spark, d), _exact(spark, d)
-    return E.attack_rate(exact, E.fuzzy_extractions(answers, "answer_id", "answer", table(spark, d, "articles"), "pubmed_id", "abstract", exact), answers.count())
+    return E.attack_rate(
+        exact, E.fuzzy_extractions(answers, "answer_id", "answer", table(spark, d, "articles"), "pubmed_id", "abstract", exact), answers.count()
+    )
 
 
 @query("SELECT c_custkey AS k, (c_custkey % 50 + c_custkey % 30) / 2 AS rate, CASE WHEN (c_custkey % 50 + c_custkey % 30) / 2 < 10 THEN 'High' WHEN (c_custkey % 50 + c_custkey % 30) / 2 < 30 THEN 'Medium' ELSE 'Low' END AS privacy, CASE WHEN c_custkey % 11 / 10 > 0.7 THEN 'High' WHEN c_custkey % 11 / 10 > 0.5 THEN 'Medium' ELSE 'Low' END AS utility FROM customer")
 def e18_report(spark, d):
     k = F.col("c_custkey")
     rate = E.combined_rate((k % 50).cast("double"), (k % 30).cast("double"))
-    return table(spark, d, "customer").select(k.alias("k"), rate.alias("rate"), E.privacy_grade(rate).alias("privacy"), E.utility_grade((k % 11) / 10).alias("utility"))
+    return table(spark, d, "customer").select(
+        k.alias("k"), rate.alias("rate"), E.privacy_grade(rate).alias("privacy"), E.utility_grade((k % 11) / 10).alias("utility")
+    )
 
 
 _MOCKED = f"""(SELECT question_id, question, rank, title, CASE WHEN {_FLAG} THEN {_GENERAL} ELSE abstract END AS abstract, year, authors, {_FLAG} AS syn FROM (SELECT question_id, question, i AS rank,
@@ -820,7 +941,9 @@ _IDEAL = "(SELECT question_id, min({'question': question, 'reference': ideal_ans
 
 
 def _benchmark(spark, d):
-    q = table(spark, d, "questions").where("question is not null").groupBy("question_id").agg(F.min(F.struct("question", F.col("ideal_answer").alias("reference"))).alias("m"))
+    q = table(spark, d, "questions").where("question is not null").groupBy("question_id").agg(
+        F.min(F.struct("question", F.col("ideal_answer").alias("reference"))).alias("m")
+    )
     rows = q.select(F.col("question_id").alias("id"), F.col("m.question").alias("question"), F.col("m.reference").alias("reference_answer"))
     return E.benchmark_run(rows, lambda asked: G.answer_questions(asked, S.mock_articles(asked, 3)))
 
@@ -855,13 +978,19 @@ def _long(vectors, key: str):
 
 @query(f"SELECT id AS pubmed_id, dim, round(v::FLOAT::DOUBLE, 5) AS v FROM {_VECTORS.format('pubmed_id', 'abstract', 'articles')} WHERE v <> 0")
 def r1_embed(spark, d):
-    return _long(M.embed(table(spark, d, "articles").where("abstract is not null").select("pubmed_id", "abstract").distinct(), "abstract", M.HashingEncoder), "pubmed_id")
+    return _long(
+        M.embed(table(spark, d, "articles").where("abstract is not null").select("pubmed_id", "abstract").distinct(), "abstract", M.HashingEncoder),
+        "pubmed_id"
+    )
 
 
 @query(f"SELECT count(*) AS items, count(DISTINCT item_id) AS ids, sum(length(text))::BIGINT AS characters, 32 AS dimension FROM (SELECT nct_id AS item_id, brief_summary AS text FROM trials WHERE brief_summary IS NOT NULL)")
 def r2_index(spark, d):
     index = M.build_index(table(spark, d, "trials"), "nct_id", "brief_summary", M.HashingEncoder)
-    return index.agg(F.count("*").alias("items"), F.countDistinct("item_id").alias("ids"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"), F.max(F.size("embedding")).alias("dimension"))
+    return index.agg(
+        F.count("*").alias("items"), F.countDistinct("item_id").alias("ids"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"),
+        F.max(F.size("embedding")).alias("dimension")
+    )
 
 
 _FIRST = "trim(string_split(coalesce(context, ''), '. ')[1])"
@@ -884,7 +1013,9 @@ def pv9_synthetic_note(spark, d):
 def a7_pipeline(spark, d):
     documents = notes(spark, d).where("k is not null").groupBy(F.col("k").alias("doc_id")).agg(F.min("text").alias("text"))
     kind = F.coalesce(F.regexp_replace(F.lower("question_type"), "[^a-z]", ""), F.lit("")).alias("type")
-    q = table(spark, d, "questions").where("question is not null").select("question_id", "question", "exact_answer", "ideal_answer", kind, F.coalesce("split_name", F.lit("none")).alias("source"))
+    q = table(spark, d, "questions").where("question is not null").select(
+        "question_id", "question", "exact_answer", "ideal_answer", kind, F.coalesce("split_name", F.lit("none")).alias("source")
+    )
     rules = P.RuleBackend()
     once = q.groupBy("question_id").agg(F.min(F.struct(*q.columns[1:])).alias("m")).select("question_id", "m.*")
     return run_pipeline(documents, once, M.HashingEncoder, rules, rules, rules).report
@@ -898,7 +1029,11 @@ _NOTES = "(SELECT record_id AS k, specialty AS grp, content AS text, description
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
     """k, grp, text, reference of the records; every row, also where text or reference is null."""
-    return spread(table(spark, d, "records").select(F.col("record_id").alias("k"), F.col("specialty").alias("grp"), F.col("content").alias("text"), F.col("description").alias("reference")))
+    return spread(
+        table(spark, d, "records").select(
+            F.col("record_id").alias("k"), F.col("specialty").alias("grp"), F.col("content").alias("text"), F.col("description").alias("reference")
+        )
+    )
 
 
 @query(ORACLE["pv2b_counts_by_type"].replace(_CLINIC, _NOTES))

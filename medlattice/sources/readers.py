@@ -30,7 +30,10 @@ def text_corpus(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("doc_id"), F.col("value").alias("text"))
 
 
-def notes_csv(spark: SparkSession, path: str, schema: str = "row_no int, description string, medical_specialty string, sample_name string, transcription string, keywords string") -> DataFrame:
+def notes_csv(
+    spark: SparkSession, path: str,
+    schema: str = "row_no int, description string, medical_specialty string, sample_name string, transcription string, keywords string"
+) -> DataFrame:
     """CSV with a header and quoted line breaks."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
 
@@ -59,10 +62,19 @@ def parse_articles(xml: DataFrame, column: str) -> DataFrame:
     """Article fields of PubmedArticle XML texts; only the first abstract text; authors as 'Fore Last' or 'Last'."""
     x = F.col(column)
     author = lambda a: F.trim(F.concat_ws(" ", F.when(a["fore"] != "", a["fore"]), a["last"]))
-    names = F.from_xml(F.concat(F.lit("<l>"), F.array_join(F.regexp_extract_all(x, F.lit(r"(?s)<Author\b[^>]*>.*?</Author>"), 0), ""), F.lit("</l>")), "Author array<struct<LastName string, ForeName string>>")
-    authors = F.transform(F.filter(F.coalesce(names["Author"], F.array().cast("array<struct<LastName string, ForeName string>>")), lambda a: a["LastName"].isNotNull()), lambda a: author(F.struct(F.coalesce(a["ForeName"], F.lit("")).alias("fore"), a["LastName"].alias("last"))))
+    names = F.from_xml(
+        F.concat(F.lit("<l>"), F.array_join(F.regexp_extract_all(x, F.lit(r"(?s)<Author\b[^>]*>.*?</Author>"), 0), ""), F.lit("</l>")),
+        "Author array<struct<LastName string, ForeName string>>"
+    )
+    authors = F.transform(
+        F.filter(F.coalesce(names["Author"], F.array().cast("array<struct<LastName string, ForeName string>>")), lambda a: a["LastName"].isNotNull()),
+        lambda a: author(F.struct(F.coalesce(a["ForeName"], F.lit("")).alias("fore"), a["LastName"].alias("last")))
+    )
     # one parse gives all text fields, parted by a character that XML can't hold
-    places = {"pubmed_id": "(//PMID)[1]", "title": "(//ArticleTitle)[1]", "abstract": "(//AbstractText)[1]", "journal": "(//Journal/Title)[1]", "year": "(//PubDate/Year)[1]"}
+    places = {
+        "pubmed_id": "(//PMID)[1]", "title": "(//ArticleTitle)[1]", "abstract": "(//AbstractText)[1]", "journal": "(//Journal/Title)[1]",
+        "year": "(//PubDate/Year)[1]"
+    }
     told = F.split(F.xpath_string(x, F.lit("concat(" + ", '\x01', ".join(places.values()) + ")")), "\x01")
     return xml.select(told.alias("told"), authors.alias("authors")).select(*(F.get("told", F.lit(i)).alias(n) for i, n in enumerate(places)), "authors")
 
@@ -209,7 +221,9 @@ def bulk_download(terms: list[str], snapshot: DataFrame, most: int = 100) -> Dat
     spark = snapshot.sparkSession
     asked = [(t, w) for t in dict.fromkeys(terms) for w in dict.fromkeys(t.lower().split())]
     wanted = F.broadcast(spark.createDataFrame(asked, "query string, word string"))  # the words of the terms
-    once = snapshot.where("pubmed_id is not null").groupBy("pubmed_id").agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"))).alias("a"))
+    once = snapshot.where("pubmed_id is not null").groupBy("pubmed_id").agg(
+        F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"))).alias("a")
+    )
     text = F.lower(F.concat_ws(" ", "a.title", "a.abstract"))
     held = once.select("pubmed_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), 0))).alias("word")).join(wanted, "word")
     hits = held.groupBy("query", "pubmed_id").agg(F.count("*").alias("hits"))

@@ -20,7 +20,10 @@ def test_scores_of_empty_and_small_sets(spark):
 
 
 def test_correctness_by_type(spark):
-    rows = [("yesno", "Yes", "well yes"), ("yesno", "no", "yes"), ("factoid", "", "anything"), ("factoid", "gout", "It is GOUT"), ("list", "a1, b2, c3", "a1 and c3"), ("list", "a1, b2", "none"), ("other", "x", "x"), ("yesno", "no", None)]
+    rows = [
+        ("yesno", "Yes", "well yes"), ("yesno", "no", "yes"), ("factoid", "", "anything"), ("factoid", "gout", "It is GOUT"),
+        ("list", "a1, b2, c3", "a1 and c3"), ("list", "a1, b2", "none"), ("other", "x", "x"), ("yesno", "no", None)
+    ]
     got = [r[0] for r in spark.createDataFrame(rows, "t string, g string, a string").select(E.is_correct(F.col("t"), F.col("g"), F.col("a"))).collect()]
     assert got == [True, False, True, True, True, False, False, True]
 
@@ -42,7 +45,9 @@ def test_extractions_equal_plain_loops(spark):
     rng = random.Random(5)
     w = [f"w{i}" for i in range(12)]
     docs = [(i, ". ".join(" ".join(rng.choices(w, k=rng.randint(3, 11))) for _ in range(4))) for i in range(12)]
-    answers = [(i, rng.choice(["", "so "]) + rng.choice(rng.choice(docs)[1].split(". ")) + rng.choice(["", "x", " end"])) for i in range(40)] + [(100 + i, " ".join(rng.choices(w, k=14))) for i in range(40)] + [(200, None), (201, "")]
+    answers = [
+        (i, rng.choice(["", "so "]) + rng.choice(rng.choice(docs)[1].split(". ")) + rng.choice(["", "x", " end"])) for i in range(40)
+    ] + [(100 + i, " ".join(rng.choices(w, k=14))) for i in range(40)] + [(200, None), (201, "")]
     a, o = spark.createDataFrame(answers, "id int, a string"), spark.createDataFrame([*docs, (99, None)], "doc int, t string")
     exact, fuzzy = {}, {}
     for i, x in answers:
@@ -94,7 +99,9 @@ def test_split_and_balance(spark):
 
 
 def test_record_text_round_trip(spark):
-    df = spark.createDataFrame([(7, None, " Knee ", "d", "a\n \n\nb", "x, y"), (8, "s", "t", "d", "  ", None)], "n int, s string, t string, d string, c string, k string")
+    df = spark.createDataFrame(
+        [(7, None, " Knee ", "d", "a\n \n\nb", "x, y"), (8, "s", "t", "d", "  ", None)], "n int, s string, t string, d string, c string, k string"
+    )
     texts = df.select(D.record_text(*(F.col(c) for c in "nstdck")).alias("x"))
     rows = texts.collect()
     assert rows[1].x is None and "SPECIALTY: Unknown\nSAMPLE TYPE:  Knee \n" in rows[0].x

@@ -72,7 +72,11 @@ def test_chain_from_documents_to_notes(spark):
     got = M.synthetic_notes(docs, "k", "t", names, Scripted).collect()
     assert {r.k for r in got} == {"a", "c"} and got[0].attributes == {"Pain": "mild", "Drugs": "aspirin"} and got[0].note == "Note on - Drugs: aspirin"
     backend = M.ModelBackend(Scripted)
-    refined = {r.document_id: r for r in P.refine_documents(spark.createDataFrame([("x", "Ann"), ("y", "calm")], "k string, t string"), "k", "t", backend, backend, backend).collect()}
+    refined = {
+        r.document_id: r for r in P.refine_documents(
+            spark.createDataFrame([("x", "Ann"), ("y", "calm")], "k string, t string"), "k", "t", backend, backend, backend
+        ).collect()
+    }
     assert refined["x"].is_safe and refined["x"].iterations_required == 1 and refined["x"].final_synthetic_data == "someone"
     assert refined["x"].assessments[0].risk_level == "high" and refined["x"].assessments[0].feedback == ["a name"] and refined["y"].iterations_required == 0
     made = M.test_questions(spark, 12, M.ExtractiveModel).collect()
@@ -116,7 +120,13 @@ def test_ranks_in_groups(spark):
 def test_pipeline(spark):
     texts = [f"Patient {i} has acute pain in the left knee and takes aspirin each day after meals since {2000 + i}." for i in range(8)]
     documents = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)] + [("none", None)], "doc_id string, text string")
-    questions = spark.createDataFrame([("1", "Is aspirin taken for pain?", "yes", None, "yesno", "s"), ("2", "Where is the pain?", "knee", None, "factoid", "s"), ("3", "odd", None, None, "odd", "t")], "question_id string, question string, exact_answer string, ideal_answer string, type string, source string")
+    questions = spark.createDataFrame(
+        [
+            ("1", "Is aspirin taken for pain?", "yes", None, "yesno", "s"), ("2", "Where is the pain?", "knee", None, "factoid", "s"),
+            ("3", "odd", None, None, "odd", "t")
+        ],
+        "question_id string, question string, exact_answer string, ideal_answer string, type string, source string"
+    )
     rules = P.RuleBackend()
     run = run_pipeline(documents, questions, M.HashingEncoder, rules, rules, rules, attacks=6)
     assert run.summary.first().total_documents == 8 and run.index.count() == 8
@@ -124,6 +134,8 @@ def test_pipeline(spark):
     accuracy = {(r.level, r.value): r for r in run.accuracy.collect()}
     assert accuracy[("overall", "all")].questions == 3 and accuracy[("type", "factoid")].correct == 1 and accuracy[("type", "odd")].correct == 0
     report = run.report.first()
-    assert report.privacy_protection in ("High", "Medium", "Low") and report.attack_success_rate == (report.targeted_attacks_success + report.untargeted_attacks_success) / 2
+    assert report.privacy_protection in ("High", "Medium", "Low") and report.attack_success_rate == (
+        report.targeted_attacks_success + report.untargeted_attacks_success
+    ) / 2
     said = answers_from_index(run.index, questions, M.HashingEncoder, 2).where("question_id = '2'").first().answer
     assert "knee" in said and not re.search(r"Patient \d", said)

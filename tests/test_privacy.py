@@ -23,7 +23,10 @@ def test_phone_in_brackets_keeps_the_bracket(spark):
 
 def test_redaction_equals_a_plain_loop(spark):
     rng = random.Random(1)
-    bits = ["a@b.org", "555-123-4567", "123-45-6789", "Patient #12", "Subject ID 7", "1/2/2020", "MRN 5", "Ann Bell", "12 Oak Street", "12345", "age 30 years", "café", " ", ". ", "was 4", "a@b.org.", "\n", "É"]
+    bits = [
+        "a@b.org", "555-123-4567", "123-45-6789", "Patient #12", "Subject ID 7", "1/2/2020", "MRN 5", "Ann Bell", "12 Oak Street", "12345",
+        "age 30 years", "café", " ", ". ", "was 4", "a@b.org.", "\n", "É"
+    ]
     texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 14))) for _ in range(300)] + [None, "", "x" * 20_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     for level in ("minimal", "standard", "strict", "no such level"):
@@ -33,12 +36,20 @@ def test_redaction_equals_a_plain_loop(spark):
 
 def test_counts_and_rows(spark):
     df = spark.createDataFrame([(1, "a@b.org and c@d.org"), (2, None)], "k int, t string")
-    assert [(r.pii_type, r.pos, r.instance) for r in P.detected_rows(df, "k", "t", "minimal").orderBy("pos").collect()] == [("email", 0, "a@b.org"), ("email", 1, "c@d.org")]
+    assert [
+        (r.pii_type, r.pos, r.instance) for r in P.detected_rows(df, "k", "t", "minimal").orderBy("pos").collect()
+    ] == [("email", 0, "a@b.org"), ("email", 1, "c@d.org")]
 
 
 def test_parsers(spark):
-    r = spark.createDataFrame([("Yes\n2. Worries: a - b\n3. none\nRisk level: HIGH", "1. Symptoms: x\n2. Plan - y", "- A: one\n- B: two\nmore\n- C:")], "a string, n string, v string")
-    x = r.select(P.parse_assessment(F.col("a")).alias("a"), P.parse_attribute_names(F.col("n"), 4).alias("n"), P.parse_attribute_values(F.col("v"), ("A", "B", "D")).alias("v"), P.attribute_lines(F.create_map(F.lit("k"), F.lit("v"))).alias("l")).first()
+    r = spark.createDataFrame(
+        [("Yes\n2. Worries: a - b\n3. none\nRisk level: HIGH", "1. Symptoms: x\n2. Plan - y", "- A: one\n- B: two\nmore\n- C:")],
+        "a string, n string, v string"
+    )
+    x = r.select(
+        P.parse_assessment(F.col("a")).alias("a"), P.parse_attribute_names(F.col("n"), 4).alias("n"),
+        P.parse_attribute_values(F.col("v"), ("A", "B", "D")).alias("v"), P.attribute_lines(F.create_map(F.lit("k"), F.lit("v"))).alias("l")
+    ).first()
     assert x.a.is_safe and x.a.feedback == ["a", "b"] and x.a.risk_level == "high"
     assert x.n == ["Symptoms", "Plan", "Treatment", "Medical History"]
     assert x.v == {"A": "one", "B": "two\nmore", "D": "Not mentioned"} and x.l == "- k: v"

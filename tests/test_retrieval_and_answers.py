@@ -27,7 +27,9 @@ def test_nearest_equals_brute_force_in_blocks(spark):
 
 
 def test_fusion_order_and_limit(spark):
-    local = spark.createDataFrame([(1, "a", "text a", 1.5, 1), (1, "b", "", 0.1, 2)], "query_id long, doc_id string, document string, distance double, source_rank int")
+    local = spark.createDataFrame(
+        [(1, "a", "text a", 1.5, 1), (1, "b", "", 0.1, 2)], "query_id long, doc_id string, document string, distance double, source_rank int"
+    )
     ext = spark.createDataFrame([(1, "p1", "x", 1), (1, "p2", "y", 2)], "query_id long, doc_id string, document string, source_rank int")
     got = [(r.doc_id, r.rank) for r in R.fuse(local, {"pubmed": ext}, 2).orderBy("rank").collect()]
     assert got == [("a", 1), ("p1", 2)]  # equal scores: local first
@@ -64,22 +66,38 @@ def python_relevant(question, title, abstract):
 def test_relevance_equals_a_plain_loop(spark):
     rng = random.Random(2)
     w = ["gout", "drug", "a", "The", "cure", "dose.", "dose", "é", "x. y"]
-    rows = [(str(i), " ".join(rng.choices(w, k=3)), i % 4, " ".join(rng.choices(w, k=2)), ". ".join(" ".join(rng.choices(w, k=3)) for _ in range(5))) for i in range(200)]
-    got = {r.question_id: r.key_sentences for r in G.relevant(spark.createDataFrame(rows, "question_id string, question string, rank int, title string, abstract string")).collect()}
+    rows = [
+        (
+            str(i), " ".join(rng.choices(w, k=3)), i % 4, " ".join(rng.choices(w, k=2)), ". ".join(" ".join(rng.choices(w, k=3)) for _ in range(5))
+        ) for i in range(200)
+    ]
+    got = {
+        r.question_id: r.key_sentences for r in G.relevant(
+            spark.createDataFrame(rows, "question_id string, question string, rank int, title string, abstract string")
+        ).collect()
+    }
     assert got == {i: k for i, q, _, t, a in rows if (k := python_relevant(q, t, a)) is not None}
 
 
 def test_answers(spark):
     q = spark.createDataFrame([("1", "what helps gout"), ("2", "zzz")], "question_id string, question string")
-    d = spark.createDataFrame([("1", 0, "On gout", "Rest helps. The patient slept. Ice helps", "2020", "Bell A"), ("2", 0, "t", "nothing", None, None)], "question_id string, rank int, title string, abstract string, year string, authors string")
+    d = spark.createDataFrame(
+        [("1", 0, "On gout", "Rest helps. The patient slept. Ice helps", "2020", "Bell A"), ("2", 0, "t", "nothing", None, None)],
+        "question_id string, rank int, title string, abstract string, year string, authors string"
+    )
     a = {r.question_id: r.answer for r in G.answer_questions(q, d).collect()}
     assert a["2"] == G.NOT_FOUND + "zzz"
-    assert "According to Bell A (2020):\n- Rest helps.\n- Ice helps.\n" in a["1"] and G.SYNTHETIC_NOTE in a["1"] and a["1"].endswith("References:\n[1] Bell A (2020). On gout.\n")
+    assert "According to Bell A (2020):\n- Rest helps.\n- Ice helps.\n" in a["1"] and G.SYNTHETIC_NOTE in a["1"] and a["1"].endswith(
+        "References:\n[1] Bell A (2020). On gout.\n"
+    )
 
 
 def test_validation(spark):
     kind = "id int, answer string, context string, sources array<struct<source_name string, document_id string>>"
-    rows = [(1, "Rest helps [Local 1]. Ice [Pubmed 9].", "x", [("local", "d1")]), (2, "Studies show rest helps.", "studies show that rest helps", []), (3, "Studies show gold helps", "x", [("local", "d1")]), (4, None, None, None)]
+    rows = [
+        (1, "Rest helps [Local 1]. Ice [Pubmed 9].", "x", [("local", "d1")]), (2, "Studies show rest helps.", "studies show that rest helps", []),
+        (3, "Studies show gold helps", "x", [("local", "d1")]), (4, None, None, None)
+    ]
     got = {r.id: r for r in G.validate(spark.createDataFrame(rows, kind), "answer", "context", "sources").collect()}
     assert [c.document_id for c in got[1].citations_found] == ["d1"] and got[1].missing_citations == ["Pubmed 9"] and not got[1].is_valid
     assert got[2].is_valid and got[4].is_valid
@@ -89,5 +107,10 @@ def test_validation(spark):
 def test_prompts(spark):
     df = spark.createDataFrame([("q", "c")], "q string, c string")
     p = G.model_prompt(F.col("q"), F.col("c"))
-    x = df.select(G.model_answer(F.concat(p, F.lit("  yes ")), p).alias("a"), G.model_answer(p, p).alias("b"), G.echo_reply(F.lit("z" * 60)).alias("e"), G.document_prompt(F.col("q"), F.array(F.struct(F.lit("T").alias("title"), F.lit(None).cast("string").alias("year"), F.lit("A").alias("abstract")))).alias("d")).first()
+    x = df.select(
+        G.model_answer(F.concat(p, F.lit("  yes ")), p).alias("a"), G.model_answer(p, p).alias("b"), G.echo_reply(F.lit("z" * 60)).alias("e"),
+        G.document_prompt(
+            F.col("q"), F.array(F.struct(F.lit("T").alias("title"), F.lit(None).cast("string").alias("year"), F.lit("A").alias("abstract")))
+        ).alias("d")
+    ).first()
     assert x.a == "yes" and x.b == G.NO_REPLY and x.e.count("z") == 50 and re.search("Document 1:\nTitle: T\nYear: Unknown\nAbstract: A", x.d)

@@ -64,13 +64,23 @@ def test_spacing_of_requests():
 
 
 def test_bulk_download(spark):
-    rows = [("1", "Gout in adults", "cure of gout"), ("2", None, "gout"), ("3", "cure", None), (None, "gout cure", "x"), ("1", "Gout in adults", "cure of gout")]
+    rows = [
+        ("1", "Gout in adults", "cure of gout"), ("2", None, "gout"), ("3", "cure", None), (None, "gout cure", "x"),
+        ("1", "Gout in adults", "cure of gout")
+    ]
     got = S.bulk_download(["gout cure", "none at all"], spark.createDataFrame(rows, "pubmed_id string, title string, abstract string"), 2)
     assert sorted((r.pmid, r.query) for r in got.collect()) == [("1", "gout cure"), ("2", "gout cure")]
 
 
 def test_trial_status_comes_from_the_status_module(spark):
-    reply = {"FullStudiesResponse": {"FullStudies": [{"Study": {"StatusModule": {"OverallStatus": "Recruiting"}, "ProtocolSection": {"IdentificationModule": {"NCTId": "NCT1"}}}}, {"Study": {}}]}}
+    reply = {
+        "FullStudiesResponse": {
+            "FullStudies": [
+                {"Study": {"StatusModule": {"OverallStatus": "Recruiting"}, "ProtocolSection": {"IdentificationModule": {"NCTId": "NCT1"}}}},
+                {"Study": {}}
+            ]
+        }
+    }
     got = S.parse_trials(spark.createDataFrame([(json.dumps(reply),), ("no json",), (None,)], "reply string"), "reply").collect()
     assert sorted((r.nct_id, r.status, r.phase) for r in got) == [("", "", []), ("NCT1", "Recruiting", [])]
     assert S.trial_by_id(spark.createDataFrame([("a", 1), ("b", 2)], "nct_id string, x int"), "b").first().x == 2
@@ -110,7 +120,9 @@ def test_sinks(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    spark.createDataFrame([("a@b.org", "2020-01-01 00:01:00"), ("x", "2020-01-01 00:02:00")], "t string, at string").selectExpr("t", "timestamp(at) at").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(
+        [("a@b.org", "2020-01-01 00:01:00"), ("x", "2020-01-01 00:02:00")], "t string, at string"
+    ).selectExpr("t", "timestamp(at) at").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("t string, at timestamp").parquet(str(tmp_path / "in"))
     q = redact_stream(stream, "t").writeStream.format("memory").queryName("redacted").start()
     q.processAllAvailable()
@@ -140,7 +152,9 @@ def test_config_and_cli(spark, tmp_path, capsys):
     cli.main(["refine", str(tmp_path / "in"), str(tmp_path / "out2")])
     assert spark.read.json(str(tmp_path / "out2/metadata")).first().is_safe and spark.read.text(str(tmp_path / "out2/texts")).first().value == "mail [email]"
     cli.main(["build", str(tmp_path / "in"), str(tmp_path / "index")])
-    (tmp_path / "q.json").write_text('[{"question_id": "1", "question": "Which mail is it?", "exact_answer": "yes", "ideal_answer": "a mail", "type": "yesno", "source": "s"}]')
+    (tmp_path / "q.json").write_text(
+        '[{"question_id": "1", "question": "Which mail is it?", "exact_answer": "yes", "ideal_answer": "a mail", "type": "yesno", "source": "s"}]'
+    )
     cli.main(["qa", str(tmp_path / "index"), str(tmp_path / "q.json"), str(tmp_path / "qa")])
     assert "According to" in spark.read.json(str(tmp_path / "qa")).first().answer
     cli.main(["pipeline", str(tmp_path / "in"), str(tmp_path / "q.json"), str(tmp_path / "run")])
@@ -183,8 +197,13 @@ def test_clinical_operators_read_whole_records(spark):
 
 
 def test_every_article_survives_xml(spark, tmp_path):
-    rows = [("1", "a < b & c > d", "one\r\ntwo\rthree &amp; <b>", "J & K", "2020", ["O'Neil & <Son>"]), ("2", "plain", None, None, None, None), ("3", None, "x\ty", "J", "2021", [])]
-    spark.createDataFrame(rows, "pubmed_id string, title string, abstract string, journal string, pub_year string, authors array<string>").write.parquet(str(tmp_path / "articles.parquet"))
+    rows = [
+        ("1", "a < b & c > d", "one\r\ntwo\rthree &amp; <b>", "J & K", "2020", ["O'Neil & <Son>"]), ("2", "plain", None, None, None, None),
+        ("3", None, "x\ty", "J", "2021", [])
+    ]
+    spark.createDataFrame(
+        rows, "pubmed_id string, title string, abstract string, journal string, pub_year string, authors array<string>"
+    ).write.parquet(str(tmp_path / "articles.parquet"))
     got = sorted(tuple(r) for r in QUERIES["s7_parse_articles"](spark, str(tmp_path)).collect())
     assert got == [(i, t or "", a or "", j or "", y or "", n[0] if n else "") for i, t, a, j, y, n in rows]
 

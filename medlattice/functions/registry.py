@@ -13,7 +13,10 @@ from .similarity import bleu_4, rouge_l_f, sequence_ratio
 
 @udtf(returnType="pii_type string, pos int, instance string")
 class PiiMatches:
-    """pii_matches(text, level): one row per match, in the order of the types and of the text."""
+    """pii_matches(text, level): one row per match, in the order of the types and of the text.
+
+    A wrapper for SQL text, called once per row; over whole tables use operators.privacy.detected_rows, which stays in the JVM.
+    """
 
     def eval(self, text: str, level: str):
         for kind, pattern in patterns(level or "minimal"):

@@ -235,11 +235,9 @@ def d12_sensitive(spark, d):
     return table(spark, d, "articles").select("pubmed_id", P.is_sensitive(F.col("abstract")).alias("sensitive"))
 
 
-@query(f"SELECT count(*) AS articles, count(*) FILTER (abstract IS NOT NULL AND {_SENSITIVE.format('abstract')}) AS replaced FROM articles")
+@query(f"SELECT DISTINCT pubmed_id, CASE WHEN {_SENSITIVE.format('abstract')} THEN {_general_sql('abstract')} ELSE abstract END AS abstract, coalesce({_SENSITIVE.format('abstract')}, false) AS contains_synthetic_data FROM articles")
 def d13_privatise(spark, d):
-    return P.privatise(table(spark, d, "articles"), "abstract", lambda c: F.lit("general")).agg(
-        F.count("*").alias("articles"), F.count_if((F.col("abstract") == "general") & F.col("contains_synthetic_data")).alias("replaced")
-    )
+    return P.privatise(table(spark, d, "articles").select("pubmed_id", "abstract"), "abstract").distinct()
 
 
 _RECORD_NO = "CAST(regexp_extract(record_id, '([0-9]+)', 1) AS INT)"
@@ -753,13 +751,13 @@ def g7_document_prompt(spark, d):
 _LABELS = "list_transform(coalesce(sources, []), lambda s, i: {'label': '[' || upper(left(coalesce(s.source_name, ''), 1)) || lower(coalesce(s.source_name, '')[2:]) || ' ' || i || ']', 'document_id': s.document_id})"
 
 
-@query(f"""SELECT response_id, len(list_filter(c, lambda x: len(list_filter(l, lambda y: contains(y.label, x))) > 0)) AS found, list_filter(c, lambda x: len(list_filter(l, lambda y: contains(y.label, x))) = 0) AS missing,
+@query(f"""SELECT response_id, list_transform(list_filter(c, lambda x: len(list_filter(l, lambda y: contains(y.label, x))) > 0), lambda x: x || '=' || coalesce(list_filter(l, lambda y: contains(y.label, x))[1].document_id, '')) AS found, list_filter(c, lambda x: len(list_filter(l, lambda y: contains(y.label, x))) = 0) AS missing,
     CASE WHEN len(c) = 0 AND len(l) > 0 THEN ['No citations found in response.'] ELSE list_transform(list_filter(c, lambda x: len(list_filter(l, lambda y: contains(y.label, x))) = 0), lambda x: 'Citation ' || x || ' does not match any context document.') END AS warnings
     FROM (SELECT response_id, {_all("coalesce(answer, '')", r'\[([^\]]+)\]', 1)} AS c, {_LABELS} AS l FROM responses)""")
 def g8_citations(spark, d):
     out = G.citation_checks(table(spark, d, "responses"), "sources", "answer")
     return out.select(
-        "response_id", F.size("citations_found").alias("found"), F.col("missing_citations").alias("missing"),
+        "response_id", F.transform("citations_found", lambda x: F.concat(x["citation"], F.lit("="), F.coalesce(x["document_id"], F.lit("")))).alias("found"), F.col("missing_citations").alias("missing"),
         F.col("citation_warnings").alias("warnings")
     )
 

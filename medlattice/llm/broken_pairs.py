@@ -39,6 +39,7 @@ _LEAD = re.compile(
     r"^\W*(?:(?:you asked|your question|the question (?:is|was)|the question|question|query|asked|prompt|q|you wanted to know|you want to know|frage|pregunta|question posée|sie fragten|vous demandez|usted pregunta)\s*[:\-–—]?\s+)", re.I)
 _ANSWER_LEAD = re.compile(rf"^\W*{_LABEL}\s*[:\-–—]\s*", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+_QUOTE = re.compile(r"[\"“«„]")
 _QUOTED = re.compile(r"[\"“«„][^\"”»“]*[\"”»“]")
 _RULES = re.compile(r"```\w*|\*+|#+|_{2,}|~~")
 
@@ -54,9 +55,11 @@ def is_empty(answer: str | None) -> bool:
     x = answer
     if "<" in x or "&" in x:
         x = html.unescape(_MARKUP.sub(" ", x))
-    x = _RULES.sub(" ", _INVISIBLE.sub("", x)).strip()
-    if len(x) > _FILLS and len(_WORD.findall(x)) > _FILLS // 4:
+    if not x.isascii():
+        x = _INVISIBLE.sub("", x)
+    if len(x) > _FILLS and len(_WORD.findall(x[: 5 * _FILLS])) > _FILLS // 4:  # so many words are no filler, whatever follows
         return False
+    x = _RULES.sub(" ", x).strip()
     for _ in range(3):
         if not re.search(r"[^\W_]", x):
             return True
@@ -104,8 +107,17 @@ def tile(a: list[str], b: list[str], least: int = TILE, again: bool = False) ->
                 tiles.append((i, j, longest))
 
 
+#: Words that the lead-ins of _ANSWER_LEAD and _LEAD have at most together.
+_LEAD_WORDS = 8
+
+
+def _after(lead: re.Pattern, x: str) -> str:
+    m = lead.match(x)
+    return x[m.end() :] if m else x
+
+
 def _words(x: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(x)]
+    return _WORD.findall(x.lower())
 
 
 def copies(query: str, answer: str) -> bool:
@@ -113,11 +125,13 @@ def copies(query: str, answer: str) -> bool:
     q, a = _words(query), _words(answer)
     if len(q) < 3 or len(a) < 0.6 * len(q):
         return False
-    led = _LEAD.sub("", _ANSWER_LEAD.sub("", answer))
-    a = _words(led)
     known = set(q)
+    most = max(2, 0.25 * len(q))
+    if len([w for w in a if w not in known]) > most + _LEAD_WORDS:
+        return False
+    a = _words(_after(_LEAD, _after(_ANSWER_LEAD, answer)))
     new = sum(w not in known for w in a)  # no tile covers these
-    if new > max(2, 0.25 * len(q)):
+    if new > most:
         return False
     tiles = tile(a, q, again=True)  # the query may be said any number of times
     taken = {i + k for i, _, n in tiles for k in range(n)}
@@ -133,7 +147,7 @@ def other_language(query: str, answer: str) -> bool:
     Of languages that share their words (Danish and Norwegian, say), the one that fits best need not be the right one, so
     the best language of the answer must stand clear of every language that the query may be in.
     """
-    body = _ANSWER_LEAD.sub("", _QUOTED.sub(" ", answer))
+    body = _after(_ANSWER_LEAD, _QUOTED.sub(" ", answer) if _QUOTE.search(answer) else answer)
     words = letters(body)
     if sum(map(len, words)) < 8:
         return False
@@ -227,11 +241,14 @@ _ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•–])\s*(.*)$")
 
 def cut_state(answer: str) -> tuple[bool | None, str]:
     """(truncated, last part): None where it depends on how the last words are used, which are then given."""
-    x = _INVISIBLE.sub("", answer).rstrip()
-    x = re.sub(r"(?:</\w+>\s*)+$", "", x).rstrip()
-    if left_open(x) or list_short(x):
+    x = (answer if answer.isascii() else _INVISIBLE.sub("", answer)).rstrip()
+    if x.endswith(">"):
+        x = re.sub(r"(?:</\w+>\s*)+$", "", x).rstrip()
+    if left_open(x) or "\n" in x and list_short(x):
         return True, ""
-    body = re.sub(r"(?:\s*(?:\[\d+(?:[,–-] ?\d+)*\]|\([^()]{1,60}\)))+$", "", x).rstrip()  # references after the end
+    body = x
+    if x.endswith(("]", ")")):
+        body = re.sub(r"(?:\s*(?:\[\d+(?:[,–-] ?\d+)*\]|\([^()]{1,60}\)))+$", "", x).rstrip()  # references after the end
     if not body:
         return False, ""
     if _CUT_END.search(body):

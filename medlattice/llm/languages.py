@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -66,12 +67,11 @@ def letters(x: str) -> list[str]:
 
 def scores(words: list[str]) -> tuple[dict[str, float], int]:
     """(share of function words of each language, words shared by several divided among them; number of function words)."""
+    found = Counter(map(LANGUAGES_OF.get, words))
+    found.pop(None, None)
+    hits = found.total()
     score: dict[str, float] = {}
-    hits = 0
-    for w in words:
-        langs = LANGUAGES_OF.get(w)
-        if langs:
-            hits += 1
-            for name in langs:
-                score[name] = score.get(name, 0.0) + 1.0 / len(langs)
-    return ({k: v / hits for k, v in score.items()} if hits else {}), hits
+    for langs, n in found.items():
+        for name in langs:
+            score[name] = score.get(name, 0.0) + n / len(langs) / hits
+    return score, hits

@@ -146,13 +146,25 @@ def courteous(tags: list[str]) -> bool:
     return other <= 1 and any("C" in t for t in tags) or all(t in ("F", "H") or set(t) & set("SEDACLN") for t in tags) or any(p.search(line) for p in _CONSULTS)
 
 
+def _sentences(text: str):
+    """Sentences one by one; most answers are told by their first."""
+    at = 0
+    for m in _SPLIT.finditer(text):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 def is_refusal(answer: str, query: str = "") -> bool:
     """Whether a clause of the answer declines and no other one tells anything. The answer is read whole."""
     known = frozenset(_TOKEN.findall(query.lower()))
     refused = False
-    for s in filter(None, (s.strip(" \t\r\n\"*_-") for s in _SPLIT.split(answer))):
-        for clause in filter(None, (c.strip(" ,;") for c in _TURN.split(_CONCESSION.sub("", s.rstrip(".!?;… "))))):
-            if _ELSEWHERE.search(clause):
+    for s in filter(None, (s.strip(" \t\r\n\"*_-") for s in _sentences(answer))):
+        s = s.rstrip(".!?;… ")
+        if m := _CONCESSION.match(s):
+            s = s[m.end() :]
+        for clause in filter(None, (c.strip(" ,;") for c in _TURN.split(s))):
+            if not clause.isascii() and _ELSEWHERE.search(clause):
                 refused = True
                 continue
             tags = categories(clause, known)

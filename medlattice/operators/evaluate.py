@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import bleu_4, rouge_l_f
 from ..functions.text import all_matches, sentences, trimmed, words
+from ..session import materialise
 from .privacy import LEAK_TYPES, match_count
 from .shaping import split_ranks
 
@@ -155,23 +156,42 @@ def exact_extractions(answers: DataFrame, answer_key: str, answer: str, original
     )
 
 
+#: Distinct words up to which an answer is looked up by pairs of its words.
+PAIRED_WORDS = 64
+
+
+def _two_words(ordered: Column) -> Column:
+    """A hash of every two words of an ordered array."""
+    later = lambda i: F.slice(ordered, i + 2, F.size(ordered))
+    return F.flatten(F.transform(ordered, lambda x, i: F.transform(later(i), lambda y: F.xxhash64(x, y))))
+
+
 def fuzzy_extractions(answers: DataFrame, answer_key: str, answer: str, originals: DataFrame, key: str, text: str, exact: DataFrame | None = None) -> DataFrame:
     """Of each answer without an exact match, the original sentence of eight words or more whose word set it contains most (over 0.7).
 
-    Answers and sentences are reduced to distinct texts. A sentence meets an answer only through its rarest words: with
-    more than 0.7 of n distinct words contained, one of the n - floor(0.7 n) rarest must be, so common words join nothing.
+    Sentences are reduced to distinct ones. A sentence meets an answer only through its rarest words: with more than 0.7 of n
+    distinct words contained, one of the n - floor(0.7 n) rarest must be, and two of one more than these. Answers of up to
+    PAIRED_WORDS distinct words meet by such pairs, which few share; longer ones, whose pairs would be many, by single
+    words. Either way no contained sentence is missed.
     """
     said = answers.where(F.col(answer).isNotNull()).select(F.col(answer_key).alias("answer_id"), F.array_distinct(words(F.lower(F.col(answer)))).alias("aw"))
     if exact is not None:
         said = said.join(exact.select("answer_id"), "answer_id", "left_anti")
+    said = materialise(said, "fuzzy-answers")  # used four times
     told = _protected(originals, key, text).where(F.size("w") >= FUZZY_WORDS).select(F.xxhash64("sentence").alias("sid"), "sentence", "w", "doc", "pos")
     own = told.groupBy("sid").agg(F.min(F.struct("doc", "pos")).alias("at"), F.any_value("sentence").alias("sentence"), F.any_value("w").alias("w"))
-    own = own.select("sid", "sentence", "at", F.array_distinct(F.transform("w", F.lower)).alias("sw"))
+    own = materialise(own.select("sid", "sentence", "at", F.array_distinct(F.transform("w", F.lower)).alias("sw")), "fuzzy-sentences")
     each = own.select("sid", F.size("sw").alias("n"), F.explode("sw").alias("word"))
     often = said.select(F.explode("aw").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("f", F.lit(0)), "word"))  # the words of one sentence
-    rare = each.join(often, "word", "left").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.floor(F.col("n") * FUZZY_SHARE)) & F.col("f").isNotNull())
-    met = said.select("answer_id", F.explode("aw").alias("word")).join(rare.select("sid", "word"), "word").select("answer_id", "sid").distinct()
+    ranked = each.join(often, "word", "left").withColumn("over", rank - (F.col("n") - F.floor(F.col("n") * FUZZY_SHARE))).where("f is not null and over <= 1")
+    short = F.size("aw") <= PAIRED_WORDS
+    heads = ranked.groupBy("sid").agg(F.sort_array(F.collect_list("word")).alias("head"))  # some words of one sentence
+    by_two = said.where(short).select("answer_id", F.explode(_two_words(F.sort_array("aw"))).alias("key"))
+    two = by_two.join(heads.select("sid", F.explode(_two_words(F.col("head"))).alias("key")), "key").select("answer_id", "sid")
+    by_one = said.where(~short).select("answer_id", F.explode("aw").alias("word"))
+    one = by_one.join(ranked.where("over <= 0").select("sid", "word"), "word").select("answer_id", "sid")
+    met = two.unionByName(one).distinct()
     share = (F.size(F.array_intersect("sw", "aw")) / F.size("sw")).alias("similarity")
     scored = met.join(said, "answer_id").join(own, "sid").select("answer_id", "at", "sentence", share).where(F.col("similarity") > FUZZY_SHARE)
     best = scored.groupBy("answer_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "at", "sentence")).alias("m"))

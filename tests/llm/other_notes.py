@@ -1,4 +1,4 @@
-"""Notes worded by hand without a look at any table or at the training frames; personal items are marked <type:text>."""
+"""Notes worded by hand, none taken from tables or from the training frames; personal items are marked <type:text>."""
 
 NOTES = """The patient, <name:Margaret Oduya>, arrived by ambulance shortly after midnight.
 I reviewed <name:Samuel Whitlock> in the outpatient department and he remains well.

@@ -1,4 +1,4 @@
-"""Refusals and sound answers worded by hand without a look at any table, to see how far the grammar carries."""
+"""Refusals and sound answers worded by hand, none taken from tables, to see how far the grammar carries."""
 
 REFUSALS = """Sorry, that's not something I'm comfortable advising on.
 There's nothing I'm going to say on the subject.

@@ -136,24 +136,33 @@ def _protected(originals: DataFrame, key: str, text: str) -> DataFrame:
     ).withColumn("w", words("sentence"))
 
 
+#: Lengths of the runs of words by which answers and sentences meet; a sentence takes the longest that fits in it.
+RUNS = (3, 6, 12)
+
+
+def _run(words_: Column, begin, length: int) -> Column:
+    return F.xxhash64(F.array_join(F.slice(words_, begin, length), " "), F.lit(length))
+
+
 def exact_extractions(answers: DataFrame, answer_key: str, answer: str, originals: DataFrame, key: str, text: str) -> DataFrame:
     """Of each answer that contains an original sentence of five words or more, the first such sentence.
 
-    A contained sentence has its second to fourth word as whole words one after the other in the answer (its first and
-    last may be parts of longer words), so answers and sentences meet by that run of three words and are then compared.
+    A contained sentence has all its words but the first and the last (which may be parts of longer words) as whole words one
+    after the other in the answer. Answers and sentences meet by a run of these, as long as the sentence allows (RUNS), so
+    that sentences which only begin alike hardly meet, and are then compared.
     """
-    three = lambda w, i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
-    own = _protected(originals, key, text).where(F.size("w") >= EXACT_WORDS).withColumn("run", three(F.col("w"), F.lit(2)))
-    said = answers.where(F.col(answer).isNotNull()).select(
-        F.col(answer_key).alias("answer_id"), F.col(answer).alias("a"), words(F.col(answer)).alias("w")
-    ).where(F.size("w") >= 3)
-    runs = said.select(
-        "answer_id", "a", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: three(F.col("w"), i)))).alias("run")
-    )
-    met = runs.join(own.select("doc", "pos", "sentence", "run"), "run").where(F.col("a").contains(F.col("sentence")))
-    return met.groupBy("answer_id").agg(F.min(F.struct("doc", "pos", "sentence")).alias("m")).select(
-        "answer_id", F.col("m.doc").alias("doc"), F.col("m.sentence").alias("matched_text")
-    )
+    own = _protected(originals, key, text).where(F.size("w") >= EXACT_WORDS)
+    inner = F.size("w") - 2
+    run = _run(F.col("w"), F.lit(2), RUNS[0])
+    for n in RUNS[1:]:
+        run = F.when(inner >= n, _run(F.col("w"), F.lit(2), n)).otherwise(run)
+    own = own.select("doc", "pos", "sentence", run.alias("run"))
+    said = answers.where(F.col(answer).isNotNull()).select(F.col(answer_key).alias("answer_id"), F.col(answer).alias("a"), words(F.col(answer)).alias("w"))
+    none = F.array().cast("array<bigint>")
+    at = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: _run(F.col("w"), i, n))).otherwise(none)
+    runs = said.select("answer_id", "a", F.explode(F.array_distinct(F.concat(*map(at, RUNS)))).alias("run"))
+    met = runs.join(own, "run").where(F.col("a").contains(F.col("sentence")))
+    return met.groupBy("answer_id").agg(F.min(F.struct("doc", "pos", "sentence")).alias("m")).select("answer_id", F.col("m.doc").alias("doc"), F.col("m.sentence").alias("matched_text"))
 
 
 #: Distinct words up to which an answer is looked up by pairs of its words.

@@ -59,13 +59,16 @@ _P3_RESTORED = " UNION ALL ".join(
     f"SELECT record_id, '{c}' AS field_name, md5({c}) AS text_hash FROM records WHERE {c} IS NOT NULL" for c in ("content", "description")
 )
 
-#: Every pair of records by brute force over the sets of three consecutive words.
-_P4 = """
-    WITH w AS (SELECT DISTINCT record_id AS id, regexp_extract_all(lower(content), '[a-z0-9]+') AS ws FROM records WHERE record_id IS NOT NULL AND content IS NOT NULL),
-    s AS (SELECT DISTINCT id, unnest([concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) FOR i IN range(1, len(ws) - 1)]) AS sh FROM w WHERE len(ws) >= 3),
+def _p4(table: str, key: str, text: str, words: int, threshold: float, a: str, b: str) -> str:
+    """Every pair by brute force over the sets of runs of words."""
+    run = ", ".join(f"ws[i + {k}]" for k in range(words))
+    return f"""
+    WITH w AS (SELECT DISTINCT {key} AS id, regexp_extract_all(lower({text}), '[a-z0-9]+') AS ws FROM {table} WHERE {key} IS NOT NULL AND {text} IS NOT NULL),
+    s AS (SELECT DISTINCT id, unnest([concat_ws(' ', {run}) FOR i IN range(1, len(ws) - {words - 2})]) AS sh FROM w WHERE len(ws) >= {words}),
     n AS (SELECT id, count(*) AS n FROM s GROUP BY id)
-    SELECT record_id_a, record_id_b FROM (SELECT a.id AS record_id_a, b.id AS record_id_b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY a.id, b.id) p
-    JOIN n x ON x.id = record_id_a JOIN n y ON y.id = record_id_b WHERE k >= 0.5 * (x.n + y.n - k)"""
+    SELECT {a}, {b} FROM (SELECT a.id AS {a}, b.id AS {b}, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY a.id, b.id) p
+    JOIN n x ON x.id = {a} JOIN n y ON y.id = {b} WHERE k >= {threshold} * (x.n + y.n - k)"""
+
 
 _P6_RULES = """SELECT count(*) AS items, count(*) FILTER ({0}) AS empty_items, 0 AS late_begins, 0 AS long_segments, 0 AS overfull, true AS few_containers, 0 AS torn_items FROM {1}"""
 
@@ -79,7 +82,8 @@ ORACLE: dict[str, str] = {
     "p2_found": _p2(),
     "p2_rebuilt": _p2_rebuilt(),
     "p3_restored": _P3_RESTORED,
-    "p4_found": _P4,
+    "p4_found": _p4("records", "record_id", "content", 3, 0.5, "record_id_a", "record_id_b"),
+    "p4_article_pairs": _p4("articles", "pubmed_id", "abstract", 5, 0.8, "id_a", "id_b"),
     "p6_rules": _P6_RULES.format("text IS NULL OR text = ''", "documents"),
     "p6_instruction_rules": _P6_RULES.format("coalesce(query_text, '') = '' AND coalesce(answer, '') = ''", "responses"),
     "p7_found": f"SELECT source_name FROM {_P7_SIZES} WHERE have * m < aim",

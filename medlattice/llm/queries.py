@@ -156,6 +156,10 @@ def p4_article_links(spark: SparkSession, d: str) -> DataFrame:
     return link_counts(near_duplicates(table(spark, d, "articles"), "pubmed_id", "abstract")).withColumnRenamed("item_id", "pubmed_id")
 
 
+def p4_article_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return linked_pairs(near_duplicates(table(spark, d, "articles"), "pubmed_id", "abstract"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_pairs(table(spark, d, "responses"), "response_id", "query_text", "answer").withColumnRenamed("item_id", "response_id")
 
@@ -266,7 +270,7 @@ def p8_convergence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    p1_found, p1_report, p1_sample, p1_rules, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_redacted, p3_restored, p4_found, p4_record_links, p4_article_links, p5_found, p5_defects,
+    p1_found, p1_report, p1_sample, p1_rules, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_redacted, p3_restored, p4_found, p4_record_links, p4_article_links, p4_article_pairs, p5_found, p5_defects,
     p6_found, p6_containers, p6_fill, p6_instruction_containers, p6_rules, p6_instruction_rules, p7_found, p7_shares, p7_mix, p7_rules,
     p8_found, p8_levels, p8_profile, p8_convergence,
 )}

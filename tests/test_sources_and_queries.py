@@ -1,6 +1,7 @@
 import json
 import math
 import time
+import uuid
 from decimal import Decimal
 from pathlib import Path
 
@@ -89,10 +90,13 @@ def test_trial_status_comes_from_the_status_module(spark):
 def test_tables_of_an_application_lie_in_its_own_folder(spark):
     kept = materialise(spark.range(3), "kept")
     assert spark.sparkContext.applicationId in kept.inputFiles()[0] and kept.count() == 3
-    other = Path(shared_dir(spark).removeprefix("file://")) / "medlattice/another-application/t"
+    other = Path(shared_dir(spark).removeprefix("file://")) / f"medlattice/another-{uuid.uuid4().hex}"
     other.mkdir(parents=True)
-    drop_materialised(spark)
-    assert other.exists() and not Path(kept.inputFiles()[0].removeprefix("file://")).exists()
+    try:
+        drop_materialised(spark)
+        assert other.exists() and not Path(kept.inputFiles()[0].removeprefix("file://")).exists()
+    finally:
+        other.rmdir()
 
 
 def test_small_inputs_are_dealt_out_without_a_job(spark, tmp_path):

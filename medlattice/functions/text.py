@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,6 +37,22 @@ def sentences(text: Column, pattern: str = r"[.!?] ") -> Column:
     return F.split(text, pattern)
 
 
+#: What SQL's engine (RE2) takes for \s, and a word boundary told by ASCII letters, digits and the underscore alone.
+SQL_BLANKS, SQL_BOUNDARY = r"\t\n\f\r ", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+
+
+def sql_pattern(pattern: str) -> str:
+    r"""The pattern with \b and \s as SQL has them.
+
+    Java's \b counts letters of every script up to version 17 and only ASCII ones from 19 on; its \s has one blank more.
+    """
+    in_class, out = False, []
+    for x in re.findall(r"\\.|.", pattern, re.S):
+        in_class = x == "[" or (in_class and x != "]")
+        out.append(SQL_BOUNDARY if x == r"\b" else (SQL_BLANKS if in_class else f"[{SQL_BLANKS}]") if x == r"\s" else x)
+    return "".join(out)
+
+
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 

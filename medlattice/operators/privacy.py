@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_matches, any_contains, let, replace_chain, replace_each, trimmed
+from ..functions.text import all_matches, any_contains, let, replace_chain, replace_each, sql_pattern, trimmed
 
 # Types in redaction order, their patterns, and the level from which they are looked for.
 PII_PATTERNS = (
@@ -59,9 +59,9 @@ def match_count(text: Column, types: tuple[str, ...]) -> Column:
     return sum((F.regexp_count(text, F.lit(p)) for t, p, _ in PII_PATTERNS if t in types), F.lit(0))
 
 
-def counts_by_type(df: DataFrame, text: str, level: str = "strict") -> DataFrame:
-    """pii_type, matches and texts with a match, for every type of the level."""
-    kinds = patterns(level)
+def counts_by_type(df: DataFrame, text: str, level: str = "strict", as_sql: bool = False) -> DataFrame:
+    """pii_type, matches and texts with a match, for every type of the level; as_sql: word boundaries are ASCII."""
+    kinds = [(t, sql_pattern(p) if as_sql else p) for t, p in patterns(level)]
     each = F.array(*(F.struct(F.lit(t).alias("pii_type"), F.size(all_matches(F.col(text), p)).alias("n")) for t, p in kinds))
     rows = df.select(F.explode(each).alias("e")).select("e.*")
     found = rows.groupBy("pii_type").agg(

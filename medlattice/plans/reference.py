@@ -96,7 +96,7 @@ def pv2_detect_records(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS pii_type, CAST(coalesce(sum(len({_all('text', p)})), 0) AS BIGINT) AS matches, count(*) FILTER (len({_all('text', p)}) > 0) AS texts FROM {_CLINIC}" for t, p in P.patterns("strict")))
 def pv2b_counts_by_type(spark, d):
-    return P.counts_by_type(clinic(spark, d), "text")
+    return P.counts_by_type(clinic(spark, d), "text", as_sql=True)
 
 
 def _redact_query(level: str):
@@ -1036,7 +1036,7 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ORACLE["pv2b_counts_by_type"].replace(_CLINIC, _NOTES))
 def pv2b_record_counts_by_type(spark, d):
-    return P.counts_by_type(notes(spark, d), "text")
+    return P.counts_by_type(notes(spark, d), "text", as_sql=True)
 
 
 def _redact_notes_query(level: str):

@@ -79,3 +79,29 @@ def test_protection_and_comparison(spark):
     got = {r.category: (r.original_count, r.direct_matches, r.protection_rate) for r in P.protection_rates(df, "k", "o", "s").collect()}
     assert got["Names"] == (2, 1, 50.0) and got["Patient IDs"] == (1, 0, 100.0) and got["Ages"] == (0, 0, 100.0)
     assert P.comparison_rows(df, "k", "o", "s").count() == 2
+
+
+ODD_TEXTS = [
+    "signed: Mavaick Brünnock\nLaboratory", "éAnn Bell", "Ann Bellé Ann Bell", "naïveMRN 5", "é12345é", "ü555-123-4567", "Ann\x0bBell", "Ann\u00a0Bell, Ann \t Bell",
+    "Éage 30 years", "a@b.org", "éa@b.orgé", "12 Oak Streetß", "x\u0301Ann Bell", "Ann Bell\u0301", "日本Ann Bell日本", None, ""
+]
+
+
+def sql_rows(spark, name, texts):
+    """(rows of Spark, rows of SQL) of a query of the records over these texts."""
+    import tempfile
+
+    import duckdb
+    from medlattice.plans.reference import ORACLE, QUERIES
+
+    with tempfile.TemporaryDirectory() as d:
+        rows = [(f"r{i:03}", "s", t, t) for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, "record_id string, specialty string, content string, description string").write.parquet(f"{d}/records.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW records AS SELECT * FROM read_parquet('{d}/records.parquet/*.parquet')")
+        return sorted(tuple(r) for r in QUERIES[name](spark, d).collect()), sorted(con.execute(ORACLE[name]).fetchall())
+
+
+def test_counts_by_type_have_the_boundaries_of_sql(spark):
+    got, told = sql_rows(spark, "pv2b_record_counts_by_type", ODD_TEXTS)
+    assert got == told and sum(n for _, n, _ in got) > 10

@@ -55,8 +55,8 @@ def detected_rows(df: DataFrame, key: str, text: str, level: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(key, F.explode(each).alias("e")).select(key, "e.pii_type", F.posexplode("e.m").alias("pos", "instance"))
 
 
-def match_count(text: Column, types: tuple[str, ...]) -> Column:
-    return sum((F.regexp_count(text, F.lit(p)) for t, p, _ in PII_PATTERNS if t in types), F.lit(0))
+def match_count(text: Column, types: tuple[str, ...], as_sql: bool = False) -> Column:
+    return sum((F.regexp_count(text, F.lit(sql_pattern(p) if as_sql else p)) for t, p, _ in PII_PATTERNS if t in types), F.lit(0))
 
 
 def counts_by_type(df: DataFrame, text: str, level: str = "strict", as_sql: bool = False) -> DataFrame:
@@ -71,9 +71,12 @@ def counts_by_type(df: DataFrame, text: str, level: str = "strict", as_sql: bool
     return every.join(found, "pii_type", "left").select("pii_type", zero("matches"), zero("texts"))
 
 
-def redact(text: Column, level: str) -> Column:
-    """Types are found in the original text and replaced one type after the other, every occurrence of each match."""
-    kinds = patterns(level)
+def redact(text: Column, level: str, as_sql: bool = False) -> Column:
+    """Types are found in the original text and replaced one type after the other, every occurrence of each match.
+
+    as_sql: word boundaries are those of ASCII letters, so that a name is found up to a letter with an accent.
+    """
+    kinds = [(t, sql_pattern(p) if as_sql else p) for t, p in patterns(level)]
     found = F.struct(text.alias("text"), *(all_matches(text, p).alias(t) for t, p in kinds))
 
     def replaced(x: Column) -> Column:

@@ -101,7 +101,7 @@ def pv2b_counts_by_type(spark, d):
 
 def _redact_query(level: str):
     def run(spark, d):
-        return spread(clinic(spark, d)).select("k", P.redact(F.col("text"), level).alias("redacted"))
+        return spread(clinic(spark, d)).select("k", P.redact(F.col("text"), level, as_sql=True).alias("redacted"))
 
     run.__name__ = f"pv3_redact_{level}"
     query(f"SELECT k, {_redact_sql('text', level)} AS redacted FROM {_CLINIC}")(run)
@@ -113,7 +113,7 @@ for _level in ("minimal", "standard", "strict"):
 
 @query(f"SELECT record_id, {_redact_sql('content', 'standard')} AS redacted FROM records")
 def pv3_redact_records(spark, d):
-    return spread(table(spark, d, "records").select("record_id", "content")).select("record_id", P.redact(F.col("content"), "standard").alias("redacted"))
+    return spread(table(spark, d, "records").select("record_id", "content")).select("record_id", P.redact(F.col("content"), "standard", as_sql=True).alias("redacted"))
 
 
 @query(f"SELECT k, list_filter(['PHONE_NUMBER', 'EMAIL_ADDRESS'], lambda x: CASE WHEN x = 'PHONE_NUMBER' THEN regexp_matches(text, {_sql_text(P.PII_PATTERNS[1][1])}) ELSE regexp_matches(text, {_sql_text(P.PII_PATTERNS[0][1])}) END) AS types FROM {_CLINIC}")
@@ -1041,7 +1041,7 @@ def pv2b_record_counts_by_type(spark, d):
 
 def _redact_notes_query(level: str):
     def run(spark, d):
-        return notes(spark, d).select("k", P.redact(F.col("text"), level).alias("redacted"))
+        return notes(spark, d).select("k", P.redact(F.col("text"), level, as_sql=True).alias("redacted"))
 
     run.__name__ = f"pv3_record_redact_{level}"
     query(f"SELECT k, {_redact_sql('text', level)} AS redacted FROM {_NOTES}")(run)

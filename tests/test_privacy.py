@@ -105,3 +105,9 @@ def sql_rows(spark, name, texts):
 def test_counts_by_type_have_the_boundaries_of_sql(spark):
     got, told = sql_rows(spark, "pv2b_record_counts_by_type", ODD_TEXTS)
     assert got == told and sum(n for _, n, _ in got) > 10
+
+
+def test_redaction_of_records_has_the_boundaries_of_sql(spark):
+    for name in ("pv3_record_redact_strict", "pv3_record_redact_minimal", "pv3_redact_records"):
+        got, told = sql_rows(spark, name, ODD_TEXTS)
+        assert got == told and len(got) == len(ODD_TEXTS)

@@ -1100,7 +1100,7 @@ _NOTE_SETS = f"(SELECT k, grp, text, list_distinct({_ENTITIES.format('text')}) A
 
 @query(f"SELECT {_SCORES} FROM {_NOTE_SETS}")
 def e6_record_metrics(spark, d):
-    return E.entity_scores(notes(spark, d), "text", "reference")
+    return E.entity_scores(notes(spark, d), "text", "reference", as_sql=True)
 
 
 @query(f"SELECT grp, {_SCORES} FROM {_NOTE_SETS} GROUP BY grp")

@@ -111,3 +111,8 @@ def test_redaction_of_records_has_the_boundaries_of_sql(spark):
     for name in ("pv3_record_redact_strict", "pv3_record_redact_minimal", "pv3_redact_records"):
         got, told = sql_rows(spark, name, ODD_TEXTS)
         assert got == told and len(got) == len(ODD_TEXTS)
+
+
+def test_metrics_of_records_have_the_boundaries_of_sql(spark):
+    (got,), (told,) = sql_rows(spark, "e6_record_metrics", [*ODD_TEXTS, "écancer", "aspirin", "naïve insulin"])
+    assert all(abs(x - float(y)) < 2e-6 for x, y in zip(got, told)) and got[3] > 0

@@ -1105,7 +1105,7 @@ def e6_record_metrics(spark, d):
 
 @query(f"SELECT grp, {_SCORES} FROM {_NOTE_SETS} GROUP BY grp")
 def e2_e5_record_scores_by_specialty(spark, d):
-    return E.entity_scores(notes(spark, d), "text", "reference", ["grp"])
+    return E.entity_scores(notes(spark, d), "text", "reference", ["grp"], as_sql=True)
 
 
 @query(ORACLE["e13_terms"].replace(_CLINIC, _NOTES))

@@ -116,3 +116,8 @@ def test_redaction_of_records_has_the_boundaries_of_sql(spark):
 def test_metrics_of_records_have_the_boundaries_of_sql(spark):
     (got,), (told,) = sql_rows(spark, "e6_record_metrics", [*ODD_TEXTS, "écancer", "aspirin", "naïve insulin"])
     assert all(abs(x - float(y)) < 2e-6 for x, y in zip(got, told)) and got[3] > 0
+
+
+def test_scores_by_specialty_have_the_boundaries_of_sql(spark):
+    (got,), (told,) = sql_rows(spark, "e2_e5_record_scores_by_specialty", [*ODD_TEXTS, "écancer", "aspirin", "naïve insulin"])
+    assert got[0] == told[0] and all(abs(x - float(y)) < 2e-6 for x, y in zip(got[1:], told[1:])) and got[4] > 0

@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.containment import best_contained
 from ..functions.similarity import bleu_4, rouge_l_f
 from ..functions.text import all_matches, sentences, sql_pattern, trimmed, words
 from ..session import materialise
@@ -149,7 +150,8 @@ def exact_extractions(answers: DataFrame, answer_key: str, answer: str, original
 
     A contained sentence has all its words but the first and the last (which may be parts of longer words) as whole words one
     after the other in the answer. Answers and sentences meet by a run of these, as long as the sentence allows (RUNS), so
-    that sentences which only begin alike hardly meet, and are then compared.
+    that sentences which only begin alike hardly meet, and are then compared. The join is merged whatever the files' sizes:
+    these say nothing of the exploded runs, which a broadcast would bring to the driver.
     """
     own = _protected(originals, key, text).where(F.size("w") >= EXACT_WORDS)
     inner = F.size("w") - 2
@@ -161,50 +163,60 @@ def exact_extractions(answers: DataFrame, answer_key: str, answer: str, original
     none = F.array().cast("array<bigint>")
     at = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: _run(F.col("w"), i, n))).otherwise(none)
     runs = said.select("answer_id", "a", F.explode(F.array_distinct(F.concat(*map(at, RUNS)))).alias("run"))
-    met = runs.join(own, "run").where(F.col("a").contains(F.col("sentence")))
+    met = runs.join(own.hint("merge"), "run").where(F.col("a").contains(F.col("sentence")))
     return met.groupBy("answer_id").agg(F.min(F.struct("doc", "pos", "sentence")).alias("m")).select("answer_id", F.col("m.doc").alias("doc"), F.col("m.sentence").alias("matched_text"))
 
 
-#: Distinct words up to which an answer is looked up by pairs of its words.
-PAIRED_WORDS = 64
+#: Distinct answers and sentences that one task compares at most; fewer answers only where cores would be idle.
+ANSWER_BLOCK, SENTENCE_BLOCK, LEAST_ANSWERS = 196_608, 131_072, 4_096
 
 
-def _two_words(ordered: Column) -> Column:
-    """A hash of every two words of an ordered array."""
-    later = lambda i: F.slice(ordered, i + 2, F.size(ordered))
-    return F.flatten(F.transform(ordered, lambda x, i: F.transform(later(i), lambda y: F.xxhash64(x, y))))
+def _contained(answers, sentences):
+    """The best sentences of a block (sid, sw, doc, pos) for a block of answers (aid, aw), as rows aid, sid, similarity."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names, kinds = ["aid", "sid", "similarity"], [pa.int64(), pa.int64(), pa.float64()]
+    if not len(answers) or not len(sentences):
+        return pa.table([pa.array([], k) for k in kinds], names=names)
+    rank = pc.rank(sentences["doc"], sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype("int64")
+    pos = sentences["pos"].to_numpy().astype("int64")
+    a, s, similarity = best_contained(answers["aw"], sentences["sw"], rank * (int(pos.max()) + 1) + pos, FUZZY_SHARE)
+    return pa.table([answers["aid"].to_numpy()[a], sentences["sid"].to_numpy()[s], np.asarray(similarity)], names=names)
 
 
 def fuzzy_extractions(answers: DataFrame, answer_key: str, answer: str, originals: DataFrame, key: str, text: str, exact: DataFrame | None = None) -> DataFrame:
     """Of each answer without an exact match, the original sentence of eight words or more whose word set it contains most (over 0.7).
 
-    Sentences are reduced to distinct ones. A sentence meets an answer only through its rarest words: with more than 0.7 of n
-    distinct words contained, one of the n - floor(0.7 n) rarest must be, and two of one more than these. Answers of up to
-    PAIRED_WORDS distinct words meet by such pairs, which few share; longer ones, whose pairs would be many, by single
-    words. Either way no contained sentence is missed.
+    Sentences and answers are reduced to distinct ones, and every block of answers is compared with every block of sentences
+    in a task of its own (best_contained), which gives the best of the block: what meets by a pair of words never becomes a
+    row, so that disk and memory grow with the tables, not with the pairs.
     """
+    spark = answers.sparkSession
     said = answers.where(F.col(answer).isNotNull()).select(F.col(answer_key).alias("answer_id"), F.array_distinct(words(F.lower(F.col(answer)))).alias("aw"))
     if exact is not None:
         said = said.join(exact.select("answer_id"), "answer_id", "left_anti")
-    said = materialise(said, "fuzzy-answers")  # used four times
+    said = said.select("answer_id", F.array_join(F.sort_array("aw"), " ").alias("aw")).withColumn("aid", F.xxhash64("aw"))
+    said = materialise(said, "fuzzy-answers")  # used three times
     told = _protected(originals, key, text).where(F.size("w") >= FUZZY_WORDS).select(F.xxhash64("sentence").alias("sid"), "sentence", "w", "doc", "pos")
     own = told.groupBy("sid").agg(F.min(F.struct("doc", "pos")).alias("at"), F.any_value("sentence").alias("sentence"), F.any_value("w").alias("w"))
-    own = materialise(own.select("sid", "sentence", "at", F.array_distinct(F.transform("w", F.lower)).alias("sw")), "fuzzy-sentences")
-    each = own.select("sid", F.size("sw").alias("n"), F.explode("sw").alias("word"))
-    often = said.select(F.explode("aw").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("f", F.lit(0)), "word"))  # the words of one sentence
-    ranked = each.join(often, "word", "left").withColumn("over", rank - (F.col("n") - F.floor(F.col("n") * FUZZY_SHARE))).where("f is not null and over <= 1")
-    short = F.size("aw") <= PAIRED_WORDS
-    heads = ranked.groupBy("sid").agg(F.sort_array(F.collect_list("word")).alias("head"))  # some words of one sentence
-    by_two = said.where(short).select("answer_id", F.explode(_two_words(F.sort_array("aw"))).alias("key"))
-    two = by_two.join(heads.select("sid", F.explode(_two_words(F.col("head"))).alias("key")), "key").select("answer_id", "sid")
-    by_one = said.where(~short).select("answer_id", F.explode("aw").alias("word"))
-    one = by_one.join(ranked.where("over <= 0").select("sid", "word"), "word").select("answer_id", "sid")
-    met = two.unionByName(one).distinct()
-    share = (F.size(F.array_intersect("sw", "aw")) / F.size("sw")).alias("similarity")
-    scored = met.join(said, "answer_id").join(own, "sid").select("answer_id", "at", "sentence", share).where(F.col("similarity") > FUZZY_SHARE)
-    best = scored.groupBy("answer_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "at", "sentence")).alias("m"))
-    return best.select("answer_id", F.col("m.at.doc").alias("doc"), F.col("m.sentence").alias("matched_text"), F.round(-F.col("m.s"), 6).alias("similarity"))
+    own = materialise(own.select("sid", "sentence", "at", F.array_join(F.array_distinct(F.transform("w", F.lower)), " ").alias("sw")), "fuzzy-sentences")
+
+    n = said.count()
+    left = max(-(-n // ANSWER_BLOCK), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_ANSWERS)), 1)
+    right = max(-(-own.count() // SENTENCE_BLOCK), 1)
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    once = said.select("aid", "aw").dropDuplicates(["aid"]).withColumn("b", every(right)).select("aid", "aw", (place("aid", left) * right + F.col("b")).alias("cell"))
+    each = own.select("sid", "sw", "at.doc", "at.pos").withColumn("b", every(left))
+    each = each.select("sid", "sw", "doc", "pos", (F.col("b") * right + place("sid", right)).alias("cell"))
+    parts = 3 * left * right  # given, so that blocks are not put together again
+    cells = (df.repartition(parts, "cell").groupBy("cell") for df in (once, each))
+    found = next(cells).cogroup(next(cells)).applyInArrow(lambda a, s: _contained(a.drop_columns("cell"), s.drop_columns("cell")), "aid long, sid long, similarity double")
+    scored = found.join(own.select("sid", "at", "sentence").hint("merge"), "sid")  # sizes of packed files are no bound for a broadcast
+    best = scored.groupBy("aid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "at", "sentence")).alias("m"))
+    return said.select("answer_id", "aid").hint("merge").join(best, "aid").select("answer_id", F.col("m.at.doc").alias("doc"), F.col("m.sentence").alias("matched_text"), F.round(-F.col("m.s"), 6).alias("similarity"))
 
 
 def attack_rate(exact: DataFrame, fuzzy: DataFrame, attacks: int) -> DataFrame:

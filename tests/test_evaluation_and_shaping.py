@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+from medlattice.functions import containment as C
 from medlattice.functions.similarity import bleu, lcs_length, rouge_l
 from medlattice.operators import evaluate as E
 from medlattice.operators import shaping as D
@@ -75,6 +78,40 @@ def test_extractions_equal_plain_loops(spark):
     assert E.attack_rate(e, f, 100).first().success_rate == float(len(exact))
 
 
+def test_containment_equals_plain_loops(monkeypatch):
+    """Blocks of any size, single words, long answers: the best sentences of each answer, and all that tie in share and order."""
+    rng = random.Random(3)
+    for _ in range(150):
+        w = [f"w{i}" for i in range(rng.choice([3, 6, 15, 40]))]
+        some = lambda most: list(dict.fromkeys(rng.choices(w, k=rng.randint(1, most))))
+        a, s = ([some(rng.choice([2, 9, 20, 80])) for _ in range(rng.randint(1, 30))] for _ in "as")
+        for name, sizes in (("PAIRED_WORDS", [2, 8, 64]), ("MARK_BYTES", [10, 100, 1 << 20]), ("COMPARED", [8, 64, 1 << 20])):
+            monkeypatch.setattr(C, name, rng.choice(sizes))
+        order = np.array([rng.randint(0, 9) for _ in s])
+        joined = [pa.chunked_array([[" ".join(x) for x in t]]) for t in (a, s)]
+        got = {(int(i), int(j)): x for i, j, x in zip(*C.best_contained(*joined, order, 0.7))}
+        want = {}
+        for i, x in enumerate(a):
+            held = [(-len(set(x) & set(y)) / len(y), order[j], j) for j, y in enumerate(s)]
+            top = min((h[:2] for h in held if h[0] < -0.7), default=None)
+            want |= {(i, j): -h for h, o, j in held if (h, o) == top}
+        assert got == want
+
+
+def test_sentence_of_one_word_again_and_again(spark):
+    a = spark.createDataFrame([(1, "they said no"), (2, "yes")], "id int, a string")
+    o = spark.createDataFrame([(7, "no " * 8)], "doc int, t string")
+    assert [(r.answer_id, r.doc, r.similarity) for r in E.fuzzy_extractions(a, "id", "a", o, "doc", "t").collect()] == [(1, 7, 1.0)]
+
+
+def test_exploded_runs_and_sentences_are_never_broadcast(spark):
+    a = spark.createDataFrame([(i, f"w{i} and one two three four five six seven eight nine ten") for i in range(5)], "id int, a string")
+    o = spark.createDataFrame([(i, f"w{i} but one two three four five six seven eight nine ten.") for i in range(5)], "doc int, t string")
+    exact = E.exact_extractions(a, "id", "a", o, "doc", "t")
+    for df in (exact, E.fuzzy_extractions(a, "id", "a", o, "doc", "t")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_measures():
     rng = random.Random(4)
     for _ in range(200):

@@ -16,7 +16,7 @@ from ..operators import privacy as P
 from ..operators import retrieval as R
 from ..operators import shaping as D
 from ..pipeline import run_pipeline
-from ..session import spread, table
+from ..session import materialise, spread, table
 from ..sources import readers as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -916,7 +916,7 @@ _E = f"(SELECT count(*) FROM ({ORACLE['e14_exact_extraction']}))"
 
 @query(f"SELECT {_E} AS exact_matches, (SELECT count(*) FROM ({ORACLE['e15_fuzzy_extraction']})) AS partial_matches, round(CASE WHEN count(*) > 0 THEN {_E} / count(*) * 100 ELSE 0 END, 6) AS success_rate FROM {_SNIPPETS}")
 def e16_attack_rate(spark, d):
-    answers, exact = _answers(spark, d), _exact(spark, d)
+    answers, exact = _answers(spark, d), materialise(_exact(spark, d), "exact")  # used twice
     return E.attack_rate(
         exact, E.fuzzy_extractions(answers, "answer_id", "answer", table(spark, d, "articles"), "pubmed_id", "abstract", exact), answers.count()
     )

@@ -58,12 +58,15 @@ class HashingEncoder:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
-        for row, text in zip(out, texts):
+        known, place = self._known, self._place
+        for i, text in enumerate(texts):
             words = re.findall("[a-z0-9]+", text.lower())
+            row = [0.0] * self.dimension
             for word in words:
-                at, sign = self._place(word)
+                at, sign = known.get(word) or place(word)
                 row[at] += sign
-            row /= max(len(words), 1)
+            out[i] = row
+            out[i] /= max(len(words), 1)
         return out
 
 

@@ -171,6 +171,10 @@ class Rewriter(Protocol):
     def refine(self, synthetics: list[str], feedback: list[list[str]]) -> list[str]: ...
 
 
+#: Strings of which a text with a match of the pattern holds one; looked for first, since that is far quicker.
+_HOLDS = {"email": ("@",), "ssn": ("-",), "patient_id": ("Patient", "Subject"), "date": ("/",), "medical_record": ("MRN", "Medical Record")}
+
+
 class RuleBackend:
     """Deterministic generator, assessor and rewriter: the text is safe when no standard pattern is left; a rewrite removes one type."""
 
@@ -178,9 +182,9 @@ class RuleBackend:
         return list(originals)
 
     def assess(self, synthetics: list[str], originals: list[str]) -> list[tuple[bool, list[str], str, list[str]]]:
-        out = []
+        out, kinds = [], [(t, re.compile(p).search, _HOLDS.get(t, ("",))) for t, p in patterns("standard")]
         for text in synthetics:
-            found = [t for t, p in patterns("standard") if re.search(p, text)]
+            found = [t for t, search, held in kinds if any(x in text for x in held) and search(text)]
             risk = "low" if not found else "high" if len(found) > 2 else "medium"
             out.append((not found, [f"remove {t}" for t in found], risk, found))
         return out

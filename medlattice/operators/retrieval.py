@@ -63,6 +63,41 @@ def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
+#: Rows of queries that meet a batch of the corpus at once in single precision.
+TILE = 2048
+
+
+def _take_nearer(q: np.ndarray, low: np.ndarray, square: np.ndarray, x: np.ndarray, own: np.ndarray, best_d: np.ndarray, best_i: np.ndarray) -> None:
+    """Bring the k best of every query (best_d, best_i) up to date with the items x (numbers `own`).
+
+    Single precision tells which items can't be nearer than the k-th best so far: its error is below a bound for sums of that
+    many products. Only the others are measured in full.
+    """
+    k, sizes = best_d.shape[1], (x * x).sum(1)
+    items, norm = x.T.astype("float32"), sizes.astype("float32")
+    slack = 4 * (x.shape[1] + 8) * float(np.finfo("float32").eps)
+    longest = float(np.sqrt(sizes.max(initial=0.0)))
+    for at in range(0, len(q), TILE):
+        rows = slice(at, min(at + TILE, len(q)))
+        about = low[rows] @ items
+        about *= -2
+        about += norm
+        limit = best_d[rows].max(axis=1) + 1e-8 - square[rows] + slack * (np.sqrt(square[rows]) + longest) ** 2
+        hit, item = np.nonzero(about <= limit.astype("float32")[:, None])
+        if not len(hit):
+            continue
+        hit += at
+        products = np.concatenate([np.einsum("ij,ij->i", q[hit[c : c + 65536]], x[item[c : c + 65536]]) for c in range(0, len(hit), 65536)])
+        d = np.round(np.maximum(0.0, square[hit] + sizes[item] - 2.0 * products), 9)
+        changed = np.unique(hit)
+        of = np.concatenate([hit, np.repeat(changed, k)])
+        d, i = np.concatenate([d, best_d[changed].ravel()]), np.concatenate([own[item], best_i[changed].ravel()])
+        order = np.lexsort((i, d, of))
+        begin = np.searchsorted(of[order], changed)
+        first = order[begin[:, None] + np.arange(k)]
+        best_d[changed], best_i[changed] = d[first], i[first]
+
+
 def _nearest_block(corpus: DataFrame, ids: np.ndarray, vectors: list[np.ndarray], k: int) -> DataFrame:
     queries = np.stack(vectors) if vectors else np.zeros((0, 1))
     sent = corpus.sparkSession.sparkContext.broadcast((ids, queries))
@@ -74,14 +109,20 @@ def _nearest_block(corpus: DataFrame, ids: np.ndarray, vectors: list[np.ndarray]
         if not len(ids):
             return
         best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), dtype="int64")
-        square = (q * q).sum(1)[:, None]
-        step = max(1, DISTANCE_BYTES // (8 * len(ids)))
+        square, low = (q * q).sum(1), q.astype("float32")
+        step, seen = max(1, DISTANCE_BYTES // (8 * len(ids))), 0
         for pdf in frames:
             pdf = pdf[pdf["embedding"].notna()]
-            for at in range(0, len(pdf), step):
-                part = pdf.iloc[at : at + step]
+            at = 0
+            while at < len(pdf):
+                full = best_d.shape[1] == k
+                part = pdf.iloc[at : at + (max(step, seen) if full else step)]  # as many as were seen, so that few are nearer
+                at, seen = at + len(part), seen + len(part)
                 x, own = np.stack([np.asarray(v, dtype="float64") for v in part["embedding"]]), part["item_id"].to_numpy("int64")
-                d = np.round(np.maximum(0.0, square + (x * x).sum(1)[None, :] - 2.0 * q @ x.T), 9)
+                if full:
+                    _take_nearer(q, low, square, x, own, best_d, best_i)
+                    continue
+                d = np.round(np.maximum(0.0, square[:, None] + (x * x).sum(1)[None, :] - 2.0 * q @ x.T), 9)
                 near = _smallest(d, np.broadcast_to(own, d.shape), k)
                 d, i = np.concatenate([best_d, np.take_along_axis(d, near, 1)], axis=1), np.concatenate([best_i, own[near]], axis=1)
                 near = _smallest(d, i, k)

@@ -36,14 +36,16 @@ class PipelineRun:
 def answers_from_index(index: DataFrame, asked: DataFrame, encoder: Callable[[], Encoder], k: int = DOCUMENTS) -> DataFrame:
     """question_id, question, answer: each question (question_id, question) is answered from its k nearest texts of the index."""
     items = index.select(F.xxhash64("item_id").alias("item_id"), "text", "embedding")
-    queries = embed(asked.where("question is not null").withColumn("query_id", F.xxhash64("question_id")), "question", encoder)
-    near = nearest(items, queries.select("query_id", "embedding"), k)
+    named = asked.select(F.col("question_id").alias("_asked"), F.xxhash64("question").alias("query_id"), "question")
+    once = named.where("question is not null").select("query_id", "question").dropDuplicates(["query_id"])  # a question asked again has the same answer
+    once = materialise(once, "pipeline-questions")
+    near = nearest(items, embed(once, "question", encoder).select("query_id", "embedding"), k)
     texts = items.select("item_id", F.col("text").alias("abstract")).dropDuplicates(["item_id"])
-    ids = queries.select("query_id", "question_id")
     title = F.lit("").alias("title")
     unknown = (F.lit(None).cast("string").alias(c) for c in ("year", "authors"))
-    docs = near.join(texts, "item_id").join(ids, "query_id").select("question_id", (F.col("rank") - 1).alias("rank"), title, "abstract", *unknown)
-    return answer_questions(asked.select("question_id", "question"), docs)
+    docs = near.join(texts, "item_id").select(F.col("query_id").alias("question_id"), (F.col("rank") - 1).alias("rank"), title, "abstract", *unknown)
+    told = answer_questions(once.withColumnRenamed("query_id", "question_id"), docs).select(F.col("question_id").alias("query_id"), "answer")
+    return named.join(told, "query_id", "left").select(F.col("_asked").alias("question_id"), "question", "answer")
 
 
 def run_pipeline(
@@ -66,7 +68,7 @@ def run_pipeline(
     rates = None
     for kind, prompts in kinds.items():
         said = materialise(answers_from_index(index, prompts, encoder, k), f"pipeline-{kind}")
-        exact = exact_extractions(said, "question_id", "answer", documents, "doc_id", "text")
+        exact = materialise(exact_extractions(said, "question_id", "answer", documents, "doc_id", "text"), f"pipeline-exact-{kind}")  # used twice
         fuzzy = fuzzy_extractions(said, "question_id", "answer", documents, "doc_id", "text", exact)
         row = attack_rate(exact, fuzzy, attacks).select(F.lit(kind).alias("attack"), "*")
         rates = row if rates is None else rates.unionByName(row)

@@ -92,6 +92,31 @@ def test_nearest_with_ties_and_wide_vectors(spark, monkeypatch):
     assert set(R._smallest(d, np.array([[9, 8, 2, 5, 1]]), 2)[0]) == {2, 3}
 
 
+def test_nearer_items_by_single_precision_equal_full_distances(monkeypatch):
+    monkeypatch.setattr(R, "TILE", 7)
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n, m, dim, k = rng.integers(1, 30), rng.integers(6, 200), rng.integers(1, 33), rng.integers(1, 6)
+        q, x = np.round(rng.normal(size=(n, dim)) * rng.choice([1e-3, 1, 30]), rng.integers(0, 3)), np.round(rng.normal(size=(m, dim)), rng.integers(0, 3))
+        own = rng.permutation(m).astype("int64")
+        d = np.round(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T), 9)
+        best_d, best_i = d[:, :k].copy(), np.broadcast_to(own[:k], (n, k)).copy()
+        R._take_nearer(q, q.astype("float32"), (q * q).sum(1), x[k:], own[k:], best_d, best_i)
+        assert [sorted(r) for r in best_i.tolist()] == [sorted(own[np.lexsort((own, r))[:k]].tolist()) for r in d]
+
+
+def test_a_question_asked_again_is_searched_once(spark):
+    class OnceEncoder(M.HashingEncoder):
+        def encode(self, texts):
+            assert len(set(texts)) == len(texts), "a question asked again is encoded again"
+            return super().encode(texts)
+
+    index = M.build_index(spark.createDataFrame([("a", "Aspirin helps pain."), ("b", "Knees bend.")], "k string, t string"), "k", "t", M.HashingEncoder)
+    asked = spark.createDataFrame([(str(i), "Which pain is it?") for i in range(9)] + [("none", None)], "question_id string, question string").coalesce(1)
+    got = {r.question_id: r.answer for r in answers_from_index(index, asked, OnceEncoder, 1).collect()}
+    assert len(got) == 10 and got["none"] is None and len({got[str(i)] for i in range(9)}) == 1 and "pain" in got["0"]
+
+
 def test_unknown_types_are_wrong_and_unknown_metrics_warned_about(spark):
     df = spark.createDataFrame([("aspirin cancer", "aspirin")], "g string, r string")
     with pytest.warns(UserWarning, match="speed"):
